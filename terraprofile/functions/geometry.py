@@ -7,6 +7,7 @@ part with one single-coordinate line. Everything here is a column expression.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -37,10 +38,25 @@ def is_geometry(dtype: T.DataType) -> bool:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
+    """Evaluate ``value`` once and use it several times inside ``body``.
+
+    Catalyst inlines a column that is defined in one projection and used in
+    the next; accessors bind their argument this way, so that a parsed geometry
+    is not parsed again at each mention.
+    """
     return F.transform(F.array(value), body)[0]
 
 
+def _bound(accessor: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """An accessor that evaluates its geometry once."""
+
+    @functools.wraps(accessor)
+    def on(g: Column) -> Column:
+        return let(g, accessor)
+
+    return on
+
+
 def xy(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -135,36 +151,48 @@ def from_wkt(text: Column) -> Column:
     built-in JSON parser then reads. Z and M values are dropped.
     """
     head = r"^\s*(MULTI)?(POINT|LINESTRING|POLYGON)(\s+(Z|M|ZM))?\s*"
-    up = F.upper(text)
-    kind = F.regexp_extract(up, r"^\s*((?:MULTI)?(?:POINT|LINESTRING|POLYGON))", 1)
-    body = F.regexp_replace(up, head, "")
-    whole = up.rlike(head + rf"\((?:[\s(),]|{NUMBER})*\)\s*$")
-    empty = up.rlike(head + r"EMPTY\s*$")
-    # MULTIPOINT ((1 2), (3 4)) is the same as MULTIPOINT (1 2, 3 4)
-    body = F.when(kind == "MULTIPOINT", F.regexp_replace(body, rf"\(\s*({NUMBER}[^(),]*)\)(?=\s*[,)])", "$1")).otherwise(body)
-    pairs = F.regexp_replace(body, rf"({NUMBER})\s+({NUMBER})(?:\s+{NUMBER})*", "[$1,$2]")
-    json_text = F.translate(pairs, "()", "[]")
-    # JSON numbers may not start with '+' or '.'; or end with '.'
-    json_text = F.regexp_replace(json_text, r"(?<=[\[,\s])\+", "")
-    json_text = F.regexp_replace(json_text, r"(?<=[\[,\s-])\.(?=\d)", "0.")
-    json_text = F.regexp_replace(json_text, r"(?<=\d)\.(?!\d)", "")
-    # a point's own parentheses already give one extra level
-    lifted = F.when(kind == "POINT", F.concat(F.lit("[["), json_text, F.lit("]]"))).otherwise(_lift(kind, json_text))
-    return F.when(empty, _geometry(kind, F.array().cast(PARTS))).when(whole, _build(kind, lifted, close_rings=False))
+
+    def parse(up: Column) -> Column:
+        kind = F.regexp_extract(up, r"^\s*((?:MULTI)?(?:POINT|LINESTRING|POLYGON))", 1)
+        whole = up.rlike(head + rf"\((?:[\s(),]|{NUMBER})*\)\s*$")
+        empty = up.rlike(head + r"EMPTY\s*$")
+        return let(
+            F.struct(kind.alias("kind"), F.regexp_replace(up, head, "").alias("body")),
+            lambda t: F.when(whole, rewritten(t["kind"], t["body"])).when(empty, _geometry(t["kind"], F.array().cast(PARTS))),
+        )
+
+    def rewritten(kind: Column, body: Column) -> Column:
+        # MULTIPOINT ((1 2), (3 4)) is the same as MULTIPOINT (1 2, 3 4)
+        bare = F.regexp_replace(body, rf"\(\s*({NUMBER}[^(),]*)\)(?=\s*[,)])", "$1")
+        pairs = F.regexp_replace(
+            F.when(kind == "MULTIPOINT", bare).otherwise(body), rf"({NUMBER})\s+({NUMBER})(?:\s+{NUMBER})*", "[$1,$2]"
+        )
+        # JSON numbers may not start with '+' or '.', or end with '.'
+        json_text = F.regexp_replace(F.translate(pairs, "()", "[]"), r"(?<=[\[,\s])\+", "")
+        json_text = F.regexp_replace(json_text, r"(?<=[\[,\s-])\.(?=\d)", "0.")
+        json_text = F.regexp_replace(json_text, r"(?<=\d)\.(?!\d)", "")
+        # a point's own parentheses already give one extra level
+        lifted = let(
+            json_text, lambda j: F.when(kind == "POINT", F.concat(F.lit("[["), j, F.lit("]]"))).otherwise(_lift(kind, j))
+        )
+        return _build(kind, lifted, close_rings=False)
+
+    return let(F.upper(text), parse)
 
 
 def from_geojson(text: Column) -> Column:
     """A GeoJSON geometry object (as text) to geometry; errors give NULL."""
-    kind = F.upper(F.get_json_object(text, "$.type"))
-    coords = F.get_json_object(text, "$.coordinates")
-    known = kind.isin(*KIND_DEPTH) & coords.isNotNull()
-    return F.when(known, _build(kind, _lift(kind, coords), close_rings=True))
+    return from_geojson_value(F.get_json_object(text, "$.type"), F.get_json_object(text, "$.coordinates"))
 
 
 def from_geojson_value(kind: Column, coordinates: Column) -> Column:
-    """Geometry from a feature's ``type`` and the JSON text of its coordinates."""
-    up = F.upper(kind)
-    return F.when(up.isin(*KIND_DEPTH), _build(up, _lift(up, coordinates), close_rings=True))
+    """Geometry from a ``type`` and the JSON text of its ``coordinates``."""
+
+    def parse(t: Column) -> Column:
+        known = t["kind"].isin(*KIND_DEPTH) & t["json"].isNotNull()
+        return F.when(known, _build(t["kind"], _lift(t["kind"], t["json"]), close_rings=True))
+
+    return let(F.struct(F.upper(kind).alias("kind"), coordinates.alias("json")), parse)
 
 
 # -------------------------------------------------------------------- accessors
@@ -177,6 +205,13 @@ def is_empty(g: Column) -> Column:
     return F.size(vertices(g)) == 0
 
 
+@_bound
+def present(g: Column) -> Column:
+    """Neither NULL nor empty."""
+    return g.isNotNull() & (F.size(vertices(g)) > 0)
+
+
+@_bound
 def vertex_count(g: Column) -> Column:
     return F.when(g.isNotNull(), F.size(vertices(g)).cast("bigint"))
 
@@ -191,6 +226,7 @@ def _coords_text(pts: Column, pair: Callable[[Column], Column], sep: str) -> Col
     return F.array_join(F.transform(pts, pair), sep)
 
 
+@_bound
 def as_wkt(g: Column) -> Column:
     pair = lambda p: F.concat(number_text(p["x"]), F.lit(" "), number_text(p["y"]))
     wrap = lambda c: F.concat(F.lit("("), c, F.lit(")"))
@@ -228,6 +264,7 @@ def kind_label(kind: Column) -> Column:
     return out
 
 
+@_bound
 def as_geojson(g: Column) -> Column:
     pair = lambda p: F.concat(F.lit("["), number_text(p["x"]), F.lit(","), number_text(p["y"]), F.lit("]"))
     wrap = lambda c: F.concat(F.lit("["), c, F.lit("]"))
@@ -319,6 +356,7 @@ def _is(g: Column, *kinds: str) -> Column:
     return g["kind"].isin(*kinds)
 
 
+@_bound
 def area(g: Column) -> Column:
     """Planar area; 0 for points and lines."""
     return F.when(
@@ -330,6 +368,7 @@ def _step_length(s: Column) -> Column:
     return F.sqrt(F.pow(s["b"]["x"] - s["a"]["x"], 2) + F.pow(s["b"]["y"] - s["a"]["y"], 2))
 
 
+@_bound
 def length(g: Column) -> Column:
     """Total length of lines, or of all rings of polygons."""
     lines = F.flatten(g["parts"])
@@ -362,6 +401,7 @@ def _line_centroid(lines: Column) -> Column:
     return let(folded, lambda m: F.when(m["w"] > 0, xy(m["mx"] / m["w"], m["my"] / m["w"])))
 
 
+@_bound
 def centroid(g: Column) -> Column:
     """Centroid as ``struct<x, y>``: area-, length- or count-weighted by kind."""
     by_area = let(
@@ -379,6 +419,7 @@ def centroid(g: Column) -> Column:
     )
 
 
+@_bound
 def bbox(g: Column) -> Column:
     def box(pts: Column) -> Column:
         xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
@@ -394,11 +435,10 @@ def bbox(g: Column) -> Column:
 
 def map_coordinates(g: Column, move: Callable[[Column, Column], Column]) -> Column:
     """Apply ``move(x, y) -> struct<x, y>`` to every coordinate."""
-    parts = F.transform(
-        g["parts"],
-        lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: move(p["x"], p["y"]))),
+    moved = lambda ring: F.transform(ring, lambda p: move(p["x"], p["y"]))
+    return let(
+        g, lambda v: F.when(v.isNotNull(), _geometry(v["kind"], F.transform(v["parts"], lambda part: F.transform(part, moved))))
     )
-    return F.when(g.isNotNull(), _geometry(g["kind"], parts))
 
 
 # --------------------------------------------------------------------- validity
@@ -460,22 +500,24 @@ def is_valid(g: Column) -> Column:
     has four or more points, a non-zero area and does not cross itself.
     """
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    finite = ~F.exists(vertices(g), lambda p: bad(p["x"]) | bad(p["y"]))
-    lines_ok = F.forall(F.flatten(g["parts"]), lambda ln: F.size(F.array_distinct(ln)) >= 2)
-    rings_ok = F.forall(
-        F.flatten(g["parts"]),
-        lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)) & (_ring_moments(r)["area"] > 0),
-    )
-    polygonal = _is(g, "POLYGON", "MULTIPOLYGON")
-    # rings of three edges cannot cross themselves, so they skip the transfer
-    rings = F.when(polygonal, F.filter(F.flatten(g["parts"]), lambda r: F.size(r) > 4))
-    simple = ~_any_ring_crosses(rings)
-    return F.when(
-        g.isNotNull(),
-        F.when(_is(g, "LINESTRING", "MULTILINESTRING"), finite & lines_ok)
-        .when(polygonal, finite & rings_ok & simple)
-        .otherwise(finite),
+
+    def by_rule(v: Column) -> Column:
+        finite = ~F.exists(vertices(v), lambda p: bad(p["x"]) | bad(p["y"]))
+        lines_ok = F.forall(F.flatten(v["parts"]), lambda ln: F.size(F.array_distinct(ln)) >= 2)
+        rings_ok = F.forall(
+            F.flatten(v["parts"]),
+            lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)) & (_ring_moments(r)["area"] > 0),
+        )
+        kinds_ok = (
+            F.when(_is(v, "LINESTRING", "MULTILINESTRING"), lines_ok).when(_is(v, "POLYGON", "MULTIPOLYGON"), rings_ok).otherwise(F.lit(True))
+        )
+        return F.when(v.isNotNull(), finite & kinds_ok)
+
+    # only rings of four or more edges can cross themselves; others skip the transfer
+    rings = let(
+        g, lambda v: F.when(_is(v, "POLYGON", "MULTIPOLYGON"), F.filter(F.flatten(v["parts"]), lambda r: F.size(r) > 4))
     )
+    return let(g, by_rule) & ~_any_ring_crosses(rings)
 
 
 # --------------------------------------------------------------------- clipping
@@ -549,8 +591,11 @@ def clipped_area(g: Column, edges: Column) -> Column:
         )
         return F.aggregate(signed, F.lit(0.0), lambda a, v: a + v)
 
-    total = F.aggregate(F.transform(g["parts"], part_area), F.lit(0.0), lambda a, v: a + v)
-    return F.when(g.isNotNull(), F.when(_is(g, "POLYGON", "MULTIPOLYGON"), total).otherwise(0.0))
+    def total(v: Column) -> Column:
+        areas = F.aggregate(F.transform(v["parts"], part_area), F.lit(0.0), lambda a, b: a + b)
+        return F.when(v.isNotNull(), F.when(_is(v, "POLYGON", "MULTIPOLYGON"), areas).otherwise(0.0))
+
+    return let(g, total)
 
 
 def rectangle_edges(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:

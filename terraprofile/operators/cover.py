@@ -130,7 +130,7 @@ def fill_rate_lines(segs: DataFrame) -> DataFrame:
 
 
 def boxes(df: DataFrame, geometry: str) -> DataFrame:
-    return df.where(col(geometry).isNotNull() & ~G.is_empty(col(geometry))).select(G.bbox(col(geometry)).alias("b")).select("b.*")
+    return df.where(G.present(col(geometry))).select(G.bbox(col(geometry)).alias("b")).select("b.*")
 
 
 MAX_BOXES_PER_CELL = 64

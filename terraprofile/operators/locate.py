@@ -131,8 +131,8 @@ def filter_bounds_geometry(df: DataFrame, geometry: str, epsg: int | None, bound
     located = df.where(col(geometry).isNotNull())
     if epsg != crs.GEOGRAPHIC:
         return located
-    c = G.centroid(col(geometry))
-    return located.where(in_bounds(c["x"], c["y"], bounds))
+    inside = G.let(G.centroid(col(geometry)), lambda c: in_bounds(c["x"], c["y"], bounds))
+    return located.where(inside)
 
 
 def geometry_type_counts(df: DataFrame, geometry: str) -> DataFrame:

@@ -23,7 +23,7 @@ def _safe(num: Column, den: Column) -> Column:
 def presence_validity(df: DataFrame, geometry: str) -> DataFrame:
     """Share of rows with a geometry, and with a valid one, in percent."""
     g = col(geometry)
-    rows = df.select((g.isNotNull() & ~G.is_empty(g)).alias("present"), G.is_valid(g).alias("valid"))
+    rows = df.select((G.present(g)).alias("present"), G.is_valid(g).alias("valid"))
     return rows.agg(
         F.round(_safe(F.count_if("present") * 100.0, F.count(F.lit(1))), 1).alias("present_pct"),
         F.round(_safe(F.count_if("valid") * 100.0, F.count(F.lit(1))), 1).alias("valid_pct"),
@@ -81,7 +81,7 @@ def convex_hull_extent(df: DataFrame, geometry: str) -> DataFrame:
 def complexity(df: DataFrame, geometry: str) -> DataFrame:
     """Mean and spread of vertex counts over non-empty geometries; points have none."""
     g = col(geometry)
-    rows = df.where(g.isNotNull() & ~G.is_empty(g)).select(G.vertex_count(g).alias("n"), g["kind"].alias("kind"))
+    rows = df.where(G.present(g)).select(G.vertex_count(g).alias("n"), g["kind"].alias("kind"))
     points = F.coalesce(F.min("kind") == "POINT", F.lit(False)) & F.coalesce(F.max("kind") == "POINT", F.lit(False))
     return rows.agg(
         F.when(~points, F.round(F.avg("n"), 2)).alias("mean_vertices"),
@@ -184,7 +184,7 @@ def cell_counts_points(df: DataFrame, x: str, y: str, size: float = GRID_SIZE) -
 def cell_counts_geometry(df: DataFrame, geometry: str, size: float = GRID_SIZE) -> tuple[DataFrame, Column]:
     """The same for lines and polygons, with an exact test per candidate cell."""
     g = col(geometry)
-    rows = df.where(g.isNotNull() & ~G.is_empty(g)).select(
+    rows = df.where(G.present(g)).select(
         F.flatten(F.transform(F.flatten(g["parts"]), G.steps)).alias("edges"), g["kind"].isin("POLYGON", "MULTIPOLYGON").alias("solid"), G.bbox(g).alias("b")
     )
     box = rows.agg(F.min("b.minx").alias("minx"), F.min("b.miny").alias("miny"), F.max("b.maxx").alias("maxx"), F.max("b.maxy").alias("maxy"))

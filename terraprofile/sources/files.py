@@ -13,7 +13,6 @@ from terraprofile.functions.tables import SUPPORTED_EXTENSIONS
 from terraprofile.operators.clean import col
 
 DELIMITERS = [",", ";", "\t", "|"]
-SNIFF_LINES = 5
 
 
 # ----------------------------------------------------------------------- reading
@@ -53,10 +52,14 @@ def detect_delimiter(spark: SparkSession, path: str | Sequence[str]) -> DataFram
         F.monotonically_increasing_id().alias("pos"),
     )
     header = lines.where(F.col("block") == 0).groupBy("file_path").agg(F.min_by("value", "pos").alias("header"))
+    return header.select("file_path", header_delimiter(F.col("header")).alias("delimiter"))
+
+
+def header_delimiter(header: Column) -> Column:
     chosen = F.lit(",")
     for d in reversed(DELIMITERS):
-        chosen = F.when(F.contains(F.col("header"), F.lit(d)), F.lit(d)).otherwise(chosen)
-    return header.select("file_path", chosen.alias("delimiter"))
+        chosen = F.when(F.contains(header, F.lit(d)), F.lit(d)).otherwise(chosen)
+    return chosen
 
 
 FEATURE = T.StructType(
@@ -98,8 +101,22 @@ def scan_geojson(spark: SparkSession, path: str, properties: T.StructType | None
     return rows.select(*_feature_columns(F.col("f"), properties))
 
 
+def geojson_features(spark: SparkSession, directory: str, glob: str = "*.{geojson,json}") -> DataFrame:
+    """Features of all collections of a directory with the file they come from."""
+    whole = T.StructType([T.StructField("features", T.ArrayType(_with_properties(None)))])
+    reader = spark.read.schema(whole).option("multiLine", True).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    rows = reader.json(directory).select(path_key(F.col("_metadata.file_path")).alias("dataset_id"), F.explode("features").alias("f"))
+    return rows.select("dataset_id", *_feature_columns(F.col("f"), None))
+
+
 # --------------------------------------------------------------------- inventory
 
+def path_key(path: Column) -> Column:
+    """One spelling of a file's path: scans encode it and differ in slashes."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^([a-z0-9]+):/+", "$1:/")
+
+
 def extension(path: Column) -> Column:
     """Lower-cased suffix with its dot; empty when there is none."""
     return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
@@ -144,7 +161,7 @@ def feature_text(df: DataFrame, geometry: str, epsg: int | None) -> DataFrame:
     moved = g if source == crs.GEOGRAPHIC else G.map_coordinates(g, crs.move_struct(source, crs.GEOGRAPHIC))
     names = [c for c in df.columns if c != geometry]
     props = F.to_json(F.struct(*[col(c) for c in names]), {"ignoreNullFields": "false"}) if names else F.lit("{}")
-    return df.where(g.isNotNull() & ~G.is_empty(g)).select(
+    return df.where(G.present(g)).select(
         F.concat(
             F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), G.as_geojson(moved), F.lit("}")
         ).alias("value")
@@ -161,7 +178,7 @@ def wkt_table(df: DataFrame, geometry: str, epsg: int | None) -> DataFrame:
     g = col(geometry)
     source = epsg or crs.GEOGRAPHIC
     moved = g if source == crs.GEOGRAPHIC else G.map_coordinates(g, crs.move_struct(source, crs.GEOGRAPHIC))
-    return df.where(g.isNotNull() & ~G.is_empty(g)).select(
+    return df.where(G.present(g)).select(
         *[col(c) for c in df.columns if c != geometry], G.as_wkt(moved).alias("geometry_wkt")
     )
 
