@@ -51,11 +51,10 @@ def count_outside_bounds(df: DataFrame, x: str, y: str, bounds=FRANCE_BOUNDS) ->
 def decimal_comma(value: Column) -> Column:
     """Text or number to double, accepting a decimal comma; bad text is NULL.
 
-    The suffix guard drops Java-style literals such as ``1d`` that Spark's
-    cast would accept.
+    Java-style suffixes such as ``1d``, which Spark's cast would accept, are spoilt first.
     """
     text = F.replace(value.cast("string"), F.lit(","), F.lit("."))
-    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
+    return F.regexp_replace(text, r"(?<=[0-9.])[dDfF](?=\s*$)", "x").try_cast("double")
 
 
 def cast_decimal_comma(df: DataFrame, columns: Sequence[str], aliases: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -55,16 +55,17 @@ def buffered_cells(segs: DataFrame, f: Column) -> DataFrame:
     For each column of cells the buffered segment is one vertical interval,
     known in closed form, so a segment emits only cells it covers.
     """
-    s = segs.select(
-        F.when(F.col("x1") <= F.col("x2"), F.struct("x1", "y1", "x2", "y2"))
-        .otherwise(F.struct(F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))
-        .alias("s"),
-        f.alias("f"),
-    ).where((F.col("f.cell") > 0) & F.col("s.x1").isNotNull() & F.col("s.y1").isNotNull() & F.col("s.x2").isNotNull() & F.col("s.y2").isNotNull())
+    ordered = F.col("x1") <= F.col("x2")
+    s = segs.dropna(subset=["x1", "y1", "x2", "y2"]).select(
+        F.least("x1", "x2").alias("x1"), F.when(ordered, F.col("y1")).otherwise(F.col("y2")).alias("y1"),
+        F.greatest("x1", "x2").alias("x2"), F.when(ordered, F.col("y2")).otherwise(F.col("y1")).alias("y2"), f.alias("f"),
+    )
     b, c, x0, y0 = F.col("f.buffer"), F.col("f.cell"), F.col("f.minx"), F.col("f.miny")
-    first = F.ceil((F.col("s.x1") - b - x0) / c - 0.5)
-    last = F.floor((F.col("s.x2") + b - x0) / c - 0.5)
-    cols = s.where(first <= last).select("s.*", b.alias("b"), c.alias("c"), x0.alias("x0"), y0.alias("y0"), F.explode(F.sequence(first, last)).alias("ix"))
+    first = F.ceil((F.col("x1") - b - x0) / c - 0.5)
+    last = F.floor((F.col("x2") + b - x0) / c - 0.5)
+    none = F.array().cast("array<bigint>")
+    columns = F.when((c > 0) & (first <= last), F.sequence(first, last)).otherwise(none)
+    cols = s.select("x1", "y1", "x2", "y2", b.alias("b"), c.alias("c"), x0.alias("x0"), y0.alias("y0"), F.explode(columns).alias("ix"))
     xc = F.col("x0") + (F.col("ix") + 0.5) * F.col("c")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     length = F.sqrt(dx * dx + dy * dy)
@@ -227,20 +228,21 @@ def coverage_of(reference: DataFrame, geometry: str, edges: Column) -> DataFrame
     ``edges`` is a scalar, so the territory is read in place and never broadcast.
     """
     g = col(geometry)
-    return reference.where(g.isNotNull()).select(G.area(g).alias("a"), G.clipped_area(g, edges).alias("c")).agg(
+    rows = reference.where(g.isNotNull()).select(g.alias("g"), edges.alias("edges"))
+    return rows.select(G.area(F.col("g")).alias("a"), G.clipped_area(F.col("g"), F.col("edges")).alias("c")).agg(
         F.round(F.coalesce(F.try_divide(F.sum("c"), F.sum("a")) * 100, F.lit(0.0)), 4).alias("coverage_pct")
     )
 
 
 def coverage_envelope(reference: DataFrame, geometry: str, box: DataFrame) -> DataFrame:
     """Coverage by the envelope of the data; ``box`` has one row."""
-    env = box.select(F.struct("minx", "miny", "maxx", "maxy").alias("e")).scalar()
-    return coverage_of(reference, geometry, G.rectangle_edges(env["minx"], env["miny"], env["maxx"], env["maxy"]))
+    edges = box.select(G.rectangle_edges(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("e")).scalar()
+    return coverage_of(reference, geometry, edges)
 
 
 def coverage_hull(reference: DataFrame, geometry: str, hull: DataFrame) -> DataFrame:
     """Coverage by the data's convex hull."""
-    return coverage_of(reference, geometry, ring_edges(hull.select("ring").scalar()))
+    return coverage_of(reference, geometry, hull.select(ring_edges(F.col("ring")).alias("e")).scalar())
 
 
 def coverage_cells(reference: DataFrame, geometry: str, covered: DataFrame, f: Column) -> DataFrame:
