@@ -386,7 +386,8 @@ def batch_profile(spark: SparkSession, requested: DataFrame, directory: str, ext
 
     ``requested`` has a ``path`` column. All delimited files are profiled by one
     job and all GeoJSON files by another; a path that is missing, of another
-    type, or without columns becomes an error row.
+    type, or without columns becomes an error row. File scans list no file of
+    zero bytes, so such a file counts as missing.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
     sizes = listing.select(files.path_key(F.col("path")).alias("path"), F.round(F.col("length") / 1024, 2).alias("size_kb"))

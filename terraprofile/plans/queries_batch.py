@@ -1 +1,174 @@
-"""Registered queries."""
+"""Registered queries: dataset profiles, batches and report tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terraprofile.functions.tables import ENGLISH
+from terraprofile.operators import report
+from terraprofile.plans.dataset_profile import batch_profile, dataset_profile
+from terraprofile.plans.fixtures import Inputs
+from terraprofile.plans.queries_metrics import territory
+from terraprofile.plans.queries_table import POINTS
+from terraprofile.plans.registry import query
+from terraprofile.session import scratch_path
+from terraprofile.sources import files
+
+BATCH = ("batch_results",)
+
+
+@query("dataset_profile")
+def _(t: Inputs):
+    return report.flatten_profile(dataset_profile(t.view("geo_points"), "geo_points", key_order=["event_id"], territory=territory(t)))
+
+
+@query("dataset_profile_lines")
+def _(t: Inputs):
+    return report.flatten_profile(dataset_profile(t.view("geo_lines"), "geo_lines", key_order=["road_id"]))
+
+
+@query("dataset_profile_text")
+def _(t: Inputs):
+    return report.flatten_profile(dataset_profile(t.view("geo_codes"), "geo_codes", key_order=["c_custkey"]))
+
+
+@query("batch_with_errors", """
+WITH p AS (SELECT event_type, count(*) AS n_rows, count(longitude) / count(*) AS lon, count(latitude) / count(*) AS lat FROM geo_points GROUP BY event_type),
+ok AS (SELECT concat(event_type, '.csv') AS file_name, true AS success, CAST(NULL AS VARCHAR) AS error, n_rows, CAST(5 AS BIGINT) AS n_columns,
+ round((3 + lon + lat) / 5 * 100, 1) AS mean_pct, 'Présence géométrie séparée (x,y)' AS geotransformation FROM p)
+SELECT * FROM ok UNION ALL SELECT 'missing.csv', false, 'File not found', NULL, NULL, NULL, NULL UNION ALL SELECT 'note.pdf', false, 'Unsupported file extension', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'area.shp', false, 'NotImplementedError', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'nations.geojson', true, NULL, CAST(25 AS BIGINT), CAST(3 AS BIGINT), 100.0::DOUBLE, 'Présence Géométrie' """, POINTS)
+def _(t: Inputs):
+    return batch_files(t)
+
+
+def batch_files(t: Inputs):
+    from terraprofile.plans.queries_geometry import polygons
+
+    root = scratch_path(t.spark, "batch")
+    parts = scratch_path(t.spark, "parts")
+    jvm = t.spark.sparkContext._jvm
+    conf = t.spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(root).getFileSystem(conf)
+    fs.mkdirs(path(root))
+    # one file per event type under a name of its own, as users' folders hold them
+    t.view("geo_points").repartition("event_type").write.partitionBy("event_type").option("header", True).csv(parts)
+    names = []
+    for status in fs.globStatus(path(f"{parts}/event_type=*/*.csv")):
+        name = status.getPath().getParent().getName().split("=")[1] + ".csv"
+        fs.rename(status.getPath(), path(f"{root}/{name}"))
+        names.append(name)
+    shapes = scratch_path(t.spark, "shapes")
+    body = files.feature_text(polygons(t).select("n_nationkey", "n_name", "g"), "g", None).agg(
+        F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value")
+    )
+    body.write.text(shapes)
+    fs.rename(fs.globStatus(path(f"{shapes}/part-*.txt"))[0].getPath(), path(f"{root}/nations.geojson"))
+    for extra in ("note.pdf", "area.shp"):
+        out = fs.create(path(f"{root}/{extra}"))
+        out.write(0)
+        out.close()
+    base = fs.makeQualified(path(root)).toString()
+    asked = t.spark.createDataFrame([(f"{base}/{n}",) for n in [*names, "nations.geojson", "note.pdf", "area.shp", "missing.csv"]], "path string")
+    done = batch_profile(t.spark, asked, root)
+    return done.select(
+        "file_name", "success", F.get(F.split("error", ":"), F.lit(0)).alias("error"),
+        "profile.n_rows", "profile.n_columns", "profile.mean_pct", "profile.geotransformation",
+    )
+
+
+def nested(df):
+    """Batch rows with their figures in nested structs, as a report holds them."""
+    detail = F.array(F.struct(F.lit("n_rows").alias("Colonne"), F.col("n_rows").cast("string").alias("Exemple")))
+    return df.select(
+        "dataset_id", "success",
+        F.struct(F.col("size_kb").alias("Taille (Ko)"), F.struct(F.col("n_rows").alias("Nb lignes"), F.col("file_type").alias("Type")).alias("contenu")).alias("fichier"),
+        detail.alias("Colonnes"),
+    )
+
+
+@query("flatten_profile", """SELECT dataset_id, success, size_kb AS "fichier - Taille (Ko)", n_rows AS "fichier - contenu - Nb lignes", file_type AS "fichier - contenu - Type",
+CASE WHEN n_rows IS NULL THEN '[{"Colonne":"n_rows"}]' ELSE concat('[{"Colonne":"n_rows","Exemple":"', n_rows, '"}]') END AS "Colonnes (détails)", CAST(1 AS BIGINT) AS "Nb colonnes détaillées" FROM batch_results""", BATCH)
+def _(t: Inputs):
+    return report.flatten_profile(nested(t.view("batch_results")))
+
+
+@query("report_table", "SELECT dataset_id, success, error, file_type AS \"Type de fichier\", n_rows AS \"Nb lignes\", size_kb AS \"Taille (Ko)\", elapsed_s FROM batch_results", BATCH)
+def _(t: Inputs):
+    return report.report_table(t.view("batch_results").withColumnsRenamed({"file_type": "Type de fichier", "n_rows": "Nb lignes", "size_kb": "Taille (Ko)"}))
+
+
+@query("report_table_successes", "SELECT dataset_id, success, n_rows FROM batch_results WHERE success", BATCH)
+def _(t: Inputs):
+    return report.report_table(t.view("batch_results").select("dataset_id", "success", "n_rows"), include_errors=False)
+
+
+@query("batch_summary", """
+SELECT count(*) AS total_files, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, round(count(*) FILTER (success) / count(*) * 100, 4) AS success_rate, round(sum(elapsed_s), 2) AS total_time, round(avg(elapsed_s), 4) AS avg_time_per_file,
+CAST(sum(n_rows) FILTER (success) AS BIGINT) AS total_rows, round(sum(size_kb) FILTER (success) / 1024, 2) AS total_size_mb FROM batch_results""", BATCH)
+def _(t: Inputs):
+    return report.batch_summary(t.view("batch_results"))
+
+
+@query("file_type_counts", "SELECT coalesce(file_type, 'Unknown') AS file_type, count(*) AS n FROM batch_results WHERE success GROUP BY 1", BATCH)
+def _(t: Inputs):
+    return report.file_type_counts(t.view("batch_results"))
+
+
+@query("error_type_counts", "SELECT coalesce(split_part(error, ':', 1), 'Unknown') AS error_type, count(*) AS n FROM batch_results WHERE NOT success GROUP BY 1", BATCH)
+def _(t: Inputs):
+    return report.error_type_counts(t.view("batch_results"))
+
+
+KEYS_CASE = ["Nb lignes", "Taille (Ko)", "Type de fichier", "Aucune géométrie", "Granularité", "hors dictionnaire"]
+_case = lambda k: " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(k))
+
+
+@query("translate_report", f"""SELECT dataset_id, CASE dataset_id % 6 {_case([ENGLISH.get(v, v) for v in KEYS_CASE])} END AS key, coalesce(file_type, '') AS value FROM batch_results""", BATCH)
+def _(t: Inputs):
+    key = F.lit(None).cast("string")
+    for i, v in enumerate(KEYS_CASE):
+        key = F.when(F.col("dataset_id") % 6 == i, F.lit(v)).otherwise(key)
+    rows = t.view("batch_results").select("dataset_id", key.alias("key"), F.coalesce("file_type", F.lit("")).alias("value"))
+    return report.translate_rows(rows, ["key", "value"])
+
+
+@query("translate_headers", 'SELECT n_rows AS "Nb rows", size_kb AS "Size (KB)", file_type AS "File type" FROM batch_results', BATCH)
+def _(t: Inputs):
+    df = t.view("batch_results").select(F.col("n_rows").alias("Nb lignes"), F.col("size_kb").alias("Taille (Ko)"), F.col("file_type").alias("Type de fichier"))
+    return report.translate_headers(df)
+
+
+@query("json_safe", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN NULL ELSE value END AS v, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS ts FROM events""")
+def _(t: Inputs):
+    k = F.col("event_id") % 3
+    bad = F.when(k == 0, float("nan")).when(k == 1, float("inf")).otherwise(F.col("value"))
+    return report.json_safe(t.table("events").select("event_id", bad.alias("v"), "ts"))
+
+
+@query("report_filter_geo", """SELECT dataset_id, CASE WHEN file_type = 'CSV' THEN 'Aucune géométrie' ELSE 'Présence Géométrie' END AS label FROM batch_results WHERE success AND file_type <> 'CSV'""", BATCH)
+def _(t: Inputs):
+    label = F.when(F.col("file_type") == "CSV", "Aucune géométrie").otherwise("Présence Géométrie")
+    return report.filter_with_geometry(t.view("batch_results").where("success").select("dataset_id", label.alias("label")), "label")
+
+
+@query("report_top_k", "SELECT dataset_id, size_kb FROM batch_results ORDER BY size_kb DESC NULLS LAST, dataset_id LIMIT 5", BATCH)
+def _(t: Inputs):
+    return report.top_k(t.view("batch_results").select("dataset_id", "size_kb"), "size_kb", "dataset_id")
+
+
+@query("report_group_agg", 'SELECT file_type AS "group", count(*) AS n, CAST(sum(n_rows) AS BIGINT) AS total_rows FROM batch_results GROUP BY file_type', BATCH)
+def _(t: Inputs):
+    return report.group_totals(t.view("batch_results"), "file_type", "n_rows")
+
+
+@query("report_totals", "SELECT CAST(sum(n_rows) AS BIGINT) AS total_rows, round(avg(n_rows), 4) AS mean_rows, round(avg(size_kb), 4) AS mean_score FROM batch_results", BATCH)
+def _(t: Inputs):
+    return report.totals(t.view("batch_results"), "n_rows", "size_kb")
+
+
+@query("large_file_flag", "SELECT dataset_id, (ext = '.xlsx' AND size_bytes / 1048576 > 10) OR size_bytes / 1048576 > 50 AS is_large FROM dataset_inventory", ("dataset_inventory",))
+def _(t: Inputs):
+    return t.view("dataset_inventory").select("dataset_id", report.large_file_flag(F.col("size_bytes"), F.col("ext")).alias("is_large"))

@@ -1 +1,194 @@
-"""Registered queries."""
+"""Registered queries: file scans, selection rules, exports.
+
+Scans need files, so these write a derived view to the shared folder first and
+read that; the work grows with the tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from terraprofile.functions import crs
+from terraprofile.functions import geometry as G
+from terraprofile.operators import detect, locate, profile, selection
+from terraprofile.plans.fixtures import Inputs
+from terraprofile.plans.queries_geometry import num, polygons
+from terraprofile.plans.queries_table import JSON, LINES, POINTS, POLYS, RAW
+from terraprofile.plans.registry import query
+from terraprofile.session import scratch_path
+from terraprofile.sources import files
+
+INVENTORY = ("dataset_inventory",)
+
+
+def csv_of(t: Inputs, view: str, sep: str = ",") -> str:
+    path = scratch_path(t.spark, view)
+    t.view(view).write.option("header", True).option("sep", sep).csv(path)
+    return path
+
+
+@query("scan_delimited", "SELECT event_id, user_id, event_type, value, longitude, latitude FROM geo_points", POINTS)
+def _(t: Inputs):
+    df = files.scan_delimited(t.spark, csv_of(t, "geo_points"))
+    return df.select(*[F.col(c).cast("bigint").alias(c) if c in ("event_id", "user_id") else F.col(c) for c in df.columns])
+
+
+@query("scan_delimited_malformed", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 3")
+def _(t: Inputs):
+    # every tenth row carries text where the schema wants a number
+    key = F.when(F.col("o_orderkey") % 10 == 3, F.lit("broken")).otherwise(F.col("o_orderkey").cast("string"))
+    path = scratch_path(t.spark, "malformed")
+    t.table("orders").select(key.alias("o_orderkey"), "o_orderstatus").write.option("header", True).csv(path)
+    return files.scan_delimited(t.spark, path, schema="o_orderkey bigint, o_orderstatus string")
+
+
+@query("scan_delimited_text", 'SELECT CAST(road_id AS VARCHAR) AS road_id, "xD", "yD", "xF", "yF" FROM geo_lines', LINES)
+def _(t: Inputs):
+    return files.scan_delimited_text(t.spark, csv_of(t, "geo_lines", ";"), ";")
+
+
+@query("detect_delimiter", "SELECT delimiter, count(*) AS n_files FROM (VALUES (','), (';'), (chr(9)), ('|')) d(delimiter), (SELECT DISTINCT event_type FROM events) GROUP BY delimiter")
+def _(t: Inputs):
+    root = scratch_path(t.spark, "delimiters")
+    for i, sep in enumerate(files.DELIMITERS):
+        t.view("geo_points").repartition("event_type").write.partitionBy("event_type").option("header", True).option("sep", sep).csv(f"{root}/{i}")
+    found = files.detect_delimiter(t.spark, [f"{root}/{i}/*/*.csv" for i in range(len(files.DELIMITERS))])
+    return found.groupBy("delimiter").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("detect_header_row", """
+WITH s AS (SELECT file, row_no, (c0 IS NOT NULL AND trim(c0) <> '')::INT + (c1 IS NOT NULL AND trim(c1) <> '')::INT + (c2 IS NOT NULL AND trim(c2) <> '')::INT AS filled,
+  coalesce((NOT regexp_full_match(translate(c0, '.-,', ''), '[0-9]+'))::INT, 0) + coalesce((NOT regexp_full_match(translate(c1, '.-,', ''), '[0-9]+'))::INT, 0) + coalesce((NOT regexp_full_match(translate(c2, '.-,', ''), '[0-9]+'))::INT, 0) AS wordy
+  FROM raw_rows WHERE row_no < 30),
+n AS (SELECT *, lead(filled) OVER (PARTITION BY file ORDER BY row_no) AS nxt FROM s),
+k AS (SELECT file, row_no, round(filled + 0.5 * wordy + 0.3 * nxt + CASE WHEN filled >= 3 AND nxt >= 0.5 * filled THEN 5 ELSE 0 END, 6) AS score FROM n WHERE nxt IS NOT NULL AND filled >= 2)
+SELECT file, CAST(row_no AS BIGINT) AS header_row FROM k QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, row_no) = 1""", RAW)
+def _(t: Inputs):
+    return selection.detect_header_row(t.view("raw_rows"), "file", "row_no", ["c0", "c1", "c2"])
+
+
+NOTES = "(readme|lisez|info|indic|description|metadata|note|about|legend|source)"
+WORDS = "(data|donnee|donnée|tableau|main|result|mesure|values|export)"
+
+
+@query("pick_data_table", f"""
+WITH s AS (SELECT archive_id, dataset_id, name, round(CASE WHEN regexp_matches(lower(name), '{NOTES}') THEN -10 ELSE 0 END + CASE WHEN regexp_matches(lower(name), '{WORDS}') THEN 10 ELSE 0 END + least(n_rows / 100, 50) + least(n_cols, 20), 6) AS score FROM dataset_inventory)
+SELECT archive_id AS group_id, coalesce(arg_max(name, score * 1000000000 - dataset_id) FILTER (score > -1), arg_min(name, dataset_id)) AS table_name FROM s GROUP BY archive_id""", INVENTORY)
+def _(t: Inputs):
+    return selection.pick_data_table(t.view("dataset_inventory"), "archive_id", "dataset_id", "name", "n_rows", "n_cols")
+
+
+@query("archive_primary_file", """
+WITH a AS (SELECT archive_id, count(*) FILTER (ext <> '.pdf') AS n, count(*) FILTER (ext IN ('.shp', '.geojson')) AS g, count(*) FILTER (ext = '.shp') AS s,
+ min(name) FILTER (ext <> '.pdf') AS only_one, min(name) FILTER (ext IN ('.shp', '.geojson')) AS geo, min(name) FILTER (ext = '.shp') AS shp FROM dataset_inventory GROUP BY archive_id)
+SELECT archive_id, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'single' WHEN g = 1 THEN 'geo' WHEN s = 1 THEN 'shp' ELSE 'batch' END AS mode, CASE WHEN n = 1 THEN only_one WHEN g = 1 THEN geo WHEN s = 1 THEN shp END AS primary_file FROM a""", INVENTORY)
+def _(t: Inputs):
+    return selection.archive_primary_file(t.view("dataset_inventory"), "archive_id", "name", "ext")
+
+
+@query("preview_rows", "SELECT n_nationkey, n_regionkey, n_name FROM geo_polys ORDER BY n_nationkey LIMIT 10", POLYS)
+def _(t: Inputs):
+    return selection.preview_rows(t.view("geo_polys"), ["n_nationkey"])
+
+
+FRANCE = (-5.5, 41.0, 10.0, 51.5)
+
+
+@query("map_sample", """SELECT event_id AS key, longitude AS lon, latitude AS lat FROM geo_points WHERE longitude BETWEEN -5.5 AND 10.0 AND latitude BETWEEN 41.0 AND 51.5 ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 1000""", POINTS)
+def _(t: Inputs):
+    return selection.map_sample(t.view("geo_points"), "event_id", "longitude", "latitude", FRANCE, crs.GEOGRAPHIC)
+
+
+@query("map_view")
+def _(t: Inputs):
+    return selection.map_view(selection.map_sample(t.view("geo_points"), "event_id", "longitude", "latitude", FRANCE, crs.GEOGRAPHIC))
+
+
+@query("write_geojson", f"SELECT event_id, event_type, concat('POINT (', {num('longitude')}, ' ', {num('latitude')}, ')') AS wkt FROM geo_points WHERE longitude IS NOT NULL AND latitude IS NOT NULL", POINTS)
+def _(t: Inputs):
+    path = scratch_path(t.spark, "geojson")
+    df = t.view("geo_points").select("event_id", "event_type", G.point(F.col("longitude"), F.col("latitude")).alias("g"))
+    files.write_geojson(df, "g", path)
+    fields = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
+    back = files.scan_geojson(t.spark, path, fields, lines=True)
+    return back.select("event_id", "event_type", G.as_wkt(F.col("geometry")).alias("wkt"))
+
+
+@query("scan_geojson", "SELECT n_nationkey, n_name, geometry AS wkt FROM geo_polys", POLYS)
+def _(t: Inputs):
+    # one collection per region, as the reader meets them in files
+    path = scratch_path(t.spark, "collections")
+    features = files.feature_text(polygons(t).select("n_nationkey", "n_name", "n_regionkey", "g"), "g", None)
+    region = F.get_json_object("value", "$.properties.n_regionkey").alias("region")
+    collected = features.select("value", region).groupBy("region").agg(
+        F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ",\n"), F.lit("]}")).alias("value")
+    )
+    collected.repartition("region").write.partitionBy("region").text(path)
+    fields = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())])
+    return files.scan_geojson(t.spark, path, fields).select("n_nationkey", "n_name", G.as_wkt(F.col("geometry")).alias("wkt"))
+
+
+@query("native_geometry_column", "SELECT 'g' AS found_before, 'geometry' AS found, count(*) AS n FROM geo_polys", POLYS)
+def _(t: Inputs):
+    df = polygons(t).withColumnRenamed("g", "G_raw").withColumnRenamed("geometry", "Shape").withColumn("Geometry", F.col("Shape"))
+    name = detect.native_geometry_column(df.columns)
+    return df.agg(F.lit("g").alias("found_before"), F.lower(F.lit(name)).alias("found"), F.count(F.col(name)).alias("n"))
+
+
+@query("write_wkt_csv", f"SELECT event_id, event_type, concat('POINT (', {num('longitude')}, ' ', {num('latitude')}, ')') AS geometry_wkt FROM geo_points WHERE longitude IS NOT NULL AND latitude IS NOT NULL", POINTS)
+def _(t: Inputs):
+    path = scratch_path(t.spark, "wkt")
+    df = t.view("geo_points").select("event_id", "event_type", G.point(F.col("longitude"), F.col("latitude")).alias("g"))
+    files.write_wkt_csv(df, "g", path)
+    return files.scan_delimited(t.spark, path, schema="event_id bigint, event_type string, geometry_wkt string")
+
+
+@query("write_report", "SELECT dataset_id, success, error, file_type, n_rows, size_kb, elapsed_s FROM batch_results", ("batch_results",))
+def _(t: Inputs):
+    df = t.view("batch_results")
+    path = scratch_path(t.spark, "report")
+    files.write_report(df.withColumn("nested", F.struct("file_type", "n_rows")), path, "csv")
+    return files.scan_delimited(t.spark, path, schema=T.StructType([*df.schema.fields, T.StructField("nested", T.StringType())])).drop("nested")
+
+
+@query("write_report_json", "SELECT dataset_id, file_type, n_rows FROM batch_results", ("batch_results",))
+def _(t: Inputs):
+    path = scratch_path(t.spark, "report")
+    files.write_report(t.view("batch_results").select("dataset_id", F.struct("file_type", "n_rows").alias("m")), path, "json", flatten=False)
+    back = t.spark.read.schema("dataset_id bigint, m struct<file_type:string,n_rows:bigint>").json(path)
+    return back.select("dataset_id", "m.file_type", "m.n_rows")
+
+
+@query("dataset_inventory")
+def _(t: Inputs):
+    root = scratch_path(t.spark, "inventory")
+    t.view("geo_points").repartition("event_type").write.partitionBy("event_type").option("header", True).csv(f"{root}/tables")
+    files.write_report(t.view("batch_results"), f"{root}/reports", "json")
+    t.view("geo_codes").write.parquet(f"{root}/other")
+    return files.dataset_inventory(t.spark, root).select("extension", "size_kb", "modified")
+
+
+def rebuild(t: Inputs, view: str, key: str):
+    """Detect the encoding over the whole table, build geometry, export in WGS84."""
+    df = t.view(view)
+    found = detect.detect_geometry(profile.column_catalog(df)).first()
+    shaped = locate.add_geometry(df, found["method"], found["columns"], "_g")
+    epsg = locate.guess_crs_geometry(shaped, "_g").first()["epsg"] or crs.GEOGRAPHIC
+    return files.wkt_table(shaped.select(key, "_g"), "_g", epsg)
+
+
+@query("export_rebuild", f"SELECT event_id, concat('POINT (', {num('longitude')}, ' ', {num('latitude')}, ')') AS geometry_wkt FROM geo_points WHERE longitude IS NOT NULL AND latitude IS NOT NULL", POINTS)
+def _(t: Inputs):
+    return rebuild(t, "geo_points", "event_id")
+
+
+@query("export_rebuild_text", """SELECT s_suppkey, concat('POINT (', regexp_extract(geom, '\\[([0-9.]+),', 1), ' ', regexp_extract(geom, ',([0-9.]+)\\]', 1), ')') AS geometry_wkt FROM geo_json WHERE json_valid(geom)""", JSON)
+def _(t: Inputs):
+    return rebuild(t, "geo_json", "s_suppkey")
+
+
+@query("export_rebuild_metric")
+def _(t: Inputs):
+    return rebuild(t, "grid_points", "event_id")
+
