@@ -1,13 +1,14 @@
 """Areas through grid cells, overlap checks and coverage of a territory.
 
 The cell size is a fixed fraction of the bounding box's diagonal, so the number
-of different cells has a constant bound (about a million) whatever the number
-of rows, and the distinct is almost wholly map-side.
+of different cells has a constant bound (about two million) whatever the number
+of rows. Shapes become runs of cells per grid line, which are merged before any
+cell is listed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraprofile.functions import geometry as G
@@ -49,50 +50,70 @@ def segments(df: DataFrame, geometry: str) -> DataFrame:
     )
 
 
-def buffered_cells(segs: DataFrame, f: Column) -> DataFrame:
-    """Distinct cells whose centre lies within the buffer of some segment.
+def merged_spans(spans: DataFrame, line: str) -> DataFrame:
+    """Disjoint intervals ``(line, lo, hi)`` with the same cells as all ``spans``.
+
+    First the farthest end per line and start is taken, which is at most one row
+    per grid cell and mostly map-side; then each interval is cut where the ones
+    before it already reach.
+    """
+    longest = spans.groupBy(line, "lo").agg(F.max("hi").alias("hi")).where("lo <= hi")
+    w = Window.partitionBy(line).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max("hi").over(w)
+    return longest.select(line, F.greatest(F.col("lo"), F.coalesce(reached + 1, F.col("lo"))).alias("lo"), "hi").where("lo <= hi")
+
+
+def span_cells(spans: DataFrame, line: str, across: str) -> DataFrame:
+    return spans.select(line, F.explode(F.sequence("lo", "hi")).alias(across)).select("ix", "iy")
+
+
+def span_count(spans: DataFrame) -> DataFrame:
+    return spans.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("n_cells"))
+
+
+def buffered_spans(segs: DataFrame, f: Column) -> DataFrame:
+    """Cells whose centre lies within the buffer of some segment, as ``(ix, lo, hi)``.
 
     For each column of cells the buffered segment is one vertical interval,
-    known in closed form, so a segment emits only cells it covers.
+    known in closed form.
     """
     ordered = F.col("x1") <= F.col("x2")
     s = segs.dropna(subset=["x1", "y1", "x2", "y2"]).select(
         F.least("x1", "x2").alias("x1"), F.when(ordered, F.col("y1")).otherwise(F.col("y2")).alias("y1"),
         F.greatest("x1", "x2").alias("x2"), F.when(ordered, F.col("y2")).otherwise(F.col("y1")).alias("y2"), f.alias("f"),
     )
-    b, c, x0, y0 = F.col("f.buffer"), F.col("f.cell"), F.col("f.minx"), F.col("f.miny")
-    first = F.ceil((F.col("x1") - b - x0) / c - 0.5)
-    last = F.floor((F.col("x2") + b - x0) / c - 0.5)
-    none = F.array().cast("array<bigint>")
-    columns = F.when((c > 0) & (first <= last), F.sequence(first, last)).otherwise(none)
-    cols = s.select("x1", "y1", "x2", "y2", b.alias("b"), c.alias("c"), x0.alias("x0"), y0.alias("y0"), F.explode(columns).alias("ix"))
-    xc = F.col("x0") + (F.col("ix") + 0.5) * F.col("c")
+    # lengths in cells from here on, with the box's corner as origin
+    c = F.col("f.cell")
+    scaled = lambda v, o: ((F.col(v) - F.col(o)) / c).alias(v)
+    s = s.where(c > 0).select(scaled("x1", "f.minx"), scaled("y1", "f.miny"), scaled("x2", "f.minx"), scaled("y2", "f.miny"), (F.col("f.buffer") / c).alias("b"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    length = F.sqrt(dx * dx + dy * dy)
+    s = s.select("*", dx.alias("dx"), dy.alias("dy"), F.try_divide(F.col("b"), F.sqrt(dx * dx + dy * dy)).alias("k"))
+    first, last = F.ceil(F.col("x1") - F.col("b") - 0.5), F.floor(F.col("x2") + F.col("b") - 0.5)
+    columns = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    cols = s.select(
+        "x1", "y1", "x2", "y2", "dx", (F.col("b") * F.col("b")).alias("bb"), F.try_divide(F.col("dy"), F.col("dx")).alias("slope"),
+        (F.col("dy") * F.col("k")).alias("ox"), (F.col("dx") * F.col("k")).alias("oy"), F.explode(columns).alias("ix"),
+    )
+    xc = F.col("ix") + 0.5
+    cols = cols.select("ix", "y1", "y2", "dx", "bb", "slope", "ox", "oy", (xc - F.col("x1")).alias("h1"), (xc - F.col("x2")).alias("h2"))
 
-    def cap(px: str, py: str, sign: int) -> Column:
-        d2 = F.col("b") * F.col("b") - F.pow(xc - F.col(px), 2)
-        return F.when(d2 >= 0, F.col(py) + F.sqrt(F.greatest(d2, F.lit(0.0))) * sign)
+    def cap(h: str, y: str, sign: int) -> Column:
+        # null, as the root of a negative number is NaN, where the line misses the disc
+        return F.nanvl(F.col(y) + F.sqrt(F.col("bb") - F.col(h) * F.col(h)) * sign, F.lit(None).cast("double"))
 
     def side(sign: int) -> Column:
         # the edge parallel to the segment, shifted by the buffer
-        ox, oy = -dy / length * F.col("b") * sign, dx / length * F.col("b") * sign
-        t = (xc - F.col("x1") - ox) / dx
-        return F.when((dx > 0) & (t >= 0) & (t <= 1), F.col("y1") + oy + t * dy)
-
-    top = F.greatest(cap("x1", "y1", 1), cap("x2", "y2", 1), side(1))
-    low = F.least(cap("x1", "y1", -1), cap("x2", "y2", -1), side(-1))
-    spans = cols.select(
-        "ix",
-        F.ceil((low - F.col("y0")) / F.col("c") - 0.5).alias("lo"),
-        F.floor((top - F.col("y0")) / F.col("c") - 0.5).alias("hi"),
-    )
-    # equal spans of a column are many where lines bundle; they go before the cells are listed
-    return spans.where("lo <= hi").distinct().select("ix", F.explode(F.sequence("lo", "hi")).alias("iy")).distinct()
+        h = F.col("h1") + F.col("ox") * sign
+        return F.when((h >= 0) & (h <= F.col("dx")), F.col("y1") + F.col("oy") * sign + h * F.col("slope"))
 
+    top = F.greatest(cap("h1", "y1", 1), cap("h2", "y2", 1), side(1))
+    low = F.least(cap("h1", "y1", -1), cap("h2", "y2", -1), side(-1))
+    spans = cols.select("ix", F.ceil(low - 0.5).alias("lo"), F.floor(top - 0.5).alias("hi"))
+    return merged_spans(spans, "ix")
 
-def polygon_cells(df: DataFrame, geometry: str, f: Column) -> DataFrame:
-    """Distinct cells whose centre lies in some polygon, by scan lines."""
+
+def polygon_spans(df: DataFrame, geometry: str, f: Column) -> DataFrame:
+    """Cells whose centre lies in some polygon, as ``(iy, lo, hi)``, by scan lines."""
     g = df.where(col(geometry)["kind"].isin("POLYGON", "MULTIPOLYGON")).select(
         F.flatten(F.transform(F.flatten(col(geometry)["parts"]), G.steps)).alias("edges"), G.bbox(col(geometry)).alias("b"), f.alias("f")
     )
@@ -112,8 +133,15 @@ def polygon_cells(df: DataFrame, geometry: str, f: Column) -> DataFrame:
     )
     lo = F.ceil((F.get("xs", F.col("k")) - F.col("x0")) / F.col("c") - 0.5)
     hi = F.ceil((F.get("xs", F.col("k") + 1) - F.col("x0")) / F.col("c") - 0.5) - 1
-    cells = spans.select("iy", lo.alias("lo"), hi.alias("hi")).where("lo <= hi").distinct()
-    return cells.select(F.explode(F.sequence("lo", "hi")).alias("ix"), "iy").distinct()
+    return merged_spans(spans.select("iy", lo.alias("lo"), hi.alias("hi")), "iy")
+
+
+def buffered_cells(segs: DataFrame, f: Column) -> DataFrame:
+    return span_cells(buffered_spans(segs, f), "ix", "iy")
+
+
+def polygon_cells(df: DataFrame, geometry: str, f: Column) -> DataFrame:
+    return span_cells(polygon_spans(df, geometry, f), "iy", "ix")
 
 
 def fill_rate_lines(segs: DataFrame) -> DataFrame:
@@ -123,7 +151,7 @@ def fill_rate_lines(segs: DataFrame) -> DataFrame:
         F.max(F.greatest("x1", "x2")).alias("maxx"), F.max(F.greatest("y1", "y2")).alias("maxy"),
     )
     f = frame(box)
-    covered = buffered_cells(segs, f).agg(F.count(F.lit(1)).alias("n_cells"))
+    covered = span_count(buffered_spans(segs, f))
     return covered.select(
         "n_cells",
         F.when(f["side"] < 1e-6, F.lit(100.0)).otherwise(F.round(F.col("n_cells") * f["cell"] * f["cell"] / f["area"] * 100, 4)).alias("fill_rate"),
@@ -208,8 +236,8 @@ def union_area(df: DataFrame, geometry: str, overlaps: bool) -> DataFrame:
     if not overlaps:
         return df.agg(F.coalesce(F.sum(G.area(col(geometry))), F.lit(0.0)).alias("area"))
     f = frame(geometry_box(df, geometry))
-    n = polygon_cells(df, geometry, f).agg(F.count(F.lit(1)).alias("n"))
-    return n.select((F.col("n") * f["cell"] * f["cell"]).alias("area"))
+    n = span_count(polygon_spans(df, geometry, f))
+    return n.select((F.col("n_cells") * f["cell"] * f["cell"]).alias("area"))
 
 
 def fill_rate_polygons(df: DataFrame, geometry: str, overlaps: bool | None = None) -> DataFrame:
@@ -247,9 +275,9 @@ def coverage_hull(reference: DataFrame, geometry: str, hull: DataFrame) -> DataF
 
 def coverage_cells(reference: DataFrame, geometry: str, covered: DataFrame, f: Column) -> DataFrame:
     """Coverage by cells, for lines and polygons: ``covered`` and the territory share the frame ``f``."""
-    territory = polygon_cells(reference, geometry, f)
-    hit = territory.join(covered, ["ix", "iy"], "left_semi").agg(F.count(F.lit(1)).alias("hit"))
-    total = territory.agg(F.count(F.lit(1)).alias("n")).scalar()
+    territory = polygon_spans(reference, geometry, f)
+    hit = span_cells(territory, "iy", "ix").join(covered, ["ix", "iy"], "left_semi").agg(F.count(F.lit(1)).alias("hit"))
+    total = span_count(territory).scalar()
     return hit.select(
         F.round(F.coalesce(F.try_divide(F.col("hit"), total) * 100, F.lit(0.0)), 4).alias("coverage_pct")
     )

@@ -1,14 +1,13 @@
 """Convex hulls of any number of points.
 
-A first aggregate finds the extreme points in sixteen directions; points inside
-the polygon they span cannot be hull vertices and are dropped by a column
-expression. The few others go through partial hulls (one per task, then one
-per hash group), so the last merge sees hull vertices only.
+Each task folds its rows into a hull batch by batch: points inside the polygon
+spanned by the extreme points of sixteen directions are dropped at once, the
+few others go through a monotone chain. The tasks' hulls are merged per hash
+group and then once more, so the last merge sees hull vertices only.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,47 +40,38 @@ def _monotone_chain(points: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
+_ANGLES = 2 * np.pi * np.arange(DIRECTIONS) / DIRECTIONS
+
+
+def _outer_points(pts: np.ndarray) -> np.ndarray:
+    """Points not strictly inside the polygon of the extreme points by direction."""
+    top = pts[np.argmax(pts @ np.vstack([np.cos(_ANGLES), np.sin(_ANGLES)]), axis=0)]
+    top = top[np.r_[True, (np.diff(top, axis=0) != 0).any(axis=1)]]
+    if len(np.unique(top, axis=0)) < 3:
+        return pts
+    inside = np.ones(len(pts), dtype=bool)
+    for (ax, ay), (bx, by) in zip(top, np.roll(top, -1, axis=0)):
+        if ax != bx or ay != by:
+            inside &= (bx - ax) * (pts[:, 1] - ay) - (by - ay) * (pts[:, 0] - ax) > 0
+    return pts[~inside]
+
+
 def _partial_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The hull of all rows of a task, folded batch by batch."""
     hull = np.empty((0, 2))
     for batch in batches:
         pts = batch[["x", "y"]].to_numpy(dtype=float)
-        hull = _monotone_chain(np.vstack([hull, pts]))
+        pts = np.vstack([hull, pts[np.isfinite(pts).all(axis=1)]])
+        if len(pts):
+            hull = _monotone_chain(_outer_points(pts))
     yield pd.DataFrame(hull, columns=["x", "y"])
 
 
-def _extremes(points: DataFrame) -> Column:
-    """Scalar array of the extreme points by direction, counter-clockwise."""
-    angles = [2 * math.pi * k / DIRECTIONS for k in range(DIRECTIONS)]
-    p = F.struct("x", "y")
-    tops = [F.max_by(p, F.col("x") * math.cos(a) + F.col("y") * math.sin(a)) for a in angles]
-    return points.agg(F.array(*tops).alias("tops")).scalar()
-
-
-def _strictly_inside(x: Column, y: Column, tops: Column) -> Column:
-    """Left of every edge of the extreme polygon; empty edges do not count."""
-
-    def left_of(i: int) -> Column:
-        a, b = tops[i], tops[(i + 1) % DIRECTIONS]
-        cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
-        return (cross > 0) | ((a["x"] == b["x"]) & (a["y"] == b["y"]))
-
-    inside = left_of(0)
-    for i in range(1, DIRECTIONS):
-        inside = inside & left_of(i)
-    some_edge = F.size(F.array_distinct(tops)) >= 3
-    return inside & some_edge
-
-
 def hull_vertices(df: DataFrame, x: Column, y: Column) -> DataFrame:
     """Hull vertices ``(x, y)`` of all located rows."""
-    pts = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).where(
-        F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    )
-    tops = pts.select(_extremes(pts).alias("t"), "x", "y")
-    outer = tops.where(~_strictly_inside(F.col("x"), F.col("y"), F.col("t"))).select("x", "y")
     ddl = "x double, y double"
-    per_task = outer.mapInPandas(_partial_hulls, ddl)
+    pts = df.select(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    per_task = pts.mapInPandas(_partial_hulls, ddl)
     per_group = per_task.repartition("x", "y").mapInPandas(_partial_hulls, ddl)
     return per_group.repartition(1).mapInPandas(_partial_hulls, ddl)
 

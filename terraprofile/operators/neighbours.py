@@ -64,8 +64,11 @@ def _at_level(df: DataFrame, fr: dict, level: Column) -> DataFrame:
     )
 
 
-def _leaves(places: DataFrame, fr: dict, capacity: int) -> DataFrame:
-    """Places with their leaf cell; crowded cells are split until they are not."""
+def _leaves(places: DataFrame, fr: dict, capacity: int) -> tuple[DataFrame, int]:
+    """Places with their leaf cell, and the coarsest leaf level.
+
+    Crowded cells are split until they are not.
+    """
     start = max(0, min(MAX_LEVEL, math.ceil(math.log(max(fr["n"], 1) / (capacity / 2), 4)) if fr["n"] > capacity else 0))
     placed = _at_level(places, fr, F.lit(start))
     while True:
@@ -74,7 +77,7 @@ def _leaves(places: DataFrame, fr: dict, capacity: int) -> DataFrame:
         step = F.greatest(F.lit(1), F.ceil(F.log(4.0, F.col("c") / capacity))).cast("int")
         crowded = materialize(crowded.select(*CELL, step.alias("step")), "crowded")
         if crowded.isEmpty():
-            return placed
+            return placed, start
         marked = placed.join(crowded, CELL, "left")
         level = F.least(F.col("lvl") + F.coalesce(F.col("step"), F.lit(0)), F.lit(MAX_LEVEL))
         placed = materialize(_at_level(marked.withColumn("lvl", level), fr, F.col("lvl")).drop("step"), "leaves")
@@ -114,7 +117,8 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     )
     places = materialize(_places(points, k), "places")
     fr = _frame(places)
-    leaf = materialize(_leaves(places, fr, capacity), "leaf")
+    placed, start = _leaves(places, fr, capacity)
+    leaf = materialize(placed, "leaf")
 
     q = leaf.select(F.col("x").alias("px"), F.col("y").alias("py"), *CELL)
     other = leaf.select("x", "y", "ids", *CELL)
@@ -152,13 +156,23 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     span = lambda v, o: F.sequence(
         _cell(F.col(v) - F.col("r"), o, fr["side"], F.col("fit")), _cell(F.col(v) + F.col("r"), o, fr["side"], F.col("fit"))
     )
-    at_fit = F.flatten(F.transform(span("px", fr["x0"]), lambda a: F.transform(span("py", fr["y0"]), lambda b: F.struct(F.col("fit").alias("lvl"), a.alias("cx"), b.alias("cy")))))
+    # a leaf lies under a fitting cell, or is itself a coarser cell around the disc's place
+    at_fit = F.flatten(
+        F.transform(
+            span("px", fr["x0"]),
+            lambda a: F.transform(
+                span("py", fr["y0"]), lambda b: F.struct(F.lit(True).alias("under"), F.col("fit").alias("lvl"), a.alias("cx"), b.alias("cy"))
+            ),
+        )
+    )
+    levels = F.when(F.col("fit") > start, F.sequence(F.lit(start), F.col("fit") - 1)).otherwise(F.array().cast("array<int>"))
     coarser = F.flatten(
         F.transform(
             "cells",
             lambda c: F.transform(
-                F.when(F.col("fit") > 0, F.sequence(F.lit(0), F.col("fit") - 1)).otherwise(F.array().cast("array<int>")),
+                levels,
                 lambda l: F.struct(
+                    F.lit(False).alias("under"),
                     l.alias("lvl"),
                     F.call_function("shiftright", c["cx"], F.col("fit") - l).alias("cx"),
                     F.call_function("shiftright", c["cy"], F.col("fit") - l).alias("cy"),
@@ -166,13 +180,15 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
             ),
         )
     )
-    keyed = base.select("*", at_fit.alias("cells")).select(
-        "px", "py", "r", "own_lvl", "own_cx", "own_cy", "fit", F.explode(F.concat("cells", F.array_distinct(coarser))).alias("c")
-    ).select("px", "py", "r", "own_lvl", "own_cx", "own_cy", "fit", "c.*")
-    # a leaf is found under the fitting cell, or is itself a coarser cell around it
-    found = keyed.join(_ancestors(cells.select(*CELL)), CELL).where(
-        ((F.col("lvl") == F.col("fit")) | (F.col("lvl") == F.col("leaf_lvl")))
-        & ~((F.col("leaf_lvl") == F.col("own_lvl")) & (F.col("leaf_cx") == F.col("own_cx")) & (F.col("leaf_cy") == F.col("own_cy")))
+    own_cell = [F.col(f"own_{c}") for c in CELL]
+    keyed = base.select("px", "py", "r", *own_cell, "fit", at_fit.alias("cells")).select(
+        "px", "py", "r", *own_cell, F.explode(F.concat("cells", F.array_distinct(coarser))).alias("c")
+    ).select("px", "py", "r", *own_cell, "c.*")
+    tree = _ancestors(cells.select(*CELL))
+    itself = tree.where(F.col("lvl") == F.col("leaf_lvl"))
+    index = tree.select(F.lit(True).alias("under"), "*").unionByName(itself.select(F.lit(False).alias("under"), "*"))
+    found = keyed.join(index, ["under", *CELL]).where(
+        ~((F.col("leaf_lvl") == F.col("own_lvl")) & (F.col("leaf_cx") == F.col("own_cx")) & (F.col("leaf_cy") == F.col("own_cy")))
     )
     size = F.lit(fr["side"]) / F.pow(F.lit(2.0), F.col("leaf_lvl"))
     gap = lambda v, c, o: F.greatest(

@@ -22,10 +22,16 @@ def row_column_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"))
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    """A column's value as text; geometry structs as WKT, nested values as JSON."""
+def example(df: DataFrame, name: str) -> Column:
+    """Aggregate: the smallest value as text, so that an example is the same on every run."""
     dtype = df.schema[name].dataType
-    c = col(name)
+    if isinstance(dtype, T.MapType):
+        return F.min(F.to_json(col(name)))
+    return as_text(F.min(col(name)), dtype)
+
+
+def as_text(c: Column, dtype: T.DataType) -> Column:
+    """A value as text; geometry structs as WKT, nested values as JSON."""
     if G.is_geometry(dtype):
         return G.as_wkt(c)
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
@@ -85,7 +91,7 @@ def column_catalog(df: DataFrame, dataset_id: str | None = None) -> DataFrame:
             F.lit(df.schema[n].dataType.simpleString()).alias("type"),
             F.count(col(n)).alias("non_null"),
             F.count(F.lit(1)).alias("n"),
-            F.min(as_text(df, n)).alias("sample"),
+            example(df, n).alias("sample"),
         )
         for i, n in enumerate(df.columns)
     ]
@@ -125,7 +131,7 @@ def profile_grouped(df: DataFrame, dataset: Column, columns: Sequence[str] | Non
             F.lit(df.schema[n].dataType.simpleString()).alias("type"),
             F.count(col(n)).alias("non_null"),
             F.count(F.lit(1)).alias("n"),
-            F.min(as_text(df, n)).alias("sample"),
+            example(df, n).alias("sample"),
         )
         for i, n in enumerate(names)
     ]

@@ -135,7 +135,7 @@ def catalog_sql(view: str, columns: list[tuple[str, str]], dataset: str | None =
     """The column catalog as SQL; ``columns`` are (name, type text)."""
     head = f"'{dataset}' AS dataset_id, " if dataset else ""
     return " UNION ALL ".join(
-        f"""SELECT {head}CAST({i} AS BIGINT) AS position, '{c}' AS "column", '{ty}' AS type, count("{c}") AS non_null, count(*) AS n, min(CAST("{c}" AS VARCHAR)) AS sample FROM {view}"""
+        f"""SELECT {head}CAST({i} AS BIGINT) AS position, '{c}' AS "column", '{ty}' AS type, count("{c}") AS non_null, count(*) AS n, CAST(min("{c}") AS VARCHAR) AS sample FROM {view}"""
         for i, (c, ty) in enumerate(columns)
     )
 
@@ -169,8 +169,8 @@ def _(t: Inputs):
 
 
 @query("profile_grouped", """
-SELECT event_type AS dataset_id, CAST(0 AS BIGINT) AS position, 'longitude' AS "column", 'double' AS type, count(longitude) AS non_null, count(*) AS n, min(CAST(longitude AS VARCHAR)) AS sample FROM geo_points GROUP BY event_type
-UNION ALL SELECT event_type, 1, 'user_id', 'bigint', count(user_id), count(*), min(CAST(user_id AS VARCHAR)) FROM geo_points GROUP BY event_type""", POINTS)
+SELECT event_type AS dataset_id, CAST(0 AS BIGINT) AS position, 'longitude' AS "column", 'double' AS type, count(longitude) AS non_null, count(*) AS n, CAST(min(longitude) AS VARCHAR) AS sample FROM geo_points GROUP BY event_type
+UNION ALL SELECT event_type, 1, 'user_id', 'bigint', count(user_id), count(*), CAST(min(user_id) AS VARCHAR) FROM geo_points GROUP BY event_type""", POINTS)
 def _(t: Inputs):
     return profile.profile_grouped(t.view("geo_points"), F.col("event_type"), ["longitude", "user_id"])
 
