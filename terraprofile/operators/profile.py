@@ -7,6 +7,7 @@ per-column figures are then unpacked from the single result row with ``inline``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,10 +58,19 @@ def null_ratio_per_column(df: DataFrame) -> DataFrame:
     )
 
 
+# a wider aggregate would leave whole-stage code generation
+COLUMNS_PER_SCAN = 30
+
+
 def _unpack(df: DataFrame, structs: Sequence[Column], ddl: str) -> DataFrame:
+    """One row per struct. Wide tables take several aggregates, each reading its own columns."""
     if not structs:
         return df.sparkSession.createDataFrame([], ddl)
-    return df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
+    parts = [
+        df.agg(F.array(*structs[i : i + COLUMNS_PER_SCAN]).alias("r")).select(F.inline("r"))
+        for i in range(0, len(structs), COLUMNS_PER_SCAN)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -144,11 +154,7 @@ def profile_grouped(df: DataFrame, dataset: Column, columns: Sequence[str] | Non
 
 def profile_many(datasets: Mapping[str, DataFrame]) -> DataFrame:
     """Profile datasets of different schemas: the union of their catalogs."""
-    parts = [column_catalog(df, name) for name, df in datasets.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [column_catalog(df, name) for name, df in datasets.items()])
 
 
 def dataset_completeness(catalog: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from terraprofile.functions.tables import ENGLISH
 from terraprofile.operators import report
 from terraprofile.plans.dataset_profile import batch_profile, dataset_profile
 from terraprofile.plans.fixtures import Inputs
+from terraprofile.plans.queries_geometry import polygons
 from terraprofile.plans.queries_metrics import territory
+from terraprofile.plans.queries_sources import collections_of
 from terraprofile.plans.queries_table import POINTS
 from terraprofile.plans.registry import query
 from terraprofile.session import scratch_path
-from terraprofile.sources import files
 
 BATCH = ("batch_results",)
 
@@ -38,14 +39,12 @@ ok AS (SELECT concat(event_type, '.csv') AS file_name, true AS success, CAST(NUL
  round((3 + lon + lat) / 5 * 100, 1) AS mean_pct, 'Présence géométrie séparée (x,y)' AS geotransformation FROM p)
 SELECT * FROM ok UNION ALL SELECT 'missing.csv', false, 'File not found', NULL, NULL, NULL, NULL UNION ALL SELECT 'note.pdf', false, 'Unsupported file extension', NULL, NULL, NULL, NULL
 UNION ALL SELECT 'area.shp', false, 'NotImplementedError', NULL, NULL, NULL, NULL
-UNION ALL SELECT 'nations.geojson', true, NULL, CAST(25 AS BIGINT), CAST(3 AS BIGINT), 100.0::DOUBLE, 'Présence Géométrie' """, POINTS)
+UNION ALL SELECT concat('nation_', n_nationkey, '.geojson'), true, NULL, CAST(1 AS BIGINT), CAST(3 AS BIGINT), 100.0::DOUBLE, 'Présence Géométrie' FROM nation""", POINTS)
 def _(t: Inputs):
     return batch_files(t)
 
 
 def batch_files(t: Inputs):
-    from terraprofile.plans.queries_geometry import polygons
-
     root = scratch_path(t.spark, "batch")
     parts = scratch_path(t.spark, "parts")
     jvm = t.spark.sparkContext._jvm
@@ -61,17 +60,17 @@ def batch_files(t: Inputs):
         fs.rename(status.getPath(), path(f"{root}/{name}"))
         names.append(name)
     shapes = scratch_path(t.spark, "shapes")
-    body = files.feature_text(polygons(t).select("n_nationkey", "n_name", "g"), "g", None).agg(
-        F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value")
-    )
-    body.write.text(shapes)
-    fs.rename(fs.globStatus(path(f"{shapes}/part-*.txt"))[0].getPath(), path(f"{root}/nations.geojson"))
+    collections_of(polygons(t).select("n_nationkey", "n_name", "g"), "n_nationkey", shapes)
+    for status in fs.globStatus(path(f"{shapes}/part=*/*.txt")):
+        name = "nation_" + status.getPath().getParent().getName().split("=")[1] + ".geojson"
+        fs.rename(status.getPath(), path(f"{root}/{name}"))
+        names.append(name)
     for extra in ("note.pdf", "area.shp"):
         out = fs.create(path(f"{root}/{extra}"))
         out.write(0)
         out.close()
     base = fs.makeQualified(path(root)).toString()
-    asked = t.spark.createDataFrame([(f"{base}/{n}",) for n in [*names, "nations.geojson", "note.pdf", "area.shp", "missing.csv"]], "path string")
+    asked = t.spark.createDataFrame([(f"{base}/{n}",) for n in [*names, "note.pdf", "area.shp", "missing.csv"]], "path string")
     done = batch_profile(t.spark, asked, root)
     return done.select(
         "file_name", "success", F.get(F.split("error", ":"), F.lit(0)).alias("error"),

@@ -115,16 +115,18 @@ def _(t: Inputs):
     return back.select("event_id", "event_type", G.as_wkt(F.col("geometry")).alias("wkt"))
 
 
+def collections_of(df, key: str, path: str) -> None:
+    """A folder per row with a file that holds one feature collection."""
+    body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("value"), F.lit("]}"))
+    features = files.feature_text(df, "g", None)
+    number = F.get_json_object("value", f"$.properties.{key}").alias("part")
+    features.select(number, body.alias("value")).repartition("part").write.partitionBy("part").text(path)
+
+
 @query("scan_geojson", "SELECT n_nationkey, n_name, geometry AS wkt FROM geo_polys", POLYS)
 def _(t: Inputs):
-    # one collection per region, as the reader meets them in files
     path = scratch_path(t.spark, "collections")
-    features = files.feature_text(polygons(t).select("n_nationkey", "n_name", "n_regionkey", "g"), "g", None)
-    region = F.get_json_object("value", "$.properties.n_regionkey").alias("region")
-    collected = features.select("value", region).groupBy("region").agg(
-        F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ",\n"), F.lit("]}")).alias("value")
-    )
-    collected.repartition("region").write.partitionBy("region").text(path)
+    collections_of(polygons(t).select("n_nationkey", "n_name", "g"), "n_nationkey", path)
     fields = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())])
     return files.scan_geojson(t.spark, path, fields).select("n_nationkey", "n_name", G.as_wkt(F.col("geometry")).alias("wkt"))
 
