@@ -260,6 +260,17 @@ for _epsg, _digits in ((2154, 3), (3857, 3), (3035, 3), (5070, 3), (2062, 3), (2
     reproject_query(_epsg, _digits)
 
 
+METRIC_CODES = sorted(PROJECTIONS)
+
+
+@query("reproject", " UNION ALL ".join("SELECT {0} AS epsg, event_id, round({1}, 3) AS x, round({2}, 3) AS y FROM geo_points WHERE longitude IS NOT NULL AND latitude IS NOT NULL".format(e, *forward_sql(e, "longitude", "latitude")) for e in METRIC_CODES), POINTS)
+def _(t: Inputs):
+    rows = t.view("geo_points").where("longitude IS NOT NULL AND latitude IS NOT NULL")
+    # all codes from one scan
+    targets = [F.struct(F.lit(e).alias("epsg"), *[c.alias(n) for c, n in zip(crs.transformer(4326, e)(F.col("longitude"), F.col("latitude")), "xy")]) for e in METRIC_CODES]
+    return rows.select("event_id", F.inline(F.array(*targets))).select("epsg", "event_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 def inverse_lcc_sql() -> str:
     p, ell = PROJECTIONS[2154], Ellipsoid.named("GRS80")
     phi1, phi2, phi0 = (math.radians(p[k]) for k in ("lat1", "lat2", "lat0"))

@@ -87,20 +87,28 @@ def _(t: Inputs):
     return s.select(F.round(metrics.fill_rate_bbox(*[F.col(k) for k in "eabcd"]), 4).alias("fill_rate_pct"))
 
 
-@query("fill_rate_points")
-def _(t: Inputs):
-    return metrics.fill_rate_points(metric_points(t), "mx", "my")
-
+def hull_sql(source: str) -> str:
+    """CTEs from points ``x, y`` of ``source`` to hull edges ``e``.
 
-@query("convex_hull_area", """
-WITH p AS (SELECT DISTINCT x, y FROM grid_points),
-ends AS (SELECT x, min(y) AS lo, max(y) AS hi FROM p GROUP BY x),
--- a lower hull vertex lies under every chord between an x on its left and one on its right: slopes decide
+    A point is on the lower hull if it is the lowest at its x and every slope to
+    the left is below every slope to the right; the upper hull is its mirror.
+    """
+    return f"""ends AS (SELECT x, min(y) AS lo, max(y) AS hi FROM {source} GROUP BY x),
 lo AS (SELECT m.x, m.lo AS y, coalesce(max((m.lo - l.lo) / (m.x - l.x)) FILTER (l.x < m.x), -1e300) AS left_slope, coalesce(min((l.lo - m.lo) / (l.x - m.x)) FILTER (l.x > m.x), 1e300) AS right_slope FROM ends m, ends l GROUP BY m.x, m.lo),
 hi AS (SELECT m.x, m.hi AS y, coalesce(min((m.hi - l.hi) / (m.x - l.x)) FILTER (l.x < m.x), 1e300) AS left_slope, coalesce(max((l.hi - m.hi) / (l.x - m.x)) FILTER (l.x > m.x), -1e300) AS right_slope FROM ends m, ends l GROUP BY m.x, m.hi),
 ring AS (SELECT x, y, 0 AS side, x AS o FROM lo WHERE left_slope < right_slope UNION ALL SELECT x, y, 1, -x FROM hi WHERE left_slope > right_slope),
-e AS (SELECT x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM ring WINDOW w AS (ORDER BY side, o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT round(abs(sum(CAST(x * y2 - x2 * y AS DOUBLE))) / 2, 1) AS area FROM e""", GRID)
+e AS (SELECT x - x0 AS x, y - y0 AS y, coalesce(lead(x) OVER w, first(x) OVER w) - x0 AS x2, coalesce(lead(y) OVER w, first(y) OVER w) - y0 AS y2 FROM ring, (SELECT min(x) AS x0, min(y) AS y0 FROM ring) WINDOW w AS (ORDER BY side, o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+area AS (SELECT abs(sum(CAST(x * y2 - x2 * y AS DOUBLE))) / 2 AS area FROM e)
+"""
+
+
+@query("fill_rate_points", f"""WITH {METRIC_POINTS}, p AS (SELECT mx AS x, my AS y FROM f), {hull_sql("p")}
+SELECT (SELECT count(*) FROM p) AS n, round(area / (SELECT (max(x) - min(x)) * (max(y) - min(y)) FROM p) * 100, 4) AS fill_rate FROM area""", POINTS)
+def _(t: Inputs):
+    return metrics.fill_rate_points(metric_points(t), "mx", "my")
+
+
+@query("convex_hull_area", f"WITH {hull_sql('grid_points')} SELECT round(area, 1) AS area FROM area", GRID)
 def _(t: Inputs):
     return hull.convex_hull(t.view("grid_points"), F.col("x"), F.col("y")).select(F.round("area", 1).alias("area"))
 
@@ -140,9 +148,9 @@ def _(t: Inputs):
     return cover.polygon_cells(ref, "g", cover.frame(cover.geometry_box(ref, "g"))).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-@query("convex_hull_extent")
+@query("convex_hull_extent", "WITH " + POLY_VERTICES + ", p AS (SELECT {} AS x, {} AS y FROM v), ".format(*forward_sql(2154, "x", "y")) + hull_sql("p").replace("e AS (SELECT x -", "he AS (SELECT x -").replace("FROM e)", "FROM he)") + "SELECT round(area / 1e6::DOUBLE, 4) AS hull_km2 FROM area", POLYS)
 def _(t: Inputs):
-    return metrics.convex_hull_extent(metric_polygons(t), "g")
+    return metrics.convex_hull_extent(metric_polygons(t), "g").select("hull_km2")
 
 
 @query("coverage_envelope", RECT + """, env AS (SELECT min(longitude) AS a, min(latitude) AS b, max(longitude) AS c, max(latitude) AS d FROM geo_points WHERE longitude BETWEEN -2.0 AND 6.5 AND latitude BETWEEN 42.0 AND 48.5)
