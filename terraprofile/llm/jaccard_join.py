@@ -29,6 +29,7 @@ from terraprofile.llm.graph import components
 from terraprofile.llm.textops import plain_words, shingle_set
 from terraprofile.session import materialize
 
+SMALL_BUCKET = 64
 TILE_BYTES = 4_000_000
 BROADCAST_IDS = 1_000_000
 LAST = 1 << 40  # the frequency that stands for "not counted"
@@ -115,11 +116,34 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _across(posts: DataFrame, sets: DataFrame, orders: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components that share a bucket.
+def _possible(n_a, alone_a, n_b, alone_b, percent: int):
+    """Whether two sets of these sizes, so many of whose tokens no other set has, can be similar."""
+    both = F.least(F.col(n_a) - F.col(alone_a), F.col(n_b) - F.col(alone_b))
+    return 100 * both >= percent * (F.col(n_a) + F.col(n_b) - both)
+
+
+def _share_orders(pairs: DataFrame, orders: DataFrame) -> DataFrame:
+    """Pairs that also share a prefix token under each of the other orders."""
+    first = orders.select(F.col("doc").alias("a"), "p2", "p3")
+    second = orders.select(F.col("doc").alias("b"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
+    return pairs.join(first, "a").join(second, "b").where(F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3")).select("a", "b")
+
+
+def _across_small(posts: DataFrame, sets: DataFrame, orders: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components that share a bucket of at most ``SMALL_BUCKET``."""
+    one = posts.where(F.col("m") <= SMALL_BUCKET).select("token", "doc", "n", "alone", "component")
+    other = one.select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "alone", "component")))
+    met = one.join(other, "token").where((F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & _possible("n", "alone", "n_b", "alone_b", percent))
+    pairs = met.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
+    return _verify(_share_orders(pairs, orders), sets, percent)
+
+
+def _across_large(posts: DataFrame, sets: DataFrame, orders: DataFrame, percent: int) -> DataFrame:
+    """The same for larger buckets, without a row per pair.
 
     A bucket is cut into tiles of bounded size by hash, and each pair of tiles is one group of rows.
     """
+    posts = posts.where(F.col("m") > SMALL_BUCKET).select("token", "doc", "component")
     sized = posts.join(sets.select("doc", F.octet_length("tokens").alias("bytes")), "doc")
     buckets = sized.groupBy("token").agg(
         F.min("component").alias("c1"), F.max("component").alias("c2"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("m"),
@@ -184,7 +208,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     useful = prefixes.where("o1").groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("alone", "doc", "n")).alias("typical")).where("m > 1")
     posts = prefixes.where("o1").join(useful, "token")
-    posts = materialize(posts.select("token", "doc", "n", F.col("typical.doc").alias("typical"), F.col("typical.n").alias("typical_n")), "buckets")
+    posts = materialize(posts.select("token", "doc", "n", "alone", "m", F.col("typical.doc").alias("typical"), F.col("typical.n").alias("typical_n"), F.col("typical.alone").alias("typical_alone")), "buckets")
     candidates = posts.select("doc").distinct()
     orders = prefixes.join(candidates, "doc", "left_semi").groupBy("doc").agg(
         F.collect_set(F.when(F.col("o2"), F.col("token"))).alias("p2"), F.collect_set(F.when(F.col("o3"), F.col("token"))).alias("p3")
@@ -203,19 +227,16 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     sets = materialize(texts.mapInArrow(whole, "doc long, tokens binary").where("octet_length(tokens) > 0"), "whole-sets")
 
-    near = 100 * F.least("n", "typical_n") >= percent * F.greatest("n", "typical_n")
-    pairs = posts.where(F.col("doc") != F.col("typical")).where(near).select(F.col("doc").alias("a"), F.col("typical").alias("b")).distinct()
-    pairs = (
-        pairs.join(orders.select(F.col("doc").alias("a"), "p2", "p3"), "a")
-        .join(orders.select(F.col("doc").alias("b"), F.col("p2").alias("q2"), F.col("p3").alias("q3")), "b")
-        .where(F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3"))
-        .select("a", "b")
-    )
-    links = materialize(_verify(pairs, sets, percent), "typical-links")
+    pairs = posts.where(F.col("doc") != F.col("typical")).where(_possible("n", "alone", "typical_n", "typical_alone", percent))
+    pairs = pairs.select(F.col("doc").alias("a"), F.col("typical").alias("b")).distinct()
+    links = materialize(_verify(_share_orders(pairs, orders), sets, percent), "typical-links")
     groups = materialize(components(links), "components")
 
-    placed = posts.select("token", "doc").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    more = materialize(_across(placed, sets, orders, percent), "other-links")
+    placed = posts.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
+    placed = materialize(placed.join(mixed, "token").select("token", "doc", "n", "alone", "m", "component"), "mixed-buckets")
+    more = _across_small(placed, sets, orders, percent).unionByName(_across_large(placed, sets, orders, percent))
+    more = materialize(more.distinct(), "other-links")
     if not more.isEmpty():
         groups = materialize(components(links.unionByName(more)), "components")
 
