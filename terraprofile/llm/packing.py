@@ -48,17 +48,13 @@ def _statistics(table: DataFrame) -> tuple[int, int, dict[int, int]]:
 
     def count(batches):
         df, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
-        seen = np.zeros(1 << 16, bool)
         for batch in batches:
             for width, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.frombuffer(raw, f"<u{width}")
-                top = int(ids.max()) + 1
-                if top > len(df):
-                    df = np.pad(df, (0, top - len(df)))
-                    seen = np.zeros(top, bool)
-                seen[:] = False
-                seen[ids] = True
-                df += seen
+                own = np.unique(ids)
+                if own[-1] >= len(df):
+                    df = np.pad(df, (0, int(own[-1]) + 1 - len(df)))
+                df[own] += 1
                 docs, tokens = docs + 1, tokens + len(ids)
         terms = np.flatnonzero(df)
         keys, values = [-1, -2, *terms.tolist()], [docs, tokens, *df[terms].tolist()]
