@@ -36,8 +36,8 @@ LAST = 1 << 40  # the frequency that stands for "not counted"
 
 
 def counted_share(percent: int) -> float:
-    """Share of the hash range whose tokens are counted: half as many again as a prefix has."""
-    return min(1.5 * (1 - percent / 100) + 0.05, 0.49)
+    """Share of the hash range whose tokens are counted: a quarter more than a prefix has, and some."""
+    return min(1.25 * (1 - percent / 100) + 0.04, 0.49)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -70,11 +70,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
 def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     """Prefix tokens that can be shared: doc, n, alone (counted tokens no other set has), token, and its orders."""
     bound = int(counted_share(percent) * 2**64)
-    rows = nodes.select("doc", "n", "counted", F.explode("tokens").alias("token"))
+    rows = nodes.select("doc", F.explode("tokens").alias("token"))
     low = (F.col("token") >= 0) & (F.col("token") < bound)
     shared = rows.where(low).select("token").groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     known = rows.where(low).join(shared, "token").unionByName(rows.where(~low).withColumn("df", F.lit(LAST)))
-    per_doc = Window.partitionBy("doc", "n", "counted")
+    known = known.join(nodes.select("doc", "n", "counted"), "doc")
+    per_doc = Window.partitionBy("doc")
     alone = F.col("counted") - F.sum((F.col("df") < LAST).cast("int")).over(per_doc)
     level = F.floor(F.log2("df"))
     # uncounted tokens keep the order of their hash (as unsigned), which decided how many were kept
