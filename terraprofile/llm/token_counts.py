@@ -212,8 +212,8 @@ def n_tokens(prefixes: Column) -> Column:
 
 
 def tokens_of_prefix(prefixes: Column, n_chars: Column) -> Column:
-    """Tokens of the first ``n_chars`` characters."""
-    return F.when(n_chars <= 0, F.lit(0)).otherwise(F.try_element_at(prefixes, F.least(n_chars, F.size(prefixes)).cast("int")))
+    """Tokens of the first ``n_chars`` characters, or of all if there are fewer."""
+    return F.when(n_chars <= 0, F.lit(0)).otherwise(F.coalesce(F.get(prefixes, F.least(n_chars, F.size(prefixes)).cast("int") - 1), F.lit(0)))
 
 
 def longest_prefix(prefixes: Column, limit: int) -> Column:
