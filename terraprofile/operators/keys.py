@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from terraprofile.functions.tables import COUNTRIES, DEFAULT_COUNTRY, KEY_DEFINITIONS
 from terraprofile.operators.clean import col
 
-FORMAT_SAMPLE = 100
 MIN_MATCH_RATE = 0.5
 KEY_COLUMNS = "column string, def_no bigint, label string"
 
@@ -73,13 +72,13 @@ def matches_format(value: Column, fmt: str) -> Column:
 
 
 def key_value_match_rate(
-    df: DataFrame, order_by: list[str] | None = None, country: str | None = DEFAULT_COUNTRY, sample: int | None = FORMAT_SAMPLE
+    df: DataFrame, order_by: list[str] | None = None, country: str | None = DEFAULT_COUNTRY, sample: int | None = None
 ) -> DataFrame:
     """Share of values that fit each candidate definition's format.
 
-    With ``sample`` the first values by ``order_by`` are tested, one ordered
-    limit per column, which keeps only ``sample`` rows per task. With
-    ``sample=None`` all values are, in a single wide aggregate. A definition
+    All values are tested, in a single wide aggregate. With ``sample`` only the
+    first values by ``order_by`` are, one ordered limit per column, which keeps
+    only ``sample`` rows per task. A definition
     without a format has a NULL rate.
     """
     found = _named_definitions(df, country)
@@ -123,7 +122,7 @@ def first_passing(rates: DataFrame) -> DataFrame:
 
 
 def key_detect(
-    df: DataFrame, order_by: list[str] | None = None, country: str | None = DEFAULT_COUNTRY, sample: int | None = FORMAT_SAMPLE
+    df: DataFrame, order_by: list[str] | None = None, country: str | None = DEFAULT_COUNTRY, sample: int | None = None
 ) -> DataFrame:
     """Join keys of a table: (column, def_no, label)."""
     if not definitions(country):

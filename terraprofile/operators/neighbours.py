@@ -24,7 +24,7 @@ NEIGHBOURS = 4
 LEAF_CAPACITY = 32
 MAX_LEVEL = 30
 HOT_VERTEX = 1000
-PERMUTATIONS = 99
+PERMUTATIONS = 999
 SIGNIFICANT = 0.05
 CELL = ["lvl", "cx", "cy"]
 
@@ -112,9 +112,9 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     at the place and the sum of their values.
     """
     z = col(value).cast("double") if value else F.lit(0.0)
-    points = df.select(col(id).alias("id"), col(x).cast("double").alias("x"), col(y).cast("double").alias("y"), z.alias("z")).where(
-        F.col("x").isNotNull() & F.col("y").isNotNull()
-    )
+    # NULL, NaN and infinite coordinates are no places
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    points = df.select(col(id).alias("id"), col(x).cast("double").alias("x"), col(y).cast("double").alias("y"), z.alias("z")).where(finite)
     places = materialize(_places(points, k), "places")
     fr = _frame(places)
     placed, start = _leaves(places, fr, capacity)

@@ -224,7 +224,7 @@ def compute_all_metrics(
     parts = {
         "fill": fill,
         "complexity": metrics.complexity(rows, geometry),
-        "duplicates": metrics.duplicates_sampled(rows, geometry_text(g), key),
+        "duplicates": metrics.duplicates(rows, F.sha2(geometry_text(g), 256)),
         "variation": variation,
     }
     if coverage is not None:

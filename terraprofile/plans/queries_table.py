@@ -202,9 +202,8 @@ VALUES_LONG = " UNION ALL ".join(
 )
 
 
-def rates_sql(sample: bool) -> str:
-    cut = 'QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY k) <= 100' if sample else ""
-    return CANDIDATES + f""", vals AS (SELECT * FROM ({VALUES_LONG}) {cut}),
+def rates_sql() -> str:
+    return CANDIDATES + f""", vals AS (SELECT * FROM ({VALUES_LONG})),
 rates AS (SELECT c."column", c.def_no, c.label, count(v) AS n_tested,
   avg(CASE WHEN v IS NULL THEN NULL WHEN regexp_matches(trim(v), concat('^(?:', value_format, ')')) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS match_rate
   FROM cand c LEFT JOIN vals USING ("column") GROUP BY ALL)
@@ -226,17 +225,17 @@ def _(t: Inputs):
     return keys.skip_all_null(keys.key_name_candidates(profile.column_catalog(t.view("geo_codes"))))
 
 
-@query("key_value_match_rate", rates_sql(True) + RATE, CODES)
+@query("key_value_match_rate", rates_sql() + RATE, CODES)
 def _(t: Inputs):
     return keys.key_value_match_rate(t.view("geo_codes"), ["c_custkey"]).withColumn("match_rate", F.round("match_rate", 6))
 
 
-@query("key_value_match_rate_all", rates_sql(False) + RATE, CODES)
+@query("key_value_match_rate_all", rates_sql() + RATE, CODES)
 def _(t: Inputs):
     return keys.key_value_match_rate(t.view("geo_codes"), sample=None).withColumn("match_rate", F.round("match_rate", 6))
 
 
-@query("key_detect", rates_sql(True) + DETECT, CODES)
+@query("key_detect", rates_sql() + DETECT, CODES)
 def _(t: Inputs):
     return keys.key_detect(t.view("geo_codes"), ["c_custkey"])
 
@@ -258,7 +257,7 @@ def _(t: Inputs):
     return keys.key_detect_by_length(t.view("geo_codes"))
 
 
-@query("key_report", rates_sql(True) + f', d AS ({DETECT}) SELECT label AS "Reference area", "column" AS "Identified key" FROM d', CODES)
+@query("key_report", rates_sql() + f', d AS ({DETECT}) SELECT label AS "Reference area", "column" AS "Identified key" FROM d', CODES)
 def _(t: Inputs):
     return keys.key_report(keys.key_detect(t.view("geo_codes"), ["c_custkey"]))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,29 +29,38 @@ def build_session(app: str = "terraprofile", master: str | None = None) -> Spark
     return builder.getOrCreate()
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own;
+    Only a local-mode session without that setting uses its warehouse instead;
     a cluster without it is an error, as executors do not share local disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _LOCAL_DIRS[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+_TO_DELETE: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/terraprofile/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table below the shared folder; deleted when the driver ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark).rstrip('/')}/terraprofile/{context.applicationId}"
+    if own not in _TO_DELETE:
+        _TO_DELETE.add(own)
+        folder = context._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_delete, folder.getFileSystem(context._jsc.hadoopConfiguration()), folder)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(store, folder) -> None:
+    """Remove a session's written tables, if the JVM is still there."""
+    with contextlib.suppress(Exception):
+        store.delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

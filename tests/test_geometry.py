@@ -122,3 +122,11 @@ def test_line_text_survives(spark, pts):
     text = "LINESTRING (" + ", ".join(f"{x / 8} {y / 8}" for x, y in pts) + ")"
     r = spark.range(1).select(G.vertices(G.from_wkt(F.lit(text))).alias("v")).first()
     assert [(p["x"], p["y"]) for p in r["v"]] == [(x / 8, y / 8) for x, y in pts]
+
+
+def test_wkt_of_any_length(spark):
+    ring = ", ".join(f"{i} {i % 7}" for i in range(50_000))
+    texts = [f"POLYGON (({ring}, 0 0))", "POLYGON ((0 0, 1-2 3, 0 0))", "POINT (1 2)", "POINT (1E 2)", "POINT (E)"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    found = {r.i: r.n for r in rows.select("i", G.vertex_count(G.from_wkt(F.col("t"))).alias("n")).collect()}
+    assert found[0] >= 50_000 and found[1] is None and found[2] == 1 and found[3] is None and found[4] is None

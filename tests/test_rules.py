@@ -66,11 +66,11 @@ def test_repair_measures_digits_not_text(spark):
     assert clean.repair_code_columns(spark.createDataFrame([(1, "a")], "n int, dep string")).first() == (1, "a")
 
 
-def test_format_sample_is_ordered(spark):
+def test_all_values_decide_unless_a_sample_is_asked_for(spark):
     # the first hundred by key fit, the rest do not
     df = spark.range(1000).select("id", F.when(F.col("id") < 100, F.lpad(F.col("id").cast("string"), 5, "0")).otherwise(F.lit("x")).alias("insee"))
-    assert keys.key_detect(df.repartition(7), ["id"]).first()["label"] == "Code INSEE commune"
-    assert keys.key_detect(df, ["id"], sample=None).count() == 0
+    assert keys.key_detect(df.repartition(7), ["id"], sample=100).first()["label"] == "Code INSEE commune"
+    assert keys.key_detect(df, ["id"]).count() == 0
 
 
 def test_first_definition_labels_the_column(spark):
