@@ -65,10 +65,9 @@ class FakeSession:
         return self.folder or default
 
 
-def test_shared_folder_comes_from_the_session():
+def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(FakeSession("hdfs://host/shared", "yarn")) == "hdfs://host/shared"
-    assert scratch_path(FakeSession("hdfs://host/shared/", "yarn"), "a").startswith("hdfs://host/shared/terraprofile/a-")
-    local = FakeSession(None, "local[8]")
-    assert shared_dir(local) == shared_dir(local) and shared_dir(local).startswith("/tmp/run-")
+    first, second = scratch_path(spark, "a"), scratch_path(spark, "a")
+    assert first != second and first.startswith(f"{shared_dir(spark).rstrip('/')}/terraprofile/")
     with pytest.raises(ValueError):
         shared_dir(FakeSession(None, "yarn"))
