@@ -72,6 +72,11 @@ def point(x: Column, y: Column) -> Column:
     return F.when(both, _geometry(F.lit("POINT"), F.array(F.array(F.array(xy(x, y))))))
 
 
+def polygon(ring: Column) -> Column:
+    """A polygon without holes from a closed vertex list."""
+    return F.when(ring.isNotNull(), _geometry(F.lit("POLYGON"), F.array(F.array(ring))))
+
+
 def line(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     present = x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()
     return F.when(present, _geometry(F.lit("LINESTRING"), F.array(F.array(F.array(xy(x1, y1), xy(x2, y2))))))

@@ -112,14 +112,22 @@ def buffered_spans(segs: DataFrame, f: Column) -> DataFrame:
     return merged_spans(spans, "ix")
 
 
-def polygon_spans(df: DataFrame, geometry: str, f: Column) -> DataFrame:
-    """Cells whose centre lies in some polygon, as ``(iy, lo, hi)``, by scan lines."""
+def polygon_spans(df: DataFrame, geometry: str, f: Column, clip: bool = False) -> DataFrame:
+    """Cells whose centre lies in some polygon, as ``(iy, lo, hi)``, by scan lines.
+
+    ``clip`` leaves out cells beyond the frame's box and its buffer.
+    """
     g = df.where(col(geometry)["kind"].isin("POLYGON", "MULTIPOLYGON")).select(
         F.flatten(F.transform(F.flatten(col(geometry)["parts"]), G.steps)).alias("edges"), G.bbox(col(geometry)).alias("b"), f.alias("f")
     )
     c, x0, y0 = F.col("f.cell"), F.col("f.minx"), F.col("f.miny")
     first, last = F.ceil((F.col("b.miny") - y0) / c - 0.5), F.floor((F.col("b.maxy") - y0) / c - 0.5)
-    rows = g.where((c > 0) & (first <= last)).select("edges", c.alias("c"), x0.alias("x0"), y0.alias("y0"), F.explode(F.sequence(first, last)).alias("iy"))
+    if clip:
+        # a buffer is two cells wide
+        first = F.greatest(first, F.lit(-CELLS_PER_BUFFER - 1))
+        last = F.least(last, F.ceil((F.col("f.maxy") - y0) / c) + CELLS_PER_BUFFER)
+    width = F.ceil((F.col("f.maxx") - x0) / c) + CELLS_PER_BUFFER
+    rows = g.where((c > 0) & (first <= last)).select("edges", width.alias("width"), c.alias("c"), x0.alias("x0"), y0.alias("y0"), F.explode(F.sequence(first, last)).alias("iy"))
     yc = F.col("y0") + (F.col("iy") + 0.5) * F.col("c")
     crossed = F.filter("edges", lambda e: (e["a"]["y"] <= yc) != (e["b"]["y"] <= yc))
     xs = F.sort_array(
@@ -128,11 +136,13 @@ def polygon_spans(df: DataFrame, geometry: str, f: Column) -> DataFrame:
             lambda e: e["a"]["x"] + (yc - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"]),
         )
     )
-    spans = rows.select("iy", "c", "x0", xs.alias("xs")).where(F.size("xs") >= 2).select(
-        "iy", "c", "x0", "xs", F.explode(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2))).alias("k")
+    spans = rows.select("iy", "c", "x0", "width", xs.alias("xs")).where(F.size("xs") >= 2).select(
+        "iy", "c", "x0", "width", "xs", F.explode(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2))).alias("k")
     )
     lo = F.ceil((F.get("xs", F.col("k")) - F.col("x0")) / F.col("c") - 0.5)
     hi = F.ceil((F.get("xs", F.col("k") + 1) - F.col("x0")) / F.col("c") - 0.5) - 1
+    if clip:
+        lo, hi = F.greatest(lo, F.lit(-CELLS_PER_BUFFER - 1)), F.least(hi, F.col("width"))
     return merged_spans(spans.select("iy", lo.alias("lo"), hi.alias("hi")), "iy")
 
 
@@ -250,34 +260,61 @@ def fill_rate_polygons(df: DataFrame, geometry: str, overlaps: bool | None = Non
     )
 
 
-def coverage_of(reference: DataFrame, geometry: str, edges: Column) -> DataFrame:
-    """Share of a non-overlapping territory inside a convex shape, in percent.
+def coverage_of(reference: DataFrame, geometry: str, edges: Column, shape: DataFrame, overlaps: bool | None = None) -> DataFrame:
+    """Share of a territory inside a convex shape, in percent.
 
     ``edges`` is a scalar, so the territory is read in place and never broadcast.
+    ``shape`` holds the same polygon as its one geometry ``s``. Where polygons of
+    the territory overlap (looked up if ``overlaps`` is not given), areas can't be
+    added up, and cells that any of them covers are counted instead.
     """
-    g = col(geometry)
-    rows = reference.where(g.isNotNull()).select(g.alias("g"), edges.alias("edges"))
-    return rows.select(G.area(F.col("g")).alias("a"), G.clipped_area(F.col("g"), F.col("edges")).alias("c")).agg(
-        F.round(F.coalesce(F.try_divide(F.sum("c"), F.sum("a")) * 100, F.lit(0.0)), 4).alias("coverage_pct")
-    )
+    if overlaps is None:
+        overlaps = bool(reference_overlap_check(reference, geometry).first()["overlaps"])
+    if overlaps:
+        f = frame(geometry_box(reference, geometry))
+        inside = polygon_spans(shape, "s", f, clip=True).select("iy", F.col("lo").alias("from"), F.col("hi").alias("to"))
+        territory = polygon_spans(reference, geometry, f)
+        # a convex shape has one interval per line
+        shared = F.greatest(F.lit(0), F.least("hi", "to") - F.greatest("lo", "from") + 1)
+        sums = territory.join(inside, "iy", "left").agg(
+            F.coalesce(F.sum(shared), F.lit(0)).alias("c"), F.sum(F.col("hi") - F.col("lo") + 1).alias("a")
+        )
+    else:
+        rows = reference.where(col(geometry).isNotNull()).select(col(geometry).alias("g"), edges.alias("edges"))
+        sums = rows.select(G.area(F.col("g")).alias("a"), G.clipped_area(F.col("g"), F.col("edges")).alias("c")).agg(
+            F.sum("c").alias("c"), F.sum("a").alias("a")
+        )
+    return sums.select(F.round(F.coalesce(F.try_divide("c", "a") * 100, F.lit(0.0)), 4).alias("coverage_pct"))
 
 
-def coverage_envelope(reference: DataFrame, geometry: str, box: DataFrame) -> DataFrame:
+def coverage_envelope(reference: DataFrame, geometry: str, box: DataFrame, overlaps: bool | None = None) -> DataFrame:
     """Coverage by the envelope of the data; ``box`` has one row."""
-    edges = box.select(G.rectangle_edges(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("e")).scalar()
-    return coverage_of(reference, geometry, edges)
+    a, b, c, d = (F.col(n) for n in ("minx", "miny", "maxx", "maxy"))
+    edges = box.select(G.rectangle_edges(a, b, c, d).alias("e")).scalar()
+    corners = F.array(G.xy(a, b), G.xy(c, b), G.xy(c, d), G.xy(a, d), G.xy(a, b))
+    return coverage_of(reference, geometry, edges, box.select(G.polygon(corners).alias("s")), overlaps)
 
 
-def coverage_hull(reference: DataFrame, geometry: str, hull: DataFrame) -> DataFrame:
+def coverage_hull(reference: DataFrame, geometry: str, hull: DataFrame, overlaps: bool | None = None) -> DataFrame:
     """Coverage by the data's convex hull."""
-    return coverage_of(reference, geometry, hull.select(ring_edges(F.col("ring")).alias("e")).scalar())
+    ring = F.col("ring")
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+    edges = hull.select(ring_edges(ring).alias("e")).scalar()
+    return coverage_of(reference, geometry, edges, hull.select(G.polygon(closed).alias("s")), overlaps)
+
 
+def coverage_cells(reference: DataFrame, geometry: str, covered: DataFrame, f: Column, overlaps: bool | None = None) -> DataFrame:
+    """Coverage by the cells ``covered`` of the frame ``f``, for lines and polygons.
 
-def coverage_cells(reference: DataFrame, geometry: str, covered: DataFrame, f: Column) -> DataFrame:
-    """Coverage by cells, for lines and polygons: ``covered`` and the territory share the frame ``f``."""
-    territory = polygon_spans(reference, geometry, f)
-    hit = span_cells(territory, "iy", "ix").join(covered, ["ix", "iy"], "left_semi").agg(F.count(F.lit(1)).alias("hit"))
-    total = span_count(territory).scalar()
+    The territory is cut to the frame before its cells are listed, so their number
+    is bounded by the frame's however much larger the territory is; its whole area
+    comes from its polygons.
+    """
+    if overlaps is None:
+        overlaps = bool(reference_overlap_check(reference, geometry).first()["overlaps"])
+    territory = polygon_spans(reference, geometry, f, clip=True)
+    hit = span_cells(territory, "iy", "ix").join(covered, ["ix", "iy"], "left_semi").agg((F.count(F.lit(1)) * F.max(f["cell"] * f["cell"])).alias("hit"))
+    total = union_area(reference, geometry, overlaps).scalar()
     return hit.select(
         F.round(F.coalesce(F.try_divide(F.col("hit"), total) * 100, F.lit(0.0)), 4).alias("coverage_pct")
     )

@@ -24,11 +24,15 @@ from terraprofile.sources import files
 
 @dataclass(frozen=True)
 class Territory:
-    """Reference polygons for coverage: a geometry column and its code."""
+    """Reference polygons for coverage: a geometry column and its code.
+
+    ``overlaps`` says whether polygons share area; it is looked up where unknown.
+    """
 
     df: DataFrame
     geometry: str
     epsg: int
+    overlaps: bool | None = None
 
     def moved(self, epsg: int) -> DataFrame:
         return locate.reproject_geometry(self.df.select(col(self.geometry).alias("ref")), "ref", self.epsg, epsg)
@@ -69,6 +73,8 @@ def one_row(spark: SparkSession, **rows: DataFrame) -> DataFrame:
 def _metric_row(stats: DataFrame, kind: Column, epsg: int | None, rules: Rules, coverage: DataFrame | None) -> DataFrame:
     """Name and derive the report figures; a table without rows gives NULLs."""
     d = rules.digits
+    # tables of coordinates count located rows only; text shapes count all rows
+    total = F.col("n_rows") if "n_rows" in stats.columns else F.col("n")
     some = F.col("n") > 0
     extent = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")) / 1e6
     fill = metrics.fill_rate_bbox(extent, F.col("cminx"), F.col("cminy"), F.col("cmaxx"), F.col("cmaxy"))
@@ -78,8 +84,8 @@ def _metric_row(stats: DataFrame, kind: Column, epsg: int | None, rules: Rules,
         F.col("n").alias("n_objects"),
         F.when(some, F.lit(f"EPSG:{epsg}" if epsg else "Unknown")).alias("crs"),
         F.when(some, kind).alias("geometry_types"),
-        F.round(pct(F.col("n")), 1).alias("present_pct"),
-        F.round(pct(F.col("n_valid")), 1).alias("valid_pct"),
+        F.when(some, F.round(F.col("n") * 100.0 / total, 1)).alias("present_pct"),
+        F.when(some, F.round(F.col("n_valid") * 100.0 / total, 1)).alias("valid_pct"),
         F.when(some, F.round(extent, d)).alias("extent_km2"),
         F.when(some, F.round(metrics.density(F.col("n"), extent), d)).alias("density"),
         F.when(some, F.round(fill, d)).alias("fill_rate_pct"),
@@ -92,7 +98,7 @@ def _metric_row(stats: DataFrame, kind: Column, epsg: int | None, rules: Rules,
 def _coverage(territory: Territory | None, stats: DataFrame, epsg: int | None) -> DataFrame | None:
     if territory is None or epsg is None:
         return None
-    return cover.coverage_envelope(territory.moved(epsg), "ref", stats)
+    return cover.coverage_envelope(territory.moved(epsg), "ref", stats, territory.overlaps)
 
 
 def profile_points(
@@ -149,7 +155,12 @@ def profile_lines(
 def profile_geometry(
     df: DataFrame, geometry: str, rules: Rules = Rules(), territory: Territory | None = None, epsg: int | None = None
 ) -> DataFrame:
-    """Metric row of a table with a geometry column."""
+    """Metric row of a table with a geometry column.
+
+    Presence and validity are shares of all rows but those whose shape the bounds
+    leave out: rows with no or an unreadable shape count as absent.
+    """
+    absent = df.where(~F.coalesce(G.present(col(geometry)), F.lit(False))).agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = df.select(col(geometry).alias("g")).where(G.present(F.col("g")))
     if epsg is None:
         epsg = locate.guess_crs_geometry(rows, "g").first()["epsg"]
@@ -167,9 +178,12 @@ def profile_geometry(
         F.min("b.minx").alias("minx"), F.min("b.miny").alias("miny"), F.max("b.maxx").alias("maxx"), F.max("b.maxy").alias("maxy"),
         F.min("c.x").alias("cminx"), F.min("c.y").alias("cminy"), F.max("c.x").alias("cmaxx"), F.max("c.y").alias("cmaxy"),
         F.avg(F.when(F.col("kind") != "POINT", F.col("v"))).alias("complexity"),
-        # at most six kinds exist
-        F.array_sort(F.collect_set(G.kind_label(F.col("kind")))).alias("kinds"),
+        *[F.count_if(F.col("kind") == k).alias(f"is_{k}") for k in G.GEOJSON_KIND],
     )
+    # the most frequent kind first, ties by name
+    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"is_{k}")).alias("n"), F.lit(label).alias("label")) for k, label in G.GEOJSON_KIND.items()]))
+    kinds = F.transform(F.filter(ranked, lambda r: r["n"] < 0), lambda r: r["label"])
+    stats = stats.select("*", (F.col("n") + absent).alias("n_rows"), kinds.alias("kinds"))
     return _metric_row(stats, F.array_join("kinds", ", "), epsg, rules, _coverage(territory, stats, metric))
 
 
@@ -191,15 +205,21 @@ def compute_all_metrics(
 ) -> DataFrame:
     """Fill rate, complexity, duplicates, grid variation, coverage and Moran's I, as structs.
 
-    ``df`` is in metric coordinates of ``epsg``. The first kind found decides
-    the method unless ``kind`` names it.
+    ``df`` is in metric coordinates of ``epsg``. The most frequent family of
+    kinds (points, lines, polygons; ties in this order) decides the method unless
+    ``kind`` names it; ``kinds.other`` counts the rows of other families, which
+    only complexity and duplicates take in.
     """
     spark = df.sparkSession
     g = col(geometry)
-    rows = df.where(G.present(g))
+    every = df.where(G.present(g))
+    family = lambda k: F.regexp_replace(k, "^MULTI", "")
+    families = ("POINT", "LINESTRING", "POLYGON")
     if kind is None:
-        first = rows.select(g["kind"].alias("k")).first()
-        kind = first["k"] if first else "POINT"
+        counts = every.agg(*[F.count_if(family(g["kind"]) == k).alias(k) for k in families]).first()
+        kind = max(families, key=lambda k: counts[k])
+    kind = kind.removeprefix("MULTI")
+    rows = every.where(family(g["kind"]) == kind)
     ref = territory.moved(epsg) if territory else None
     coverage = None
     if kind == "POINT":
@@ -208,24 +228,25 @@ def compute_all_metrics(
         fill = metrics.fill_rate_points(pts, "_x", "_y", hull=ring)
         variation = metrics.grid_variation_points(pts, "_x", "_y", grid_size)
         moran = neighbours.moran_knn(pts, key, "_x", "_y", value) if value else None
-        coverage = cover.coverage_hull(ref, "ref", ring) if ref is not None else None
+        coverage = cover.coverage_hull(ref, "ref", ring, territory.overlaps) if ref is not None else None
     else:
         f = cover.frame(cover.geometry_box(rows, geometry))
         variation = metrics.grid_variation_geometry(rows, geometry, grid_size)
         moran = neighbours.moran_queen(rows, geometry, value) if value else None
-        if kind in ("LINESTRING", "MULTILINESTRING"):
+        if kind == "LINESTRING":
             segs = cover.segments(rows, geometry)
             fill = cover.fill_rate_lines(segs).select("fill_rate")
             covered = cover.buffered_cells(segs, f)
         else:
             fill = cover.fill_rate_polygons(rows, geometry)
             covered = cover.polygon_cells(rows, geometry, f)
-        coverage = cover.coverage_cells(ref, "ref", covered, f) if ref is not None else None
+        coverage = cover.coverage_cells(ref, "ref", covered, f, territory.overlaps) if ref is not None else None
     parts = {
         "fill": fill,
-        "complexity": metrics.complexity(rows, geometry),
-        "duplicates": metrics.duplicates(rows, F.sha2(geometry_text(g), 256)),
+        "complexity": metrics.complexity(every, geometry),
+        "duplicates": metrics.duplicates(every, F.sha2(geometry_text(g), 256)),
         "variation": variation,
+        "kinds": every.agg(F.count_if(family(g["kind"]) != kind).alias("other")),
     }
     if coverage is not None:
         parts["coverage"] = coverage

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terraprofile.functions import geometry as G
 from terraprofile.operators import cover, hull, locate, metrics, neighbours
+from terraprofile.plans.dataset_profile import Rules, compute_all_metrics, profile_geometry
 
 
 def frame(spark, **columns):
@@ -186,3 +187,54 @@ def test_dense_index_is_a_numbering(spark):
     df = spark.range(1000).select((F.col("id") * 7).alias("id"))
     idx = [r["idx"] for r in neighbours.dense_index(df, "id").select("idx").collect()]
     assert sorted(idx) == list(range(1000))
+
+
+def shapes(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "w string").select(G.from_wkt(F.col("w")).alias("g"))
+
+
+def box_wkt(a, b, c, d):
+    return f"POLYGON(({a} {b}, {c} {b}, {c} {d}, {a} {d}, {a} {b}))"
+
+
+def test_coverage_counts_overlapping_territory_once(spark):
+    twice = shapes(spark, box_wkt(0, 0, 1, 1), box_wkt(0, 0, 1, 1), box_wkt(2, 0, 3, 1))
+    box = spark.createDataFrame([(2.0, 0.0, 3.0, 1.0)], "minx double, miny double, maxx double, maxy double")
+    assert abs(cover.coverage_envelope(twice, "g", box).first()[0] - 50) < 0.5
+    ring = spark.createDataFrame([([(2.0, 0.0), (3.0, 0.0), (3.0, 1.0), (2.0, 1.0)],)], "ring array<struct<x: double, y: double>>")
+    assert abs(cover.coverage_hull(twice, "g", ring).first()[0] - 50) < 0.5
+    apart = shapes(spark, box_wkt(0, 0, 1, 1), box_wkt(2, 0, 3, 1))
+    assert cover.coverage_envelope(apart, "g", box).first()[0] == 50
+
+
+def test_cell_coverage_of_a_far_larger_territory(spark):
+    territory = shapes(spark, box_wkt(-500, -500, 500, 500))
+    data = shapes(spark, box_wkt(0, 0, 20, 10))
+    f = cover.frame(cover.geometry_box(data, "g"))
+    assert cover.polygon_spans(territory, "g", f, clip=True).count() < 2000
+    pct = cover.coverage_cells(territory, "g", cover.polygon_cells(data, "g", f), f).first()[0]
+    assert abs(pct - 0.02) < 0.001
+
+
+def test_cell_coverage_of_overlapping_territory(spark):
+    territory = shapes(spark, box_wkt(0, 0, 10, 10), box_wkt(0, 0, 10, 10), box_wkt(10, 0, 20, 10))
+    data = shapes(spark, box_wkt(0, 0, 10, 10))
+    f = cover.frame(cover.geometry_box(data, "g"))
+    assert abs(cover.coverage_cells(territory, "g", cover.polygon_cells(data, "g", f), f).first()[0] - 50) < 0.5
+
+
+def test_presence_counts_rows_without_a_readable_shape(spark):
+    df = shapes(spark, box_wkt(0, 45, 1, 46), "LINESTRING(0 45, 1 46)", "POLYGON((broken", None)
+    row = profile_geometry(df, "g", Rules(), epsg=4326).first()
+    assert (row.n_objects, row.present_pct, row.valid_pct) == (2, 50.0, 50.0)
+    more = shapes(spark, "POINT(1 45)", "POINT(1 46)", "LINESTRING(0 45, 1 46)")
+    assert profile_geometry(more, "g", Rules(), epsg=4326).first().geometry_types == "Point, LineString"
+
+
+def test_most_frequent_kind_decides_whatever_the_row_order(spark):
+    texts = ["LINESTRING(0 0, 9 9)", "POINT(0 0)", "POINT(5 1)", "POINT(2 7)"]
+    rows = []
+    for order in (texts, texts[::-1]):
+        df = shapes(spark, *order).withColumn("k", F.monotonically_increasing_id())
+        rows.append(compute_all_metrics(df, "k", "g").first())
+    assert rows[0].fill == rows[1].fill and rows[0].kinds.other == rows[1].kinds.other == 1
