@@ -342,6 +342,16 @@ def _(t: Inputs):
     return profile_geometry(polygons(t), "g")
 
 
+# a tenth of the texts can't be read; all lines lie inside the bounds
+@query("profile_geometry_text", """
+WITH s AS (SELECT s_suppkey % 10 <> 9 AS ok, shape FROM geo_json)
+SELECT count(*) FILTER (ok) AS n_objects, 'LineString' AS geometry_types, round(100.0::DOUBLE * count(*) FILTER (ok) / count(*), 1) AS present_pct, round(100.0::DOUBLE * count(*) FILTER (ok) / count(*), 1) AS valid_pct, 3.0::DOUBLE AS complexity,
+round((count(*) FILTER (ok) - count(DISTINCT shape) FILTER (ok)) * 100.0::DOUBLE / count(*) FILTER (ok), 2) AS duplicate_pct FROM s""", ("geo_json",))
+def _(t: Inputs):
+    shapes = locate.add_geometry(t.view("geo_json"), "from_wkt", ["shape"], "g")
+    return profile_geometry(shapes, "g").select("n_objects", "geometry_types", "present_pct", "valid_pct", "complexity", "duplicate_pct")
+
+
 @query("default_geo_profile", """
 SELECT count(*) AS n_objects, CAST(NULL AS VARCHAR) AS crs, CAST(NULL AS VARCHAR) AS geometry_types, CAST(NULL AS DOUBLE) AS present_pct, CAST(NULL AS DOUBLE) AS valid_pct, CAST(NULL AS DOUBLE) AS extent_km2, CAST(NULL AS DOUBLE) AS density,
 CAST(NULL AS DOUBLE) AS fill_rate_pct, CAST(NULL AS DOUBLE) AS complexity, CAST(NULL AS DOUBLE) AS duplicate_pct, CAST(NULL AS DOUBLE) AS coverage_pct FROM grid_points WHERE x BETWEEN -5.5 AND 10 AND y BETWEEN 41 AND 51.5""", GRID)
