@@ -34,7 +34,10 @@ class Territory:
     epsg: int
     overlaps: bool | None = None
 
-    def moved(self, epsg: int) -> DataFrame:
+    def moved(self, epsg: int | None) -> DataFrame:
+        """The territory in ``epsg``; as it is where that is unknown."""
+        if epsg is None:
+            return self.df.select(col(self.geometry).alias("ref"))
         return locate.reproject_geometry(self.df.select(col(self.geometry).alias("ref")), "ref", self.epsg, epsg)
 
 
@@ -96,7 +99,7 @@ def _metric_row(stats: DataFrame, kind: Column, epsg: int | None, rules: Rules,
 
 
 def _coverage(territory: Territory | None, stats: DataFrame, epsg: int | None) -> DataFrame | None:
-    if territory is None or epsg is None:
+    if territory is None:
         return None
     return cover.coverage_envelope(territory.moved(epsg), "ref", stats, territory.overlaps)
 

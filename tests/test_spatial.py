@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terraprofile.functions import geometry as G
 from terraprofile.operators import cover, hull, locate, metrics, neighbours
-from terraprofile.plans.dataset_profile import Rules, compute_all_metrics, profile_geometry
+from terraprofile.plans.dataset_profile import Rules, Territory, compute_all_metrics, profile_geometry, profile_points
 
 
 def frame(spark, **columns):
@@ -238,3 +238,9 @@ def test_most_frequent_kind_decides_whatever_the_row_order(spark):
         df = shapes(spark, *order).withColumn("k", F.monotonically_increasing_id())
         rows.append(compute_all_metrics(df, "k", "g").first())
     assert rows[0].fill == rows[1].fill and rows[0].kinds.other == rows[1].kinds.other == 1
+
+
+def test_unknown_crs_is_compared_as_it_is(spark):
+    territory = Territory(shapes(spark, box_wkt(9e8, 9e8, 9e8 + 4, 9e8 + 4)), "g", 4326, overlaps=False)
+    row = profile_points(frame(spark, x=[9e8, 9e8 + 2], y=[9e8, 9e8 + 4]), "x", "y", territory=territory).first()
+    assert row.crs == "Unknown" and row.coverage_pct == 50
