@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terraprofile.llm.graph import components
-from terraprofile.llm.textops import plain_words, shingle_set
+from terraprofile.llm.textops import plain_words, shingle_set, slices
 from terraprofile.session import materialize
 
 SMALL_BUCKET = 64
@@ -45,10 +45,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     bound = np.uint64(int(counted_share(percent) * 2**64))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, counted, tokens = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(plain_words(text), k)
+            for text in batch.column(1):
+                found = shingle_set(plain_words(text.as_py()), k)
                 n = len(found)
                 s = int(np.searchsorted(found, bound))
                 prefix = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -222,8 +222,8 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t")).join(chosen, "doc", "left_semi")
 
     def whole(batches):
-        for batch in batches:
-            found = [shingle_set(plain_words(t), k).tobytes() for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            found = [shingle_set(plain_words(t.as_py()), k).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "tokens"])
 
     sets = materialize(texts.mapInArrow(whole, "doc long, tokens binary").where("octet_length(tokens) > 0"), "whole-sets")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+SLICE_ROWS = 256
+
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 # every byte that no word of letters and digits holds becomes a space, A-Z become a-z
 _ALNUM = bytes(
@@ -22,6 +27,13 @@ def alnum_words(text: bytes | None) -> list[bytes]:
     return text.translate(_ALNUM).split() if text else []
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds the results of few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(31))
