@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,8 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login widget toolbar pagination pager search complementary contentinfo".split()
 )
 ASIDE_PARTS = ("sidebar", "comment", "advert", "cookie", "newsletter")
-MATCH_CELLS = 250_000
+# tables up to this size are held whole, wider ones by parts; weights of containers are held up to the second
+MATCH_CELLS, WEIGHT_CELLS = 250_000, 4_000_000
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
 BROADCAST_BYTES = 32_000_000
 
@@ -168,6 +171,24 @@ def compact(node: Node) -> list:
     return [node.kind, 0, children]
 
 
+def _equal_ends(x: list, y: list) -> tuple[int, int]:
+    """How many nodes at the head and at the tail say the same throughout; pairing them is always best."""
+    n, head, tail = min(len(x), len(y)), 0, 0
+    while head < n and x[head] == y[head]:
+        head += 1
+    while tail < n - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    return head, tail
+
+
+def _whole(a: list) -> tuple[int, list]:
+    """What :func:`match` gives for a tree and its equal."""
+    if not a[2]:
+        return 1 + (a[1] != 0), []
+    found = [_whole(c) for c in a[2]]
+    return 1 + sum(n for n, _ in found), [(i, i, pairs) for i, (_, pairs) in enumerate(found)]
+
+
 def match(a: list, b: list) -> tuple[int, list]:
     """Simple tree matching of two trees: its size, and what pairs children of ``a`` and ``b``.
 
@@ -178,20 +199,16 @@ def match(a: list, b: list) -> tuple[int, list]:
     x, y = a[2], b[2]
     if not x or not y:
         return 1 + (a[1] == b[1] and a[1] != 0), []
-    head = 0
-    while head < len(x) and head < len(y) and x[head][0] == y[head][0] and not x[head][2] and not y[head][2] and x[head][1] == y[head][1]:
-        head += 1
-    size, pairs = 1 + 2 * head, [(i, i, []) for i in range(head)]
-    x, y = x[head:], y[head:]
-    if len(x) * len(y) > MATCH_CELLS:  # very wide nodes: in order, without the table
-        at = 0
-        for i, c in enumerate(x):
-            if at < len(y) and c[0] == y[at][0]:
-                n, inner = match(c, y[at])
-                size += n
-                pairs.append((head + i, head + at, inner))
-                at += 1
-        return size, pairs
+    head, tail = _equal_ends(x, y)
+    ends = [(i, i, *_whole(x[i])) for i in range(head)] + [(len(x) - k, len(y) - k, *_whole(x[-k])) for k in range(tail, 0, -1)]
+    size, pairs = 1 + sum(e[2] for e in ends), [(i, j, inner) for i, j, _, inner in ends]
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    n, found = (_align_wide if len(x) * len(y) > MATCH_CELLS else _align)(x, y)
+    return size + n, pairs[:head] + [(head + i, head + j, inner) for i, j, inner in found] + pairs[head:]
+
+
+def _align(x: list, y: list) -> tuple[int, list]:
+    """The heaviest pairing in order of two lists of nodes, by the whole table."""
     inner = [[match(c, d) if c[0] == d[0] else (0, []) for d in y] for c in x]
     best = [[0] * (len(y) + 1)]
     for i in range(len(x)):
@@ -203,12 +220,69 @@ def match(a: list, b: list) -> tuple[int, list]:
     while i and j:
         if inner[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + inner[i - 1][j - 1][0]:
             i, j = i - 1, j - 1
-            found.append((head + i, head + j, inner[i][j][1]))
+            found.append((i, j, inner[i][j][1]))
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return size + best[len(x)][len(y)], pairs + found[::-1]
+    return best[len(x)][len(y)], found[::-1]
+
+
+def _align_wide(x: list, y: list) -> tuple[int, list]:
+    """The same pairing as :func:`_align` gives; of the table, every k-th row and k rows are held at a time, k being the root of the rows."""
+    codes: dict[str, int] = {}
+    kinds, keys = (np.array(v, np.int64) for v in ([codes.setdefault(d[0], len(codes)) for d in y], [d[1] for d in y]))
+    inside: dict[int, np.ndarray] = {}
+    for j, d in enumerate(y):
+        if d[2]:
+            inside.setdefault(codes[d[0]], []).append(j)
+    inside = {k: np.array(v) for k, v in inside.items()}
+    kept: dict[int, np.ndarray] = {}
+    keep = sum(len(inside.get(codes.get(c[0], -1), ())) for c in x if c[2]) <= WEIGHT_CELLS
+
+    def weights(i: int) -> np.ndarray:
+        c = x[i]
+        same = kinds == codes.get(c[0], -1)
+        w = same.astype(np.int64)
+        if not c[2]:
+            return w + (same & (keys == c[1])) if c[1] else w
+        at = inside.get(codes.get(c[0], -1))
+        if at is not None:  # containers against containers of their kind
+            found = kept.get(i)
+            if found is None:
+                found = np.array([match(c, y[j])[0] for j in at], np.int32)
+                if keep:
+                    kept[i] = found
+            w[at] = found
+        return w
+
+    def below(above: np.ndarray, w: np.ndarray) -> np.ndarray:
+        row = np.zeros_like(above)
+        row[1:] = np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w[: len(above) - 1]))
+        return row
+
+    step, row, marks = math.isqrt(len(x)) + 1, np.zeros(len(y) + 1, np.int64), []
+    for i in range(len(x)):
+        if i % step == 0:
+            marks.append(row)
+        row = below(row, weights(i))
+    size, i, j, found = int(row[-1]), len(x), len(y), []
+    while i and j:
+        low = (i - 1) // step * step
+        block, own = [marks[low // step][: j + 1]], []
+        for r in range(low, i):
+            own.append(weights(r)[:j])
+            block.append(below(block[-1], own[-1]))
+        while i > low and j:
+            w, here = own[i - 1 - low][j - 1], block[i - low][j]
+            if w and here == block[i - 1 - low][j - 1] + w:
+                i, j = i - 1, j - 1
+                found.append((i, j, match(x[i], y[j])[1]))
+            elif here == block[i - 1 - low][j]:
+                i -= 1
+            else:
+                j -= 1
+    return size, found[::-1]
 
 
 def _numbers(tree: list, at: int, out: dict[int, int]) -> int:

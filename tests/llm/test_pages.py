@@ -37,6 +37,23 @@ def test_tree_matching_pairs_the_most_nodes():
     assert html_extract.match(["d", 0, []], ["e", 0, []])[0] == 0
 
 
+def test_wide_nodes_pair_as_narrow_ones():
+    def wide(n):
+        flat = lambda salt: ["d", 0, [["p.", salt + k, []] for k in range(1, n)] + [["p.", 7, []]]]
+        a, b = flat(10_000), flat(20_000)
+        b[2].insert(3, ["div.ad", 5, []])
+        return a, b
+
+    for n in (20, 700):  # the kind that one page lacks doesn't stop the pairing
+        a, b = wide(n)
+        assert html_extract.match(a, b)[0] == 1 + n + 1
+        assert [same for _, same in html_extract.votes(a, b)] == [0] * (n - 1) + [1]
+    chance = np.random.default_rng(5)
+    for _ in range(60):
+        x, y = ([[f"k{chance.integers(3)}", 0, [["p.", int(k), []] for k in chance.integers(1, 4, 3)]] if chance.random() < 0.3 else [f"k{chance.integers(3)}", int(chance.integers(1, 5)), []] for _ in range(chance.integers(1, 30))] for _ in range(2))
+        assert html_extract._align_wide(x, y) == html_extract._align(x, y)
+
+
 def brute_rule(url):
     rest = url.split("://", 1)[1] if url and "://" in url else None
     if rest is None:
