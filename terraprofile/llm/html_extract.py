@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Every page becomes a small tree: containers, and the text blocks in them. Pages of
-one host are aligned with the host's first page by simple tree matching, which pairs
-nodes of equal kind in order, as many as possible. A block that is paired and says the
+one host and layout are aligned with the first of them by simple tree matching, which
+pairs nodes of equal kind in order, as many as possible. A block that is paired and says the
 same on most pages of the host belongs to the template; blocks that vary are slots for
 content. What a page says itself comes first: an article or main element is the content,
 and menus, headers, footers, adverts, notices, forms and comments are none.
@@ -10,6 +10,7 @@ and menus, headers, footers, adverts, notices, forms and comments are none.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import math
@@ -35,6 +36,8 @@ BLOCKS = frozenset(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot".split())
+PLAIN = frozenset(f"{t}." for t in "# p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
+DIGITS = re.compile(r"\d+")
 # elements and words in class, id or role that mark what is not the article
 ASIDE_TAGS = frozenset("nav footer aside form button menu dialog head search fieldset".split())
 ASIDE_WORDS = frozenset(
@@ -158,7 +161,7 @@ def parse(page: str | None) -> Node:
 
 
 def _key(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1  # 0 stands for a container
 
 
 def compact(node: Node) -> list:
@@ -171,6 +174,39 @@ def compact(node: Node) -> list:
     return [node.kind, 0, children]
 
 
+def _hash(parts) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def layout(tree: list) -> int:
+    """A hash of the kinds that frame a page: down to where it branches, and two levels from there.
+
+    Plain elements of running text on the second level, and digits in class names, make no other layout.
+    """
+    frame = []
+    while True:
+        inner = [c for c in tree[2] if not c[0].startswith("head.")]
+        if len(inner) != 1 or not inner[0][2]:
+            break
+        tree = inner[0]
+        frame.append(tree[0])
+    kinds = {(c[0],) for c in inner} | {(c[0], d[0]) for c in inner for d in c[2] if d[0] not in PLAIN}
+    return _hash(DIGITS.sub("0", k) for k in ["/".join(frame), *sorted(" ".join(k) for k in kinds)])
+
+
+def own_text(root: Node) -> int:
+    """A hash of what is not beside the article: equal for copies of a page."""
+
+    def walk(node: Node):
+        if node.text is not None:
+            if not node.aside:
+                yield node.text
+        for c in node.children:
+            yield from walk(c)
+
+    return _hash(walk(root))
+
+
 def _equal_ends(x: list, y: list) -> tuple[int, int]:
     """How many nodes at the head and at the tail say the same throughout; pairing them is always best."""
     n, head, tail = min(len(x), len(y)), 0, 0
@@ -307,29 +343,46 @@ def votes(first: list, page: list) -> list[tuple[int, int]]:
     return [(numbers[id(a)], int(a[1] == b[1])) for a, b in _paired(first, page, match(first, page)[1]) if a[1] and not a[2] and b[1]]
 
 
-def extract(page: str | None, template: tuple[list, set[int]] | None) -> str:
-    """The main text: blocks in page order, one per line."""
-    root = parse(page)
-    constant: set[int] = set()
-    if template:
-        first, blocks = template
-        tree, numbers = compact(root), {}
-        _numbers(first, 0, numbers)
-        constant = {b[1] for a, b in _paired(first, tree, match(first, tree)[1]) if numbers[id(a)] in blocks and a[1] == b[1]}
-    in_main, others = [], []
+def text_blocks(root: Node) -> list:
+    """For each text block in page order: its text, null beside the article, and whether it lies in a main element."""
+    found = []
 
     def walk(node: Node, main: bool) -> None:
         if node.text is not None:
-            if not node.aside:
-                (in_main if main else others).append(node.text)
-        else:
-            for c in node.children:
-                walk(c, main or node.main)
+            found.append((None if node.aside else node.text, main))
+        for c in node.children:
+            walk(c, main or node.main)
 
     walk(root, False)
+    return found
+
+
+def _constant(tree: list, template: tuple[list, set[int]]) -> set[int]:
+    """Which of a page's text blocks are those of the template."""
+    first, blocks = template
+    numbers: dict[int, int] = {}
+    _numbers(first, 0, numbers)
+    leaves: dict[int, int] = {}
+
+    def order(node: list) -> None:
+        if node[1]:
+            leaves[id(node)] = len(leaves)
+        for c in node[2]:
+            order(c)
+
+    order(tree)
+    pairs = _paired(first, tree, match(first, tree)[1])
+    return {leaves[id(b)] for a, b in pairs if numbers[id(a)] in blocks and a[1] == b[1]}
+
+
+def extract(texts: list, tree: list, template: tuple[list, set[int]] | None) -> str:
+    """The main text: blocks in page order, one per line."""
+    in_main = [t for t, main in texts if main and t is not None]
     if in_main:
         return "\n".join(in_main)
-    return "\n".join(t for t in others if _key(t) not in constant)
+    constant = _constant(tree, template) if template else set()
+    keys = {_key(texts[k][0]) for k in constant if texts[k][0] is not None}
+    return "\n".join(t for t, _ in texts if t is not None and _key(t) not in keys)
 
 
 def host_of(url):
@@ -338,29 +391,43 @@ def host_of(url):
     return F.when(F.instr(url, "://") > 0, F.lower(host))
 
 
-def induce(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Per host with several pages: its first page's tree, and the numbers of the tree's template blocks."""
+def induce(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Templates by host and layout, the commonest layout of each host, and the layouts with a reference.
+
+    A template is a reference page's tree and the numbers of its template blocks. Each layout of at least
+    ``TEMPLATE_PAGES`` different pages has a reference of its own; pages of the others are aligned with a page of
+    the host's commonest layout. Pages without blocks are no references, and copies of a page vote once.
+    """
 
     def trees(batches):
         for batch in batches:
-            packed = [json.dumps(compact(parse(h.as_py()))).encode() for h in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["host", "page", "tree"])
+            roots = [parse(h.as_py()) for h in batch.column(2)]
+            packed = [compact(r) for r in roots]
+            columns = [pa.array([layout(t) for t in packed], pa.int64()), pa.array(map(own_text, roots), pa.int64()), pa.array([json.dumps(t).encode() if t[2] else None for t in packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["host", "page", "layout", "own", "tree"])
 
     source = pages.select(host_of(F.col(url_col)).alias("host"), F.col(id_col).cast("string").alias("page"), F.col(html_col).alias("h")).where("host is not null")
-    packed = materialize(source.mapInArrow(trees, "host string, page string, tree binary"), "page-trees")
-    # hosts' page counts and first pages are summed in the tasks before they meet
-    hosts = packed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min("page").alias("page")).where(f"pages >= {TEMPLATE_PAGES}")
-    firsts = materialize(packed.join(hosts, ["host", "page"]).select("host", "pages", F.col("tree").alias("first")).dropDuplicates(["host"]), "first-pages")
+    found = source.mapInArrow(trees, "host string, page string, layout long, own long, tree binary").where("tree is not null")
+    # copies, page counts and first pages are summed in the tasks before they meet
+    distinct = found.groupBy("host", "layout", "own").agg(F.min(F.struct("page", "tree")).alias("p"))
+    packed = materialize(distinct.select("host", "layout", "p.page", "p.tree"), "page-trees")
+    counted = packed.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page", "tree")).alias("p"))
+    layouts = materialize(counted.select("host", "layout", "pages", "p.page", F.col("p.tree").alias("first")), "layouts")
+    commonest = layouts.groupBy("host").agg(F.sum("pages").alias("all"), F.min(F.struct((-F.col("pages")).alias("n"), "page", "layout", "first")).alias("c"))
+    commonest = commonest.where(f"all >= {TEMPLATE_PAGES}").select("host", "c.layout", "c.first", (-F.col("c.n")).alias("pages"))
+    own = layouts.where(f"pages >= {TEMPLATE_PAGES}").select("host", "layout", "first")
+    firsts = materialize(own.unionByName(commonest.where(f"pages < {TEMPLATE_PAGES}").drop("pages")), "first-pages")
+    usual = materialize(commonest.select("host", F.col("layout").alias("usual")), "commonest-layouts")
 
     def vote(batches):
-        counts: dict[tuple[str, int], list[int]] = {}
-        known: tuple[str | None, list] = (None, [])
+        counts: dict[tuple[str, int, int], list[int]] = {}
+        known: tuple[tuple | None, list] = (None, [])
         for batch in batches:
-            for host, tree, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if known[0] != host:
-                    known = (host, json.loads(first))
+            for host, to, tree, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if known[0] != (host, to):
+                    known = ((host, to), json.loads(first))
                 for number, same in votes(known[1], json.loads(tree)):
-                    held = counts.setdefault((host, number), [0, 0])
+                    held = counts.setdefault((host, to, number), [0, 0])
                     held[0] += 1
                     held[1] += same
             if len(counts) > 200_000:
@@ -369,14 +436,21 @@ def induce(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
         yield rows(counts)
 
     def rows(counts):
-        return pa.RecordBatch.from_pydict(
-            {"host": pa.array([k[0] for k in counts], pa.string()), "number": pa.array([k[1] for k in counts], pa.int64()), "seen": pa.array([v[0] for v in counts.values()], pa.int64()), "same": pa.array([v[1] for v in counts.values()], pa.int64())}
-        )
+        keys = {name: pa.array([k[i] for k in counts], kind) for i, (name, kind) in enumerate((("host", pa.string()), ("layout", pa.int64()), ("number", pa.int64())))}
+        return pa.RecordBatch.from_pydict({**keys, "seen": pa.array([v[0] for v in counts.values()], pa.int64()), "same": pa.array([v[1] for v in counts.values()], pa.int64())})
+
+    paired = referred(packed, own.select("host", "layout"), usual).join(sized(firsts.withColumnRenamed("layout", "to"), "first"), ["host", "to"])
+    found = paired.select("host", "to", "tree", "first").mapInArrow(vote, "host string, layout long, number long, seen long, same long")
+    blocks = found.groupBy("host", "layout", "number").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same")).where(f"seen >= {TEMPLATE_PAGES} and same > {TEMPLATE_SHARE} * seen")
+    numbers = blocks.groupBy("host", "layout").agg(F.collect_list("number").alias("blocks"))
+    templates = firsts.join(numbers, ["host", "layout"]).select("host", F.col("layout").alias("to"), "first", "blocks")
+    return templates, usual, own.select("host", "layout")
+
 
-    found = packed.join(sized(firsts, "first").drop("pages"), "host").select("host", "tree", "first").mapInArrow(vote, "host string, number long, seen long, same long")
-    blocks = found.groupBy("host", "number").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same")).where(f"seen >= {TEMPLATE_PAGES} and same > {TEMPLATE_SHARE} * seen")
-    per_host = blocks.groupBy("host").agg(F.collect_list("number").alias("blocks"))
-    return firsts.join(per_host, "host").select("host", "first", "blocks")
+def referred(pages: DataFrame, own: DataFrame, usual: DataFrame) -> DataFrame:
+    """``pages`` with ``to``: the layout whose reference a page is aligned with, null without any."""
+    known = own.withColumn("to", F.col("layout"))
+    return pages.join(sized(known, "host"), ["host", "layout"], "left").join(sized(usual, "host"), "host", "left").withColumn("to", F.coalesce("to", "usual")).drop("usual")
 
 
 def sized(side: DataFrame, column: str) -> DataFrame:
@@ -389,25 +463,41 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Per page row: page_id, url, text.
 
     Null or empty html, or a page without content, gives ''. A null url has no host and no template.
-    Hosts with fewer than three pages have no template. Repeated rows give repeated results.
+    Hosts with fewer than three different pages have no template; pages of a layout with fewer are
+    aligned with the host's commonest layout. Repeated rows give repeated results.
     Character references are decoded, white space in a block is one space, blocks are lines.
     Other columns are not read. An empty table gives an empty result.
     """
-    templates = materialize(induce(pages, id_col, url_col, html_col), "templates")
-    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("h"), host_of(F.col(url_col)).alias("host"))
-    joined = source.join(sized(templates, "first"), "host", "left").select("page_id", "url", "h", "host", "first", "blocks")
+    templates, usual, own = induce(pages, id_col, url_col, html_col)
+    templates = materialize(templates, "templates")
+    kind = pages.schema[id_col].dataType.simpleString()
+    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("h"))
+
+    def read(batches):
+        for batch in batches:
+            layouts, trees, blocks = [], [], []
+            for page in batch.column(3):
+                root = parse(page.as_py())
+                tree = compact(root)
+                layouts.append(layout(tree))
+                trees.append(json.dumps(tree).encode())
+                blocks.append(json.dumps(text_blocks(root)).encode())
+            columns = [pa.array(layouts, pa.int64()), pa.array(trees, pa.binary()), pa.array(blocks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["page_id", "url", "host", "layout", "tree", "texts"])
+
+    parsed = source.mapInArrow(read, f"page_id {kind}, url string, host string, layout long, tree binary, texts binary")
+    joined = referred(parsed, own, usual).join(sized(templates, "first"), ["host", "to"], "left").select("page_id", "url", "host", "to", "tree", "texts", "first", "blocks")
 
     def run(batches):
-        known: tuple[str | None, tuple | None] = (None, None)
+        known: tuple[tuple | None, tuple | None] = (None, None)
         for batch in batches:
             texts = []
-            for page, host, first, blocks in zip(batch.column(2), *(batch.column(i) for i in (3, 4, 5))):
-                host = host.as_py()
-                if host is None or host != known[0]:
+            for host, to, tree, held, first, blocks in zip(*(batch.column(i) for i in range(2, 8))):
+                key = (host.as_py(), to.as_py())
+                if None in key or key != known[0]:
                     first = first.as_py()
-                    known = (host, (json.loads(first), set(blocks.as_py())) if first is not None else None)
-                texts.append(extract(page.as_py(), known[1]))
+                    known = (key, (json.loads(first), set(blocks.as_py())) if first is not None else None)
+                texts.append(extract(json.loads(held.as_py()), json.loads(tree.as_py()), known[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    kind = pages.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string")

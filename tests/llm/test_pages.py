@@ -30,6 +30,14 @@ def test_template_of_a_host_is_induced(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_each_layout_of_a_host_has_its_reference(spark):
+    rows = [(0, "http://b.org/0", None), (1, "http://b.org/1", ""), (2, "http://b.org/2", "<div> </div>")]
+    rows += [(i, f"http://b.org/{i}", page(f"<div><p>Our site</p><p>Since 1999</p></div><div><p>story {i}</p><p>more {i * i}</p></div>")) for i in range(3, 9)]
+    rows += [(i, f"http://b.org/{i}", page(f"<table><tr><td>Archive</td><td>entry {i}</td></tr></table><section><p>Call us</p><p>text {i}</p></section>")) for i in range(20, 24)]
+    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {0: "", 1: "", 2: ""} | {i: f"story {i}\nmore {i * i}" for i in range(3, 9)} | {i: f"entry {i}\ntext {i}" for i in range(20, 24)}
+
+
 def test_tree_matching_pairs_the_most_nodes():
     leaf = lambda k: ["p.", k, []]
     size, pairs = html_extract.match(["d", 0, [leaf(1), leaf(2), leaf(3)]], ["d", 0, [leaf(9), leaf(1), leaf(2), leaf(3)]])
