@@ -4,8 +4,9 @@ Every page becomes a small tree: containers, and the text blocks in them. Pages
 one host and layout are aligned with the first of them by simple tree matching, which
 pairs nodes of equal kind in order, as many as possible. A block that is paired and says the
 same on most pages of the host belongs to the template; blocks that vary are slots for
-content. What a page says itself comes first: an article or main element is the content,
-and menus, headers, footers, adverts, notices, forms and comments are none.
+content, also inside article and main elements. Of the slots, menus, headers, footers,
+adverts, notices, forms and comments are none by what the page says itself; article and
+main elements are a hint to the content, weighed against the slots outside them.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ ASIDE_PARTS = ("sidebar", "comment", "advert", "cookie", "newsletter")
 MATCH_CELLS, WEIGHT_CELLS = 250_000, 4_000_000
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
 BROADCAST_BYTES = 32_000_000
+# text in article and main elements weighs so much against text outside
+MAIN_HINT = 2
 
 
 class Node:
@@ -344,16 +347,18 @@ def votes(first: list, page: list) -> list[tuple[int, int]]:
 
 
 def text_blocks(root: Node) -> list:
-    """For each text block in page order: its text, null beside the article, and whether it lies in a main element."""
-    found = []
+    """For each text block in page order: its text, null beside the article, and the number of the outermost main element around it, or -1."""
+    found, mains = [], iter(range(1 << 60))
 
-    def walk(node: Node, main: bool) -> None:
+    def walk(node: Node, main: int) -> None:
+        if main < 0 and node.main:
+            main = next(mains)
         if node.text is not None:
             found.append((None if node.aside else node.text, main))
         for c in node.children:
-            walk(c, main or node.main)
+            walk(c, main)
 
-    walk(root, False)
+    walk(root, -1)
     return found
 
 
@@ -376,13 +381,23 @@ def _constant(tree: list, template: tuple[list, set[int]]) -> set[int]:
 
 
 def extract(texts: list, tree: list, template: tuple[list, set[int]] | None) -> str:
-    """The main text: blocks in page order, one per line."""
-    in_main = [t for t, main in texts if main and t is not None]
-    if in_main:
-        return "\n".join(in_main)
+    """The main text: blocks in page order, one per line.
+
+    Template blocks go first, wherever they stand. Of the slots, a single main element is the content if it
+    holds at least half of what is outside, several if one holds as much as is outside. Several that hold less
+    than half together are teasers beside the content. Else nothing more is left out.
+    """
     constant = _constant(tree, template) if template else set()
-    keys = {_key(texts[k][0]) for k in constant if texts[k][0] is not None}
-    return "\n".join(t for t, _ in texts if t is not None and _key(t) not in keys)
+    slots = [(t, main) for k, (t, main) in enumerate(texts) if t is not None and k not in constant]
+    sizes: dict[int, int] = {}
+    for t, main in slots:
+        sizes[main] = sizes.get(main, 0) + len(t)
+    rest, total = sizes.pop(-1, 0), sum(sizes.values())
+    if MAIN_HINT * total < rest and len(sizes) > 1:
+        slots = [s for s in slots if s[1] < 0]
+    elif MAIN_HINT * total >= rest and (len(sizes) == 1 or max(sizes.values(), default=0) >= rest):
+        slots = [s for s in slots if s[1] >= 0] if sizes else slots
+    return "\n".join(t for t, _ in slots)
 
 
 def host_of(url):

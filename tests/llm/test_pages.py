@@ -30,6 +30,21 @@ def test_template_of_a_host_is_induced(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_and_slots_decide_around_articles(spark):
+    inside = [(i, f"http://c.org/{i}", page(f"<article><div class='x'>You are reading C</div><p>story {i}</p><p>more {i * i}</p><p>Write to us</p></article>")) for i in range(5)]
+    story = lambda i: f"long story {i} " * 20 + "end"
+    teasers = lambda i: "".join(f"<article><h2>see {i}-{k}</h2></article>" for k in range(3))
+    beside = [(i, f"http://d.org/{i}", page(f"<div class='x'><p>{story(i)}</p></div><div class='y'>{teasers(i)}</div>")) for i in range(10, 14)]
+    copies = [(i, "http://e.org/x", page("<article><p>the same</p></article>")) for i in range(20, 25)]
+    part = [(30, "http://f.org/1", page(f"<div><p>{story(1)}</p></div><article><p>one note</p></article>"))]
+    rows = spark.createDataFrame(inside + beside + copies + part, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.main_text(rows).collect()}
+    assert {i: found[i] for i in range(5)} == {i: f"story {i}\nmore {i * i}" for i in range(5)}
+    assert {i: found[i] for i in range(10, 14)} == {i: story(i) for i in range(10, 14)}
+    assert {found[i] for i in range(20, 25)} == {"the same"}
+    assert found[30] == f"{story(1)}\none note"
+
+
 def test_each_layout_of_a_host_has_its_reference(spark):
     rows = [(0, "http://b.org/0", None), (1, "http://b.org/1", ""), (2, "http://b.org/2", "<div> </div>")]
     rows += [(i, f"http://b.org/{i}", page(f"<div><p>Our site</p><p>Since 1999</p></div><div><p>story {i}</p><p>more {i * i}</p></div>")) for i in range(3, 9)]
