@@ -1,12 +1,13 @@
 """Packing of documents into windows by lexical retrieval.
 
 Texts become token ids once and are kept as a table. Document frequencies of all
-token ids are summed over all documents. The documents of a partition are taken in
+token ids are summed over all documents. Documents are brought together by the rarest
+ids that they share with others, over the whole corpus, and taken in this order in
 shards of bounded size; each shard has an inverted index with BM25 weights. A seed
 document opens a window, and its best unused neighbours fill the rest. The document
 that overflows a window goes on in the next and is its seed, so every window but a
 shard's last is full; the last is cut at powers of two, which need no padding.
-Documents never move between machines, and no shard holds more than its bound.
+Documents move once, and no shard holds more than its bound.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from terraprofile.session import materialize
 
 WINDOW = 2048
 SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
-QUERY_TERMS = 24
+SIGNATURE = 4
 K1, B = 1.2, 0.75
 
 
@@ -65,6 +66,34 @@ def _statistics(table: DataFrame) -> tuple[int, int, dict[int, int]]:
     return found.pop(-1, 0), found.pop(-2, 0), found
 
 
+def _together(table: DataFrame, shared, shard_docs: int) -> DataFrame:
+    """The documents, dealt and sorted by the rarest ids that each shares with another document.
+
+    No more documents have an id as their rarest than contain it; ids in more than a shard's documents
+    are dealt in as many groups as that makes shards.
+    """
+
+    def sign(batches):
+        df = shared.value[2]
+        at = TaskContext.get().partitionId()
+        for batch in batches:
+            signs, groups = [], []
+            for width, raw in zip(batch.column(1).to_pylist(), batch.column(2)):
+                own = np.unique(np.frombuffer(raw.as_py(), f"<u{width}"))
+                own = own[df[own] > 1]
+                own = own[np.lexsort((own, df[own]))[:SIGNATURE]]
+                at += 1
+                signs.append(own.tolist())
+                groups.append(at % -(-int(df[own[0]]) // shard_docs) if len(own) else at)
+            columns = [*batch.columns, pa.array(signs, pa.list_(pa.int64())), pa.array(groups, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "width", "ids", "sign", "part"])
+
+    schema = T.StructType([*table.schema.fields, T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("part", T.LongType())])
+    first = F.get("sign", F.lit(0))
+    signed = table.mapInArrow(sign, schema).withColumn("first", first)
+    return signed.repartition("first", "part").sortWithinPartitions("sign", "part").select("doc_id", "width", "ids", "first")
+
+
 class ShardIndex:
     """BM25 inverted index over the documents of one shard, with the corpus's statistics."""
 
@@ -77,14 +106,14 @@ class ShardIndex:
             terms.append(own)
             owners.append(np.full(len(own), k, np.int32))
             weights.append(w)
-            self.queries.append(own if len(own) <= QUERY_TERMS else own[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]])
+            self.queries.append(own)
         terms, owners, weights = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
         order = np.argsort(terms, kind="stable")
         self.owners, self.weights, self.size = owners[order], weights[order], len(docs)
         self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
 
     def neighbours(self, doc: int) -> np.ndarray:
-        """The other documents that share the seed's weightiest terms, best first; ties by position."""
+        """The other documents that share terms with the seed, best first; ties by position."""
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[doc]]
         owners = np.concatenate([self.owners[s] for s in spans])
         scores = np.bincount(owners, np.concatenate([self.weights[s] for s in spans]), self.size)
@@ -169,13 +198,15 @@ def pack(
     table = materialize(token_table(docs, tokenizer, end_id, id_col, text_col), "token-ids")
     n_docs, n_tokens, df = _statistics(table)
     idf = np.zeros(max(df, default=0) + 1, np.float32)
+    counts = np.zeros(len(idf), np.int64)
     for term, n in df.items():
-        idf[term] = np.log1p((n_docs - n + 0.5) / (n + 0.5))
-    shared = docs.sparkSession.sparkContext.broadcast((idf, n_tokens / max(n_docs, 1)))
+        idf[term], counts[term] = np.log1p((n_docs - n + 0.5) / (n + 0.5)), n
+    shared = docs.sparkSession.sparkContext.broadcast((idf, n_tokens / max(n_docs, 1), counts))
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches):
-        idf, mean = shared.value
+        idf, mean, _ = shared.value
+        last = None
         base = TaskContext.get().partitionId() << 32
         keys, texts, held = [], [], 0
 
@@ -192,7 +223,12 @@ def pack(
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for key, width, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for key, width, raw, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                # a shard that is nearly full ends where another group begins
+                if first != last and (4 * len(keys) >= 3 * shard_docs or 4 * held >= 3 * shard_tokens):
+                    yield shard()
+                    keys, texts, held = [], [], 0
+                last = first
                 keys.append(key)
                 texts.append(np.frombuffer(raw.as_py(), f"<u{width}"))
                 held += len(texts[-1])
@@ -203,4 +239,4 @@ def pack(
             yield shard()
 
     schema = T.StructType([table.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in names[1:6]), T.StructField("ids", T.BinaryType())])
-    return table.mapInArrow(run, schema)
+    return _together(table, shared, shard_docs).mapInArrow(run, schema)

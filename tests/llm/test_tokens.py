@@ -99,3 +99,15 @@ def test_neighbours_come_best_first():
     docs = [np.array(x, "<u2") for x in ([1, 2, 3], [7, 8, 9], [1, 2, 3, 4], [3, 9, 9])]
     index = packing.ShardIndex(docs, np.ones(10, np.float32), 3.0)
     assert [d for d in index.neighbours(0).tolist() if d != 0] == [2, 3]
+
+
+def test_packing_finds_neighbours_of_other_partitions(spark):
+    filler = lambda i: " ".join(f"f{i}x{k}" for k in range(30))
+    docs = [(i, filler(i)) for i in range(60)]
+    docs[1], docs[58] = ((i, "zebra quagga okapi " * 20) for i in (1, 58))
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(docs, 6), "doc_id long, text string")
+    rows = packing.pack(frame, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, shard_docs=8, window=512).collect()
+    held = {i: {r.sequence_id >> 32 for r in rows if r.doc_id == i} for i in (1, 58)}
+    assert held[1] == held[58] and {r.doc_id for r in rows} == set(range(60))
+    near = {i: {r.sequence_id for r in rows if r.doc_id == i} for i in (1, 58)}
+    assert min(abs(a - b) for a in near[1] for b in near[58]) <= 1
