@@ -359,17 +359,17 @@ def delimited_catalog(spark: SparkSession, directory: str, glob: str = "*.{csv,t
         "value", files.path_key(F.col("_metadata.file_path")).alias("dataset_id"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
     )
-    first = lines.where("block = 0").groupBy("dataset_id").agg(F.min_by("value", "pos").alias("header"))
+    first = lines.where("block = 0").groupBy("dataset_id").agg(F.min_by("value", "pos").alias("header"), F.min("pos").alias("head_pos"))
     delimiter = files.header_delimiter(F.col("header"))
     d = F.when(delimiter == "|", F.lit("\\|")).otherwise(delimiter)
     pattern = F.replace(F.lit(CELL_SPLIT), F.lit("{d}"), d)
     unquote = lambda c: F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1")
-    heads = first.select("dataset_id", pattern.alias("pattern"), "header").select(
-        "dataset_id", "pattern", "header", F.transform(F.split("header", F.col("pattern")), unquote).alias("names")
+    heads = first.select("dataset_id", pattern.alias("pattern"), "header", "head_pos").select(
+        "dataset_id", "pattern", "head_pos", F.transform(F.split("header", F.col("pattern")), unquote).alias("names")
     )
     cells = F.transform(F.split("value", F.col("pattern")), unquote)
-    # a repeated header line is no data either
-    body = lines.select("dataset_id", "value").join(heads, "dataset_id").where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    # only the first line of a file is its header; a later line that equals it is data
+    body = lines.select("dataset_id", "value", "pos").join(heads, "dataset_id").where((F.col("pos") != F.col("head_pos")) & (F.trim("value") != ""))
     rows = body.select("dataset_id", "names", cells.alias("cells"))
     fits = F.size("cells") == F.size("names")
     long = rows.select("dataset_id", "cells", fits.alias("fits"), F.posexplode("names").alias("position", "column")).select(

@@ -71,3 +71,12 @@ def test_shared_folder_comes_from_the_session(spark):
     assert first != second and first.startswith(f"{shared_dir(spark).rstrip('/')}/terraprofile/")
     with pytest.raises(ValueError):
         shared_dir(FakeSession(None, "yarn"))
+
+
+def test_a_row_equal_to_the_header_is_data(spark, tmp_path):
+    from terraprofile.plans.dataset_profile import delimited_catalog
+
+    (tmp_path / "a.csv").write_text("x,y\n1,2\nx,y\n3,4\n")
+    (tmp_path / "b.csv").write_text("x;y\n1;2\n")
+    rows = delimited_catalog(spark, str(tmp_path)).collect()
+    assert {(r.dataset_id[-5:], r.column, r.n, r.n_bad) for r in rows} == {("a.csv", c, 3, 0) for c in "xy"} | {("b.csv", c, 1, 0) for c in "xy"}
