@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraprofile.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, quality, token_counts, token_files, url_filter, warc
+from terraprofile.llm import alignment, decontaminate, exact_dedup, fim, html_extract, jaccard_join, packing, quality, secret_scan, token_counts, token_files, url_filter, warc
 from terraprofile.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,47 @@ def quality_query(spark, folder):
 )
 def jaccard_join_query(spark, folder):
     return jaccard_join.similar_groups(table(spark, folder, "documents"), k=3, percent=90)
+
+
+@query("op11_fill_in_middle")
+def fill_in_middle_query(spark, folder):
+    return fim.digests(fim.restored(fim.with_digests(fim.assembled(fim.pieces(table(spark, folder, "documents"))))))
+
+
+@query("op12_align_tokens")
+def align_tokens_query(spark, folder):
+    found, _ = alignment.align(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path("piece_bpe_32k.model"))
+    return found
+
+
+
+
+SECRET_KINDS = [r.kind for r in secret_scan.RULES]
+
+
+def _spans_sql(number: int, rule: secret_scan.Rule) -> str:
+    """Matches of a rule with their places: each behind all text before it and all matches before it."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {number} AS k, '{rule.kind}' AS kind, ends[i] - length(whole[i]) AS a, ends[i] AS b
+      FROM (SELECT doc_id, whole, inners, list_transform(range(1, len(whole) + 1), lambda i: list_sum(list_transform(whole[1:i], lambda x: length(x))) + list_sum(list_transform(gaps[1:i], lambda x: length(x)))) AS ends
+        FROM (SELECT doc_id, regexp_extract_all(x, '{pattern}') AS whole, regexp_extract_all(x, '{pattern}', {rule.group}) AS inners, regexp_split_to_array(x, '{pattern}') AS gaps FROM d)),
+      LATERAL (SELECT unnest(range(1, len(whole) + 1)) AS i) WHERE length(inners[i]) >= {rule.least}"""
+
+
+@query(
+    "op13_secret_scan",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+    s AS ({" UNION ALL ".join(_spans_sql(k, r) for k, r in enumerate(secret_scan.RULES))}),
+    f AS (SELECT doc_id, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex,
+      string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, k) AS spans, string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, k) FILTER (k < 3) AS base FROM s GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN f USING (doc_id)""",
+)
+def secret_scan_query(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = secret_scan.findings(docs, secret_scan.push(docs, scratch_path(spark, "blob-ledger")))
+    counts = [secret_scan.count_kind(F.col("found"), k).alias(f"n_{k}") for k in SECRET_KINDS[:3]]
+    base = secret_scan.written(F.col("found"), SECRET_KINDS[:3])
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans"))
