@@ -1,4 +1,4 @@
-"""Whole-dataset profiles: metric rows per encoding, full reports, batches."""
+"""Whole-dataset profiles: metric rows per encoding and full reports."""
 
 from __future__ import annotations
 
@@ -10,16 +10,9 @@ from pyspark.sql import functions as F
 
 from terraprofile.functions import crs
 from terraprofile.functions import geometry as G
-from terraprofile.functions.tables import (
-    AREA_CRS,
-    COUNTRIES,
-    DEFAULT_COUNTRY,
-    LABEL_GEOSPATIAL,
-    SUPPORTED_EXTENSIONS,
-)
+from terraprofile.functions.tables import AREA_CRS, COUNTRIES, DEFAULT_COUNTRY, LABEL_GEOSPATIAL
 from terraprofile.operators import cover, detect, hull, keys, locate, metrics, neighbours, profile
 from terraprofile.operators.clean import col, decimal_comma, in_bounds
-from terraprofile.sources import files
 
 
 @dataclass(frozen=True)
@@ -73,8 +66,12 @@ def one_row(spark: SparkSession, **rows: DataFrame) -> DataFrame:
     return spark.range(1).select(*[df.select(F.struct("*")).scalar().alias(name) for name, df in rows.items()])
 
 
-def _metric_row(stats: DataFrame, kind: Column, epsg: int | None, rules: Rules, coverage: DataFrame | None) -> DataFrame:
-    """Name and derive the report figures; a table without rows gives NULLs."""
+def crs_name(epsg: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("EPSG:"), epsg.cast("string")), F.lit("Unknown"))
+
+
+def metric_row(stats: DataFrame, kind: Column, epsg: Column, rules: Rules, coverage: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Name and derive the report figures; a table without rows gives NULLs. ``keys`` are kept beside them."""
     d = rules.digits
     # tables of coordinates count located rows only; text shapes count all rows
     total = F.col("n_rows") if "n_rows" in stats.columns else F.col("n")
@@ -84,8 +81,9 @@ def _metric_row(stats: DataFrame, kind: Column, epsg: int | None, rules: Rules,
     pct = lambda v: F.try_divide(v * 100.0, F.col("n"))
     cover_pct = coverage.select("coverage_pct").scalar() if coverage is not None else F.lit(None).cast("double")
     return stats.select(
+        *keys,
         F.col("n").alias("n_objects"),
-        F.when(some, F.lit(f"EPSG:{epsg}" if epsg else "Unknown")).alias("crs"),
+        F.when(some, crs_name(epsg)).alias("crs"),
         F.when(some, kind).alias("geometry_types"),
         F.when(some, F.round(F.col("n") * 100.0 / total, 1)).alias("present_pct"),
         F.when(some, F.round(F.col("n_valid") * 100.0 / total, 1)).alias("valid_pct"),
@@ -126,7 +124,7 @@ def profile_points(
     stats = rows.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(finite("sx") & finite("sy")).alias("n_valid"), F.countDistinct("sx", "sy").alias("n_distinct"), *box
     ).select("*", *[F.col(c).alias(f"c{c}") for c in ("minx", "miny", "maxx", "maxy")], F.lit(None).cast("double").alias("complexity"))
-    return _metric_row(stats, F.lit("Point"), epsg, rules, _coverage(territory, stats, metric))
+    return metric_row(stats, F.lit("Point"), F.lit(epsg).cast("int"), rules, _coverage(territory, stats, metric))
 
 
 def profile_lines(
@@ -152,7 +150,13 @@ def profile_lines(
         F.min(mid("ax", "bx")).alias("cminx"), F.min(mid("ay", "by")).alias("cminy"),
         F.max(mid("ax", "bx")).alias("cmaxx"), F.max(mid("ay", "by")).alias("cmaxy"),
     ).select("*", F.lit(2.0).alias("complexity"))
-    return _metric_row(stats, F.lit("LineString"), epsg, rules, _coverage(territory, stats, metric))
+    return metric_row(stats, F.lit("LineString"), F.lit(epsg).cast("int"), rules, _coverage(territory, stats, metric))
+
+
+def kinds_by_number() -> Column:
+    """The kinds counted in the columns ``is_KIND``, the most frequent first, ties by name."""
+    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"is_{k}")).alias("n"), F.lit(label).alias("label")) for k, label in G.GEOJSON_KIND.items()]))
+    return F.transform(F.filter(ranked, lambda r: r["n"] < 0), lambda r: r["label"])
 
 
 def profile_geometry(
@@ -183,11 +187,8 @@ def profile_geometry(
         F.avg(F.when(F.col("kind") != "POINT", F.col("v"))).alias("complexity"),
         *[F.count_if(F.col("kind") == k).alias(f"is_{k}") for k in G.GEOJSON_KIND],
     )
-    # the most frequent kind first, ties by name
-    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"is_{k}")).alias("n"), F.lit(label).alias("label")) for k, label in G.GEOJSON_KIND.items()]))
-    kinds = F.transform(F.filter(ranked, lambda r: r["n"] < 0), lambda r: r["label"])
-    stats = stats.select("*", (F.col("n") + absent).alias("n_rows"), kinds.alias("kinds"))
-    return _metric_row(stats, F.array_join("kinds", ", "), epsg, rules, _coverage(territory, stats, metric))
+    stats = stats.select("*", (F.col("n") + absent).alias("n_rows"), kinds_by_number().alias("kinds"))
+    return metric_row(stats, F.array_join("kinds", ", "), F.lit(epsg).cast("int"), rules, _coverage(territory, stats, metric))
 
 
 METRIC_DDL = (
@@ -267,6 +268,8 @@ def geometry_text(g: Column) -> Column:
 TYPE_TABLE = "CSV"
 TYPE_WITH_GEOMETRY = "CSV with geometry"
 TYPE_GEOSPATIAL = "Geospatial"
+KEY_TABLE = "array<struct<`Reference area`:string,`Identified key`:string>>"
+WITHOUT_GEOMETRY = ("none", "join_required", "geocoding_required")
 
 
 def dataset_profile(
@@ -286,7 +289,7 @@ def dataset_profile(
         geo, kind, label = profile_geometry(df, native, rules, territory), TYPE_GEOSPATIAL, LABEL_GEOSPATIAL
     else:
         label, method, columns = found["label"], found["method"], found["columns"]
-        kind = TYPE_TABLE if method in ("none", "join_required", "geocoding_required") else TYPE_WITH_GEOMETRY
+        kind = TYPE_TABLE if method in WITHOUT_GEOMETRY else TYPE_WITH_GEOMETRY
         if method == "points_from_xy":
             xy = df.select(decimal_comma(col(columns[0])).alias("x"), decimal_comma(col(columns[1])).alias("y"))
             geo = profile_points(xy, "x", "y", rules, territory)
@@ -299,27 +302,35 @@ def dataset_profile(
     found_keys = keys.key_detect(df, key_order, rules.country)
     key_rows = [r.asDict() for r in found_keys.collect()]
     names = [r["column"] for r in key_rows]
-    ddl = "array<struct<`Reference area`:string,`Identified key`:string>>"
-    key_table = F.array(*[F.struct(F.lit(r["label"]), F.lit(r["column"])) for r in key_rows]).cast(ddl) if key_rows else F.array().cast(ddl)
-    details = F.struct(
-        F.col("position"), F.col("column").alias("Colonne"), F.col("example").alias("Exemple"), F.col("type").alias("Type"), F.col("missing").alias("Valeurs manquantes")
-    )
-    table = profile.details_of_catalog(catalog).agg(F.sort_array(F.collect_list(details)).alias("Colonnes"))
+    key_table = F.array(*[F.struct(F.lit(r["label"]), F.lit(r["column"])) for r in key_rows]).cast(KEY_TABLE) if key_rows else F.array().cast(KEY_TABLE)
+    table = profile.details_of_catalog(catalog).agg(column_table().alias("Colonnes"))
     totals = catalog.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_columns"))
     # completeness follows from the catalog's counts, without another scan
     whole = profile.dataset_completeness(catalog).select("mean_pct", "std_pct")
     of_keys = profile.dataset_completeness(catalog.where(F.col("column").isin(*names))).select("mean_pct", "std_pct") if names else profile.completeness(df, [])
+    names_text = F.lit(", ".join(sorted(names)) or None)
     row = one_row(spark, totals=totals, table=table, whole=whole, of_keys=of_keys, geo=geo)
-    grain = keys.granularity(F.col("geo.geometry_types"), F.lit(", ".join(sorted(names)) or None))
-    return row.select(
-        F.lit(dataset_id).alias("Nom du fichier"),
-        F.lit(kind).alias("Type de fichier"),
+    return row.select(F.lit(dataset_id).alias("Nom du fichier"), *report_columns(F.lit(kind), F.lit(label), key_table, names_text))
+
+
+def column_table() -> Column:
+    """Aggregate: the details of all columns in schema order."""
+    details = F.struct(
+        F.col("position"), F.col("column").alias("Colonne"), F.col("example").alias("Exemple"), F.col("type").alias("Type"), F.col("missing").alias("Valeurs manquantes")
+    )
+    return F.sort_array(F.collect_list(details))
+
+
+def report_columns(kind: Column, label: Column, key_table: Column, key_names: Column) -> list[Column]:
+    """The report's columns behind the file's, from the structs totals, table, whole, of_keys and geo."""
+    return [
+        kind.alias("Type de fichier"),
         F.col("totals.n_rows").alias("Nb lignes"),
         F.col("totals.n_columns").alias("Nb colonnes"),
         F.col("table.Colonnes").alias("Colonnes"),
         _score("whole").alias("Score de complétude global"),
         key_table.alias("Clés géographiques"),
-        F.lit(label).alias("Géotransformation"),
+        label.alias("Géotransformation"),
         _score("of_keys").alias("Score de complétude des clés géographique"),
         F.struct(F.col("geo.present_pct").alias("Présentes (%)"), F.col("geo.valid_pct").alias("Valides (%)")).alias("Score de complétude géographique"),
         F.col("geo.crs").alias("CRS"),
@@ -330,110 +341,11 @@ def dataset_profile(
         F.col("geo.complexity").alias("Complexité moyenne des géométries"),
         F.col("geo.duplicate_pct").alias("Part des geometries dupliquees (%)"),
         F.col("geo.coverage_pct").alias("Couverture territoriale hexagonale (%)"),
-        grain.alias("Granularité"),
-    )
+        keys.granularity(F.col("geo.geometry_types"), key_names).alias("Granularité"),
+    ]
 
 
 def _score(name: str) -> Column:
     return F.struct(
         F.col(f"{name}.mean_pct").alias("Score de complétude moyen (%)"), F.col(f"{name}.std_pct").alias("Score de complétude std (%)")
     )
-
-
-# ------------------------------------------------------------------------ batch
-
-CELL_SPLIT = r'{d}(?=(?:[^"]*"[^"]*")*[^"]*$)'
-CATALOG = ("dataset_id", "position", "column", "type", "non_null", "n", "sample", "n_bad")
-
-
-def delimited_catalog(spark: SparkSession, directory: str, glob: str = "*.{csv,txt}") -> DataFrame:
-    """Column catalog of delimited files of any schemas, as one grouped job.
-
-    Lines are read as text with their file; each file's own header names the
-    cells. Lines with another number of cells than the header are left out and
-    counted as ``n_bad``. Counts are partially aggregated per file and column,
-    so a file that holds most lines does not skew the shuffle.
-    """
-    text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(directory)
-    lines = text.select(
-        "value", files.path_key(F.col("_metadata.file_path")).alias("dataset_id"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
-    first = lines.where("block = 0").groupBy("dataset_id").agg(F.min_by("value", "pos").alias("header"), F.min("pos").alias("head_pos"))
-    delimiter = files.header_delimiter(F.col("header"))
-    d = F.when(delimiter == "|", F.lit("\\|")).otherwise(delimiter)
-    pattern = F.replace(F.lit(CELL_SPLIT), F.lit("{d}"), d)
-    unquote = lambda c: F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1")
-    heads = first.select("dataset_id", pattern.alias("pattern"), "header", "head_pos").select(
-        "dataset_id", "pattern", "head_pos", F.transform(F.split("header", F.col("pattern")), unquote).alias("names")
-    )
-    cells = F.transform(F.split("value", F.col("pattern")), unquote)
-    # only the first line of a file is its header; a later line that equals it is data
-    body = lines.select("dataset_id", "value", "pos").join(heads, "dataset_id").where((F.col("pos") != F.col("head_pos")) & (F.trim("value") != ""))
-    rows = body.select("dataset_id", "names", cells.alias("cells"))
-    fits = F.size("cells") == F.size("names")
-    long = rows.select("dataset_id", "cells", fits.alias("fits"), F.posexplode("names").alias("position", "column")).select(
-        "dataset_id", "position", "column", "fits", F.when(F.col("fits"), F.get("cells", F.col("position"))).alias("v")
-    )
-    value = F.when(F.col("v") != "", F.col("v"))
-    whole, number = value.try_cast("bigint").isNotNull(), value.try_cast("double").isNotNull()
-    found = long.groupBy("dataset_id", "position", "column").agg(
-        F.count(value).alias("non_null"), F.count_if("fits").alias("n"), F.count_if(~F.col("fits")).alias("n_bad"),
-        F.min(value).alias("sample"), F.count_if(whole).alias("n_int"), F.count_if(number).alias("n_num"),
-    )
-    # a file with a header only still has columns
-    listed = heads.select("dataset_id", F.posexplode("names").alias("position", "column"))
-    every = listed.join(found, ["dataset_id", "position", "column"], "left").fillna(0, ["non_null", "n", "n_bad", "n_int", "n_num"])
-    kind = F.when((F.col("n_num") < F.col("non_null")) | (F.col("non_null") == 0), "string").when(F.col("n_int") < F.col("non_null"), "double").otherwise("bigint")
-    return every.withColumn("type", kind).withColumn("position", F.col("position").cast("bigint")).select(*CATALOG)
-
-
-def geojson_catalog(spark: SparkSession, directory: str, glob: str = "*.{geojson,json}") -> DataFrame:
-    """Column catalog of GeoJSON files: their properties and the geometry."""
-    features = files.geojson_features(spark, directory, glob)
-    totals = features.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.count("geometry").alias("located"), F.min(G.as_wkt(F.col("geometry"))).alias("wkt"))
-    long = features.select("dataset_id", F.posexplode(F.map_entries("properties")).alias("position", "e")).select("dataset_id", "position", "e.key", "e.value")
-    found = long.groupBy("dataset_id", F.col("key").alias("column")).agg(
-        F.min("position").cast("bigint").alias("position"), F.count("value").alias("non_null"), F.min("value").alias("sample"),
-        F.count_if(F.col("value").try_cast("bigint").isNotNull()).alias("n_int"), F.count_if(F.col("value").try_cast("double").isNotNull()).alias("n_num"),
-    )
-    kind = F.when((F.col("n_num") < F.col("non_null")) | (F.col("non_null") == 0), "string").when(F.col("n_int") < F.col("non_null"), "double").otherwise("bigint")
-    none = F.lit(0).cast("bigint").alias("n_bad")
-    properties = found.join(totals.select("dataset_id", "n"), "dataset_id").withColumn("type", kind).select(*CATALOG[:-1], none)
-    shapes = totals.select(
-        "dataset_id", F.lit(1 << 20).cast("bigint").alias("position"), F.lit("geometry").alias("column"), F.lit("string").alias("type"),
-        F.col("located").alias("non_null"), "n", F.col("wkt").alias("sample"), none,
-    )
-    return properties.unionByName(shapes)
-
-
-def batch_profile(spark: SparkSession, requested: DataFrame, directory: str, extensions: Sequence[str] = tuple(SUPPORTED_EXTENSIONS)) -> DataFrame:
-    """One row per requested path: a profile, or a typed error.
-
-    ``requested`` has a ``path`` column. All delimited files are profiled by one
-    job and all GeoJSON files by another; a path that is missing, of another
-    type, or without columns becomes an error row. File scans list no file of
-    zero bytes, so such a file counts as missing.
-    """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    sizes = listing.select(files.path_key(F.col("path")).alias("path"), F.round(F.col("length") / 1024, 2).alias("size_kb"))
-    asked = requested.select(files.path_key(F.col("path")).alias("path")).distinct().join(sizes, "path", "left").withColumn("ext", files.extension(F.col("path")))
-    catalog = delimited_catalog(spark, directory).unionByName(geojson_catalog(spark, directory))
-    encoding = detect.detect_geometry(catalog).select("dataset_id", F.col("label").alias("geotransformation"), "method")
-    bad = catalog.groupBy("dataset_id").agg(F.max("n_bad").alias("n_bad"))
-    report = profile.dataset_completeness(catalog).join(encoding, "dataset_id").join(bad, "dataset_id").select(
-        F.col("dataset_id").alias("path"),
-        F.struct("n_rows", "n_columns", "mean_pct", "std_pct", "geotransformation", "method", "n_bad").alias("profile"),
-    )
-    joined = asked.join(report, "path", "left")
-    readable = F.col("ext").isin(".csv", ".txt", ".geojson", ".json")
-    error = (
-        F.when(F.col("size_kb").isNull(), F.concat(F.lit("File not found: "), F.col("path")))
-        .when(~F.col("ext").isin(*extensions), F.concat(F.lit("Unsupported file extension: "), F.col("ext")))
-        .when(~readable, F.concat(F.lit("NotImplementedError: no reader for "), F.col("ext")))
-        .when(F.col("profile").isNull(), F.lit("No metadata extracted"))
-    )
-    return joined.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), error.isNull().alias("success"), error.alias("error"), "size_kb",
-        F.when(error.isNull(), F.col("profile")).alias("profile"),
-    )

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from terraprofile.functions.tables import ENGLISH
 from terraprofile.operators import report
-from terraprofile.plans.dataset_profile import batch_profile, dataset_profile
+from terraprofile.plans.batch_report import batch_profile
+from terraprofile.plans.dataset_profile import dataset_profile
 from terraprofile.plans.fixtures import Inputs
-from terraprofile.plans.queries_geometry import polygons
+from terraprofile.plans.queries_geometry import POLY_VERTICES, forward_sql, polygons
 from terraprofile.plans.queries_metrics import territory
 from terraprofile.plans.queries_sources import collections_of
-from terraprofile.plans.queries_table import POINTS
+from terraprofile.plans.queries_table import POINTS, POLYS
 from terraprofile.plans.registry import query
 from terraprofile.session import scratch_path
 
@@ -33,13 +34,41 @@ def _(t: Inputs):
     return report.flatten_profile(dataset_profile(t.view("geo_codes"), "geo_codes", key_order=["c_custkey"]))
 
 
-@query("batch_with_errors", """
-WITH p AS (SELECT event_type, count(*) AS n_rows, count(longitude) / count(*) AS lon, count(latitude) / count(*) AS lat FROM geo_points GROUP BY event_type),
-ok AS (SELECT concat(event_type, '.csv') AS file_name, true AS success, CAST(NULL AS VARCHAR) AS error, n_rows, CAST(5 AS BIGINT) AS n_columns,
- round((3 + lon + lat) / 5 * 100, 1) AS mean_pct, 'Présence géométrie séparée (x,y)' AS geotransformation FROM p)
-SELECT * FROM ok UNION ALL SELECT 'missing.csv', false, 'File not found', NULL, NULL, NULL, NULL UNION ALL SELECT 'note.pdf', false, 'Unsupported file extension', NULL, NULL, NULL, NULL
-UNION ALL SELECT 'area.shp', false, 'NotImplementedError', NULL, NULL, NULL, NULL
-UNION ALL SELECT concat('nation_', n_nationkey, '.geojson'), true, NULL, CAST(1 AS BIGINT), CAST(3 AS BIGINT), 100.0::DOUBLE, 'Présence Géométrie' FROM nation""", POINTS)
+# one file per event type and eighth of the events; the note is a quoted cell with a line break and quotes
+BATCH_ROWS = """f AS (SELECT concat(event_type, '_', event_id % 8, '.csv') AS file_name, CAST(10000 + event_id % 80000 AS VARCHAR) AS code_insee, event_id, user_id, longitude, latitude,
+ CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('user ', user_id, chr(10), 'did "', event_type, '", once') END AS note FROM geo_points)"""
+_M = "longitude BETWEEN -5.5 AND 10.0 AND latitude BETWEEN 41.0 AND 51.5"
+_PX, _PY = forward_sql(2154, "longitude", "latitude")
+_VX, _VY = forward_sql(2154, "x", "y")
+
+
+def _column_json(columns: str) -> str:
+    """The column table as JSON, from (name, type, present values, smallest value)."""
+    one = """concat('{{"position":', {i}, ',"Colonne":"{n}"', CASE WHEN {e} IS NULL THEN ',"Exemple":"N/A"' ELSE concat(',"Exemple":', to_json({e})) END, ',"Type":"{t}","Valeurs manquantes":', {m}, '}}')"""
+    parts = [one.format(i=i, n=n, t=t, m=m, e=e) for i, (n, t, m, e) in enumerate(columns)]
+    return "concat('[', " + ", ',', ".join(parts) + ", ']')"
+
+
+_POINT_COLUMNS = _column_json(
+    [(n, t, f"count(*) - count({n})", f"min(CAST({n} AS VARCHAR))") for n, t in (("code_insee", "bigint"), ("event_id", "bigint"), ("user_id", "bigint"), ("longitude", "double"), ("latitude", "double"), ("note", "string"))]
+)
+
+
+@query("batch_with_errors", f"""
+WITH {BATCH_ROWS}, {POLY_VERTICES},
+n AS (SELECT file_name, count(*) AS n_rows, list_transform([count(longitude), count(latitude), count(note)], lambda k: k / count(*)) AS r, {_POINT_COLUMNS} AS columns FROM f GROUP BY file_name),
+m AS (SELECT file_name, count(*) AS n, count(DISTINCT concat(longitude, ' ', latitude)) AS n_distinct, (max({_PX}) - min({_PX})) * (max({_PY}) - min({_PY})) / 1e6::DOUBLE AS extent FROM f WHERE {_M} GROUP BY file_name),
+points AS (SELECT file_name, true AS success, CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS n_bad, 'CSV with geometry' AS file_type, n_rows, CAST(6 AS BIGINT) AS n_columns, columns,
+  round(list_avg([1, 1, 1, r[1], r[2], r[3]]) * 100, 1) AS mean_pct, round(list_stddev_pop([0, 0, 0, 1 - r[1], 1 - r[2], 1 - r[3]]) * 100, 1) AS std_pct,
+  '[{{"Reference area":"Code INSEE commune","Identified key":"code_insee"}}]' AS keys, 'Présence géométrie séparée (x,y)' AS label, 100.0::DOUBLE AS keys_pct, 100.0::DOUBLE AS present_pct, 100.0::DOUBLE AS valid_pct, 'EPSG:4326' AS crs, 'Point' AS kinds,
+  round(extent, 2) AS extent_km2, round(n / extent, 2) AS density, 100.0::DOUBLE AS fill_rate_pct, CAST(NULL AS DOUBLE) AS complexity, round((n - n_distinct) * 100.0::DOUBLE / n, 2) AS duplicate_pct, 'Ponctuelle (géométrie) + Commune / INSEE' AS granularity FROM n JOIN m USING (file_name)),
+b AS (SELECT n_nationkey, (max({_VX}) - min({_VX})) * (max({_VY}) - min({_VY})) / 1e6::DOUBLE AS extent FROM v WHERE n_nationkey < 25 GROUP BY n_nationkey),
+shapes AS (SELECT concat('nation_', n_nationkey, '.geojson') AS file_name, true AS success, CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS n_bad, 'Geospatial' AS file_type, CAST(1 AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
+  {_column_json([("n_nationkey", "bigint", "0", "CAST(n_nationkey AS VARCHAR)"), ("n_name", "string", "0", "n_name")]).replace(", ']')", "")}, replace(',{{"position":1048576,"Colonne":"geometry","Exemple":"#","Type":"string","Valeurs manquantes":0}}]', '#', left(geometry, 100))) AS columns,
+  100.0::DOUBLE AS mean_pct, 0.0::DOUBLE AS std_pct, '[]' AS keys, 'Données géographiques' AS label, 0.0::DOUBLE AS keys_pct, 100.0::DOUBLE AS present_pct, 100.0::DOUBLE AS valid_pct, 'EPSG:4326' AS crs, 'Polygon' AS kinds,
+  round(extent, 2) AS extent_km2, round(1 / extent, 2) AS density, 0.0::DOUBLE AS fill_rate_pct, 5.0::DOUBLE AS complexity, 0.0::DOUBLE AS duplicate_pct, 'Surfacique (géométrie)' AS granularity FROM geo_polys JOIN b USING (n_nationkey))
+SELECT * FROM points UNION ALL BY NAME SELECT * FROM shapes
+UNION ALL BY NAME SELECT x[1] AS file_name, false AS success, x[2] AS error FROM (SELECT unnest([['missing.csv', 'File not found'], ['note.pdf', 'Unsupported file extension'], ['area.shp', 'NotImplementedError']]) AS x)""", POINTS + POLYS)
 def _(t: Inputs):
     return batch_files(t)
 
@@ -52,15 +81,20 @@ def batch_files(t: Inputs):
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = path(root).getFileSystem(conf)
     fs.mkdirs(path(root))
-    # one file per event type under a name of its own, as users' folders hold them
-    t.view("geo_points").repartition("event_type").write.partitionBy("event_type").option("header", True).csv(parts)
+    # files under names of their own, as users' folders hold them
+    note = F.concat(F.lit("user "), "user_id", F.lit('\ndid "'), "event_type", F.lit('", once'))
+    rows = t.view("geo_points").select(
+        F.concat("event_type", F.lit("_"), F.col("event_id") % 8).alias("file"), (F.lit(10000) + F.col("event_id") % 80000).alias("code_insee"),
+        "event_id", "user_id", "longitude", "latitude", F.when(F.col("event_id") % 5 != 0, note).alias("note"),
+    )
+    rows.repartition("file").write.partitionBy("file").option("header", True).option("escape", '"').csv(parts)
     names = []
-    for status in fs.globStatus(path(f"{parts}/event_type=*/*.csv")):
+    for status in fs.globStatus(path(f"{parts}/file=*/*.csv")):
         name = status.getPath().getParent().getName().split("=")[1] + ".csv"
         fs.rename(status.getPath(), path(f"{root}/{name}"))
         names.append(name)
     shapes = scratch_path(t.spark, "shapes")
-    collections_of(polygons(t).select("n_nationkey", "n_name", "g"), "n_nationkey", shapes)
+    collections_of(polygons(t).where("n_nationkey < 25").select("n_nationkey", "n_name", "g"), "n_nationkey", shapes)
     for status in fs.globStatus(path(f"{shapes}/part=*/*.txt")):
         name = "nation_" + status.getPath().getParent().getName().split("=")[1] + ".geojson"
         fs.rename(status.getPath(), path(f"{root}/{name}"))
@@ -71,10 +105,21 @@ def batch_files(t: Inputs):
         out.close()
     base = fs.makeQualified(path(root)).toString()
     asked = t.spark.createDataFrame([(f"{base}/{n}",) for n in [*names, "note.pdf", "area.shp", "missing.csv"]], "path string")
-    done = batch_profile(t.spark, asked, root)
+    done = report.flatten_profile(batch_profile(t.spark, asked, root))
     return done.select(
-        "file_name", "success", F.get(F.split("error", ":"), F.lit(0)).alias("error"),
-        "profile.n_rows", "profile.n_columns", "profile.mean_pct", "profile.geotransformation",
+        F.col("Nom du fichier").alias("file_name"), "success", F.get(F.split("error", ":"), F.lit(0)).alias("error"), "n_bad",
+        F.col("Type de fichier").alias("file_type"), F.col("Nb lignes").alias("n_rows"), F.col("Nb colonnes").alias("n_columns"),
+        F.when(F.col("success"), F.col("Colonnes (détails)")).alias("columns"),
+        F.col("`Score de complétude global - Score de complétude moyen (%)`").alias("mean_pct"),
+        F.col("`Score de complétude global - Score de complétude std (%)`").alias("std_pct"),
+        F.to_json("Clés géographiques").alias("keys"), F.col("Géotransformation").alias("label"),
+        F.col("`Score de complétude des clés géographique - Score de complétude moyen (%)`").alias("keys_pct"),
+        F.col("`Score de complétude géographique - Présentes (%)`").alias("present_pct"),
+        F.col("`Score de complétude géographique - Valides (%)`").alias("valid_pct"),
+        F.col("CRS").alias("crs"), F.col("Types de géométrie").alias("kinds"), F.col("Emprise estimée (km2)").alias("extent_km2"),
+        F.col("Densité (obj/km2)").alias("density"), F.col("Taux de remplissage géométrique (%)").alias("fill_rate_pct"),
+        F.col("Complexité moyenne des géométries").alias("complexity"), F.col("Part des geometries dupliquees (%)").alias("duplicate_pct"),
+        F.col("Granularité").alias("granularity"),
     )
 
 
