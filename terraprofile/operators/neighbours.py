@@ -10,8 +10,9 @@ cell or place; no step meets all pairs of a group.
 
 from __future__ import annotations
 
+import hashlib
 import math
-import random
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,10 @@ NEIGHBOURS = 4
 LEAF_CAPACITY = 32
 MAX_LEVEL = 30
 HOT_VERTEX = 1000
+SUBSETS = 10
 PERMUTATIONS = 999
+CHUNK = 125
+SEED = 12345
 SIGNIFICANT = 0.05
 CELL = ["lvl", "cx", "cy"]
 
@@ -258,30 +262,73 @@ def queen_groups(df: DataFrame, geometry: str, value: Column) -> DataFrame:
     )
 
 
-def queen_sums(groups: DataFrame, hot: int = HOT_VERTEX) -> DataFrame:
-    """Per shape the number and value sum of the rows of other shapes sharing a vertex.
-
-    Vertices of few shapes give pairs. A vertex of more than ``hot`` shapes does
-    not: shapes are summed by the set of hot vertices they have, and sets that
-    share one are combined; pairs already met there are left out of the rest.
-    """
-    corner = groups.select("g", "m", "s", F.explode("v").alias("p"))
+def _corners(groups: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Shapes by vertices that few others have, and per shape the set of its crowded ones."""
+    corner = groups.select("g", F.explode("v").alias("p"))
     degree = corner.groupBy("p").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > 1)
     shared = corner.join(degree, "p")
-    sets = shared.where(F.col("deg") > hot).groupBy("g").agg(F.sort_array(F.collect_set("p")).alias("hot"), F.first("m").alias("m"), F.first("s").alias("s"))
-    few = shared.where(F.col("deg") <= hot).select("p", "g", "m", "s")
-    few = few.join(sets.select("g", "hot"), "g", "left")
+    sets = shared.where(F.col("deg") > hot).groupBy("g").agg(F.sort_array(F.collect_set("p")).alias("hot"))
+    return shared.where(F.col("deg") <= hot).select("p", "g"), sets
+
+
+def queen_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
+    """Directed pairs of shapes that share a vertex of few shapes and no crowded one."""
+    few = few.join(sets, "g", "left")
     a = few.select("p", F.col("g").alias("a"), F.col("hot").alias("ha"))
-    b = few.select("p", F.col("g").alias("b"), F.col("hot").alias("hb"), F.col("m").alias("bm"), F.col("s").alias("bs"))
+    b = few.select("p", F.col("g").alias("b"), F.col("hot").alias("hb"))
     met = F.coalesce(F.arrays_overlap("ha", "hb"), F.lit(False))
-    pairs = a.join(b, "p").where((F.col("a") != F.col("b")) & ~met).groupBy("a", "b").agg(F.first("bm").alias("bm"), F.first("bs").alias("bs"))
-    direct = pairs.groupBy(F.col("a").alias("g")).agg(F.sum("bm").alias("cnt"), F.sum("bs").alias("sum"))
-    by_set = sets.groupBy("hot").agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
+    return a.join(b, "p").where((F.col("a") != F.col("b")) & ~met).select("a", "b").distinct()
+
+
+def _subsets(hot: Column) -> Column:
+    """Every non-empty subset of a set, with the sign it has in inclusion and exclusion."""
+    empty = F.array(F.struct(F.lit(-1).alias("sign"), F.slice(hot, 1, 0).alias("part")))
+    grown = F.aggregate(
+        hot, empty, lambda acc, p: F.concat(acc, F.transform(acc, lambda s: F.struct((-s["sign"]).alias("sign"), F.concat(s["part"], F.array(p)).alias("part"))))
+    )
+    return F.filter(grown, lambda s: F.size(s["part"]) > 0)
+
+
+def _crowded_links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which sets of crowded vertices overlap, without meeting them pairwise.
+
+    Of sets with up to ``SUBSETS`` vertices, those that overlap a set follow from the sums over all
+    sets that contain each of its subsets: rows (g, part, sign). Only larger sets are met in pairs.
+    Both give directed links between all shapes with a crowded vertex, each with itself too.
+    """
+    small = sets.where(F.size("hot") <= SUBSETS).select("g", F.explode(_subsets(F.col("hot"))).alias("s")).select("g", "s.part", "s.sign")
+    by_set = sets.select("hot").distinct()
     left = by_set.select(F.col("hot").alias("ha"), F.explode("hot").alias("p"))
-    right = by_set.select(F.col("hot").alias("hb"), "m", "s", F.explode("hot").alias("p"))
-    linked = left.join(right, "p").select("ha", "hb", "m", "s").distinct().groupBy("ha").agg(F.sum("m").alias("cnt"), F.sum("s").alias("sum"))
-    through_hot = sets.join(linked, F.col("hot") == F.col("ha")).select("g", (F.col("cnt") - F.col("m")).alias("cnt"), (F.col("sum") - F.col("s")).alias("sum"))
-    return direct.unionByName(through_hot).groupBy("g").agg(F.sum("cnt").alias("cnt"), F.sum("sum").alias("sum"))
+    right = by_set.select(F.col("hot").alias("hb"), F.explode("hot").alias("p"))
+    large = (F.size("ha") > SUBSETS) | (F.size("hb") > SUBSETS)
+    pairs = left.where(F.size("ha") > SUBSETS).join(right, "p").unionByName(left.where(F.size("ha") <= SUBSETS).join(right.where(F.size("hb") > SUBSETS), "p"))
+    return small, pairs.where(large).select("ha", "hb").distinct()
+
+
+def queen_sums(groups: DataFrame, hot: int = HOT_VERTEX) -> DataFrame:
+    """Per shape the number and value sum of the rows of other shapes sharing a vertex.
+
+    Vertices of few shapes give pairs. Vertices of more than ``hot`` shapes do not: shapes meet
+    there through sums over sets of such vertices; pairs met there are left out of the rest.
+    """
+    few, sets = _corners(groups, hot)
+    own = groups.select("g", "m", "s")
+    pairs = queen_pairs(few, sets).join(own.select(F.col("g").alias("b"), "m", "s"), "b")
+    direct = pairs.groupBy(F.col("a").alias("g")).agg(F.sum("m").alias("cnt"), F.sum("s").alias("sum"))
+    small, linked = _crowded_links(sets)
+    parts = small.join(own, "g")
+    of_part = parts.groupBy("part").agg(F.sum("m").alias("pm"), F.sum("s").alias("ps"))
+    through = parts.join(of_part, "part").groupBy("g").agg(
+        (F.sum(F.col("sign") * F.col("pm")) - F.first("m")).alias("cnt"), (F.sum(F.col("sign") * F.col("ps")) - F.first("s")).alias("sum")
+    )
+    by_set = sets.join(own, "g").groupBy("hot").agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
+    far = linked.join(by_set, F.col("hb") == F.col("hot")).groupBy("ha").agg(F.sum("m").alias("lm"), F.sum("s").alias("ls"))
+    # a large set meets itself among its pairs, so its shapes leave themselves out here
+    large = F.size("hot") > SUBSETS
+    through_large = sets.join(own, "g").join(far, F.col("hot") == F.col("ha")).select(
+        "g", (F.col("lm") - F.when(large, F.col("m")).otherwise(0)).alias("cnt"), (F.col("ls") - F.when(large, F.col("s")).otherwise(0.0)).alias("sum")
+    )
+    return direct.unionByName(through).unionByName(through_large).groupBy("g").agg(F.sum("cnt").alias("cnt"), F.sum("sum").alias("sum"))
 
 
 def moran_queen(df: DataFrame, geometry: str, value: str, hot: int = HOT_VERTEX) -> DataFrame:
@@ -306,13 +353,14 @@ RANDOM = "Pas d autocorrelation significative (distribution aleatoire)"
 
 
 def dense_index(df: DataFrame, id: str) -> DataFrame:
-    """Number rows 0..n-1 in a fixed scattered order, without a global sort.
+    """Number rows 0..n-1 by the digest of their id.
 
-    Rows are numbered within hash partitions; the partitions' sizes (one row
-    per partition) give the offsets.
+    Rows are dealt by ranges of the digest and sorted there; the ranges' sizes (one row
+    per range) give the offsets.
     """
+    digest = F.md5(col(id).cast("string").cast("binary"))
     spread = materialize(
-        df.repartition(col(id)).sortWithinPartitions(F.xxhash64(col(id)), col(id)).withColumn("_n", F.monotonically_increasing_id()), "numbered"
+        df.withColumn("_h", digest).repartitionByRange("_h").sortWithinPartitions("_h", col(id)).withColumn("_n", F.monotonically_increasing_id()), "numbered"
     )
     part = F.shiftrightunsigned(F.col("_n"), 33)
     sizes = spread.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
@@ -320,46 +368,61 @@ def dense_index(df: DataFrame, id: str) -> DataFrame:
     offsets = sizes.select("part", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("offset"))
     return spread.withColumn("part", part).join(offsets, "part").withColumn(
         "idx", F.col("offset") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
-    ).drop("_n", "part", "offset")
+    ).drop("_h", "_n", "part", "offset")
 
 
-def moran_significance(
-    df: DataFrame, id: str, x: str, y: str, value: str, k: int = NEIGHBOURS, permutations: int = PERMUTATIONS, seed: int = 12345
-) -> DataFrame:
-    """Pseudo p-value and z-score of :func:`moran_knn` against random relabelling.
+def affine_maps(n: int, permutations: int, seed: int) -> list[tuple[int, int, int]]:
+    """(r, a, b) of the permutations i -> (a i + b) mod n, r 0 being the identity.
 
-    A permutation sends index i to (a i + b) mod n, with a coprime to n, over
-    rows numbered in scattered order. Relabelled values are found by an
-    equi-join on the index, so a replicate is never gathered in one task.
+    Both numbers come from a digest of seed and r; a is the next one coprime to n, and so small
+    that a i does not leave 64 bits.
     """
-    rows = df.where(col(x).isNotNull() & col(y).isNotNull() & col(value).isNotNull()).select(
-        col(id).alias("id"), col(x).alias("x"), col(y).alias("y"), col(value).cast("double").alias("v")
-    )
-    t = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var")).first()
-    n, mean, den = t["n"], t["mean"], t["var"] * t["n"]
-    k = max(1, min(k, n - 1))
-    rng = random.Random(seed)
-    top = max(2, min(n, 2**62 // max(n, 1)))
+    draw = lambda r, what: int(hashlib.md5(f"{seed}:{r}:{what}".encode()).hexdigest()[:8], 16)
     maps = [(0, 1, 0)]
-    while len(maps) <= permutations:
-        a = rng.randrange(1, top)
-        if math.gcd(a, n) == 1:
-            maps.append((len(maps), a, rng.randrange(n)))
-    nodes = materialize(dense_index(rows.withColumn("z", F.col("v") - F.lit(mean)).select("id", "z"), "id"), "nodes")
+    for r in range(1, permutations + 1):
+        a = 1 + draw(r, "a") % max(1, min(n - 1, 2**62 // n))
+        while math.gcd(a, n) != 1:
+            a += 1
+        maps.append((r, a, draw(r, "b") % n))
+    return maps
+
+
+def relabelled(rows: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """Per row (id, z) its values under all relabellings, as vectors: id, chunk, zs.
+
+    Values come by an equi-join on the row's number, so no replicate is gathered in one task. A
+    vector holds ``CHUNK`` replicates, those of chunk c being numbered from c * CHUNK.
+    """
+    nodes = materialize(dense_index(rows, "id"), "nodes")
+    maps = affine_maps(n, permutations, seed)
     table = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for r, a, b in maps])
     moved = nodes.select("id", "idx", F.explode(table).alias("p")).select(
         "id", F.col("p.r").alias("r"), F.pmod(F.col("idx") * F.col("p.a") + F.col("p.b"), F.lit(n)).alias("at")
     )
-    relabelled = moved.join(nodes.select(F.col("idx").alias("at"), "z"), "at")
-    # one array of permutations + 1 values per row
-    arrays = materialize(
-        relabelled.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "z"))), lambda e: e["z"]).alias("zs")), "relabelled"
-    )
-    edges = knn_edges(rows, "id", "x", "y", k).select("src", "dst")
-    near = edges.join(arrays.select(F.col("id").alias("dst"), F.col("zs").alias("zd")), "dst")
-    both = near.join(arrays.select(F.col("id").alias("src"), F.col("zs").alias("z0")), "src")
-    products = both.select(F.posexplode(F.zip_with("z0", "zd", lambda p, q: p * q)).alias("r", "v"))
-    stats = products.groupBy("r").agg((F.sum("v") / F.lit(float(k)) / F.lit(den)).alias("i"))
+    chunk = F.floor(F.col("r") / CHUNK).cast("int").alias("chunk")
+    vector = F.transform(F.sort_array(F.collect_list(F.struct("r", "z"))), lambda e: e["z"])
+    found = moved.join(nodes.select(F.col("idx").alias("at"), "z"), "at")
+    return materialize(found.groupBy("id", chunk).agg(vector.alias("zs")), "relabelled")
+
+
+def vector_sums(df: DataFrame, keys: Sequence[str], **vectors: Column) -> DataFrame:
+    """Sums of vectors, element by element: one fixed-size partial sum a key and task."""
+    elements = lambda v: F.array(*[F.sum(F.get(v, F.lit(i))) for i in range(CHUNK)])
+    return df.groupBy(*keys).agg(*[elements(v).alias(name) for name, v in vectors.items()])
+
+
+def _times(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda p, q: p * q)
+
+
+def _by_replicate(sums: DataFrame, vector: str) -> DataFrame:
+    """(r, num) from rows of chunk sums; rows of one replicate are added."""
+    long = sums.select("chunk", F.posexplode(vector).alias("k", "v")).where("v IS NOT NULL")
+    return long.groupBy((F.col("chunk") * CHUNK + F.col("k")).alias("r")).agg(F.sum("v").alias("num"))
+
+
+def _significance_row(stats: DataFrame, n: int, permutations: int) -> DataFrame:
+    """The report of a permutation test from (r, i), the index under each relabelling, 0 being none."""
     observed = F.max(F.when(F.col("r") == 0, F.col("i")))
     summary = stats.agg(
         observed.alias("i"),
@@ -367,14 +430,89 @@ def moran_significance(
         F.stddev_pop(F.when(F.col("r") > 0, F.col("i"))).alias("std"),
         F.collect_list(F.when(F.col("r") > 0, F.col("i"))).alias("sims"),
     )
-    larger = F.size(F.filter("sims", lambda s: s >= F.col("i")))
+    # a relabelling that changes nothing counts as reaching the index, whatever the order of its sum
+    larger = F.size(F.filter("sims", lambda s: s >= F.col("i") - F.abs("i") * 1e-9))
     tail = F.least(larger, F.lit(permutations) - larger)
-    p = (tail + 1) / F.lit(permutations + 1.0)
-    text = F.when(p >= SIGNIFICANT, RANDOM).when(F.col("i") > 0, POSITIVE).otherwise(NEGATIVE)
+    p = F.when(F.col("i").isNotNull(), (tail + 1) / F.lit(permutations + 1.0))
+    text = F.when(p >= SIGNIFICANT, RANDOM).when(F.col("i") > 0, POSITIVE).when(p.isNotNull(), NEGATIVE)
     return summary.select(
         F.round("i", 4).alias("moran_i"),
-        F.round(F.lit(-1.0) / (n - 1), 4).alias("expected_i"),
+        F.round(F.try_divide(F.lit(-1.0), F.lit(n - 1)), 4).alias("expected_i"),
         F.round(p, 4).alias("p_value"),
         F.round(F.try_divide(F.col("i") - F.col("mean"), F.col("std")), 4).alias("z_score"),
         text.alias("interpretation"),
+        F.lit(n).cast("bigint").alias("n"),
+    )
+
+
+def _totals(rows: DataFrame, value: str) -> tuple[int, float, float]:
+    t = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")).first()
+    return t["n"], t["mean"] or 0.0, (t["var"] or 0.0) * t["n"]
+
+
+def moran_significance(
+    df: DataFrame, id: str, x: str, y: str, value: str, k: int = NEIGHBOURS, permutations: int = PERMUTATIONS, seed: int = SEED
+) -> DataFrame:
+    """:func:`moran_knn` with pseudo p-value, z-score and reading against random relabelling.
+
+    Fewer than two rows, or values that are all equal, give NULL figures.
+    """
+    rows = df.where(col(x).isNotNull() & col(y).isNotNull() & col(value).isNotNull()).select(
+        col(id).alias("id"), col(x).alias("x"), col(y).alias("y"), col(value).cast("double").alias("v")
+    )
+    n, mean, den = _totals(rows, "v")
+    if n < 2:
+        return _significance_row(df.sparkSession.createDataFrame([], "r int, i double"), n, permutations)
+    k = max(1, min(k, n - 1))
+    vectors = relabelled(rows.select("id", (F.col("v") - F.lit(mean)).alias("z")), n, permutations, seed)
+    edges = knn_edges(rows, "id", "x", "y", k).select("src", "dst")
+    near = edges.join(vectors.select(F.col("id").alias("dst"), "chunk", F.col("zs").alias("zd")), "dst")
+    both = near.join(vectors.select(F.col("id").alias("src"), "chunk", F.col("zs").alias("z0")), ["src", "chunk"])
+    sums = vector_sums(both.select("chunk", _times("z0", "zd").alias("v")), ["chunk"], v=F.col("v"))
+    i = F.try_divide(F.col("num"), F.lit(float(k)) * F.lit(den))
+    return _significance_row(_by_replicate(sums, "v").select("r", i.alias("i")), n, permutations)
+
+
+def moran_queen_significance(
+    df: DataFrame, id: str, geometry: str, value: str, hot: int = HOT_VERTEX, permutations: int = PERMUTATIONS, seed: int = SEED
+) -> DataFrame:
+    """:func:`moran_queen` with pseudo p-value, z-score and reading against random relabelling.
+
+    The index is a sum over pairs of shapes of the product of their value sums, for all relabellings
+    at once as vectors; shapes that meet at crowded vertices are summed by sets of these, as there.
+    """
+    rows = df.where(col(geometry).isNotNull() & col(value).isNotNull()).select(
+        col(id).alias("id"), col(geometry).alias("geometry"), col(value).cast("double").alias("v"), F.sha2(G.as_wkt(col(geometry)), 256).alias("g")
     )
+    n, mean, den = _totals(rows, "v")
+    if n < 2:
+        return _significance_row(df.sparkSession.createDataFrame([], "r int, i double"), n, permutations)
+    z = F.col("v") - F.lit(mean)
+    groups = materialize(queen_groups(rows, "geometry", z), "shapes")
+    few, sets = _corners(groups, hot)
+    counts = groups.join(queen_sums(groups, hot), "g", "left").select("g", "m", (F.coalesce("cnt", F.lit(0)) + F.col("m") - 1).alias("around"))
+    counts = materialize(counts.where("around > 0").join(sets, "g", "left"), "around")
+    s0 = counts.agg(F.sum("m")).first()[0] or 0
+    vectors = relabelled(rows.select("id", z.alias("z")), n, permutations, seed)
+    # value sums and sums of squares per shape; of few rows each, as equal shapes are one
+    per_shape = vector_sums(rows.select("id", "g").join(vectors, "id").withColumn("qs", _times("zs", "zs")), ["g", "chunk"], s=F.col("zs"), q=F.col("qs"))
+    shapes = materialize(per_shape.join(counts.select("g", "around", "hot"), "g"), "shape-vectors")
+    weighted = F.transform("s", lambda v: v / F.col("around"))
+    one = shapes.select("g", "chunk", "s", weighted.alias("w"))
+    other = one.select(F.col("g").alias("b"), "chunk", F.col("s").alias("t"))
+    product = lambda df, a, b: vector_sums(df.select("chunk", _times(a, b).alias("v")), ["chunk"], v=F.col("v"))
+    across = product(queen_pairs(few, sets).join(one, F.col("a") == F.col("g")).join(other, ["b", "chunk"]), "w", "t")
+    # rows of a shape among themselves; with a crowded vertex the shape also meets itself among the sets
+    square = F.when(F.col("hot").isNull(), _times("s", "s")).otherwise(F.transform("s", lambda v: v * 0.0))
+    among = F.zip_with(square, "q", lambda a, b: (a - b) / F.col("around"))
+    inside = vector_sums(shapes.select("chunk", among.alias("v")), ["chunk"], v=F.col("v"))
+    small, linked = _crowded_links(sets)
+    by_part = vector_sums(small.join(one, "g"), ["part", "sign", "chunk"], s=F.col("s"), w=F.col("w"))
+    signed = by_part.select("chunk", F.transform(_times("s", "w"), lambda v: v * F.col("sign")).alias("v"))
+    crowded = vector_sums(signed, ["chunk"], v=F.col("v"))
+    by_set = vector_sums(sets.join(one, "g"), ["hot", "chunk"], s=F.col("s"), w=F.col("w"))
+    ends = linked.join(by_set.select(F.col("hot").alias("ha"), "chunk", "w"), "ha").join(by_set.select(F.col("hot").alias("hb"), "chunk", "s"), ["hb", "chunk"])
+    large = product(ends, "w", "s")
+    num = _by_replicate(across.unionByName(inside).unionByName(crowded).unionByName(large), "v")
+    i = F.try_divide(F.lit(float(n)) * F.col("num"), F.lit(float(s0)) * F.lit(den))
+    return _significance_row(num.select("r", i.alias("i")), n, permutations)

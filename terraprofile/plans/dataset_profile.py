@@ -205,9 +205,9 @@ def default_geo_profile(spark: SparkSession) -> DataFrame:
 
 def compute_all_metrics(
     df: DataFrame, key: str, geometry: str, territory: Territory | None = None, value: str | None = None, epsg: int = 2154,
-    grid_size: float = metrics.GRID_SIZE, kind: str | None = None,
+    grid_size: float = metrics.GRID_SIZE, kind: str | None = None, permutations: int = neighbours.PERMUTATIONS,
 ) -> DataFrame:
-    """Fill rate, complexity, duplicates, grid variation, coverage and Moran's I, as structs.
+    """Fill rate, complexity, duplicates, grid variation, coverage and Moran's I with its significance, as structs.
 
     ``df`` is in metric coordinates of ``epsg``. The most frequent family of
     kinds (points, lines, polygons; ties in this order) decides the method unless
@@ -231,12 +231,12 @@ def compute_all_metrics(
         ring = hull.convex_hull(pts, F.col("_x"), F.col("_y"))
         fill = metrics.fill_rate_points(pts, "_x", "_y", hull=ring)
         variation = metrics.grid_variation_points(pts, "_x", "_y", grid_size)
-        moran = neighbours.moran_knn(pts, key, "_x", "_y", value) if value else None
+        moran = neighbours.moran_significance(pts, key, "_x", "_y", value, permutations=permutations) if value else None
         coverage = cover.coverage_hull(ref, "ref", ring, territory.overlaps) if ref is not None else None
     else:
         f = cover.frame(cover.geometry_box(rows, geometry))
         variation = metrics.grid_variation_geometry(rows, geometry, grid_size)
-        moran = neighbours.moran_queen(rows, geometry, value) if value else None
+        moran = neighbours.moran_queen_significance(rows, key, geometry, value, permutations=permutations) if value else None
         if kind == "LINESTRING":
             segs = cover.segments(rows, geometry)
             fill = cover.fill_rate_lines(segs).select("fill_rate")

@@ -1,5 +1,8 @@
 """Hulls, coverage, grids and neighbour statistics against direct computation."""
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +247,52 @@ def test_unknown_crs_is_compared_as_it_is(spark):
     territory = Territory(shapes(spark, box_wkt(9e8, 9e8, 9e8 + 4, 9e8 + 4)), "g", 4326, overlaps=False)
     row = profile_points(frame(spark, x=[9e8, 9e8 + 2], y=[9e8, 9e8 + 4]), "x", "y", territory=territory).first()
     assert row.crs == "Unknown" and row.coverage_pct == 50
+
+
+def significance_directly(weights, z, permutations, ids):
+    """Index and replicates from a dense row-standardised weight matrix."""
+    n = len(z)
+    rank = {i: k for k, i in enumerate(sorted(ids, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)))}
+    at = np.array([rank[i] for i in ids])
+    by_rank = np.empty(n)
+    by_rank[at] = z
+    s0 = (weights.sum(axis=1) > 0).sum()
+    index = [n * (v @ weights @ v) / (s0 * (z @ z)) for _, a, b in neighbours.affine_maps(n, permutations, neighbours.SEED) for v in [by_rank[(a * at + b) % n]]]
+    i, sims = index[0], np.array(index[1:])
+    larger = int((sims >= i - abs(i) * 1e-9).sum())
+    return i, (min(larger, permutations - larger) + 1) / (permutations + 1), (i - sims.mean()) / sims.std()
+
+
+@pytest.mark.parametrize("hot, subsets", [(1000, 10), (2, 10), (2, 1), (1, 2)])
+def test_significance_of_shapes(spark, monkeypatch, hot, subsets):
+    monkeypatch.setattr(neighbours, "SUBSETS", subsets)
+    chance = random.Random(hot + subsets)
+    corners = [(chance.randrange(5), chance.randrange(5)) for _ in range(34)]
+    texts = [f"POLYGON (({a} {b}, {a + 1} {b}, {a + 1} {b + 1}, {a} {b + 1}, {a} {b}))" for a, b in corners]
+    values = [float(chance.randrange(50)) for _ in texts]
+    df = spark.createDataFrame([(k, t, v) for k, (t, v) in enumerate(zip(texts, values))], "id long, t string, v double").withColumn("g", G.from_wkt(F.col("t")))
+    touch = np.array([[float(i != j and abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1) for j, b in enumerate(corners)] for i, a in enumerate(corners)])
+    weights = touch / np.maximum(touch.sum(axis=1, keepdims=True), 1)
+    i, p, score = significance_directly(weights, np.array(values) - np.mean(values), 150, list(range(len(texts))))
+    got = neighbours.moran_queen_significance(df, "id", "g", "v", hot, permutations=150).first()
+    assert (got["moran_i"], got["p_value"], got["z_score"]) == (pytest.approx(i, abs=1e-4), pytest.approx(p, abs=1e-4), pytest.approx(score, abs=1e-4))
+    assert neighbours.moran_queen(df, "g", "v", hot).first()["moran_i"] == pytest.approx(i, abs=1e-4)
+
+
+def test_significance_of_nothing_and_of_equal_values(spark):
+    df = spark.createDataFrame([(k, float(k), 0.0, 1.0) for k in range(5)], "id long, x double, y double, v double")
+    none = neighbours.moran_significance(df.where("id = 1"), "id", "x", "y", "v", permutations=9).first()
+    assert none["n"] == 1 and none["moran_i"] is None and none["interpretation"] is None
+    assert neighbours.moran_significance(df, "id", "x", "y", "v", permutations=9).first()["p_value"] is None
+
+
+def test_ten_thousand_sets_over_shared_vertices(spark):
+    # every shape has the two crowded vertices and one of its own pair
+    n = 10_000
+    rows = spark.range(n).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("g"),
+        F.array(G.xy(F.lit(0), F.lit(0)), G.xy(F.lit(1), F.lit(0)), G.xy(F.floor(F.col("id") / 2) + 2, F.lit(5))).alias("v"),
+        F.lit(1).cast("bigint").alias("m"), F.lit(1.0).alias("s"), F.lit(1.0).alias("ss"),
+    )
+    sums = neighbours.queen_sums(rows, 100)
+    assert sums.where((F.col("cnt") != n - 1) | (F.col("sum") != n - 1.0)).count() == 0 and sums.count() == n
