@@ -29,10 +29,13 @@ SELECT o_orderkey AS road_id,
   CASE WHEN o_orderkey % 29 = 0 THEN 'n/a' ELSE concat(CAST((o_orderkey*7) % 9 AS [S]), '.', lpad(CAST((o_orderkey*131 + 50) % 1000 AS [S]), 3, '0')) END AS "xF",
   concat(CAST(42 + (o_custkey*5) % 9 AS [S]), ',', lpad(CAST((o_custkey*77 + 25) % 1000 AS [S]), 3, '0')) AS "yF"
   FROM {orders}""",
+    # tiles of a lattice, two neighbouring rows at a time; some lie beyond the points and beyond the bounds
     "geo_polys": """
-SELECT n_nationkey, n_regionkey, n_name,
-  concat('POLYGON ((', CAST(a AS [S]), ' ', CAST(b AS [S]), ', ', CAST(a+3 AS [S]), ' ', CAST(b AS [S]), ', ', CAST(a+3 AS [S]), ' ', CAST(b+2 AS [S]), ', ', CAST(a AS [S]), ' ', CAST(b+2 AS [S]), ', ', CAST(a AS [S]), ' ', CAST(b AS [S]), '))') AS geometry
-  FROM (SELECT n_nationkey, n_regionkey, n_name, -5 + 3*(n_nationkey % 5) AS a, 41 + 2*CAST(FLOOR(n_nationkey/5) AS INT) AS b FROM {nation}) t""",
+SELECT poly_id, zone, label_text,
+  concat('POLYGON ((', x0, ' ', y0, ', ', x1, ' ', y0, ', ', x1, ' ', y1, ', ', x0, ' ', y1, ', ', x0, ' ', y0, '))') AS geometry
+  FROM (SELECT poly_id, zone, label_text, CAST(CAST(a AS DOUBLE)/1000 AS [S]) AS x0, CAST(CAST(a + 200 AS DOUBLE)/1000 AS [S]) AS x1, CAST(CAST(b AS DOUBLE)/1000 AS [S]) AS y0, CAST(CAST(b + 40 AS DOUBLE)/1000 AS [S]) AS y1
+    FROM (SELECT CAST(p_partkey AS INT) AS poly_id, CAST(p_partkey % 5 AS INT) AS zone, concat(p_name, ' ', CAST(p_partkey AS [S])) AS label_text, -9475 + 200*(p_partkey % 100) AS a,
+      41510 + 40*((74*CAST(FLOOR(p_partkey/200) AS BIGINT) + CAST(FLOOR(p_partkey/100) AS BIGINT) % 2) % 200) AS b FROM {part}) k) t""",
     "geo_codes": """
 SELECT c_custkey, c_mktsegment,
   lpad(CAST((c_custkey*37) % 95000 + 1000 AS [S]), 5, '0') AS code_insee,

@@ -62,11 +62,11 @@ points AS (SELECT file_name, true AS success, CAST(NULL AS VARCHAR) AS error, CA
   round(list_avg([1, 1, 1, r[1], r[2], r[3]]) * 100, 1) AS mean_pct, round(list_stddev_pop([0, 0, 0, 1 - r[1], 1 - r[2], 1 - r[3]]) * 100, 1) AS std_pct,
   '[{{"Reference area":"Code INSEE commune","Identified key":"code_insee"}}]' AS keys, 'Présence géométrie séparée (x,y)' AS label, 100.0::DOUBLE AS keys_pct, 100.0::DOUBLE AS present_pct, 100.0::DOUBLE AS valid_pct, 'EPSG:4326' AS crs, 'Point' AS kinds,
   round(extent, 2) AS extent_km2, round(n / extent, 2) AS density, 100.0::DOUBLE AS fill_rate_pct, CAST(NULL AS DOUBLE) AS complexity, round((n - n_distinct) * 100.0::DOUBLE / n, 2) AS duplicate_pct, 'Ponctuelle (géométrie) + Commune / INSEE' AS granularity FROM n JOIN m USING (file_name)),
-b AS (SELECT n_nationkey, (max({_VX}) - min({_VX})) * (max({_VY}) - min({_VY})) / 1e6::DOUBLE AS extent FROM v WHERE n_nationkey < 25 GROUP BY n_nationkey),
-shapes AS (SELECT concat('nation_', n_nationkey, '.geojson') AS file_name, true AS success, CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS n_bad, 'Geospatial' AS file_type, CAST(1 AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
-  {_column_json([("n_nationkey", "bigint", "0", "CAST(n_nationkey AS VARCHAR)"), ("n_name", "string", "0", "n_name")]).replace(", ']')", "")}, replace(',{{"position":1048576,"Colonne":"geometry","Exemple":"#","Type":"string","Valeurs manquantes":0}}]', '#', left(geometry, 100))) AS columns,
+b AS (SELECT poly_id, (max({_VX}) - min({_VX})) * (max({_VY}) - min({_VY})) / 1e6::DOUBLE AS extent FROM v WHERE poly_id BETWEEN 30 AND 59 GROUP BY poly_id),
+shapes AS (SELECT concat('tile_', poly_id, '.geojson') AS file_name, true AS success, CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS n_bad, 'Geospatial' AS file_type, CAST(1 AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
+  {_column_json([("poly_id", "bigint", "0", "CAST(poly_id AS VARCHAR)"), ("label_text", "string", "0", "label_text")]).replace(", ']')", "")}, replace(',{{"position":1048576,"Colonne":"geometry","Exemple":"#","Type":"string","Valeurs manquantes":0}}]', '#', left(geometry, 100))) AS columns,
   100.0::DOUBLE AS mean_pct, 0.0::DOUBLE AS std_pct, '[]' AS keys, 'Données géographiques' AS label, 0.0::DOUBLE AS keys_pct, 100.0::DOUBLE AS present_pct, 100.0::DOUBLE AS valid_pct, 'EPSG:4326' AS crs, 'Polygon' AS kinds,
-  round(extent, 2) AS extent_km2, round(1 / extent, 2) AS density, 0.0::DOUBLE AS fill_rate_pct, 5.0::DOUBLE AS complexity, 0.0::DOUBLE AS duplicate_pct, 'Surfacique (géométrie)' AS granularity FROM geo_polys JOIN b USING (n_nationkey))
+  round(extent, 2) AS extent_km2, round(1 / extent, 2) AS density, 0.0::DOUBLE AS fill_rate_pct, 5.0::DOUBLE AS complexity, 0.0::DOUBLE AS duplicate_pct, 'Surfacique (géométrie)' AS granularity FROM geo_polys JOIN b USING (poly_id))
 SELECT * FROM points UNION ALL BY NAME SELECT * FROM shapes
 UNION ALL BY NAME SELECT x[1] AS file_name, false AS success, x[2] AS error FROM (SELECT unnest([['missing.csv', 'File not found'], ['note.pdf', 'Unsupported file extension'], ['area.shp', 'NotImplementedError']]) AS x)""", POINTS + POLYS)
 def _(t: Inputs):
@@ -94,9 +94,9 @@ def batch_files(t: Inputs):
         fs.rename(status.getPath(), path(f"{root}/{name}"))
         names.append(name)
     shapes = scratch_path(t.spark, "shapes")
-    collections_of(polygons(t).where("n_nationkey < 25").select("n_nationkey", "n_name", "g"), "n_nationkey", shapes)
+    collections_of(polygons(t).where("poly_id BETWEEN 30 AND 59").select("poly_id", "label_text", "g"), "poly_id", "poly_id", shapes)
     for status in fs.globStatus(path(f"{shapes}/part=*/*.txt")):
-        name = "nation_" + status.getPath().getParent().getName().split("=")[1] + ".geojson"
+        name = "tile_" + status.getPath().getParent().getName().split("=")[1] + ".geojson"
         fs.rename(status.getPath(), path(f"{root}/{name}"))
         names.append(name)
     for extra in ("note.pdf", "area.shp"):

@@ -22,9 +22,9 @@ def num(v: str) -> str:
 
 
 # vertices of the rectangle view, in order: (key, i, x, y)
-POLY_VERTICES = """pv AS (SELECT n_nationkey, generate_subscripts(m, 1) AS i, unnest(m) AS t FROM (SELECT n_nationkey, regexp_extract_all(geometry, '-?[0-9]+ -?[0-9]+') AS m FROM geo_polys)),
-v AS (SELECT n_nationkey, i, CAST(split_part(t, ' ', 1) AS DOUBLE) AS x, CAST(split_part(t, ' ', 2) AS DOUBLE) AS y FROM pv),
-e AS (SELECT n_nationkey, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY n_nationkey ORDER BY i))
+POLY_VERTICES = """pv AS (SELECT poly_id, generate_subscripts(m, 1) AS i, unnest(m) AS t FROM (SELECT poly_id, regexp_extract_all(geometry, '-?[0-9.]+ -?[0-9.]+') AS m FROM geo_polys)),
+v AS (SELECT poly_id, i, CAST(split_part(t, ' ', 1) AS DOUBLE) AS x, CAST(split_part(t, ' ', 2) AS DOUBLE) AS y FROM pv),
+e AS (SELECT poly_id, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY poly_id ORDER BY i))
 """
 
 
@@ -77,9 +77,9 @@ def _(t: Inputs):
     return df.where("g IS NOT NULL").select("road_id", G.as_wkt(F.col("g")).alias("wkt"))
 
 
-@query("geometry_as_wkt", "SELECT n_nationkey, geometry AS wkt FROM geo_polys", POLYS)
+@query("geometry_as_wkt", "SELECT poly_id, geometry AS wkt FROM geo_polys", POLYS)
 def _(t: Inputs):
-    return polygons(t).select("n_nationkey", G.as_wkt(F.col("g")).alias("wkt"))
+    return polygons(t).select("poly_id", G.as_wkt(F.col("g")).alias("wkt"))
 
 
 def polygons(t: Inputs):
@@ -106,7 +106,7 @@ def _(t: Inputs):
 
 
 LINE_MID = "SELECT road_id AS id, (x_s + x_e) / 2 AS cx, (y_s + y_e) / 2 AS cy FROM c"
-AREA_CENTRE = """, a AS (SELECT n_nationkey AS id, sum(x * y2 - x2 * y) AS a2, sum((x + x2) * (x * y2 - x2 * y)) AS sx, sum((y + y2) * (x * y2 - x2 * y)) AS sy FROM e WHERE x2 IS NOT NULL GROUP BY n_nationkey)
+AREA_CENTRE = """, a AS (SELECT poly_id AS id, sum(x * y2 - x2 * y) AS a2, sum((x + x2) * (x * y2 - x2 * y)) AS sx, sum((y + y2) * (x * y2 - x2 * y)) AS sy FROM e WHERE x2 IS NOT NULL GROUP BY poly_id)
 """
 
 
@@ -116,7 +116,7 @@ UNION ALL SELECT 'line', id, round(cx, 6), round(cy, 6) FROM ({LINE_MID})
 UNION ALL SELECT 'point', event_id, longitude, latitude FROM geo_points WHERE longitude IS NOT NULL AND latitude IS NOT NULL""", POLYS + LINES + POINTS)
 def _(t: Inputs):
     rows = (
-        polygons(t).select(F.lit("polygon").alias("layer"), F.col("n_nationkey").cast("bigint").alias("id"), "g")
+        polygons(t).select(F.lit("polygon").alias("layer"), F.col("poly_id").cast("bigint").alias("id"), "g")
         .unionByName(lines(t).select(F.lit("line").alias("layer"), F.col("road_id").alias("id"), "g"))
         .unionByName(points(t).select(F.lit("point").alias("layer"), F.col("event_id").alias("id"), "g"))
     )
@@ -124,39 +124,39 @@ def _(t: Inputs):
     return c.select("layer", "id", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"))
 
 
-@query("vertex_count", f"WITH {POLY_VERTICES} SELECT CAST(n_nationkey AS BIGINT) AS id, count(*) AS n_vertices FROM v GROUP BY n_nationkey UNION ALL SELECT s_suppkey, CAST(len(regexp_extract_all(shape, '[0-9]+ [0-9]+')) AS BIGINT) FROM geo_json WHERE shape LIKE 'LINESTRING%'", POLYS + JSON)
+@query("vertex_count", f"WITH {POLY_VERTICES} SELECT CAST(poly_id AS BIGINT) AS id, count(*) AS n_vertices FROM v GROUP BY poly_id UNION ALL SELECT s_suppkey, CAST(len(regexp_extract_all(shape, '[0-9]+ [0-9]+')) AS BIGINT) FROM geo_json WHERE shape LIKE 'LINESTRING%'", POLYS + JSON)
 def _(t: Inputs):
     json_lines = locate.add_geometry(t.view("geo_json"), "from_wkt", ["shape"], "g").where("g IS NOT NULL").select(F.col("s_suppkey").alias("id"), "g")
-    rows = polygons(t).select(F.col("n_nationkey").cast("bigint").alias("id"), "g").unionByName(json_lines)
+    rows = polygons(t).select(F.col("poly_id").cast("bigint").alias("id"), "g").unionByName(json_lines)
     return rows.select("id", G.vertex_count(F.col("g")).alias("n_vertices"))
 
 
 BOWTIE = r"\(\(([^,]+), ([^,]+), ([^,]+), "
 
 
-@query("is_valid", "SELECT n_nationkey, n_nationkey % 2 = 0 AS valid FROM geo_polys", POLYS)
+@query("is_valid", "SELECT poly_id, poly_id % 2 = 0 AS valid FROM geo_polys", POLYS)
 def _(t: Inputs):
     # two swapped corners make every second rectangle cross itself
     crossed = F.regexp_replace("geometry", BOWTIE, "(($1, $3, $2, ")
-    df = t.view("geo_polys").withColumn("geometry", F.when(F.col("n_nationkey") % 2 == 1, crossed).otherwise(F.col("geometry")))
-    return locate.add_geometry(df, "from_wkt", ["geometry"], "g").select("n_nationkey", G.is_valid(F.col("g")).alias("valid"))
+    df = t.view("geo_polys").withColumn("geometry", F.when(F.col("poly_id") % 2 == 1, crossed).otherwise(F.col("geometry")))
+    return locate.add_geometry(df, "from_wkt", ["geometry"], "g").select("poly_id", G.is_valid(F.col("g")).alias("valid"))
 
 
 @query("area_length", f"""WITH {POLY_VERTICES}
-SELECT n_nationkey, round(abs(sum(CASE WHEN x2 IS NOT NULL THEN x * y2 - x2 * y END)) / 2, 6) AS area, round(sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)), 6) AS length,
-min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM e GROUP BY n_nationkey""", POLYS)
+SELECT poly_id, round(abs(sum(CASE WHEN x2 IS NOT NULL THEN x * y2 - x2 * y END)) / 2, 6) AS area, round(sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)), 6) AS length,
+min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM e GROUP BY poly_id""", POLYS)
 def _(t: Inputs):
     g = F.col("g")
-    return polygons(t).select("n_nationkey", F.round(G.area(g), 6).alias("area"), F.round(G.length(g), 6).alias("length"), G.bbox(g).alias("b")).select(
-        "n_nationkey", "area", "length", "b.*"
+    return polygons(t).select("poly_id", F.round(G.area(g), 6).alias("area"), F.round(G.length(g), 6).alias("length"), G.bbox(g).alias("b")).select(
+        "poly_id", "area", "length", "b.*"
     )
 
 
 @query("filter_bounds_geometry", """
-WITH k AS (SELECT n_nationkey, -5 + 3*(n_nationkey % 5) + 1.5 AS cx, 41 + 2*CAST(FLOOR(n_nationkey/5) AS INT) + 1.0 AS cy FROM geo_polys)
-SELECT n_nationkey FROM k WHERE cx BETWEEN -5.5 AND 4.0 AND cy BETWEEN 41.0 AND 48.0""", POLYS)
+WITH """ + POLY_VERTICES + """, k AS (SELECT poly_id, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy FROM v GROUP BY poly_id)
+SELECT poly_id FROM k WHERE cx BETWEEN -5.5 AND 4.0 AND cy BETWEEN 41.0 AND 48.0""", POLYS)
 def _(t: Inputs):
-    return locate.filter_bounds_geometry(polygons(t), "g", 4326, (-5.5, 41.0, 4.0, 48.0)).select("n_nationkey")
+    return locate.filter_bounds_geometry(polygons(t), "g", 4326, (-5.5, 41.0, 4.0, 48.0)).select("poly_id")
 
 
 # -------------------------------------------------------------------------- CRS
@@ -187,7 +187,7 @@ def _(t: Inputs):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("guess_crs_geometry", guess_sql("cx", "cy", "(SELECT (x1 + 1.5) AS cx, (y1 + 1.0) AS cy FROM (SELECT -5 + 3*(n_nationkey % 5) AS x1, 41 + 2*CAST(FLOOR(n_nationkey/5) AS INT) AS y1 FROM nation))"), ())
+@query("guess_crs_geometry", f"WITH {POLY_VERTICES}, k AS (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy FROM v GROUP BY poly_id) " + guess_sql("cx", "cy", "k"), POLYS)
 def _(t: Inputs):
     return locate.guess_crs_geometry(polygons(t), "g")
 
@@ -291,11 +291,11 @@ def _(t: Inputs):
     return moved.select("event_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
-@query("reproject_geometry", "WITH " + POLY_VERTICES + "SELECT n_nationkey, CAST(i AS BIGINT) AS i, round({}, 3) AS x, round({}, 3) AS y FROM v".format(*forward_sql(2154, "x", "y")), POLYS)
+@query("reproject_geometry", "WITH " + POLY_VERTICES + "SELECT poly_id, CAST(i AS BIGINT) AS i, round({}, 3) AS x, round({}, 3) AS y FROM v".format(*forward_sql(2154, "x", "y")), POLYS)
 def _(t: Inputs):
     moved = locate.reproject_geometry(polygons(t), "g", 4326, 2154)
-    return moved.select("n_nationkey", F.posexplode(G.vertices(F.col("g"))).alias("i", "p")).select(
-        "n_nationkey", (F.col("i") + 1).cast("bigint").alias("i"), F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y")
+    return moved.select("poly_id", F.posexplode(G.vertices(F.col("g"))).alias("i", "p")).select(
+        "poly_id", (F.col("i") + 1).cast("bigint").alias("i"), F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y")
     )
 
 

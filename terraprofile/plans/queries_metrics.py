@@ -33,13 +33,9 @@ def metric_points(t: Inputs):
     return locate.reproject_points(rows, "longitude", "latitude", 4326, 2154, ("mx", "my"))
 
 
-def reference(t: Inputs):
-    """The territory: rectangles but those of one region."""
-    return polygons(t).where("n_regionkey <> 4")
-
-
 def territory(t: Inputs) -> Territory:
-    return Territory(reference(t), "g", 4326)
+    """All tiles."""
+    return Territory(polygons(t), "g", 4326)
 
 
 def metric_polygons(t: Inputs):
@@ -131,20 +127,20 @@ def _(t: Inputs):
     return cover.fill_rate_lines(line_columns(t))
 
 
-RECT = f"""WITH {POLY_VERTICES}, r AS (SELECT v.n_nationkey, any_value(n_regionkey) AS region, min(x) AS a, min(y) AS b, max(x) AS c, max(y) AS d FROM v JOIN geo_polys USING (n_nationkey) GROUP BY v.n_nationkey)
+RECT = f"""WITH {POLY_VERTICES}, r AS (SELECT v.poly_id, any_value(zone) AS region, min(x) AS a, min(y) AS b, max(x) AS c, max(y) AS d FROM v JOIN geo_polys USING (poly_id) GROUP BY v.poly_id)
 """
 
 
-@query("fill_rate_polygons", RECT + "SELECT round(sum((c - a) * (d - b)) / ((max(c) - min(a)) * (max(d) - min(b))) * 100, 4) AS fill_rate FROM r WHERE region <> 4", POLYS)
+@query("fill_rate_polygons", RECT + "SELECT round(sum((c - a) * (d - b)) / ((max(c) - min(a)) * (max(d) - min(b))) * 100, 4) AS fill_rate FROM r", POLYS)
 def _(t: Inputs):
-    return cover.fill_rate_polygons(reference(t), "g")
+    return cover.fill_rate_polygons(polygons(t), "g")
 
 
-@query("polygon_cells", RECT + """, f AS (SELECT min(a) AS x0, min(b) AS y0, sqrt(pow(max(c) - min(a), 2) + pow(max(d) - min(b), 2)) * 0.001::DOUBLE / 2 AS cell FROM r WHERE region <> 4),
-k AS (SELECT n_nationkey, CAST(ceil((a - x0) / cell - 0.5) AS BIGINT) AS i0, CAST(ceil((c - x0) / cell - 0.5) AS BIGINT) AS i1, CAST(ceil((b - y0) / cell - 0.5) AS BIGINT) AS j0, CAST(ceil((d - y0) / cell - 0.5) AS BIGINT) AS j1 FROM r, f WHERE region <> 4)
+@query("polygon_cells", RECT + """, f AS (SELECT min(a) AS x0, min(b) AS y0, sqrt(pow(max(c) - min(a), 2) + pow(max(d) - min(b), 2)) * 0.001::DOUBLE / 2 AS cell FROM r),
+k AS (SELECT poly_id, CAST(ceil((a - x0) / cell - 0.5) AS BIGINT) AS i0, CAST(ceil((c - x0) / cell - 0.5) AS BIGINT) AS i1, CAST(ceil((b - y0) / cell - 0.5) AS BIGINT) AS j0, CAST(ceil((d - y0) / cell - 0.5) AS BIGINT) AS j1 FROM r, f)
 SELECT CAST(sum((i1 - i0) * (j1 - j0)) AS BIGINT) AS n_cells FROM k""", POLYS)
 def _(t: Inputs):
-    ref = reference(t)
+    ref = polygons(t)
     return cover.polygon_cells(ref, "g", cover.frame(cover.geometry_box(ref, "g"))).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -153,12 +149,11 @@ def _(t: Inputs):
     return metrics.convex_hull_extent(metric_polygons(t), "g").select("hull_km2")
 
 
-@query("coverage_envelope", RECT + """, env AS (SELECT min(longitude) AS a, min(latitude) AS b, max(longitude) AS c, max(latitude) AS d FROM geo_points WHERE longitude BETWEEN -2.0 AND 6.5 AND latitude BETWEEN 42.0 AND 48.5)
-SELECT round(sum(greatest(0, least(r.c, env.c) - greatest(r.a, env.a)) * greatest(0, least(r.d, env.d) - greatest(r.b, env.b))) / sum((r.c - r.a) * (r.d - r.b)) * 100, 4) AS coverage_pct FROM r, env WHERE region <> 4""", POLYS + POINTS)
+@query("coverage_envelope", RECT + """, env AS (SELECT min(longitude) AS a, min(latitude) AS b, max(longitude) AS c, max(latitude) AS d FROM geo_points)
+SELECT round(sum(greatest(0, least(r.c, env.c) - greatest(r.a, env.a)) * greatest(0, least(r.d, env.d) - greatest(r.b, env.b))) / sum((r.c - r.a) * (r.d - r.b)) * 100, 4) AS coverage_pct FROM r, env""", POLYS + POINTS)
 def _(t: Inputs):
-    rows = t.view("geo_points").where("longitude BETWEEN -2.0D AND 6.5D AND latitude BETWEEN 42.0D AND 48.5D")
     x, y = F.col("longitude"), F.col("latitude")
-    return cover.coverage_envelope(reference(t), "g", metrics.envelope_extent(rows, x, y, x, y))
+    return cover.coverage_envelope(polygons(t), "g", metrics.envelope_extent(t.view("geo_points"), x, y, x, y))
 
 
 @query("coverage_hull")
@@ -170,23 +165,23 @@ def _(t: Inputs):
 @query("coverage_lines")
 def _(t: Inputs):
     segs = line_columns(t)
-    ref = reference(t)
+    ref = polygons(t)
     f = cover.frame(cover.geometry_box(ref, "g"))
     return cover.coverage_cells(ref, "g", cover.buffered_cells(segs, f), f)
 
 
-OVERLAP = """SELECT EXISTS (SELECT 1 FROM q p JOIN q s ON p.n_nationkey < s.n_nationkey AND p.a < s.c AND s.a < p.c AND p.b < s.d AND s.b < p.d) AS overlaps"""
+OVERLAP = """SELECT EXISTS (SELECT 1 FROM q p JOIN q s ON p.poly_id < s.poly_id AND p.a < s.c AND s.a < p.c AND p.b < s.d AND s.b < p.d) AS overlaps"""
 
 
-@query("reference_overlap_check", RECT + ", q AS (SELECT * FROM r WHERE region <> 4) " + OVERLAP, POLYS)
+@query("reference_overlap_check", RECT + ", q AS (SELECT * FROM r) " + OVERLAP, POLYS)
 def _(t: Inputs):
-    return cover.reference_overlap_check(reference(t), "g")
+    return cover.reference_overlap_check(polygons(t), "g")
 
 
-@query("reference_overlap_found", RECT + ", q AS (SELECT * REPLACE (CASE WHEN n_nationkey % 7 = 0 THEN c + 1 ELSE c END AS c) FROM r) " + OVERLAP, POLYS)
+@query("reference_overlap_found", RECT + ", q AS (SELECT * REPLACE (CASE WHEN poly_id % 7 = 0 THEN c + 1 ELSE c END AS c) FROM r) " + OVERLAP, POLYS)
 def _(t: Inputs):
-    rows = polygons(t).select("n_nationkey", G.bbox(F.col("g")).alias("b")).select("n_nationkey", "b.*")
-    wide = rows.withColumn("maxx", F.when(F.col("n_nationkey") % 7 == 0, F.col("maxx") + 1).otherwise(F.col("maxx")))
+    rows = polygons(t).select("poly_id", G.bbox(F.col("g")).alias("b")).select("poly_id", "b.*")
+    wide = rows.withColumn("maxx", F.when(F.col("poly_id") % 7 == 0, F.col("maxx") + 1).otherwise(F.col("maxx")))
     return cover.reference_overlap_check(wide.select(G.line(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("g")), "g")
 
 
@@ -249,9 +244,9 @@ def _(t: Inputs):
     return metrics.grid_variation_points(t.view("grid_points"), "x", "y")
 
 
-@query("grid_variation_polygons", RECT + ", s AS (SELECT a, b, c, d FROM r), " + variation_sql("s", "2.0::DOUBLE"), POLYS)
+@query("grid_variation_polygons", RECT + ", s AS (SELECT a, b, c, d FROM r), " + variation_sql("s", "1.817::DOUBLE"), POLYS)
 def _(t: Inputs):
-    return metrics.grid_variation_geometry(polygons(t), "g", 2.0)
+    return metrics.grid_variation_geometry(polygons(t), "g", 1.817)
 
 
 # ------------------------------------------------------------------- neighbours
@@ -274,14 +269,18 @@ def _(t: Inputs):
     return neighbours.knn_edges(t.view("grid_points"), "event_id", "x", "y").select("src", "dst", F.round("distance", 4).alias("distance"))
 
 
-@query("moran_queen", f"""WITH {POLY_VERTICES}, w AS (SELECT DISTINCT a.n_nationkey AS src, b.n_nationkey AS dst FROM v a JOIN v b ON a.x = b.x AND a.y = b.y AND a.n_nationkey <> b.n_nationkey),
-c AS (SELECT s_nationkey AS k, count(*) AS cnt FROM supplier GROUP BY 1), p AS (SELECT n_nationkey, CAST(coalesce(cnt, 0) AS DOUBLE) AS value FROM nation LEFT JOIN c ON k = n_nationkey),
-s AS (SELECT avg(value) AS m FROM p), z AS (SELECT n_nationkey, value - m AS z FROM p, s), l AS (SELECT src, avg(z) AS lag FROM w JOIN z ON dst = n_nationkey GROUP BY src)
-SELECT round(count(*) * sum(z * lag) / (count(lag) * sum(z * z)), 4) AS moran_i, round(-1.0::DOUBLE / (count(*) - 1), 4) AS expected_i, count(*) AS n FROM z LEFT JOIN l ON src = n_nationkey""", POLYS)
+def valued_polygons(t: Inputs):
+    """The tiles with a value, the size of their part."""
+    value = t.table("part").select(F.col("p_partkey").cast("int").alias("poly_id"), F.col("p_size").cast("double").alias("value"))
+    return polygons(t).join(value, "poly_id").select("poly_id", "g", "value")
+
+
+@query("moran_queen", f"""WITH {POLY_VERTICES}, w AS (SELECT DISTINCT a.poly_id AS src, b.poly_id AS dst FROM v a JOIN v b ON a.x = b.x AND a.y = b.y AND a.poly_id <> b.poly_id),
+p AS (SELECT poly_id, CAST(p_size AS DOUBLE) AS value FROM geo_polys JOIN part ON p_partkey = poly_id),
+s AS (SELECT avg(value) AS m FROM p), z AS (SELECT poly_id, value - m AS z FROM p, s), l AS (SELECT src, avg(z) AS lag FROM w JOIN z ON dst = poly_id GROUP BY src)
+SELECT round(count(*) * sum(z * lag) / (count(lag) * sum(z * z)), 4) AS moran_i, round(-1.0::DOUBLE / (count(*) - 1), 4) AS expected_i, count(*) AS n FROM z LEFT JOIN l ON src = poly_id""", POLYS)
 def _(t: Inputs):
-    counts = t.table("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("c"))
-    shapes = polygons(t).join(counts, "n_nationkey", "left").select("g", F.coalesce("c", F.lit(0)).cast("double").alias("value"))
-    return neighbours.moran_queen(shapes, "g", "value")
+    return neighbours.moran_queen(valued_polygons(t), "g", "value")
 
 
 @query("moran_significance")
@@ -332,11 +331,11 @@ def _(t: Inputs):
 PX, PY = forward_sql(2154, "x", "y")
 
 
-@query("profile_geometry", f"WITH {POLY_VERTICES}" + f""", mv AS (SELECT n_nationkey, i, {PX} AS x, {PY} AS y FROM v), me AS (SELECT n_nationkey, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM mv WINDOW w AS (PARTITION BY n_nationkey ORDER BY i)),
-o AS (SELECT n_nationkey, arg_min(x, i) AS ox, arg_min(y, i) AS oy FROM mv GROUP BY n_nationkey),
-ac AS (SELECT me.n_nationkey, ox + sum(((x - ox) + (x2 - ox)) * ((x - ox) * (y2 - oy) - (x2 - ox) * (y - oy))) / (3 * sum((x - ox) * (y2 - oy) - (x2 - ox) * (y - oy))) AS cx,
-  oy + sum(((y - oy) + (y2 - oy)) * ((x - ox) * (y2 - oy) - (x2 - ox) * (y - oy))) / (3 * sum((x - ox) * (y2 - oy) - (x2 - ox) * (y - oy))) AS cy FROM me JOIN o USING (n_nationkey) WHERE x2 IS NOT NULL GROUP BY me.n_nationkey, ox, oy),
-q AS (SELECT (SELECT count(*) FROM geo_polys) AS n, (SELECT count(*) FROM geo_polys) AS n_valid, (SELECT count(DISTINCT geometry) FROM geo_polys) AS n_distinct, (SELECT min(x) FROM mv) AS a, (SELECT min(y) FROM mv) AS b, (SELECT max(x) FROM mv) AS c, (SELECT max(y) FROM mv) AS d,
+@query("profile_geometry", f"WITH {POLY_VERTICES}" + f""", inside AS (SELECT poly_id FROM v GROUP BY poly_id HAVING (min(x) + max(x)) / 2 BETWEEN -5.5 AND 10.0 AND (min(y) + max(y)) / 2 BETWEEN 41.0 AND 51.5), mv AS (SELECT poly_id, i, {PX} AS x, {PY} AS y FROM v JOIN inside USING (poly_id)), me AS (SELECT poly_id, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM mv WINDOW w AS (PARTITION BY poly_id ORDER BY i)),
+o AS (SELECT poly_id, arg_min(x, i) AS ox, arg_min(y, i) AS oy FROM mv GROUP BY poly_id),
+ac AS (SELECT me.poly_id, ox + sum(((x - ox) + (x2 - ox)) * ((x - ox) * (y2 - oy) - (x2 - ox) * (y - oy))) / (3 * sum((x - ox) * (y2 - oy) - (x2 - ox) * (y - oy))) AS cx,
+  oy + sum(((y - oy) + (y2 - oy)) * ((x - ox) * (y2 - oy) - (x2 - ox) * (y - oy))) / (3 * sum((x - ox) * (y2 - oy) - (x2 - ox) * (y - oy))) AS cy FROM me JOIN o USING (poly_id) WHERE x2 IS NOT NULL GROUP BY me.poly_id, ox, oy),
+q AS (SELECT (SELECT count(*) FROM inside) AS n, (SELECT count(*) FROM inside) AS n_valid, (SELECT count(*) FROM inside) AS n_distinct, (SELECT min(x) FROM mv) AS a, (SELECT min(y) FROM mv) AS b, (SELECT max(x) FROM mv) AS c, (SELECT max(y) FROM mv) AS d,
 min(cx) AS ca, min(cy) AS cb, max(cx) AS cc, max(cy) AS cd, 5.0::DOUBLE AS complexity FROM ac) """ + metric_row_sql("Polygon", "'EPSG:4326'", "CAST(NULL AS DOUBLE)", "q"), POLYS)
 def _(t: Inputs):
     return profile_geometry(polygons(t), "g")
@@ -369,5 +368,5 @@ def _(t: Inputs):
 
 @query("compute_all_metrics_polygons")
 def _(t: Inputs):
-    df = metric_polygons(t).select("n_nationkey", F.col("n_regionkey").cast("double").alias("value"), col("g"))
-    return compute_all_metrics(df, "n_nationkey", "g", territory(t), "value", kind="POLYGON")
+    df = metric_polygons(t).select("poly_id", F.col("zone").cast("double").alias("value"), col("g"))
+    return compute_all_metrics(df, "poly_id", "g", territory(t), "value", kind="POLYGON")

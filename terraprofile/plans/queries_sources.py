@@ -87,9 +87,9 @@ def _(t: Inputs):
     return selection.archive_primary_file(t.view("dataset_inventory"), "archive_id", "name", "ext")
 
 
-@query("preview_rows", "SELECT n_nationkey, n_regionkey, n_name FROM geo_polys ORDER BY n_nationkey LIMIT 10", POLYS)
+@query("preview_rows", "SELECT poly_id, zone, label_text FROM geo_polys ORDER BY poly_id LIMIT 10", POLYS)
 def _(t: Inputs):
-    return selection.preview_rows(t.view("geo_polys"), ["n_nationkey"])
+    return selection.preview_rows(t.view("geo_polys"), ["poly_id"])
 
 
 FRANCE = (-5.5, 41.0, 10.0, 51.5)
@@ -115,20 +115,26 @@ def _(t: Inputs):
     return back.select("event_id", "event_type", G.as_wkt(F.col("geometry")).alias("wkt"))
 
 
-def collections_of(df, key: str, path: str) -> None:
-    """A folder per row with a file that holds one feature collection."""
-    body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("value"), F.lit("]}"))
+def collections_of(df, key: str, by: str, path: str) -> None:
+    """A folder per value of ``by`` with a file that holds one feature collection, a feature a line."""
     features = files.feature_text(df, "g", None)
-    number = F.get_json_object("value", f"$.properties.{key}").alias("part")
-    features.select(number, body.alias("value")).repartition("part").write.partitionBy("part").text(path)
+    number = lambda k: F.get_json_object("value", f"$.properties.{k}").cast("long")
+    rows = features.select(number(by).alias("part"), number(key).alias("at"), "value")
+    ends = rows.groupBy("part").agg(F.max("at").alias("last"))
+    comma = F.when(F.col("at") < F.col("last"), ",").otherwise("")
+    lines = rows.join(ends, "part").select("part", "at", F.concat("value", comma).alias("value"))
+    line = lambda at, text: ends.select("part", F.lit(at).cast("long").alias("at"), F.lit(text).alias("value"))
+    framed = lines.unionByName(line(-1, '{"type":"FeatureCollection","features":[')).unionByName(line(1 << 60, "]}"))
+    # the writer needs its rows by folder, which they are already, so the order within a file stays
+    framed.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
 
 
-@query("scan_geojson", "SELECT n_nationkey, n_name, geometry AS wkt FROM geo_polys", POLYS)
+@query("scan_geojson", "SELECT poly_id, label_text, geometry AS wkt FROM geo_polys", POLYS)
 def _(t: Inputs):
     path = scratch_path(t.spark, "collections")
-    collections_of(polygons(t).select("n_nationkey", "n_name", "g"), "n_nationkey", path)
-    fields = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())])
-    return files.scan_geojson(t.spark, path, fields).select("n_nationkey", "n_name", G.as_wkt(F.col("geometry")).alias("wkt"))
+    collections_of(polygons(t).select("poly_id", "zone", "label_text", "g"), "poly_id", "zone", path)
+    fields = T.StructType([T.StructField("poly_id", T.IntegerType()), T.StructField("label_text", T.StringType())])
+    return files.scan_geojson(t.spark, path, fields).select("poly_id", "label_text", G.as_wkt(F.col("geometry")).alias("wkt"))
 
 
 @query("native_geometry_column", "SELECT 'g' AS found_before, 'geometry' AS found, count(*) AS n FROM geo_polys", POLYS)
