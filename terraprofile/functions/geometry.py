@@ -10,8 +10,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -449,61 +447,118 @@ def map_coordinates(g: Column, move: Callable[[Column, Column], Column]) -> Colu
 
 # --------------------------------------------------------------------- validity
 
-def _crosses_itself(xs: np.ndarray, ys: np.ndarray) -> bool:
-    """Whether non-neighbouring edges of one closed ring touch or cross.
+_EDGE = "struct<x0:double,ring:int,i:int,n:int,ax:double,ay:double,bx:double,by:double,x1:double,y0:double,y1:double>"
 
-    Edges are taken in order of their left end, so each is compared only with
-    the edges that start before it ends.
+
+def _side(e: Column, x: Column, y: Column) -> Column:
+    return F.signum((e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"]))
+
+
+def _ring_edges(ring: Column, number: Column) -> Column:
+    """Edges of a closed ring in order, repeated vertices left out, with their boxes."""
+    distinct = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
+
+    def edges(pairs: Column) -> Column:
+        return F.transform(
+            pairs,
+            lambda s, i: F.struct(
+                F.least(s["a"]["x"], s["b"]["x"]).alias("x0"), number.cast("int").alias("ring"), i.alias("i"), F.size(pairs).alias("n"),
+                s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"), s["b"]["x"].alias("bx"), s["b"]["y"].alias("by"),
+                F.greatest(s["a"]["x"], s["b"]["x"]).alias("x1"), F.least(s["a"]["y"], s["b"]["y"]).alias("y0"), F.greatest(s["a"]["y"], s["b"]["y"]).alias("y1"),
+            ),
+        )
+
+    return let(steps(distinct), edges).cast(f"array<{_EDGE}>")
+
+
+def _clash(e: Column, f: Column) -> Column:
+    """Whether two edges meet in a way that no valid polygon has.
+
+    Edges of one ring meet at the vertex between them only. Edges of two rings may touch, but
+    neither cross nor lie on each other.
     """
-    keep = np.r_[True, (np.diff(xs) != 0) | (np.diff(ys) != 0)]
-    xs, ys = xs[keep], ys[keep]
-    n = len(xs) - 1
-    if n < 4:
-        return False
-    x1, y1, x2, y2 = xs[:-1], ys[:-1], xs[1:], ys[1:]
-    left, right = np.minimum(x1, x2), np.maximum(x1, x2)
-    order = np.argsort(left, kind="stable")
-    ends = np.searchsorted(left[order], right[order], side="right")
-
-    def side(ax, ay, bx, by, px, py):
-        return np.sign((bx - ax) * (py - ay) - (by - ay) * (px - ax))
-
-    for k in range(n):
-        i, js = order[k], order[k + 1 : ends[k]]
-        gap = np.abs(js - i)
-        js = js[(gap > 1) & (gap < n - 1)]
-        js = js[(np.minimum(y1[js], y2[js]) <= max(y1[i], y2[i])) & (np.maximum(y1[js], y2[js]) >= min(y1[i], y2[i]))]
-        if not len(js):
-            continue
-        a = side(x1[i], y1[i], x2[i], y2[i], x1[js], y1[js])
-        b = side(x1[i], y1[i], x2[i], y2[i], x2[js], y2[js])
-        c = side(x1[js], y1[js], x2[js], y2[js], x1[i], y1[i])
-        d = side(x1[js], y1[js], x2[js], y2[js], x2[i], y2[i])
-        if np.any((a * b <= 0) & (c * d <= 0)):
-            return True
-    return False
-
-
-@F.pandas_udf(T.BooleanType())
-def _any_ring_crosses(rings: pd.Series) -> pd.Series:
-    def test(value) -> bool:
-        if value is None:
-            return False
-        for ring in value:
-            xs = np.array([p["x"] for p in ring], dtype=float)
-            ys = np.array([p["y"] for p in ring], dtype=float)
-            if _crosses_itself(xs, ys):
-                return True
-        return False
-
-    return rings.map(test)
+    apart = (e["x0"] > f["x1"]) | (f["x0"] > e["x1"]) | (e["y0"] > f["y1"]) | (f["y0"] > e["y1"])
+
+    def judged(s: Column) -> Column:
+        contact = (s["a"] * s["b"] <= 0) & (s["c"] * s["d"] <= 0)
+        crossing = (s["a"] * s["b"] < 0) & (s["c"] * s["d"] < 0)
+        length = F.greatest(F.least(e["x1"], f["x1"]) - F.greatest(e["x0"], f["x0"]), F.least(e["y1"], f["y1"]) - F.greatest(e["y0"], f["y0"]))
+        along = (s["a"] == 0) & (s["b"] == 0) & (length > 0)
+        gap = F.abs(e["i"] - f["i"])
+        neighbours = (gap == 1) | (gap == e["n"] - 1)
+        return F.when((e["ring"] == f["ring"]) & ~neighbours, contact).when(e["ring"] == f["ring"], along).otherwise(crossing | along)
+
+    sides = F.struct(
+        _side(e, f["ax"], f["ay"]).alias("a"), _side(e, f["bx"], f["by"]).alias("b"), _side(f, e["ax"], e["ay"]).alias("c"), _side(f, e["bx"], e["by"]).alias("d")
+    )
+    return ~apart & let(sides, judged)
+
+
+def _any_clash(edges: Column) -> Column:
+    """Whether any two edges clash: a sweep in order of the left ends against the edges not yet passed."""
+    state = f"struct<active:array<{_EDGE}>,bad:boolean>"
+
+    def step(acc: Column, e: Column) -> Column:
+        def met(active: Column) -> Column:
+            return F.struct(F.concat(active, F.array(e)).alias("active"), F.exists(active, lambda f: _clash(e, f)).alias("bad")).cast(state)
+
+        return F.when(acc["bad"], acc).otherwise(let(F.filter(acc["active"], lambda f: f["x1"] >= e["x0"]), met))
+
+    start = F.struct(F.array().cast(f"array<{_EDGE}>").alias("active"), F.lit(False).alias("bad")).cast(state)
+    return F.aggregate(F.array_sort(edges), start, step)["bad"]
+
+
+def _place(edges: Column, x: Column, y: Column) -> Column:
+    """1 inside the ring, 0 on it, -1 outside, by counting the edges to the right."""
+    on = F.exists(edges, lambda e: (_side(e, x, y) == 0) & x.between(e["x0"], e["x1"]) & y.between(e["y0"], e["y1"]))
+    right = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
+    return F.when(on, 0).when(F.size(right) % 2 == 1, 1).otherwise(-1)
+
+
+def _any_place(ring: Column, other: Column, wanted: Callable[[Column, Column], Column]) -> Column:
+    """Whether a vertex or an edge's middle of ``ring`` is at a wanted place; rings that don't cross need no more."""
+    middle = lambda e, c: (e[f"a{c}"] + e[f"b{c}"]) / 2
+    return F.exists(ring, lambda e: wanted(e["ax"], e["ay"])) | F.exists(ring, lambda e: wanted(middle(e, "x"), middle(e, "y")))
+
+
+def _meets(a: Column, b: Column) -> Column:
+    """Whether the boxes of two rings' edges overlap."""
+    low, high = lambda r, c: F.array_min(F.transform(r, lambda e: e[c])), lambda r, c: F.array_max(F.transform(r, lambda e: e[c]))
+    return (low(a, "x0") <= high(b, "x1")) & (low(b, "x0") <= high(a, "x1")) & (low(a, "y0") <= high(b, "y1")) & (low(b, "y0") <= high(a, "y1"))
+
+
+def _hole_misplaced(rings: Column) -> Column:
+    """Whether a hole leaves its shell, or has part of another hole in it."""
+    shell = rings[0]
+    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+    outside = F.exists(holes, lambda h: _any_place(h, shell, lambda x, y: _place(shell, x, y) == -1))
+
+    def nested(hs: Column) -> Column:
+        numbered = F.transform(hs, lambda h, i: F.struct(i.alias("i"), h.alias("h")))
+        return F.exists(numbered, lambda a: F.exists(numbered, lambda b: (a["i"] != b["i"]) & _meets(a["h"], b["h"]) & _any_place(a["h"], b["h"], lambda x, y: _place(b["h"], x, y) == 1)))
+
+    return outside | ((F.size(holes) > 1) & let(holes, nested))
+
+
+def _parts_overlap(parts: Column) -> Column:
+    """Whether a part's shell enters the inside of another part; a hole of it is not its inside."""
+    numbered = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+
+    def enters(a: Column, b: Column) -> Column:
+        holes = F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0)))
+        within = lambda x, y: (_place(b[0], x, y) == 1) & ~F.exists(holes, lambda h: _place(h, x, y) >= 0)
+        return _meets(a[0], b[0]) & _any_place(a[0], b[0], within)
+
+    return F.exists(numbered, lambda a: F.exists(numbered, lambda b: (a["i"] != b["i"]) & enters(a["p"], b["p"])))
 
 
 def is_valid(g: Column) -> Column:
-    """Topological validity by rule.
+    """Topological validity by rule, as a column that stands anywhere, in conditions too.
 
-    Coordinates are finite; a line has two distinct points; a ring is closed,
-    has four or more points, a non-zero area and does not cross itself.
+    Coordinates are finite; a line has two distinct points; a ring is closed, has four or more
+    points and a non-zero area and does not touch itself; rings of a shape neither cross nor lie on
+    each other; holes are inside their shell and not in each other; parts don't overlap. Holes that
+    together cut a shape's inside in two by touching at points are not looked for.
     """
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
 
@@ -514,16 +569,22 @@ def is_valid(g: Column) -> Column:
             F.flatten(v["parts"]),
             lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)) & (_ring_moments(r)["area"] > 0),
         )
-        kinds_ok = (
-            F.when(_is(v, "LINESTRING", "MULTILINESTRING"), lines_ok).when(_is(v, "POLYGON", "MULTIPOLYGON"), rings_ok).otherwise(F.lit(True))
+        # rings are numbered through the parts
+        parts = F.transform(v["parts"], lambda part, k: F.transform(part, lambda r, i: _ring_edges(r, k * 1000000 + i)))
+        placed = let(
+            parts,
+            lambda ps: ~_any_clash(F.flatten(F.flatten(ps))) & ~F.exists(ps, lambda p: (F.size(p) > 1) & _hole_misplaced(p)) & ~((F.size(ps) > 1) & _parts_overlap(ps)),
+        )
+        simple = (F.size(v["parts"]) == 1) & (F.size(vertices(v)) <= 4)
+        polygons_ok = F.when(~finite | ~rings_ok, False).otherwise(simple | placed)
+        return (
+            F.when(v.isNull(), F.lit(None).cast("boolean"))
+            .when(_is(v, "POLYGON", "MULTIPOLYGON"), polygons_ok)
+            .when(_is(v, "LINESTRING", "MULTILINESTRING"), finite & lines_ok)
+            .otherwise(finite)
         )
-        return F.when(v.isNotNull(), finite & kinds_ok)
 
-    # only rings of four or more edges can cross themselves; others skip the transfer
-    rings = let(
-        g, lambda v: F.when(_is(v, "POLYGON", "MULTIPOLYGON"), F.filter(F.flatten(v["parts"]), lambda r: F.size(r) > 4))
-    )
-    return let(g, by_rule) & ~_any_ring_crosses(rings)
+    return let(g, by_rule)
 
 
 # --------------------------------------------------------------------- clipping

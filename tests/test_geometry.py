@@ -75,24 +75,79 @@ def test_validity(spark):
     assert {r["w"]: r["v"] for r in df.select("w", G.is_valid(F.col("g")).alias("v")).collect()} == VALID
 
 
-def test_self_crossing_against_all_pairs():
-    def segments_meet(p, q, r, s):
+RELATED = {
+    # holes: inside, touching the shell at a point, along it, outside, crossing, nested, side by side, equal
+    "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))": True,
+    "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (0 5, 2 4, 2 6, 0 5))": True,
+    "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (0 4, 2 4, 2 6, 0 6, 0 4))": False,
+    "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (20 1, 20 2, 22 2, 22 1, 20 1))": False,
+    "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (8 1, 8 2, 12 2, 12 1, 8 1))": False,
+    "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 8, 8 8, 8 1, 1 1), (2 2, 2 3, 3 3, 3 2, 2 2))": False,
+    "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1), (2 2, 2 3, 3 3, 3 2, 2 2))": True,
+    "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1), (1 1, 1 2, 2 2, 2 1, 1 1))": False,
+    # all vertices of the hole on a notched shell, one edge outside it
+    "POLYGON ((0 0, 9 0, 9 9, 5 5, 0 9, 0 0), (9 9, 5 5, 0 9, 9 9))": False,
+    # a spike, and a straight vertex
+    "POLYGON ((0 0, 9 0, 9 9, 9 0, 0 9, 0 0))": False,
+    "POLYGON ((0 0, 5 0, 9 0, 9 9, 0 9, 0 0))": True,
+    "POLYGON ((0 0, 0 0, 9 0, 9 9, 0 9, 0 0))": True,
+    # parts: apart, at a corner, along an edge, overlapping, one in the other, one in the other's hole, equal
+    "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((5 5, 6 5, 6 6, 5 6, 5 5)))": True,
+    "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((1 1, 2 1, 2 2, 1 2, 1 1)))": True,
+    "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((1 0, 2 0, 2 1, 1 1, 1 0)))": False,
+    "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((1 1, 3 1, 3 3, 1 3, 1 1)))": False,
+    "MULTIPOLYGON (((0 0, 9 0, 9 9, 0 9, 0 0)), ((1 1, 2 1, 2 2, 1 2, 1 1)))": False,
+    "MULTIPOLYGON (((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 8, 8 8, 8 1, 1 1)), ((2 2, 3 2, 3 3, 2 3, 2 2)))": True,
+    "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((0 0, 1 0, 1 1, 0 1, 0 0)))": False,
+    "MULTIPOLYGON (((2 2, 3 2, 3 3, 2 3, 2 2)), ((0 0, 9 0, 9 9, 0 9, 0 0)))": False,
+}
+
+
+def test_validity_of_rings_and_parts(spark):
+    df = spark.createDataFrame([(t,) for t in RELATED], "w string")
+    assert {r["w"]: r["v"] for r in df.select("w", G.is_valid(G.from_wkt(F.col("w"))).alias("v")).collect()} == RELATED
+
+
+def test_validity_in_a_condition_over_the_parser(spark):
+    df = spark.createDataFrame([(t,) for t in [*VALID, "nonsense"]], "w string")
+    kept = {r["w"] for r in df.where(G.is_valid(G.from_wkt(F.col("w")))).collect()}
+    assert kept == {w for w, v in VALID.items() if v}
+
+
+def test_rings_against_all_pairs(spark):
+    def clash(ring, i, j):
+        (p, q), (r, s), m = ring[i : i + 2], ring[j : j + 2], len(ring) - 1
         side = lambda a, b, c: np.sign((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
-        boxes = all(min(p[i], q[i]) <= max(r[i], s[i]) and min(r[i], s[i]) <= max(p[i], q[i]) for i in (0, 1))
-        return boxes and side(p, q, r) * side(p, q, s) <= 0 and side(r, s, p) * side(r, s, q) <= 0
+        over = [min(max(p[k], q[k]), max(r[k], s[k])) - max(min(p[k], q[k]), min(r[k], s[k])) for k in (0, 1)]
+        contact = min(over) >= 0 and side(p, q, r) * side(p, q, s) <= 0 and side(r, s, p) * side(r, s, q) <= 0
+        if j - i in (1, m - 1):
+            return contact and side(p, q, r) == 0 and side(p, q, s) == 0 and max(over) > 0
+        return contact
 
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        n = int(rng.integers(4, 9))
-        pts = rng.integers(0, 12, (n, 2)).astype(float)
-        pts = np.vstack([pts, pts[:1]])
-        keep = np.r_[True, (np.diff(pts, axis=0) != 0).any(axis=1)]
-        ring = pts[keep]
+    expected = {}
+    for _ in range(400):
+        pts = rng.integers(0, 12, (int(rng.integers(4, 9)), 2))
+        ring = [tuple(map(int, p)) for k, p in enumerate(pts) if k == 0 or tuple(p) != tuple(pts[k - 1])]
+        ring = ring[:-1] if ring[-1] == ring[0] else ring
+        if len(ring) < 3:
+            continue
+        ring.append(ring[0])
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
         m = len(ring) - 1
-        expected = m >= 4 and any(
-            segments_meet(ring[i], ring[i + 1], ring[j], ring[j + 1]) for i in range(m) for j in range(i + 2, m) if not (i == 0 and j == m - 1)
-        )
-        assert G._crosses_itself(pts[:, 0], pts[:, 1]) == expected
+        valid = area != 0 and not any(clash(ring, i, j) for i in range(m) for j in range(i + 1, m))
+        expected["POLYGON ((" + ", ".join(f"{x} {y}" for x, y in ring) + "))"] = valid
+    df = spark.createDataFrame([(t,) for t in expected], "w string")
+    assert {r["w"]: r["v"] for r in df.select("w", G.is_valid(G.from_wkt(F.col("w"))).alias("v")).collect()} == expected
+    assert len(set(expected.values())) == 2
+
+
+def test_validity_of_a_long_ring(spark):
+    n = 20_000
+    ring = [f"{np.cos(2 * np.pi * k / n):.9f} {np.sin(2 * np.pi * k / n):.9f}" for k in range(n)]
+    texts = {"round": ring, "knot": [*ring[:100], "0.5 0.5", "-0.9 -0.9", *ring[100:]]}
+    df = spark.createDataFrame([(k, f"POLYGON (({', '.join(r)}, {r[0]}))") for k, r in texts.items()], "k string, w string")
+    assert {r["k"]: r["v"] for r in df.select("k", G.is_valid(G.from_wkt(F.col("w"))).alias("v")).collect()} == {"round": True, "knot": False}
 
 
 def _clip_area(poly, rect):
