@@ -91,16 +91,17 @@ def delimited_catalog(headers: DataFrame, rows: DataFrame, rules: Rules = Rules(
 
 def collection_catalog(features: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Column catalog of feature collections: their properties, and the geometry as the last column."""
-    totals = features.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.count("geometry").alias("located"), F.min(G.as_wkt(F.col("geometry"))).alias("wkt"))
-    long = features.select("dataset_id", F.posexplode(F.map_entries("properties")).alias("position", "e")).select(
+    totals = features.groupBy("dataset_id").agg(
+        F.count_if("readable").alias("n"), F.count_if(~F.col("readable")).alias("n_bad"), F.count("geometry").alias("located"), F.min(G.as_wkt(F.col("geometry"))).alias("wkt")
+    )
+    long = features.where("readable").select("dataset_id", F.posexplode(F.map_entries("properties")).alias("position", "e")).select(
         "dataset_id", "position", F.col("e.key").alias("column"), F.col("e.value").alias("v")
     )
     found = _typed(long, ["dataset_id", "column"], F.col("v"), rules, F.min("position").alias("position"))
-    none = F.lit(0).cast("bigint").alias("n_bad")
-    properties = _with_type(found.join(totals.select("dataset_id", "n"), "dataset_id")).withColumn("n_bad", none)
+    properties = _with_type(found.join(totals.select("dataset_id", "n", "n_bad"), "dataset_id"))
     shapes = totals.select(
         "dataset_id", F.lit(1 << 20).cast("bigint").alias("position"), F.lit("geometry").alias("column"), F.lit("string").alias("type"),
-        F.col("located").alias("non_null"), "n", F.col("wkt").alias("sample"), none,
+        F.col("located").alias("non_null"), "n", F.col("wkt").alias("sample"), "n_bad",
     )
     return properties.unionByName(shapes, allowMissingColumns=True)
 
@@ -133,7 +134,7 @@ def _shapes(rows: DataFrame, features: DataFrame, headers: DataFrame, encodings:
         text("from_wkt", G.from_wkt(c[0])),
     )
     own = rows.where("fits").join(where, "dataset_id").select("dataset_id", "method", g.alias("g"))
-    return own.unionByName(features.select("dataset_id", F.lit(NATIVE).alias("method"), F.col("geometry").alias("g")))
+    return own.unionByName(features.where("readable").select("dataset_id", F.lit(NATIVE).alias("method"), F.col("geometry").alias("g")))
 
 
 def batch_metrics(shapes: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -180,7 +181,7 @@ def batch_report(spark: SparkSession, directory: str, rules: Rules = Rules()) ->
     needs a territory and is NULL here. A file without columns has no row.
     """
     headers, rows = delimited_cells(spark, directory)
-    features = files.geojson_features(spark, directory)
+    features = materialize(files.geojson_features(spark, directory), "features")
     catalog = materialize(
         delimited_catalog(headers, rows, rules).unionByName(collection_catalog(features, rules), allowMissingColumns=True), "catalog"
     )

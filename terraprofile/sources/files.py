@@ -13,6 +13,7 @@ from terraprofile.functions import crs
 from terraprofile.functions import geometry as G
 from terraprofile.functions.tables import SUPPORTED_EXTENSIONS
 from terraprofile.operators.clean import col
+from terraprofile.sources import collections
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -87,28 +88,38 @@ def _feature_columns(f: Column, properties: T.StructType | None) -> list[Column]
     return [*[f["properties"][n].alias(n) for n in properties.fieldNames()], geometry]
 
 
+def _parsed(texts: DataFrame, properties: T.StructType | None) -> DataFrame:
+    """Feature structs of feature texts; one that can't be read is NULL."""
+    f = F.from_json("value", _with_properties(properties))
+    readable = ~F.col("broken") & F.get_json_object("value", "$").isNotNull()
+    return texts.select("path", F.when(readable, f).alias("f"))
+
+
 def scan_geojson(spark: SparkSession, path: str, properties: T.StructType | None = None, lines: bool = False) -> DataFrame:
     """Features of GeoJSON files as property columns and a geometry.
 
-    ``lines=True`` reads one feature per line, which splits across tasks;
-    a feature collection is one JSON value and is read by one task per file.
+    ``lines=True`` reads one feature per line. Collections are cut by bytes, so one large file is
+    the work of many tasks; features that can't be read are left out (:func:`feature_counts`).
     """
-    feature = _with_properties(properties)
     if lines:
+        feature = _with_properties(properties)
         rows = spark.read.schema(feature).json(path).select(F.struct(*feature.fieldNames()).alias("f"))
         rows = rows.where(F.col("f.type") == "Feature")
     else:
-        whole = T.StructType([T.StructField("features", T.ArrayType(feature))])
-        rows = spark.read.schema(whole).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+        rows = _parsed(collections.feature_texts(spark, path), properties).where("f IS NOT NULL")
     return rows.select(*_feature_columns(F.col("f"), properties))
 
 
+def feature_counts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Per collection: file_path, n_features, and n_bad of them that can't be read."""
+    rows = _parsed(collections.feature_texts(spark, path, glob), None)
+    return rows.groupBy(F.col("path").alias("file_path")).agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("f").isNull()).alias("n_bad"))
+
+
 def geojson_features(spark: SparkSession, directory: str, glob: str = "*.{geojson,json}") -> DataFrame:
-    """Features of all collections of a directory with the file they come from."""
-    whole = T.StructType([T.StructField("features", T.ArrayType(_with_properties(None)))])
-    reader = spark.read.schema(whole).option("multiLine", True).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    rows = reader.json(directory).select(path_key(F.col("_metadata.file_path")).alias("dataset_id"), F.explode("features").alias("f"))
-    return rows.select("dataset_id", *_feature_columns(F.col("f"), None))
+    """Features of all collections of a directory with the file they come from; ``readable`` is false for bad ones."""
+    rows = _parsed(collections.feature_texts(spark, directory, glob), None)
+    return rows.select(path_key(F.col("path")).alias("dataset_id"), F.col("f").isNotNull().alias("readable"), *_feature_columns(F.col("f"), None))
 
 
 # --------------------------------------------------------------------- inventory

@@ -184,6 +184,21 @@ def _pieces(batches):
         yield batch()
 
 
+def join_torn(known: DataFrame, seam: str = "\n") -> DataFrame:
+    """Records that lie across blocks, from pieces (path, block, n, value, before, behind): where they begin, value, broken.
+
+    Only pieces that go on from or into another are taken: few, at the ends of blocks. A record that
+    the end of the file leaves open is ``broken``, with the text of its first piece.
+    """
+    by_file = Window.partitionBy("path").orderBy("block", "n")
+    torn = known.where("before = 1 OR behind = 1").withColumn("record", F.sum(F.when(F.col("before") == 0, 1).otherwise(0)).over(by_file))
+    bits = F.sort_array(F.collect_list(F.struct("block", "n", "value")))
+    open_ = F.max_by("behind", F.struct("block", "n")) == 1
+    joined = torn.groupBy("path", "record").agg(bits.alias("bits"), open_.alias("broken"))
+    text = F.when(F.col("broken"), F.col("bits")[0]["value"]).otherwise(F.array_join(F.transform("bits", lambda b: b["value"]), seam))
+    return joined.select("path", F.col("bits")[0]["block"].alias("block"), F.col("bits")[0]["n"].alias("n"), text.alias("value"), "broken")
+
+
 def records(spark: SparkSession, directory: str, glob: str = "*.{csv,txt}") -> tuple[DataFrame, DataFrame]:
     """The first line of each file (path, head), and all records but blank ones: path, first, value, broken.
 
@@ -201,15 +216,9 @@ def records(spark: SparkSession, directory: str, glob: str = "*.{csv,txt}") -> t
     begins = F.col("start").isNotNull()
     known = known.select("path", "block", "n", "value", F.when(begins, F.col("b1")).otherwise(F.col("b0")).alias("before"), F.when(begins, F.col("a1")).otherwise(F.col("a0")).alias("behind"))
     whole = known.where("before = 0 AND behind = 0").select("path", ((F.col("block") == 0) & (F.col("n") == 0)).alias("first"), "value", F.lit(False).alias("broken"))
-    # the pieces of records that are not in one piece: few, at the ends of blocks
-    torn = known.where("before = 1 OR behind = 1")
-    by_file = Window.partitionBy("path").orderBy("block", "n")
-    numbered = torn.withColumn("record", F.sum(F.when(F.col("before") == 0, 1).otherwise(0)).over(by_file))
-    bits = F.sort_array(F.collect_list(F.struct("block", "n", "value")))
-    open_ = F.max_by("behind", F.struct("block", "n")) == 1
-    joined = numbered.groupBy("path", "record").agg(bits.alias("bits"), open_.alias("broken"), F.bool_or((F.col("block") == 0) & (F.col("n") == 0)).alias("first"))
-    text = F.when(F.col("broken"), F.col("bits")[0]["value"]).otherwise(F.array_join(F.transform("bits", lambda b: b["value"]), "\n"))
-    every = whole.unionByName(joined.select("path", "first", text.alias("value"), "broken"))
+    # the header is whatever begins at a file's beginning
+    joined = join_torn(known).select("path", ((F.col("block") == 0) & (F.col("n") == 0)).alias("first"), "value", "broken")
+    every = whole.unionByName(joined)
     return heads, every.select("path", "first", F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), "broken").where("trim(value) <> ''")
 
 
