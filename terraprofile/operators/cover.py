@@ -115,32 +115,34 @@ def buffered_spans(segs: DataFrame, f: Column) -> DataFrame:
 def polygon_spans(df: DataFrame, geometry: str, f: Column, clip: bool = False) -> DataFrame:
     """Cells whose centre lies in some polygon, as ``(iy, lo, hi)``, by scan lines.
 
+    Edges become rows per line that crosses them, so no shape is copied or gathered whole.
     ``clip`` leaves out cells beyond the frame's box and its buffer.
     """
-    g = df.where(col(geometry)["kind"].isin("POLYGON", "MULTIPOLYGON")).select(
-        F.flatten(F.transform(F.flatten(col(geometry)["parts"]), G.steps)).alias("edges"), G.bbox(col(geometry)).alias("b"), f.alias("f")
+    solid = df.where(col(geometry)["kind"].isin("POLYGON", "MULTIPOLYGON"))
+    numbered = solid.select(F.monotonically_increasing_id().alias("shape"), F.flatten(F.transform(F.flatten(col(geometry)["parts"]), G.steps)).alias("edges"))
+    e = numbered.select("shape", F.explode("edges").alias("e"), f.alias("f")).select(
+        "shape", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"), "f"
     )
     c, x0, y0 = F.col("f.cell"), F.col("f.minx"), F.col("f.miny")
-    first, last = F.ceil((F.col("b.miny") - y0) / c - 0.5), F.floor((F.col("b.maxy") - y0) / c - 0.5)
+    # lines next to the edge's ends are decided by the exact test below
+    first, last = F.ceil((F.least("ay", "by") - y0) / c - 0.5) - 1, F.floor((F.greatest("ay", "by") - y0) / c - 0.5) + 1
     if clip:
         # a buffer is two cells wide
         first = F.greatest(first, F.lit(-CELLS_PER_BUFFER - 1))
         last = F.least(last, F.ceil((F.col("f.maxy") - y0) / c) + CELLS_PER_BUFFER)
     width = F.ceil((F.col("f.maxx") - x0) / c) + CELLS_PER_BUFFER
-    rows = g.where((c > 0) & (first <= last)).select("edges", width.alias("width"), c.alias("c"), x0.alias("x0"), y0.alias("y0"), F.explode(F.sequence(first, last)).alias("iy"))
-    yc = F.col("y0") + (F.col("iy") + 0.5) * F.col("c")
-    crossed = F.filter("edges", lambda e: (e["a"]["y"] <= yc) != (e["b"]["y"] <= yc))
-    xs = F.sort_array(
-        F.transform(
-            crossed,
-            lambda e: e["a"]["x"] + (yc - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"]),
-        )
+    lines = e.where((c > 0) & (F.col("ay") != F.col("by")) & (first <= last)).select(
+        "shape", "ax", "ay", "bx", "by", width.alias("width"), c.alias("c"), x0.alias("x0"), y0.alias("y0"), F.explode(F.sequence(first, last)).alias("iy")
     )
-    spans = rows.select("iy", "c", "x0", "width", xs.alias("xs")).where(F.size("xs") >= 2).select(
-        "iy", "c", "x0", "width", "xs", F.explode(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2))).alias("k")
+    yc = F.col("y0") + (F.col("iy") + 0.5) * F.col("c")
+    crossed = lines.where((F.col("ay") <= yc) != (F.col("by") <= yc)).select(
+        "shape", "iy", "width", "c", "x0", (F.col("ax") + (yc - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))).alias("x")
     )
-    lo = F.ceil((F.get("xs", F.col("k")) - F.col("x0")) / F.col("c") - 0.5)
-    hi = F.ceil((F.get("xs", F.col("k") + 1) - F.col("x0")) / F.col("c") - 0.5) - 1
+    # a line enters a shape at its odd crossings and leaves it at the next
+    w = Window.partitionBy("shape", "iy").orderBy("x")
+    spans = crossed.select("*", F.row_number().over(w).alias("k"), F.lead("x").over(w).alias("out")).where("k % 2 = 1 AND out IS NOT NULL")
+    lo = F.ceil((F.col("x") - F.col("x0")) / F.col("c") - 0.5)
+    hi = F.ceil((F.col("out") - F.col("x0")) / F.col("c") - 0.5) - 1
     if clip:
         lo, hi = F.greatest(lo, F.lit(-CELLS_PER_BUFFER - 1)), F.least(hi, F.col("width"))
     return merged_spans(spans.select("iy", lo.alias("lo"), hi.alias("hi")), "iy")
@@ -173,71 +175,103 @@ def boxes(df: DataFrame, geometry: str) -> DataFrame:
 
 
 MAX_BOXES_PER_CELL = 64
-MAX_SPLITS = 24
+BITS_AT_ONCE = 12
+FINEST = 52  # halvings that a double's digits can tell
+CELL = ["lx", "ly", "ix", "iy"]
+
+
+def _cell_side(size: str, level: str) -> Column:
+    return F.col(f"f.{size}") / F.pow(F.lit(2.0), F.col(level))
 
 
 def _clip_to_cells(rows: DataFrame) -> DataFrame:
-    """Clip the boxes ``p`` to their cells ``(level, ix, iy)`` of the grid ``f``."""
-    scale = F.pow(F.lit(2.0), F.col("level"))
-    sx, sy = F.col("f.sx") / scale, F.col("f.sy") / scale
+    """Clip the boxes ``p`` to their cells of the grid ``f``; what has no area there is left out."""
+    sx, sy = _cell_side("sx", "lx"), _cell_side("sy", "ly")
     left, low = F.col("f.x0") + F.col("ix") * sx, F.col("f.y0") + F.col("iy") * sy
     inner = F.struct(
         F.greatest("p.minx", left).alias("minx"), F.greatest("p.miny", low).alias("miny"),
         F.least("p.maxx", left + sx).alias("maxx"), F.least("p.maxy", low + sy).alias("maxy"),
     )
-    return rows.select("level", "ix", "iy", "box", inner.alias("p"), "f").where(
-        (F.col("p.maxx") > F.col("p.minx")) & (F.col("p.maxy") > F.col("p.miny"))
-    )
+    return rows.select(*CELL, "box", inner.alias("p"), "f").where((F.col("p.maxx") > F.col("p.minx")) & (F.col("p.maxy") > F.col("p.miny")))
+
+
+def _split(pieces: DataFrame) -> DataFrame:
+    """Deal the pieces to the cells below theirs that they meet, ``bx`` and ``by`` levels down."""
+    down = pieces.withColumns({"lx": F.col("lx") + F.col("bx"), "ly": F.col("ly") + F.col("by")})
+
+    def below(low: str, high: str, origin: str, side: Column, cell: str, bits: str) -> Column:
+        cells = F.pow(F.lit(2.0), F.col(bits)).cast("bigint")
+        first, last = F.col(cell) * cells, (F.col(cell) + 1) * cells - 1
+        at = lambda v: F.floor((F.col(f"p.{v}") - F.col(f"f.{origin}")) / side)
+        # a step further each way, as the clipping decides exactly
+        return F.sequence(F.least(last, F.greatest(first, at(low) - 1)), F.least(last, F.greatest(at(high) + 1, first)))
+
+    xs, ys = below("minx", "maxx", "x0", _cell_side("sx", "lx"), "ix", "bx"), below("miny", "maxy", "y0", _cell_side("sy", "ly"), "iy", "by")
+    rows = down.select("lx", "ly", "iy", "by", "box", "p", "f", F.explode(xs).alias("ix"))
+    return _clip_to_cells(rows.select("lx", "ly", "ix", "box", "p", "f", F.explode(ys).alias("iy")))
+
+
+def _bits(n: Column, width: Column, height: Column) -> list[Column]:
+    """How many times to halve a cell each way so that pieces of a mean size, in shares of the cell's, are few in each."""
+    need = F.least(F.lit(BITS_AT_ONCE), F.greatest(F.lit(1), F.ceil(F.log2(n * 2 / MAX_BOXES_PER_CELL))))
+    room = lambda share: F.greatest(F.lit(0.0), -F.log2(share))
+    rx, ry = room(width), room(height)
+    share = F.when(rx + ry > 0, rx / (rx + ry)).otherwise(0.5)
+    x = F.round(need * share).cast("int")
+    return [x.alias("bx"), F.greatest(need.cast("int") - x, F.lit(0)).alias("by")]
 
 
 def reference_overlap_check(df: DataFrame, geometry: str) -> DataFrame:
     """Whether any two bounding boxes of the layer share area.
 
-    Equal boxes are grouped first. The others are clipped to cells as wide as
-    the mean box. Where the clipped areas of a cell add up to more than the
-    cell, two must overlap, and no pair is formed; cells that hold many boxes
-    are split in four until each holds few. Only then are boxes of a cell
-    compared, so a crowd of boxes never meets all at once.
+    Equal boxes are grouped first. The layer's box is halved where it is crowded, each way as
+    often as the boxes there are small, and boxes are clipped to the cells; a large box has a piece
+    per cell it meets, which is no more than there are crowds. Where the clipped areas of a cell add
+    up to more than the cell, two must overlap, and no pair is formed. Only in cells with few pieces
+    are boxes compared, so a crowd of boxes never meets all at once.
     """
     spark = df.sparkSession
     distinct = materialize(boxes(df, geometry).groupBy("minx", "miny", "maxx", "maxy").agg(F.count(F.lit(1)).alias("copies")), "boxes")
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
     solid = distinct.where((w > 0) & (h > 0))
     grid = solid.agg(
-        F.min("minx").alias("x0"), F.min("miny").alias("y0"), F.avg(w).alias("sx"), F.avg(h).alias("sy"), F.max("copies").alias("copies")
+        F.min("minx").alias("x0"), F.min("miny").alias("y0"), (F.max("maxx") - F.min("minx")).alias("sx"), (F.max("maxy") - F.min("miny")).alias("sy"),
+        F.max("copies").alias("copies"), F.sum(w * h).alias("area"), F.count(F.lit(1)).alias("n"), F.avg(w).alias("w"), F.avg(h).alias("h"),
     ).first()
     answer = lambda value: spark.range(1).select(F.lit(value).alias("overlaps"))
-    if grid["copies"] is None or grid["copies"] > 1:
-        return answer(grid["copies"] is not None)
+    if grid["n"] == 0 or grid["copies"] > 1 or grid["area"] > grid["sx"] * grid["sy"] * (1 + 1e-9):
+        return answer(grid["n"] > 0)
     f = F.struct(*[F.lit(grid[k]).alias(k) for k in ("x0", "y0", "sx", "sy")])
-    span = lambda lo, hi, o, s: F.sequence(F.floor((F.col(lo) - o) / s), F.floor((F.col(hi) - o) / s))
+    root = [F.lit(0).alias("lx"), F.lit(0).alias("ly"), F.lit(0).cast("bigint").alias("ix"), F.lit(0).cast("bigint").alias("iy")]
     box = F.struct("minx", "miny", "maxx", "maxy")
-    rows = solid.select(box.alias("box"), box.alias("p"), f.alias("f"), F.lit(0).alias("level"), F.explode(span("minx", "maxx", grid["x0"], grid["sx"])).alias("ix"))
-    rows = rows.select("*", F.explode(span("box.miny", "box.maxy", grid["y0"], grid["sy"])).alias("iy"))
-    pieces = _clip_to_cells(rows)
-    area = (F.col("p.maxx") - F.col("p.minx")) * (F.col("p.maxy") - F.col("p.miny"))
-    full = F.max(F.col("f.sx") * F.col("f.sy")) / F.pow(F.lit(4.0), F.col("level"))
-    cell = ["level", "ix", "iy"]
-    for _ in range(MAX_SPLITS):
-        counts = pieces.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), (F.sum(area) > full * (1 + 1e-9)).alias("crowded"))
-        state = counts.agg(F.max("crowded").alias("crowded"), F.max("n").alias("widest")).first()
-        if state["crowded"]:
+    pieces = solid.select(*root, box.alias("box"), box.alias("p"), f.alias("f"))
+    if grid["n"] > MAX_BOXES_PER_CELL:
+        pieces = _split(pieces.select("*", *_bits(F.lit(grid["n"]), F.lit(grid["w"] / grid["sx"]), F.lit(grid["h"] / grid["sy"]))))
+    pieces = materialize(pieces, "pieces")
+    pw, ph = F.col("p.maxx") - F.col("p.minx"), F.col("p.maxy") - F.col("p.miny")
+    sx, sy = _cell_side("sx", "lx"), _cell_side("sy", "ly")
+    while True:
+        counts = materialize(
+            pieces.groupBy(*CELL).agg(
+                F.count(F.lit(1)).alias("n"), (F.sum(pw / sx * (ph / sy)) > 1 + 1e-9).alias("crowded"), F.avg(pw / sx).alias("w"), F.avg(ph / sy).alias("h")
+            ), "cell-counts",
+        )
+        if not counts.where("crowded").isEmpty():
             return answer(True)
-        if state["widest"] <= MAX_BOXES_PER_CELL:
+        # cells that numbers can't tell apart are not halved any more
+        wide = counts.where((F.col("n") > MAX_BOXES_PER_CELL) & (F.col("lx") + BITS_AT_ONCE < FINEST) & (F.col("ly") + BITS_AT_ONCE < FINEST))
+        if wide.isEmpty():
             break
-        wide = counts.where(F.col("n") > MAX_BOXES_PER_CELL).select(*cell)
-        split = pieces.join(wide, cell, "left_semi").select(
-            "box", "p", "f", (F.col("level") + 1).alias("level"), "ix", "iy", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("q")
-        )
-        split = split.withColumns({"ix": F.col("ix") * 2 + F.col("q") % 2, "iy": F.col("iy") * 2 + F.floor(F.col("q") / 2)})
-        pieces = materialize(pieces.join(wide, cell, "left_anti").select("level", "ix", "iy", "box", "p", "f").unionByName(_clip_to_cells(split)), "pieces")
-    a = pieces.select(*cell, F.col("p").alias("a"), F.col("box").alias("abox"))
-    b = pieces.select(*cell, F.col("p").alias("b"), F.col("box").alias("bbox"))
+        chosen = wide.select(*CELL, *_bits(F.col("n"), F.col("w"), F.col("h")))
+        deeper = _split(pieces.join(chosen, CELL))
+        pieces = materialize(pieces.join(chosen, CELL, "left_anti").unionByName(deeper), "pieces")
+    a = pieces.select(*CELL, F.col("p").alias("a"), F.col("box").alias("abox"))
+    b = pieces.select(*CELL, F.col("p").alias("b"), F.col("box").alias("bbox"))
     share = (
         (F.col("a.minx") < F.col("b.maxx")) & (F.col("b.minx") < F.col("a.maxx"))
         & (F.col("a.miny") < F.col("b.maxy")) & (F.col("b.miny") < F.col("a.maxy"))
     )
-    hit = a.join(b, cell).where((F.col("abox") < F.col("bbox")) & share).limit(1)
+    hit = a.join(b, CELL).where((F.col("abox") < F.col("bbox")) & share).limit(1)
     return hit.agg((F.count(F.lit(1)) > 0).alias("overlaps"))
 
 

@@ -23,7 +23,6 @@ from terraprofile.session import materialize
 
 NEIGHBOURS = 4
 LEAF_CAPACITY = 32
-MAX_LEVEL = 30
 HOT_VERTEX = 1000
 SUBSETS = 10
 PERMUTATIONS = 999
@@ -48,52 +47,64 @@ def _places(points: DataFrame, k: int) -> DataFrame:
 
 
 def _frame(places: DataFrame) -> dict:
-    r = places.agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
-        F.count(F.lit(1)).alias("n"), F.sum("m").alias("rows"),
-    ).first()
-    side = max(r["x1"] - r["x0"], r["y1"] - r["y0"]) if r["n"] else 0.0
-    return {"x0": r["x0"], "y0": r["y0"], "side": side * (1 + 1e-9) or 1.0, "n": r["n"], "rows": r["rows"] or 0}
+    """The root cell: its side is a power of two, so cells of any depth have exact bounds."""
+    r = places.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("far"), F.count(F.lit(1)).alias("n"), F.sum("m").alias("rows")).first()
+    power = math.frexp(r["far"] or 1.0)[1] + 1
+    return {"power": power, "side": math.ldexp(1.0, power), "n": r["n"], "rows": r["rows"] or 0}
 
 
-def _cell(v: Column, origin: float, side: float, level: Column) -> Column:
-    cells = F.pow(F.lit(2.0), level)
-    i = F.floor((v - origin) / side * cells).cast("bigint")
-    return F.greatest(F.lit(0).cast("bigint"), F.least(i, cells.cast("bigint") - 1))
+def _cell(v: Column, fr: dict, level: Column) -> Column:
+    """Index of a cell of side 2**(power - level); the root, level 0, holds both signs.
+
+    Scaling by a power of two loses nothing, so places that differ are told apart at some level,
+    and as digits are limited, the index there fits 64 bits.
+    """
+    return F.when(level == 0, F.lit(0)).otherwise(F.floor(v * F.pow(F.lit(2.0), level - fr["power"]))).cast("bigint")
+
+
+def _up(index: Column, level: Column, to: Column) -> Column:
+    """The index of the cell's ancestor at a level; beyond 63 levels only the sign is left."""
+    return F.when(to == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftright", index, F.least(level - to, F.lit(63))))
 
 
 def _at_level(df: DataFrame, fr: dict, level: Column) -> DataFrame:
-    return df.withColumn("lvl", level.cast("int")).withColumns(
-        {"cx": _cell(F.col("x"), fr["x0"], fr["side"], F.col("lvl")), "cy": _cell(F.col("y"), fr["y0"], fr["side"], F.col("lvl"))}
-    )
+    return df.withColumn("lvl", level.cast("int")).withColumns({"cx": _cell(F.col("x"), fr, F.col("lvl")), "cy": _cell(F.col("y"), fr, F.col("lvl"))})
+
+
+def _deepest(x: Column, y: Column, fr: dict) -> Column:
+    """The level down to which the indices of a place fit 62 bits."""
+    far = F.greatest(F.abs(x), F.abs(y))
+    return F.when(far > 0, F.floor(fr["power"] + 62 - F.log2(far))).otherwise(1000).cast("int")
 
 
 def _leaves(places: DataFrame, fr: dict, capacity: int) -> tuple[DataFrame, int]:
     """Places with their leaf cell, and the coarsest leaf level.
 
-    Crowded cells are split until they are not.
+    Crowded cells are split until they are not: at once down to the size of the box around their
+    places, so the depth follows the data and one place far from all others costs one round.
     """
-    start = max(0, min(MAX_LEVEL, math.ceil(math.log(max(fr["n"], 1) / (capacity / 2), 4)) if fr["n"] > capacity else 0))
+    start = max(0, min(30, math.ceil(math.log(max(fr["n"], 1) / (capacity / 2), 4)) if fr["n"] > capacity else 0))
     placed = _at_level(places, fr, F.lit(start))
     while True:
-        crowded = placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > capacity) & (F.col("lvl") < MAX_LEVEL))
-        # deep jumps for very crowded cells keep the number of rounds small
-        step = F.greatest(F.lit(1), F.ceil(F.log(4.0, F.col("c") / capacity))).cast("int")
-        crowded = materialize(crowded.select(*CELL, step.alias("step")), "crowded")
+        size = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+        deepest = F.min(_deepest(F.col("x"), F.col("y"), fr))
+        cells = placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("c"), size.alias("size"), deepest.alias("deepest"))
+        around = F.floor(fr["power"] - F.log2("size")) - 1
+        wanted = F.greatest(F.col("lvl"), around) + F.greatest(F.lit(1), F.ceil(F.log(4.0, F.col("c") / capacity)))
+        crowded = cells.where((F.col("c") > capacity) & (F.col("size") > 0)).select(*CELL, F.least(wanted, F.col("deepest")).cast("int").alias("to")).where("to > lvl")
+        crowded = materialize(crowded, "crowded")
         if crowded.isEmpty():
             return placed, start
         marked = placed.join(crowded, CELL, "left")
-        level = F.least(F.col("lvl") + F.coalesce(F.col("step"), F.lit(0)), F.lit(MAX_LEVEL))
-        placed = materialize(_at_level(marked.withColumn("lvl", level), fr, F.col("lvl")).drop("step"), "leaves")
+        placed = materialize(_at_level(marked.withColumn("lvl", F.coalesce("to", "lvl")), fr, F.col("lvl")).drop("to"), "leaves")
 
 
 def _ancestors(cells: DataFrame, *keep: str) -> DataFrame:
     """Every cell under each of its levels up to the root."""
     up = F.sequence(F.lit(0), F.col("lvl"))
+    leaf = lambda c: F.col(f"leaf_{c}")
     return cells.select(*keep, *[F.col(c).alias(f"leaf_{c}") for c in CELL], F.explode(up).alias("l")).select(
-        *keep, *[f"leaf_{c}" for c in CELL], F.col("l").alias("lvl"),
-        F.call_function("shiftright", F.col("leaf_cx"), F.col("leaf_lvl") - F.col("l")).alias("cx"),
-        F.call_function("shiftright", F.col("leaf_cy"), F.col("leaf_lvl") - F.col("l")).alias("cy"),
+        *keep, *[f"leaf_{c}" for c in CELL], F.col("l").alias("lvl"), _up(leaf("cx"), leaf("lvl"), F.col("l")).alias("cx"), _up(leaf("cy"), leaf("lvl"), F.col("l")).alias("cy")
     )
 
 
@@ -145,27 +156,27 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
         (F.when(F.col("have") >= need, F.sqrt("d2")).otherwise(diagonal) * (1 + 1e-9)).alias("r"),
     )
 
-    def edge(c: str, origin: float, beyond: int) -> Column:
-        return F.lit(origin) + (F.col(c) + beyond) * F.lit(fr["side"]) / F.pow(F.lit(2.0), F.col("lvl"))
+    def edge(c: str, beyond: int) -> Column:
+        return (F.col(c) + beyond) * F.pow(F.lit(2.0), fr["power"] - F.col("lvl"))
 
     # a disc within its own leaf needs no other
     inside = (
-        (F.col("px") - F.col("r") > edge("cx", fr["x0"], 0)) & (F.col("px") + F.col("r") < edge("cx", fr["x0"], 1))
-        & (F.col("py") - F.col("r") > edge("cy", fr["y0"], 0)) & (F.col("py") + F.col("r") < edge("cy", fr["y0"], 1))
+        (F.col("px") - F.col("r") > edge("cx", 0)) & (F.col("px") + F.col("r") < edge("cx", 1))
+        & (F.col("py") - F.col("r") > edge("cy", 0)) & (F.col("py") + F.col("r") < edge("cy", 1))
     )
     seekers = known.where((F.col("r") > 0) & ~inside)
     # at this level the disc spans at most two cells each way
-    fit = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.floor(F.log2(F.lit(fr["side"]) / (F.col("r") * 2))))).cast("int")
+    reach_level = F.floor(fr["power"] - F.log2(F.col("r") * 2))
+    deepest = _deepest(F.greatest(F.abs("px"), F.abs("py")) + F.col("r"), F.lit(0.0), fr)
+    fit = F.greatest(F.lit(0), F.least(reach_level, deepest)).cast("int")
     base = seekers.select("px", "py", "r", *[F.col(c).alias(f"own_{c}") for c in CELL], fit.alias("fit"))
-    span = lambda v, o: F.sequence(
-        _cell(F.col(v) - F.col("r"), o, fr["side"], F.col("fit")), _cell(F.col(v) + F.col("r"), o, fr["side"], F.col("fit"))
-    )
+    span = lambda v: F.sequence(_cell(F.col(v) - F.col("r"), fr, F.col("fit")), _cell(F.col(v) + F.col("r"), fr, F.col("fit")))
     # a leaf lies under a fitting cell, or is itself a coarser cell around the disc's place
     at_fit = F.flatten(
         F.transform(
-            span("px", fr["x0"]),
+            span("px"),
             lambda a: F.transform(
-                span("py", fr["y0"]), lambda b: F.struct(F.lit(True).alias("under"), F.col("fit").alias("lvl"), a.alias("cx"), b.alias("cy"))
+                span("py"), lambda b: F.struct(F.lit(True).alias("under"), F.col("fit").alias("lvl"), a.alias("cx"), b.alias("cy"))
             ),
         )
     )
@@ -178,8 +189,8 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
                 lambda l: F.struct(
                     F.lit(False).alias("under"),
                     l.alias("lvl"),
-                    F.call_function("shiftright", c["cx"], F.col("fit") - l).alias("cx"),
-                    F.call_function("shiftright", c["cy"], F.col("fit") - l).alias("cy"),
+                    _up(c["cx"], F.col("fit"), l).alias("cx"),
+                    _up(c["cy"], F.col("fit"), l).alias("cy"),
                 ),
             ),
         )
@@ -194,11 +205,9 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     found = keyed.join(index, ["under", *CELL]).where(
         ~((F.col("leaf_lvl") == F.col("own_lvl")) & (F.col("leaf_cx") == F.col("own_cx")) & (F.col("leaf_cy") == F.col("own_cy")))
     )
-    size = F.lit(fr["side"]) / F.pow(F.lit(2.0), F.col("leaf_lvl"))
-    gap = lambda v, c, o: F.greatest(
-        F.lit(0.0), F.lit(o) + F.col(c) * size - F.col(v), F.col(v) - (F.lit(o) + (F.col(c) + 1) * size)
-    )
-    near = _square(gap("px", "leaf_cx", fr["x0"]), F.lit(0.0)) + _square(gap("py", "leaf_cy", fr["y0"]), F.lit(0.0))
+    size = F.pow(F.lit(2.0), fr["power"] - F.col("leaf_lvl"))
+    gap = lambda v, c: F.greatest(F.lit(0.0), F.col(c) * size - F.col(v), F.col(v) - (F.col(c) + 1) * size)
+    near = _square(gap("px", "leaf_cx"), F.lit(0.0)) + _square(gap("py", "leaf_cy"), F.lit(0.0))
     visits = found.where(near <= F.col("r") * F.col("r")).select("px", "py", "r", *[F.col(f"leaf_{c}").alias(c) for c in CELL])
     far = entry(visits.join(other, CELL).where(d2 <= F.col("r") * F.col("r")))
     best = _top(own.unionByName(far), k).groupBy("px", "py").agg(F.sort_array(F.collect_list(F.struct("d2", "id", "z"))).alias("near"))

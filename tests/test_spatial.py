@@ -296,3 +296,60 @@ def test_ten_thousand_sets_over_shared_vertices(spark):
     )
     sums = neighbours.queen_sums(rows, 100)
     assert sums.where((F.col("cnt") != n - 1) | (F.col("sum") != n - 1.0)).count() == 0 and sums.count() == n
+
+
+def parcels(spark, n, side=1.0):
+    """n x n parcels as boxes, side by side from (10, 0) on."""
+    x, y = (F.col("id") % n) * side + 10, F.floor(F.col("id") / n) * side
+    return spark.range(n * n).select(x.alias("a"), y.alias("b"), (x + side).alias("c"), (y + side).alias("d"))
+
+
+def overlap(rows):
+    return cover.reference_overlap_check(rows.select(G.line(*[F.col(c) for c in "abcd"]).alias("g")), "g").first()["overlaps"]
+
+
+def test_one_large_box_among_many_small_ones(spark):
+    box = lambda *v: spark.createDataFrame([tuple(map(float, v))], "a double, b double, c double, d double")
+    small = parcels(spark, 150)
+    assert not overlap(small.unionByName(box(-5000, 0, 10, 150)))
+    assert not overlap(small.unionByName(box(-1e9, -1e9, 10, 1e9)))
+    assert overlap(small.unionByName(box(-5000, 0, 10.5, 0.25)))
+    assert overlap(small.unionByName(box(0, 0, 1000, 1000)))
+    # strips, a scatter over many scales, and two that share a sliver
+    strips = spark.range(5000).select(F.lit(0.0).alias("a"), F.col("id").cast("double").alias("b"), F.lit(1e6).alias("c"), (F.col("id") + 1).cast("double").alias("d"))
+    assert not overlap(strips) and overlap(strips.unionByName(box(5, 77.5, 6, 77.75)))
+    scales = spark.range(300).select(F.pow(F.lit(1.1), "id").alias("a"), F.lit(0.0).alias("b"), F.pow(F.lit(1.1), F.col("id") + 1).alias("c"), F.pow(F.lit(1.1), "id").alias("d"))
+    assert not overlap(scales) and overlap(scales.unionByName(box(1.0, 0.5, 1.0000001, 0.6)))
+
+
+def test_neighbours_with_one_place_very_far(spark):
+    rng = np.random.default_rng(8)
+    xy = np.vstack([rng.random((3600, 2)) * 1e-3, [[1e12, -1e12]], [[-3e5, 7.0]]])
+    ids = rng.permutation(len(xy))
+    df = frame(spark, id=ids, x=xy[:, 0], y=xy[:, 1])
+    got = neighbours.knn_edges(df, "id", "x", "y", 3).toPandas().sort_values(["src", "rank"]).groupby("src").dst.apply(list).to_dict()
+    assert got == neighbours_directly(xy, ids, 3)
+    points = df.select("id", "x", "y", F.lit(0.0).alias("z"))
+    places = neighbours._places(points, 3)
+    leaves, _ = neighbours._leaves(places, neighbours._frame(places), 32)
+    assert leaves.groupBy(*neighbours.CELL).count().agg(F.max("count")).first()[0] <= 32
+
+
+def test_scan_lines_of_a_polygon_of_a_million_edges(spark):
+    n = 1_000_000
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: G.xy(F.cos(2 * np.pi / n * (k % n)), F.sin(2 * np.pi / n * (k % n))))
+    df = spark.range(1).select(G.polygon(ring).alias("g"))
+    f = cover.frame(cover.geometry_box(df, "g"))
+    cell = 2 * np.sqrt(2) * cover.BUFFER_SHARE / cover.CELLS_PER_BUFFER
+    n_cells = cover.span_count(cover.polygon_spans(df, "g", f)).first()["n_cells"]
+    assert n_cells * cell**2 == pytest.approx(np.pi, rel=1e-3)
+    plan = cover.polygon_spans(df, "g", f)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(edges" in plan
+
+
+def test_scan_lines_of_equal_shapes_and_holes(spark):
+    texts = ["POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 2 8, 8 8, 8 2, 2 2))"] * 2 + ["POLYGON ((3 3, 7 3, 7 7, 3 7, 3 3))"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(G.from_wkt(F.col("t")).alias("g"))
+    f = cover.frame(cover.geometry_box(df, "g"))
+    cell = np.sqrt(200) * cover.BUFFER_SHARE / cover.CELLS_PER_BUFFER
+    assert cover.span_count(cover.polygon_spans(df, "g", f)).first()["n_cells"] * cell**2 == pytest.approx(100 - 36 + 16, rel=2e-3)
