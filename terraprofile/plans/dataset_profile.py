@@ -300,7 +300,7 @@ def dataset_profile(
         else:
             geo = default_geo_profile(spark)
     found_keys = keys.key_detect(df, key_order, rules.country)
-    key_rows = [r.asDict() for r in found_keys.collect()]
+    key_rows = sorted((r.asDict() for r in found_keys.collect()), key=lambda r: df.columns.index(r["column"]))
     names = [r["column"] for r in key_rows]
     key_table = F.array(*[F.struct(F.lit(r["label"]), F.lit(r["column"])) for r in key_rows]).cast(KEY_TABLE) if key_rows else F.array().cast(KEY_TABLE)
     table = profile.details_of_catalog(catalog).agg(column_table().alias("Colonnes"))

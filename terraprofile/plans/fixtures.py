@@ -36,6 +36,11 @@ SELECT poly_id, zone, label_text,
   FROM (SELECT poly_id, zone, label_text, CAST(CAST(a AS DOUBLE)/1000 AS [S]) AS x0, CAST(CAST(a + 200 AS DOUBLE)/1000 AS [S]) AS x1, CAST(CAST(b AS DOUBLE)/1000 AS [S]) AS y0, CAST(CAST(b + 40 AS DOUBLE)/1000 AS [S]) AS y1
     FROM (SELECT CAST(p_partkey AS INT) AS poly_id, CAST(p_partkey % 5 AS INT) AS zone, concat(p_name, ' ', CAST(p_partkey AS [S])) AS label_text, -9475 + 200*(p_partkey % 100) AS a,
       41510 + 40*((74*CAST(FLOOR(p_partkey/200) AS BIGINT) + CAST(FLOOR(p_partkey/100) AS BIGINT) % 2) % 200) AS b FROM {part}) k) t""",
+    # the same lattice in metres
+    "metric_tiles": """
+SELECT poly_id, value, x0, y0, x0 + 5000 AS x1, y0 + 2000 AS y1
+  FROM (SELECT CAST(p_partkey AS INT) AS poly_id, CAST(p_size AS DOUBLE) AS value, 450000 + 5000*(p_partkey % 100) AS x0,
+    6450000 + 2000*((74*CAST(FLOOR(p_partkey/200) AS BIGINT) + CAST(FLOOR(p_partkey/100) AS BIGINT) % 2) % 200) AS y0 FROM {part}) t""",
     "geo_codes": """
 SELECT c_custkey, c_mktsegment,
   lpad(CAST((c_custkey*37) % 95000 + 1000 AS [S]), 5, '0') AS code_insee,

@@ -10,30 +10,15 @@ from terraprofile.plans.batch_report import batch_profile
 from terraprofile.plans.dataset_profile import dataset_profile
 from terraprofile.plans.fixtures import Inputs
 from terraprofile.plans.queries_geometry import POLY_VERTICES, forward_sql, polygons
-from terraprofile.plans.queries_metrics import territory
+from terraprofile.plans.queries_metrics import ENVELOPE_COVER, LINE_STATS, METRIC_POINTS, TILES, metric_row_sql, territory
 from terraprofile.plans.queries_sources import collections_of
-from terraprofile.plans.queries_table import POINTS, POLYS
+from terraprofile.plans.queries_table import CODES, LINES, POINTS, POLYS
 from terraprofile.plans.registry import query
 from terraprofile.session import scratch_path
 
 BATCH = ("batch_results",)
 
 
-@query("dataset_profile")
-def _(t: Inputs):
-    return report.flatten_profile(dataset_profile(t.view("geo_points"), "geo_points", key_order=["event_id"], territory=territory(t)))
-
-
-@query("dataset_profile_lines")
-def _(t: Inputs):
-    return report.flatten_profile(dataset_profile(t.view("geo_lines"), "geo_lines", key_order=["road_id"]))
-
-
-@query("dataset_profile_text")
-def _(t: Inputs):
-    return report.flatten_profile(dataset_profile(t.view("geo_codes"), "geo_codes", key_order=["c_custkey"]))
-
-
 # one file per event type and eighth of the events; the note is a quoted cell with a line break and quotes
 BATCH_ROWS = """f AS (SELECT concat(event_type, '_', event_id % 8, '.csv') AS file_name, CAST(10000 + event_id % 80000 AS VARCHAR) AS code_insee, event_id, user_id, longitude, latitude,
  CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('user ', user_id, chr(10), 'did "', event_type, '", once') END AS note FROM geo_points)"""
@@ -54,6 +39,54 @@ _POINT_COLUMNS = _column_json(
 )
 
 
+def _report_sql(name: str, kind: str, n_columns: int, columns: str, ratios: list[str], keys: str, label: str, keys_pct: str, geo: str, coverage: str, grain: str, source: str) -> str:
+    """The report's row of a whole table, its geometry measured in the CTE ``geo``."""
+    return f"""SELECT '{name}' AS file_name, '{kind}' AS file_type, n_rows, CAST({n_columns} AS BIGINT) AS n_columns, columns, round(list_avg(r) * 100, 1) AS mean_pct, round(list_stddev_pop(r) * 100, 1) AS std_pct,
+'{keys}' AS keys, '{label}' AS label, {keys_pct} AS keys_pct, g.present_pct, g.valid_pct, g.crs, g.geometry_types AS kinds, g.extent_km2, g.density, g.fill_rate_pct, g.complexity, g.duplicate_pct, {coverage} AS coverage_pct, '{grain}' AS granularity
+FROM (SELECT count(*) AS n_rows, {columns} AS columns, [{', '.join(f'count({c}) / count(*)' for c in ratios)}] AS r FROM {source}), ({geo}) g"""
+
+
+def _details(*columns: tuple[str, str]) -> str:
+    return _column_json([(n.strip('"'), t, f"count(*) - count({n})", f"min({n}) || ''" if t != "double" else f"CAST(min({n}) AS VARCHAR)") for n, t in columns])
+
+
+_POINT_GEO = "SELECT g.*, " + ENVELOPE_COVER + " AS cover FROM (" + metric_row_sql("Point", "'EPSG:4326'", "CAST(NULL AS DOUBLE)", "q").replace("AS coverage_pct FROM q", "AS coverage_pct, a, b, c, d FROM q") + ") g"
+_POINT_STATS = "q AS (SELECT count(*) AS n, count(*) AS n_valid, count(DISTINCT concat(longitude, ' ', latitude)) AS n_distinct, min(mx) AS a, min(my) AS b, max(mx) AS c, max(my) AS d, min(mx) AS ca, min(my) AS cb, max(mx) AS cc, max(my) AS cd, CAST(NULL AS DOUBLE) AS complexity FROM f)"
+
+
+@query("dataset_profile", f"WITH {METRIC_POINTS}, {_POINT_STATS} " + _report_sql(
+    "geo_points", "CSV with geometry", 6, _details(("event_id", "bigint"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("longitude", "double"), ("latitude", "double")),
+    ["event_id", "user_id", "event_type", "value", "longitude", "latitude"], "[]", "Présence géométrie séparée (x,y)", "0.0::DOUBLE", _POINT_GEO, "g.cover", "Ponctuelle (géométrie)", "geo_points"), POINTS + TILES)
+def _(t: Inputs):
+    return report_row(dataset_profile(t.view("geo_points"), "geo_points", key_order=["event_id"], territory=territory(t)))
+
+
+def report_row(profiled):
+    return report.flatten_profile(profiled).select(F.col("Nom du fichier").alias("file_name"), *report_figures())
+
+
+@query("dataset_profile_lines", LINE_STATS + _report_sql(
+    "geo_lines", "CSV with geometry", 5, _details(("road_id", "bigint"), ('"xD"', "string"), ('"yD"', "string"), ('"xF"', "string"), ('"yF"', "string")),
+    ["road_id", '"xD"', '"yD"', '"xF"', '"yF"'], "[]", "Présence géométrie multiples (x1,y1), (x2,y2)", "0.0::DOUBLE", metric_row_sql("LineString", "'EPSG:4326'", "CAST(NULL AS DOUBLE)", "q"), "g.coverage_pct", "Linéaire (géométrie)", "geo_lines"), LINES)
+def _(t: Inputs):
+    return report_row(dataset_profile(t.view("geo_lines"), "geo_lines", key_order=["road_id"]))
+
+
+_TX, _TY = forward_sql(2154, "x", "y")
+
+
+@query("dataset_profile_text", f"""WITH p AS (SELECT c_custkey, TRY_CAST(trim(string_split("geo point", ',')[2]) AS DOUBLE) AS x, TRY_CAST(trim(string_split("geo point", ',')[1]) AS DOUBLE) AS y FROM geo_codes),
+f AS (SELECT *, {_TX} AS mx, {_TY} AS my FROM p WHERE x IS NOT NULL AND x BETWEEN -5.5 AND 10.0 AND y BETWEEN 41.0 AND 51.5),
+q AS (SELECT count(*) AS n, count(*) AS n_valid, count(DISTINCT (x, y)) AS n_distinct, min(mx) AS a, min(my) AS b, max(mx) AS c, max(my) AS d, min(mx) AS ca, min(my) AS cb, max(mx) AS cc, max(my) AS cd, CAST(NULL AS DOUBLE) AS complexity FROM f),
+m AS ({metric_row_sql("Point", "'EPSG:4326'", "CAST(NULL AS DOUBLE)", "q")}), g2 AS (SELECT m.* REPLACE (round(n_objects * 100.0::DOUBLE / (n_objects + (SELECT count(*) FROM p WHERE x IS NULL)), 1) AS present_pct, round(n_objects * 100.0::DOUBLE / (n_objects + (SELECT count(*) FROM p WHERE x IS NULL)), 1) AS valid_pct) FROM m) """ + _report_sql(
+    "geo_codes", "CSV with geometry", 8, _details(("c_custkey", "bigint"), ("c_mktsegment", "string"), ("code_insee", "string"), ("code_commune", "bigint"), ("departement", "string"), ("region", "string"), ("code_postal", "string"), ('"geo point"', "string")),
+    ["c_custkey", "c_mktsegment", "code_insee", "code_commune", "departement", "region", "code_postal", '"geo point"'],
+    '[{"Reference area":"Code INSEE commune","Identified key":"code_insee"},{"Reference area":"Code département","Identified key":"departement"}]', "Présence Géométrie",
+    "(SELECT round((1 + count(departement) / count(*)) / 2 * 100, 1) FROM geo_codes)", "SELECT * FROM g2", "g.coverage_pct", "Ponctuelle (géométrie) + Commune / INSEE", "geo_codes"), CODES)
+def _(t: Inputs):
+    return report_row(dataset_profile(t.view("geo_codes"), "geo_codes", key_order=["c_custkey"]))
+
+
 @query("batch_with_errors", f"""
 WITH {BATCH_ROWS}, {POLY_VERTICES},
 n AS (SELECT file_name, count(*) AS n_rows, list_transform([count(longitude), count(latitude), count(note)], lambda k: k / count(*)) AS r, {_POINT_COLUMNS} AS columns FROM f GROUP BY file_name),
@@ -61,7 +94,7 @@ m AS (SELECT file_name, count(*) AS n, count(DISTINCT concat(longitude, ' ', lat
 points AS (SELECT file_name, true AS success, CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS n_bad, 'CSV with geometry' AS file_type, n_rows, CAST(6 AS BIGINT) AS n_columns, columns,
   round(list_avg([1, 1, 1, r[1], r[2], r[3]]) * 100, 1) AS mean_pct, round(list_stddev_pop([0, 0, 0, 1 - r[1], 1 - r[2], 1 - r[3]]) * 100, 1) AS std_pct,
   '[{{"Reference area":"Code INSEE commune","Identified key":"code_insee"}}]' AS keys, 'Présence géométrie séparée (x,y)' AS label, 100.0::DOUBLE AS keys_pct, 100.0::DOUBLE AS present_pct, 100.0::DOUBLE AS valid_pct, 'EPSG:4326' AS crs, 'Point' AS kinds,
-  round(extent, 2) AS extent_km2, round(n / extent, 2) AS density, 100.0::DOUBLE AS fill_rate_pct, CAST(NULL AS DOUBLE) AS complexity, round((n - n_distinct) * 100.0::DOUBLE / n, 2) AS duplicate_pct, 'Ponctuelle (géométrie) + Commune / INSEE' AS granularity FROM n JOIN m USING (file_name)),
+  round(extent, 2) AS extent_km2, round(n / extent, 2) AS density, 100.0::DOUBLE AS fill_rate_pct, CAST(NULL AS DOUBLE) AS complexity, round((n - n_distinct) * 100.0::DOUBLE / n, 2) AS duplicate_pct, CAST(NULL AS DOUBLE) AS coverage_pct, 'Ponctuelle (géométrie) + Commune / INSEE' AS granularity FROM n JOIN m USING (file_name)),
 b AS (SELECT poly_id, (max({_VX}) - min({_VX})) * (max({_VY}) - min({_VY})) / 1e6::DOUBLE AS extent FROM v WHERE poly_id BETWEEN 30 AND 59 GROUP BY poly_id),
 shapes AS (SELECT concat('tile_', poly_id, '.geojson') AS file_name, true AS success, CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS n_bad, 'Geospatial' AS file_type, CAST(1 AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
   {_column_json([("poly_id", "bigint", "0", "CAST(poly_id AS VARCHAR)"), ("label_text", "string", "0", "label_text")]).replace(", ']')", "")}, replace(',{{"position":1048576,"Colonne":"geometry","Exemple":"#","Type":"string","Valeurs manquantes":0}}]', '#', left(geometry, 100))) AS columns,
@@ -106,21 +139,23 @@ def batch_files(t: Inputs):
     base = fs.makeQualified(path(root)).toString()
     asked = t.spark.createDataFrame([(f"{base}/{n}",) for n in [*names, "note.pdf", "area.shp", "missing.csv"]], "path string")
     done = report.flatten_profile(batch_profile(t.spark, asked, root))
-    return done.select(
-        F.col("Nom du fichier").alias("file_name"), "success", F.get(F.split("error", ":"), F.lit(0)).alias("error"), "n_bad",
+    return done.select(F.col("Nom du fichier").alias("file_name"), "success", F.get(F.split("error", ":"), F.lit(0)).alias("error"), "n_bad", *report_figures(F.col("success")))
+
+
+def report_figures(known=None):
+    """A flattened report's columns under short names."""
+    score = lambda of, what: F.col(f"`{of} - Score de complétude {what} (%)`")
+    whole, of_keys = "Score de complétude global", "Score de complétude des clés géographique"
+    return [
         F.col("Type de fichier").alias("file_type"), F.col("Nb lignes").alias("n_rows"), F.col("Nb colonnes").alias("n_columns"),
-        F.when(F.col("success"), F.col("Colonnes (détails)")).alias("columns"),
-        F.col("`Score de complétude global - Score de complétude moyen (%)`").alias("mean_pct"),
-        F.col("`Score de complétude global - Score de complétude std (%)`").alias("std_pct"),
-        F.to_json("Clés géographiques").alias("keys"), F.col("Géotransformation").alias("label"),
-        F.col("`Score de complétude des clés géographique - Score de complétude moyen (%)`").alias("keys_pct"),
-        F.col("`Score de complétude géographique - Présentes (%)`").alias("present_pct"),
-        F.col("`Score de complétude géographique - Valides (%)`").alias("valid_pct"),
+        F.when(F.lit(True) if known is None else known, F.col("Colonnes (détails)")).alias("columns"), score(whole, "moyen").alias("mean_pct"), score(whole, "std").alias("std_pct"),
+        F.to_json("Clés géographiques").alias("keys"), F.col("Géotransformation").alias("label"), score(of_keys, "moyen").alias("keys_pct"),
+        F.col("`Score de complétude géographique - Présentes (%)`").alias("present_pct"), F.col("`Score de complétude géographique - Valides (%)`").alias("valid_pct"),
         F.col("CRS").alias("crs"), F.col("Types de géométrie").alias("kinds"), F.col("Emprise estimée (km2)").alias("extent_km2"),
         F.col("Densité (obj/km2)").alias("density"), F.col("Taux de remplissage géométrique (%)").alias("fill_rate_pct"),
         F.col("Complexité moyenne des géométries").alias("complexity"), F.col("Part des geometries dupliquees (%)").alias("duplicate_pct"),
-        F.col("Granularité").alias("granularity"),
-    )
+        F.col("Couverture territoriale hexagonale (%)").alias("coverage_pct"), F.col("Granularité").alias("granularity"),
+    ]
 
 
 def nested(df):

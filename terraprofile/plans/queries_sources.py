@@ -100,9 +100,13 @@ def _(t: Inputs):
     return selection.map_sample(t.view("geo_points"), "event_id", "longitude", "latitude", FRANCE, crs.GEOGRAPHIC)
 
 
-@query("map_view")
+@query("map_view", f"""WITH s AS (SELECT event_id AS key, longitude AS lon, latitude AS lat FROM geo_points WHERE longitude BETWEEN -5.5 AND 10.0 AND latitude BETWEEN 41.0 AND 51.5 ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 1000)
+SELECT count(*) AS n, min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east, (min(lat) + max(lat)) / 2 AS center_lat, (min(lon) + max(lon)) / 2 AS center_lon,
+concat('{{"type":"FeatureCollection","features":[', string_agg(concat('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[', {num('lon')}, ',', {num('lat')}, ']}}}}'), ',' ORDER BY key), ']}}') AS geojson FROM s""", POINTS)
 def _(t: Inputs):
-    return selection.map_view(selection.map_sample(t.view("geo_points"), "event_id", "longitude", "latitude", FRANCE, crs.GEOGRAPHIC))
+    view = selection.map_view(selection.map_sample(t.view("geo_points"), "event_id", "longitude", "latitude", FRANCE, crs.GEOGRAPHIC))
+    at = lambda i, j, name: F.col("bounds")[i][j].alias(name)
+    return view.select("n", at(0, 0, "south"), at(0, 1, "west"), at(1, 0, "north"), at(1, 1, "east"), F.col("center")[0].alias("center_lat"), F.col("center")[1].alias("center_lon"), "geojson")
 
 
 @query("write_geojson", f"SELECT event_id, event_type, concat('POINT (', {num('longitude')}, ' ', {num('latitude')}, ')') AS wkt FROM geo_points WHERE longitude IS NOT NULL AND latitude IS NOT NULL", POINTS)
@@ -168,13 +172,17 @@ def _(t: Inputs):
     return back.select("dataset_id", "m.file_type", "m.n_rows")
 
 
-@query("dataset_inventory")
+@query("dataset_inventory", """SELECT '.csv' AS extension, count(DISTINCT event_type) AS n_files, true AS sized, true AS dated FROM geo_points
+UNION ALL SELECT '.json', count(DISTINCT coalesce(file_type, '')), true, true FROM batch_results""", POINTS + ("batch_results",))
 def _(t: Inputs):
     root = scratch_path(t.spark, "inventory")
     t.view("geo_points").repartition("event_type").write.partitionBy("event_type").option("header", True).csv(f"{root}/tables")
-    files.write_report(t.view("batch_results"), f"{root}/reports", "json")
+    t.view("batch_results").repartition("file_type").write.partitionBy("file_type").json(f"{root}/reports")
     t.view("geo_codes").write.parquet(f"{root}/other")
-    return files.dataset_inventory(t.spark, root).select("extension", "size_kb", "modified")
+    found = files.dataset_inventory(t.spark, root)
+    # sizes and days are the writer's: whether they can be right
+    sized, dated = F.bool_and(F.col("size_kb") > 0), F.bool_and(F.to_date("modified") >= F.current_date() - 1)
+    return found.groupBy("extension").agg(F.count(F.lit(1)).alias("n_files"), sized.alias("sized"), dated.alias("dated"))
 
 
 def rebuild(t: Inputs, view: str, key: str):
@@ -196,7 +204,12 @@ def _(t: Inputs):
     return rebuild(t, "geo_json", "s_suppkey")
 
 
-@query("export_rebuild_metric")
+# back in metres to the centimetre: the columns of the projection are checked by their own queries
+@query("export_rebuild_metric", "SELECT event_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM grid_points", ("grid_points",))
 def _(t: Inputs):
-    return rebuild(t, "grid_points", "event_id")
+    out = rebuild(t, "grid_points", "event_id")
+    p = G.vertices(G.from_wkt(F.col("geometry_wkt")))[0]
+    lonlat = out.select("event_id", p["x"].alias("lon"), p["y"].alias("lat")).where("lon BETWEEN -10 AND 12 AND lat BETWEEN 40 AND 53")
+    back = locate.reproject_points(lonlat, "lon", "lat", crs.GEOGRAPHIC, 2154, ("x", "y"))
+    return back.select("event_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
