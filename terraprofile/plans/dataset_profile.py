@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraprofile.functions import crs
 from terraprofile.functions import geometry as G
-from terraprofile.functions.tables import AREA_CRS, COUNTRIES, DEFAULT_COUNTRY, LABEL_GEOSPATIAL
+from terraprofile.functions import wkb
+from terraprofile.functions.tables import AREA_CRS, COUNTRIES, DEFAULT_COUNTRY, LABEL_GEOSPATIAL, LABEL_NATIVE
 from terraprofile.operators import cover, detect, hull, keys, locate, metrics, neighbours, profile
 from terraprofile.operators.clean import col, decimal_comma, in_bounds
 
@@ -272,6 +275,30 @@ KEY_TABLE = "array<struct<`Reference area`:string,`Identified key`:string>>"
 WITHOUT_GEOMETRY = ("none", "join_required", "geocoding_required")
 
 
+def native_geometry(df: DataFrame, samples: dict[str, str | None]) -> tuple[DataFrame, int | None, str] | None:
+    """A table's own geometry: the shapes as ``_geometry``, their code where it is written inside, and the type of file.
+
+    A geometry column comes first, then a column with one of the usual names, that holds binary, or
+    WKT, GeoJSON or binary in hexadecimal digits as its sample shows; None without one.
+    """
+    by_type = next((f.name for f in df.schema.fields if G.is_geometry(f.dataType)), None)
+    if by_type:
+        return df.select(col(by_type).alias("_geometry")), None, TYPE_GEOSPATIAL
+    name = detect.native_geometry_column(df.columns)
+    if name is None:
+        return None
+    c, sample = col(name), samples.get(name) or ""
+    binary = isinstance(df.schema[name].dataType, T.BinaryType)
+    if binary or re.fullmatch(r"0[01][0-9A-Fa-f]{16,}", sample):
+        data = c if binary else F.unhex(c)
+        code = df.select(wkb.code_of(data).alias("c")).where("c IS NOT NULL").agg(F.min("c")).first()[0]
+        shapes = wkb.add_from_wkb(df.select(data.alias("_data")), F.col("_data"), "_geometry").select("_geometry")
+        return shapes, code if code in crs.KNOWN else None, TYPE_GEOSPATIAL
+    if re.match(r"\s*(MULTI)?(POINT|LINESTRING|POLYGON)\b", sample, re.IGNORECASE):
+        return df.select(G.from_wkt(c).alias("_geometry")), None, TYPE_WITH_GEOMETRY
+    return (df.select(G.from_geojson(c).alias("_geometry")), None, TYPE_WITH_GEOMETRY) if sample.lstrip().startswith("{") else None
+
+
 def dataset_profile(
     df: DataFrame, dataset_id: str, rules: Rules = Rules(), key_order: Sequence[str] | None = None, territory: Territory | None = None
 ) -> DataFrame:
@@ -283,10 +310,12 @@ def dataset_profile(
     spark = df.sparkSession
     scanned = profile.column_catalog(df, dataset_id)
     catalog = spark.createDataFrame(scanned.collect(), scanned.schema)
-    native = next((f.name for f in df.schema.fields if G.is_geometry(f.dataType)), None)
+    native = native_geometry(df, {r["column"]: r["sample"] for r in catalog.collect()})
     found = detect.detect_geometry(catalog).first()
     if native:
-        geo, kind, label = profile_geometry(df, native, rules, territory), TYPE_GEOSPATIAL, LABEL_GEOSPATIAL
+        shapes, epsg, kind = native
+        label = LABEL_GEOSPATIAL if kind == TYPE_GEOSPATIAL else LABEL_NATIVE
+        geo = profile_geometry(shapes, "_geometry", rules, territory, epsg)
     else:
         label, method, columns = found["label"], found["method"], found["columns"]
         kind = TYPE_TABLE if method in WITHOUT_GEOMETRY else TYPE_WITH_GEOMETRY

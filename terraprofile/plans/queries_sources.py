@@ -6,14 +6,18 @@ read that; the work grows with the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraprofile.functions import crs
 from terraprofile.functions import geometry as G
+from terraprofile.functions import wkb
 from terraprofile.operators import detect, locate, profile, selection
 from terraprofile.plans.fixtures import Inputs
-from terraprofile.plans.queries_geometry import num, polygons
+from terraprofile.plans.dataset_profile import dataset_profile
+from terraprofile.plans.queries_geometry import POLY_VERTICES, forward_sql, num, polygons
 from terraprofile.plans.queries_table import JSON, LINES, POINTS, POLYS, RAW
 from terraprofile.plans.registry import query
 from terraprofile.session import scratch_path
@@ -141,11 +145,30 @@ def _(t: Inputs):
     return files.scan_geojson(t.spark, path, fields).select("poly_id", "label_text", G.as_wkt(F.col("geometry")).alias("wkt"))
 
 
-@query("native_geometry_column", "SELECT 'g' AS found_before, 'geometry' AS found, count(*) AS n FROM geo_polys", POLYS)
-def _(t: Inputs):
-    df = polygons(t).withColumnRenamed("g", "G_raw").withColumnRenamed("geometry", "Shape").withColumn("Geometry", F.col("Shape"))
-    name = detect.native_geometry_column(df.columns)
-    return df.agg(F.lit("g").alias("found_before"), F.lower(F.lit(name)).alias("found"), F.count(F.col(name)).alias("n"))
+# each way to hold a native geometry, all tiles in each; the last one's column has no usual name
+@query("native_geometry_column", f"WITH {POLY_VERTICES}, b AS (SELECT poly_id FROM v GROUP BY poly_id HAVING (min(x) + max(x)) / 2 BETWEEN -5.5 AND 10.0 AND (min(y) + max(y)) / 2 BETWEEN 41.0 AND 51.5), p AS (SELECT {forward_sql(2154, 'x', 'y')[0]} AS px, {forward_sql(2154, 'x', 'y')[1]} AS py FROM v JOIN b USING (poly_id))" + """
+SELECT layer, file_type, (SELECT count(*) FROM geo_polys) AS n_rows, CASE WHEN layer <> 'none' THEN 100.0::DOUBLE END AS valid_pct, CASE WHEN layer <> 'none' THEN 'EPSG:4326' END AS crs, CASE WHEN layer <> 'none' THEN 'Polygon' END AS kinds,
+CASE WHEN layer <> 'none' THEN 5.0::DOUBLE END AS complexity, CASE WHEN layer <> 'none' THEN 0.0::DOUBLE END AS duplicate_pct, CASE WHEN layer <> 'none' THEN (SELECT round((max(px) - min(px)) * (max(py) - min(py)) / 1e6::DOUBLE, 2) FROM p) END AS extent_km2
+FROM (VALUES ('struct', 'Geospatial'), ('binary', 'Geospatial'), ('extended', 'Geospatial'), ('text', 'CSV with geometry'), ('none', 'CSV')) k(layer, file_type)""", POLYS)
+def _(t: Inputs):
+    g, plain = F.col("g"), F.col("plain")
+    rows = wkb.add_as_wkb(polygons(t).select("poly_id", "geometry", "g"), g, "plain")
+    # the extended form names its code behind the type
+    extended = F.concat(F.unhex(F.lit("0103000020E6100000")), F.substring(plain, 6, 1 << 30))
+    layers = {
+        "struct": rows.select("poly_id", g.alias("area")), "binary": rows.select("poly_id", plain.alias("WKB_GEOMETRY")),
+        "extended": rows.select("poly_id", F.hex(extended).alias("Geom")), "text": rows.select("poly_id", F.col("geometry").alias("the_geom")),
+        "none": rows.select("poly_id", F.col("geometry").alias("wording")),
+    }
+    parts = []
+    for layer, df in layers.items():
+        r = dataset_profile(df, layer, key_order=["poly_id"])
+        parts.append(r.select(
+            F.col("Nom du fichier").alias("layer"), F.col("Type de fichier").alias("file_type"), F.col("Nb lignes").alias("n_rows"), F.col("`Score de complétude géographique`")["Valides (%)"].alias("valid_pct"),
+            F.col("CRS").alias("crs"), F.col("Types de géométrie").alias("kinds"), F.col("Complexité moyenne des géométries").alias("complexity"), F.col("Part des geometries dupliquees (%)").alias("duplicate_pct"),
+            F.col("Emprise estimée (km2)").alias("extent_km2"),
+        ))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("write_wkt_csv", f"SELECT event_id, event_type, concat('POINT (', {num('longitude')}, ' ', {num('latitude')}, ')') AS geometry_wkt FROM geo_points WHERE longitude IS NOT NULL AND latitude IS NOT NULL", POINTS)
