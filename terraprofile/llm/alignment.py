@@ -31,7 +31,7 @@ from terraprofile.session import materialize
 
 PIECE_STEPS = 1 << 16
 SLICE_CHARS = 1 << 20
-BLOCK_LINKS = 1 << 22
+BLOCK_LINKS = 1 << 20
 
 
 class PieceEncoder:
@@ -64,9 +64,11 @@ class Pair:
         out = []
         none = np.empty(0, np.uint32)
         for text, b in zip(texts, self.b.encode(texts)):
-            a = self.a.ids(" " + text) if text else none
             whole = b" " + text.encode()
-            same = text and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+            same = text and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+            a = self.a.ids(" " + text) if same else none
+            # a vocabulary of ranked byte strings joins a text's own bytes
+            same = same and (self.a.ranked is not None or b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole)
             out.append((a, np.array(b, np.uint32)) if same else (none, none))
         return out
 
@@ -94,12 +96,17 @@ def merge_piece(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.
 
     A place behind the piece's last token means the token that goes on in the next piece.
     """
-    ends = np.union1d(a_ends, b_ends)
-    a, b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-    closed = np.zeros(len(ends), bool)
-    inside = (a < len(a_ends)) & (b < len(b_ends))
-    closed[inside] = a_ends[a[inside]] == b_ends[b[inside]]
-    return a, b, closed
+    both = np.concatenate([a_ends, b_ends])
+    both.sort(kind="stable")  # two rising runs, which a merge sort takes in one pass
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    ends = both[new]
+    # a token's place is the number of its list's ends before
+    stops = np.zeros((2, len(ends)), bool)
+    for k, own in enumerate((a_ends, b_ends)):
+        stops[k, np.searchsorted(ends, own)] = True
+    before = np.cumsum(stops, axis=1) - stops
+    return before[0], before[1], stops[0] & stops[1]
 
 
 def overlaps(a_ends: np.ndarray, b_ends: np.ndarray, steps: int = PIECE_STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
