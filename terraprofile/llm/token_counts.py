@@ -98,10 +98,11 @@ class PrefixCounter:
             own = [0] * (len(piece) - 1) + [1] if special else self.piece(piece)
             out[at : at + len(piece)] = own
             out[at : at + len(piece)] += done
-            # cut inside a special string or contraction, or behind white space, the text splits
+            # cut inside a special string or contraction (an apostrophe before a letter; a run of
+            # marks that begins with one splits like its prefixes), or behind white space, the text splits
             # otherwise: only the piece before is affected, and the two are encoded again
             spaces_before = before[0][-1:].isspace()
-            if special or piece[0] == "'" and len(piece) > 1:
+            if special or piece[0] == "'" and piece[1:2].isalpha():
                 again = range(1, len(piece))
             elif piece[0].isspace() and spaces_before:
                 again = range(1, 2) if not piece.isspace() else range(1, len(piece) + 1)
