@@ -98,6 +98,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without copies, all columns kept; the largest id of each group stays."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
+    """``docs`` without copies, all columns kept; the largest id of each group stays.
+
+    Rows are judged by id and text, so an id that stays with one text goes with another. Of rows
+    that repeat both, one stays.
+    """
+    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_copies"))
+    kept = materialize(kept, "kept-texts")
+    own = docs.withColumn("_own", F.sha2(fold_case(F.col(text_col)).cast("binary"), 256))
+    left = own.join(kept, own[id_col].eqNullSafe(kept["_keep"]) & (own["_own"] == kept["_sha"]), "left_semi")
+    if not kept.where("_copies > 1").isEmpty():
+        left = left.dropDuplicates([id_col, "_own"])
+    return left.drop("_own")

@@ -109,3 +109,10 @@ def test_decontamination_of_small_cases(spark):
         assert got == [(1, 17, 15, [1, 5], True), (2, 4, 2, [2], True), (3, 0, 0, [], False), (4, 0, 0, [], False), (5, 12, 0, [], False), (6, 62, 2, [2], False), (7, 1, 0, [], False), (7, 30, 30, [1, 5], True)]
     assert decontaminate.contamination(frame, items.where("false")).where("size(spans) > 0").count() == 0
     assert decontaminate.drop_contaminated(frame.where("doc_id < 7"), items).count() == 4
+
+
+def test_repeated_ids_bring_no_copy_back(spark):
+    rows = [(1, "a", 0), (1, "b", 0), (2, "A", 0), (5, "x", 0), (5, "x", 1), (None, "x", 0), (None, None, 0), (None, "", 1)]
+    left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string, _keep int")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == [("1", "b"), ("2", "A"), ("5", "x"), ("None", "")]
+    assert left[0].asDict().keys() == {"doc_id", "text", "_keep"}
