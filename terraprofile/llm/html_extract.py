@@ -17,6 +17,7 @@ import json
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from terraprofile.session import materialize
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+# up to the tag's end: a quote opens a value behind an equals sign only
+REST = re.compile(r"((?>[^>\"'=]+|=\s*+(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 WORDS = re.compile(r"[^\W_]+")
 WHITE = re.compile(r"[ \t\n\r\f\v\xa0]+")
@@ -48,6 +51,8 @@ ASIDE_PARTS = ("sidebar", "comment", "advert", "cookie", "newsletter")
 # tables up to this size are held whole, wider ones by parts; weights of containers are held up to the second
 MATCH_CELLS, WEIGHT_CELLS = 250_000, 4_000_000
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
+# containers nested deeper belong to the one at this depth, as browsers do at a depth of their own
+MAX_DEPTH = 120
 BROADCAST_BYTES = 32_000_000
 # text in article and main elements weighs so much against text outside
 MAIN_HINT = 2
@@ -77,6 +82,48 @@ def _marks(tag: str, raw: str, inside_main: bool) -> tuple[str, bool, bool]:
     return f"{tag}.{attributes.get('class', '')}", aside, main
 
 
+class Tags:
+    """The tags of a page in order, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.lower, self.quoted = page, None, True
+        self.last_close: dict[str, int] = {}
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, slash, name and attributes of the next tag; comments have no name. None if there is no other."""
+        page = self.page
+        m = TAG.search(page, at)
+        if not m:
+            return None
+        if m[1] == "!--":
+            end = page.find("-->", m.end())
+            return m.start(), end + 3 if end >= 0 else len(page), "", "", ""
+        rest = REST.match(page, m.end()) if self.quoted and m[3] else None
+        if rest:
+            return m.start(), rest.end(), m[2], m[3], rest[1]
+        if m[3]:
+            # a quote is not closed up to the end of the page: from here on quotes are as other characters
+            self.quoted = False
+        end = page.find(">", m.end())
+        return None if end < 0 else (m.start(), end + 1, m[2] or "", m[3] or "", page[m.end() : end])
+
+    def closing(self, tag: str, at: int) -> int | None:
+        """Behind the end tag of an element that was opened before ``at``; None if there is none."""
+        if self.lower is None:
+            self.lower = self.page.lower()
+        if tag not in self.last_close:
+            self.last_close[tag] = self.lower.rfind(f"</{tag}")
+        if at > self.last_close[tag]:
+            return None
+        depth, first = 1, None
+        for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(self.page, at):
+            depth += -1 if m[1] else 1
+            first = first or (m.end() if m[1] else None)
+            if not depth:
+                return m.end()
+        return first
+
+
 def parse(page: str | None) -> Node:
     """The tree of a page; unclosed and stray tags are taken as browsers take them, roughly."""
     root = Node("root")
@@ -84,6 +131,8 @@ def parse(page: str | None) -> Node:
         return root
     # open elements: tag, node to add to, whether text in it is beside the article, whether inside main
     stack: list[tuple[str, Node, bool, bool]] = [("", root, False, False)]
+    opened: Counter[str] = Counter()
+    levels, tags = {id(root): 0}, Tags(page)
     held: list[str] = []
 
     def flush() -> None:
@@ -98,30 +147,30 @@ def parse(page: str | None) -> Node:
         while len(stack) > depth:
             if stack[-1][0] in BLOCKS:
                 flush()
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
 
-    at, skip_to = 0, None
+    at = 0
     while True:
-        m = TAG.search(page, at)
-        if not m:
+        found = tags.after(at)
+        if not found:
             held.append(page[at:])
             break
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, end, slash, name, attributes = found
+        if start > at:
+            held.append(page[at:start])
+        at, tag = end, name.lower()
         if not tag:
             continue
-        if m[1]:  # an end tag closes up to its element, if that is open
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+        if slash:  # an end tag closes up to its element, if that is open
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if opened[tag] else 0
             if depth:
                 close(depth)
             elif tag == "p":
                 flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close_tag = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at = close_tag.end() if close_tag else len(page)
             held.append(" ")
             continue
         if tag in VOID:
@@ -131,33 +180,35 @@ def parse(page: str | None) -> Node:
                 held.append(" ")
             continue
         if tag in BLOCKS:
-            if tag in CLOSES:
+            if any(opened[t] for t in CLOSES.get(tag, ())):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in SCOPES:
                         break
                     if stack[i][0] in CLOSES[tag]:
                         close(i)
                         break
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCKS), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCKS), 0) if opened["p"] else 0
             if depth and stack[depth][0] == "p":
                 close(depth)
             flush()
         _, parent, aside, inside = stack[-1]
-        kind, own_aside, own_main = _marks(tag, m[3], inside)
+        kind, own_aside, own_main = _marks(tag, attributes, inside)
         if tag in BLOCKS:
-            node = Node(kind, aside=aside or own_aside, main=own_main)
-            parent.children.append(node)
+            level = levels[id(parent)] + 1
+            node = parent
+            if level <= MAX_DEPTH:
+                node = Node(kind, aside=aside or own_aside, main=own_main)
+                levels[id(node)] = level
+                parent.children.append(node)
             stack.append((tag, node, aside or own_aside, inside or own_main))
+            opened[tag] += 1
         else:
             if own_aside and not aside:
-                flush_text = "".join(held)
-                held[:] = [flush_text]
                 # an inline element beside the article: its text is left out of the block
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
+                at = tags.closing(tag, at) or at
                 continue
             stack.append((tag, parent, aside, inside))
+            opened[tag] += 1
     close(1)
     flush()
     return root

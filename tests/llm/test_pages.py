@@ -173,3 +173,37 @@ def test_pipeline_stages_keep_columns_and_do_their_work(spark):
             assert docs.select("doc_id").distinct().count() == counts[-1]
     assert counts == sorted(counts, reverse=True) and counts[-1] < counts[0]
     assert docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("m")).where("n <> m").count() == 0
+
+
+def test_deep_and_unclosed_pages_are_linear():
+    import time
+
+    start = time.process_time()
+    deep = html_extract.parse("<div>" * 100_000 + "text" + "</div>" * 100_000)
+    assert html_extract.own_text(deep) == html_extract.own_text(html_extract.parse("<p>text</p>"))
+    html_extract.layout(html_extract.compact(deep))
+    for page in ("<a " * 300_000, '<a "' * 250_000, "<a x='>'" * 100_000, "<!" * 300_000, "<span class='ad'>" * 60_000, "</b>" * 200_000, "<i>" * 100_000 + "</b>" * 100_000, "<div " * 200_000 + ">"):
+        html_extract.parse(page)
+    assert time.process_time() - start < 40
+
+
+def test_stray_quotes_and_nested_inline_asides():
+    def texts(page):
+        out, todo = [], [html_extract.parse(page)]
+        while todo:
+            node = todo.pop()
+            out += [node.text] if node.text is not None else []
+            todo += reversed(node.children)
+        return out
+
+    assert texts("<p title=it's>first</p><p>second it's</p><p>third</p>") == ["first", "second it's", "third"]
+    assert texts("<p><span class='ad'>x <span>y</span> z</span> tail</p>") == ["tail"]
+    assert texts("<p title=\"a > b\">one</p><p data-x='<b>'>two</p>") == ["one", "two"]
+    assert texts("<p>a <span class=ad>b</p><p>c</p>") == ["a b", "c"]
+    assert texts('<p>open "quote <b>bold</b></p><p class="never closed>x</p><p>y</p>')[0] == 'open "quote bold'
+
+
+def test_a_deep_page_goes_through_the_whole_job(spark):
+    pages = [(k, f"http://h{k % 2}.example.com/{k}", "<div>" * (3000 if k == 1 else 2) + f"<p>Some words of page {k} stand here.</p>") for k in range(8)]
+    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == f"Some words of page {k} stand here." for k in range(8))
