@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,20 +43,75 @@ def scan_delimited_text(spark: SparkSession, path: str | Sequence[str], delimite
     )
 
 
+HEAD_BYTES = 1 << 16
+FILES_PER_TASK = 256
+
+
+def file_heads(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Per file its first line and the bytes read for it: file_path, head, n_read.
+
+    The listing is dealt in groups of files, and a task reads a file's first block, and further ones
+    only while it has no line end. Stores that only Spark reaches are scanned as text instead.
+    """
+    listing = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", "length")
+    counted = listing.agg(F.count(F.lit(1)), F.min("path")).first()
+    if not _opens(counted[1]):
+        lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+        return lines.mapInArrow(_first_lines, "file_path string, head string, n_read long")
+    groups = max(1, -(-counted[0] // FILES_PER_TASK))
+    return listing.repartition(groups, "path").mapInArrow(_read_heads, "file_path string, head string, n_read long")
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a listed path, and the path in it as it is."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    scheme, _, rest = uri.partition("://")
+    authority, _, name = rest.partition("/")
+    store, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store, f"{root.rstrip('/')}/{name}"
+
+
+def _opens(uri: str | None) -> bool:
+    """Whether files there can be opened without Spark."""
+    try:
+        return uri is None or _store(uri)[0] is not None
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+def _read_heads(batches):
+    for batch in batches:
+        heads, sizes = [], []
+        for uri in batch.column(0).to_pylist():
+            store, name = _store(uri)
+            with store.open_input_file(name) as f:
+                text = b""
+                while b"\n" not in text and (more := f.read(HEAD_BYTES)):
+                    text += more
+            heads.append(text.split(b"\n", 1)[0].decode("utf-8", "replace").removesuffix("\r").removeprefix("\ufeff"))
+            sizes.append(len(text))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string()), pa.array(sizes, pa.int64())], names=["file_path", "head", "n_read"])
+
+
+def _first_lines(batches):
+    at = None
+    for batch in batches:
+        rows = []
+        for path, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if block == 0 and path != at:
+                rows.append((path, value.removesuffix("\r").removeprefix("\ufeff"), len(value)))
+            at = path
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["file_path", "head", "n_read"])
+
+
 def detect_delimiter(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Per file the first of ``, ; TAB |`` that splits its header; ``,`` if none does.
 
-    Only the header decides, and a text scan yields it at offset zero of the
-    file, so each file contributes one row to the aggregate.
+    Only the heads of the files are read.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
-    header = lines.where(F.col("block") == 0).groupBy("file_path").agg(F.min_by("value", "pos").alias("header"))
-    return header.select("file_path", header_delimiter(F.col("header")).alias("delimiter"))
+    return file_heads(spark, path).select("file_path", header_delimiter(F.col("head")).alias("delimiter"))
 
 
 def header_delimiter(header: Column) -> Column:
