@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ from terraprofile.functions import wkb
 from terraprofile.functions.tables import AREA_CRS, COUNTRIES, DEFAULT_COUNTRY, LABEL_GEOSPATIAL, LABEL_NATIVE
 from terraprofile.operators import cover, detect, hull, keys, locate, metrics, neighbours, profile
 from terraprofile.operators.clean import col, decimal_comma, in_bounds
+from terraprofile.session import materialize
 
 
 @dataclass(frozen=True)
@@ -163,12 +164,14 @@ def kinds_by_number() -> Column:
 
 
 def profile_geometry(
-    df: DataFrame, geometry: str, rules: Rules = Rules(), territory: Territory | None = None, epsg: int | None = None
+    df: DataFrame, geometry: str, rules: Rules = Rules(), territory: Territory | None = None, epsg: int | None = None, hulls: bool = False
 ) -> DataFrame:
     """Metric row of a table with a geometry column.
 
     Presence and validity are shares of all rows but those whose shape the bounds
-    leave out: rows with no or an unreadable shape count as absent.
+    leave out: rows with no or an unreadable shape count as absent. Extent, density and
+    coverage follow from the envelope, the fill rate from the box of centroids; with ``hulls``
+    from the hull of all vertices, the fill rate being that of the commonest family of kinds.
     """
     absent = df.where(~F.coalesce(G.present(col(geometry)), F.lit(False))).agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = df.select(col(geometry).alias("g")).where(G.present(F.col("g")))
@@ -191,7 +194,48 @@ def profile_geometry(
         *[F.count_if(F.col("kind") == k).alias(f"is_{k}") for k in G.GEOJSON_KIND],
     )
     stats = stats.select("*", (F.col("n") + absent).alias("n_rows"), kinds_by_number().alias("kinds"))
-    return metric_row(stats, F.array_join("kinds", ", "), F.lit(epsg).cast("int"), rules, _coverage(territory, stats, metric))
+    kinds = F.array_join("kinds", ", ")
+    if not hulls:
+        return metric_row(stats, kinds, F.lit(epsg).cast("int"), rules, _coverage(territory, stats, metric))
+    shapes = materialize(moved.select("m"), "moved-shapes")
+    ring = hull.convex_hull(hull.vertex_rows(shapes, m), F.col("x"), F.col("y"))
+    family = _commonest_family(shapes, "m")
+    fill, _ = _fill_and_cells(shapes.where(_family(m["kind"]) == family), "m", family, ring if family == "POINT" else None)
+    covered = cover.coverage_hull(territory.moved(metric), "ref", ring, territory.overlaps) if territory else None
+    row = metric_row(stats, kinds, F.lit(epsg).cast("int"), rules, covered)
+    parts = one_row(df.sparkSession, row=row, hull=ring.select("area"), fill=fill.select("fill_rate"))
+    extent, some = F.col("hull.area") / 1e6, F.col("row.n_objects") > 0
+    instead = {
+        "extent_km2": F.when(some, F.round(extent, rules.digits)),
+        "density": F.when(some, F.round(metrics.density(F.col("row.n_objects"), extent), rules.digits)),
+        "fill_rate_pct": F.when(some, F.round("fill.fill_rate", rules.digits)),
+    }
+    return parts.select(*[instead.get(c, F.col(f"row.{c}")).alias(c) for c in row.columns])
+
+
+FAMILIES = ("POINT", "LINESTRING", "POLYGON")
+
+
+def _family(kind: Column) -> Column:
+    return F.regexp_replace(kind, "^MULTI", "")
+
+
+def _commonest_family(shapes: DataFrame, geometry: str) -> str:
+    """The family with most shapes; ties in the order of ``FAMILIES``."""
+    counts = shapes.agg(*[F.count_if(_family(col(geometry)["kind"]) == k).alias(k) for k in FAMILIES]).first()
+    return max(FAMILIES, key=lambda k: counts[k])
+
+
+def _fill_and_cells(rows: DataFrame, geometry: str, family: str, ring: DataFrame | None) -> tuple[DataFrame, Callable[[Column], DataFrame] | None]:
+    """The fill rate of shapes of one family, and the cells they cover in a frame (points cover none)."""
+    if family == "POINT":
+        # members of multi-points are points each
+        pts = rows.select(F.explode(G.vertices(col(geometry))).alias("p")).select("p.x", "p.y")
+        return metrics.fill_rate_points(pts, "x", "y", hull=ring), None
+    if family == "LINESTRING":
+        segs = cover.segments(rows, geometry)
+        return cover.fill_rate_lines(segs).select("fill_rate"), lambda f: cover.buffered_cells(segs, f)
+    return cover.fill_rate_polygons(rows, geometry), lambda f: cover.polygon_cells(rows, geometry, f)
 
 
 METRIC_DDL = (
@@ -220,13 +264,8 @@ def compute_all_metrics(
     spark = df.sparkSession
     g = col(geometry)
     every = df.where(G.present(g))
-    family = lambda k: F.regexp_replace(k, "^MULTI", "")
-    families = ("POINT", "LINESTRING", "POLYGON")
-    if kind is None:
-        counts = every.agg(*[F.count_if(family(g["kind"]) == k).alias(k) for k in families]).first()
-        kind = max(families, key=lambda k: counts[k])
-    kind = kind.removeprefix("MULTI")
-    rows = every.where(family(g["kind"]) == kind)
+    kind = (kind or _commonest_family(every, geometry)).removeprefix("MULTI")
+    rows = every.where(_family(g["kind"]) == kind)
     ref = territory.moved(epsg) if territory else None
     coverage = None
     if kind == "POINT":
@@ -240,20 +279,14 @@ def compute_all_metrics(
         f = cover.frame(cover.geometry_box(rows, geometry))
         variation = metrics.grid_variation_geometry(rows, geometry, grid_size)
         moran = neighbours.moran_queen_significance(rows, key, geometry, value, permutations=permutations) if value else None
-        if kind == "LINESTRING":
-            segs = cover.segments(rows, geometry)
-            fill = cover.fill_rate_lines(segs).select("fill_rate")
-            covered = cover.buffered_cells(segs, f)
-        else:
-            fill = cover.fill_rate_polygons(rows, geometry)
-            covered = cover.polygon_cells(rows, geometry, f)
-        coverage = cover.coverage_cells(ref, "ref", covered, f, territory.overlaps) if ref is not None else None
+        fill, cells = _fill_and_cells(rows, geometry, kind, None)
+        coverage = cover.coverage_cells(ref, "ref", cells(f), f, territory.overlaps) if ref is not None else None
     parts = {
         "fill": fill,
         "complexity": metrics.complexity(every, geometry),
         "duplicates": metrics.duplicates(every, F.sha2(geometry_text(g), 256)),
         "variation": variation,
-        "kinds": every.agg(F.count_if(family(g["kind"]) != kind).alias("other")),
+        "kinds": every.agg(F.count_if(_family(g["kind"]) != kind).alias("other")),
     }
     if coverage is not None:
         parts["coverage"] = coverage
@@ -315,7 +348,7 @@ def dataset_profile(
     if native:
         shapes, epsg, kind = native
         label = LABEL_GEOSPATIAL if kind == TYPE_GEOSPATIAL else LABEL_NATIVE
-        geo = profile_geometry(shapes, "_geometry", rules, territory, epsg)
+        geo = profile_geometry(shapes, "_geometry", rules, territory, epsg, hulls=kind == TYPE_WITH_GEOMETRY)
     else:
         label, method, columns = found["label"], found["method"], found["columns"]
         kind = TYPE_TABLE if method in WITHOUT_GEOMETRY else TYPE_WITH_GEOMETRY
@@ -325,7 +358,7 @@ def dataset_profile(
         elif method == "linestring_coords":
             geo = profile_lines(df, columns, rules, territory)
         elif method in ("geojson", "from_wkt", "geopoint"):
-            geo = profile_geometry(locate.add_geometry(df, method, columns, "_geometry"), "_geometry", rules, territory)
+            geo = profile_geometry(locate.add_geometry(df, method, columns, "_geometry"), "_geometry", rules, territory, hulls=True)
         else:
             geo = default_geo_profile(spark)
     found_keys = keys.key_detect(df, key_order, rules.country)

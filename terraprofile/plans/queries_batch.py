@@ -10,7 +10,7 @@ from terraprofile.plans.batch_report import batch_profile
 from terraprofile.plans.dataset_profile import dataset_profile
 from terraprofile.plans.fixtures import Inputs
 from terraprofile.plans.queries_geometry import POLY_VERTICES, forward_sql, polygons
-from terraprofile.plans.queries_metrics import ENVELOPE_COVER, LINE_STATS, METRIC_POINTS, TILES, metric_row_sql, territory
+from terraprofile.plans.queries_metrics import ENVELOPE_COVER, LINE_STATS, METRIC_POINTS, TILES, hull_sql, metric_row_sql, territory
 from terraprofile.plans.queries_sources import collections_of
 from terraprofile.plans.queries_table import CODES, LINES, POINTS, POLYS
 from terraprofile.plans.registry import query
@@ -78,7 +78,7 @@ _TX, _TY = forward_sql(2154, "x", "y")
 @query("dataset_profile_text", f"""WITH p AS (SELECT c_custkey, TRY_CAST(trim(string_split("geo point", ',')[2]) AS DOUBLE) AS x, TRY_CAST(trim(string_split("geo point", ',')[1]) AS DOUBLE) AS y FROM geo_codes),
 f AS (SELECT *, {_TX} AS mx, {_TY} AS my FROM p WHERE x IS NOT NULL AND x BETWEEN -5.5 AND 10.0 AND y BETWEEN 41.0 AND 51.5),
 q AS (SELECT count(*) AS n, count(*) AS n_valid, count(DISTINCT (x, y)) AS n_distinct, min(mx) AS a, min(my) AS b, max(mx) AS c, max(my) AS d, min(mx) AS ca, min(my) AS cb, max(mx) AS cc, max(my) AS cd, CAST(NULL AS DOUBLE) AS complexity FROM f),
-m AS ({metric_row_sql("Point", "'EPSG:4326'", "CAST(NULL AS DOUBLE)", "q")}), g2 AS (SELECT m.* REPLACE (round(n_objects * 100.0::DOUBLE / (n_objects + (SELECT count(*) FROM p WHERE x IS NULL)), 1) AS present_pct, round(n_objects * 100.0::DOUBLE / (n_objects + (SELECT count(*) FROM p WHERE x IS NULL)), 1) AS valid_pct) FROM m) """ + _report_sql(
+m AS ({metric_row_sql("Point", "'EPSG:4326'", "CAST(NULL AS DOUBLE)", "q")}), hp AS (SELECT DISTINCT mx AS x, my AS y FROM f), {hull_sql("hp")}, g2 AS (SELECT m.* REPLACE (round(area / 1e6::DOUBLE, 2) AS extent_km2, round(n_objects / (area / 1e6::DOUBLE), 2) AS density, (SELECT round(area / ((max(x) - min(x)) * (max(y) - min(y))) * 100, 2) FROM hp) AS fill_rate_pct, round(n_objects * 100.0::DOUBLE / (n_objects + (SELECT count(*) FROM p WHERE x IS NULL)), 1) AS present_pct, round(n_objects * 100.0::DOUBLE / (n_objects + (SELECT count(*) FROM p WHERE x IS NULL)), 1) AS valid_pct) FROM m, area) """ + _report_sql(
     "geo_codes", "CSV with geometry", 8, _details(("c_custkey", "bigint"), ("c_mktsegment", "string"), ("code_insee", "string"), ("code_commune", "bigint"), ("departement", "string"), ("region", "string"), ("code_postal", "string"), ('"geo point"', "string")),
     ["c_custkey", "c_mktsegment", "code_insee", "code_commune", "departement", "region", "code_postal", '"geo point"'],
     '[{"Reference area":"Code INSEE commune","Identified key":"code_insee"},{"Reference area":"Code département","Identified key":"departement"}]', "Présence Géométrie",

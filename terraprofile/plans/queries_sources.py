@@ -17,6 +17,7 @@ from terraprofile.functions import wkb
 from terraprofile.operators import detect, locate, profile, selection
 from terraprofile.plans.fixtures import Inputs
 from terraprofile.plans.dataset_profile import dataset_profile
+from terraprofile.plans.queries_metrics import hull_sql
 from terraprofile.plans.queries_geometry import POLY_VERTICES, forward_sql, num, polygons
 from terraprofile.plans.queries_table import JSON, LINES, POINTS, POLYS, RAW
 from terraprofile.plans.registry import query
@@ -146,9 +147,9 @@ def _(t: Inputs):
 
 
 # each way to hold a native geometry, all tiles in each; the last one's column has no usual name
-@query("native_geometry_column", f"WITH {POLY_VERTICES}, b AS (SELECT poly_id FROM v GROUP BY poly_id HAVING (min(x) + max(x)) / 2 BETWEEN -5.5 AND 10.0 AND (min(y) + max(y)) / 2 BETWEEN 41.0 AND 51.5), p AS (SELECT {forward_sql(2154, 'x', 'y')[0]} AS px, {forward_sql(2154, 'x', 'y')[1]} AS py FROM v JOIN b USING (poly_id))" + """
+@query("native_geometry_column", f"WITH {POLY_VERTICES}, b AS (SELECT poly_id FROM v GROUP BY poly_id HAVING (min(x) + max(x)) / 2 BETWEEN -5.5 AND 10.0 AND (min(y) + max(y)) / 2 BETWEEN 41.0 AND 51.5), p AS (SELECT {forward_sql(2154, 'x', 'y')[0]} AS px, {forward_sql(2154, 'x', 'y')[1]} AS py FROM v JOIN b USING (poly_id)), hp AS (SELECT DISTINCT px AS x, py AS y FROM p), " + hull_sql("hp").replace("e AS (SELECT x -", "he AS (SELECT x -").replace("FROM e)", "FROM he)") + """
 SELECT layer, file_type, (SELECT count(*) FROM geo_polys) AS n_rows, CASE WHEN layer <> 'none' THEN 100.0::DOUBLE END AS valid_pct, CASE WHEN layer <> 'none' THEN 'EPSG:4326' END AS crs, CASE WHEN layer <> 'none' THEN 'Polygon' END AS kinds,
-CASE WHEN layer <> 'none' THEN 5.0::DOUBLE END AS complexity, CASE WHEN layer <> 'none' THEN 0.0::DOUBLE END AS duplicate_pct, CASE WHEN layer <> 'none' THEN (SELECT round((max(px) - min(px)) * (max(py) - min(py)) / 1e6::DOUBLE, 2) FROM p) END AS extent_km2
+CASE WHEN layer <> 'none' THEN 5.0::DOUBLE END AS complexity, CASE WHEN layer <> 'none' THEN 0.0::DOUBLE END AS duplicate_pct, CASE WHEN layer = 'text' THEN (SELECT round(area / 1e6::DOUBLE, 2) FROM area) WHEN layer <> 'none' THEN (SELECT round((max(px) - min(px)) * (max(py) - min(py)) / 1e6::DOUBLE, 2) FROM p) END AS extent_km2
 FROM (VALUES ('struct', 'Geospatial'), ('binary', 'Geospatial'), ('extended', 'Geospatial'), ('text', 'CSV with geometry'), ('none', 'CSV')) k(layer, file_type)""", POLYS)
 def _(t: Inputs):
     g, plain = F.col("g"), F.col("plain")

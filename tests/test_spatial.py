@@ -353,3 +353,18 @@ def test_scan_lines_of_equal_shapes_and_holes(spark):
     f = cover.frame(cover.geometry_box(df, "g"))
     cell = np.sqrt(200) * cover.BUFFER_SHARE / cover.CELLS_PER_BUFFER
     assert cover.span_count(cover.polygon_spans(df, "g", f)).first()["n_cells"] * cell**2 == pytest.approx(100 - 36 + 16, rel=2e-3)
+
+
+def test_text_geometry_is_measured_by_hulls(spark):
+    from terraprofile.plans.dataset_profile import dataset_profile
+
+    texts = {
+        "points": [f"POINT ({x} {y})" for x, y in ((200000, 6500000), (210000, 6500000), (200000, 6510000), (202000, 6502000))],
+        "polygons": ["POLYGON ((200000 6500000, 210000 6500000, 210000 6510000, 200000 6500000))", "POLYGON ((230000 6500000, 240000 6500000, 240000 6510000, 230000 6510000, 230000 6500000))"],
+    }
+    territory = Territory(spark.createDataFrame([("POLYGON ((200000 6500000, 240000 6500000, 240000 6520000, 200000 6520000, 200000 6500000))",)], "t string").select(G.from_wkt(F.col("t")).alias("g")), "g", 2154)
+    rows = {k: dataset_profile(spark.createDataFrame([(t,) for t in v], "geometry string"), k, territory=territory).first() for k, v in texts.items()}
+    figures = lambda r: [r[c] for c in ("Emprise estimée (km2)", "Densité (obj/km2)", "Taux de remplissage géométrique (%)", "Couverture territoriale hexagonale (%)")]
+    assert figures(rows["points"]) == [50.0, 0.08, 50.0, 6.25]
+    area, density, fill, share = figures(rows["polygons"])
+    assert (area, density, share) == (350.0, 0.01, 43.75) and fill == pytest.approx(37.5, abs=0.5)
