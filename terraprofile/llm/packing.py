@@ -25,6 +25,9 @@ from terraprofile.session import materialize
 WINDOW = 2048
 SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
 SIGNATURE = 4
+SIGNED = 24  # smallest keys looked at first
+DENSE_SHARE = 16  # a term of a 16th of a shard's documents has a row of weights
+FIRST = 48
 K1, B = 1.2, 0.75
 
 
@@ -33,10 +36,10 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
 
     def run(batches):
         coder = process_wide(Encoder, tokenizer)
-        kind = "<u2" if coder.vocabulary.library.get_vocab_size() <= 1 << 16 else "<u4"
+        kind = "<u2" if coder.size <= 1 << 16 else "<u4"
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            ids = [np.frombuffer(coder.encode(t.as_py()), "<u4").astype(kind).tobytes() + end for t in batch.column(1)]
+            ids = [coder.ids(t.as_py()).astype(kind).tobytes() + end for t in batch.column(1)]
             width = pa.array([int(kind[2])] * len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), width, pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
 
@@ -66,6 +69,16 @@ def _statistics(table: DataFrame) -> tuple[int, int, dict[int, int]]:
     return found.pop(-1, 0), found.pop(-2, 0), found
 
 
+def rarest_shared(ids: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The ``SIGNATURE`` rarest distinct ids that another document has, ties by id."""
+    n = df[ids]
+    keys = (n << 32 | ids)[n > 1]
+    few = np.unique(np.partition(keys, SIGNED)[:SIGNED]) if len(keys) > 2 * SIGNED else np.unique(keys)
+    if len(few) < SIGNATURE and len(keys) > 2 * SIGNED:  # one id may fill the few
+        few = np.unique(keys)
+    return (few[:SIGNATURE] & 0xFFFFFFFF).astype(np.int64)
+
+
 def _together(table: DataFrame, shared, shard_docs: int) -> DataFrame:
     """The documents, dealt and sorted by the rarest ids that each shares with another document.
 
@@ -79,9 +92,7 @@ def _together(table: DataFrame, shared, shard_docs: int) -> DataFrame:
         for batch in batches:
             signs, groups = [], []
             for width, raw in zip(batch.column(1).to_pylist(), batch.column(2)):
-                own = np.unique(np.frombuffer(raw.as_py(), f"<u{width}"))
-                own = own[df[own] > 1]
-                own = own[np.lexsort((own, df[own]))[:SIGNATURE]]
+                own = rarest_shared(np.frombuffer(raw.as_py(), f"<u{width}"), df)
                 at += 1
                 signs.append(own.tolist())
                 groups.append(at % -(-int(df[own[0]]) // shard_docs) if len(own) else at)
@@ -95,30 +106,54 @@ def _together(table: DataFrame, shared, shard_docs: int) -> DataFrame:
 
 
 class ShardIndex:
-    """BM25 inverted index over the documents of one shard, with the corpus's statistics."""
+    """BM25 inverted index over the documents of one shard, with the corpus's statistics.
+
+    Terms of many of the shard's documents have a row of weights, and one product of matrices sums
+    them for all seeds; the others have posting lists, which are summed when a seed asks.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, owners, weights, self.queries = [], [], [], []
+        terms, owners, weights = [], [], []
         for k, ids in enumerate(docs):
             own, tf = np.unique(ids, return_counts=True)
             norm = K1 * (1 - B + B * len(ids) / mean_length)
-            w = (idf[own] * (tf * (K1 + 1) / (tf + norm))).astype(np.float32)
             terms.append(own)
-            owners.append(np.full(len(own), k, np.int32))
-            weights.append(w)
-            self.queries.append(own)
-        terms, owners, weights = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
-        order = np.argsort(terms, kind="stable")
-        self.owners, self.weights, self.size = owners[order], weights[order], len(docs)
-        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-
-    def neighbours(self, doc: int) -> np.ndarray:
-        """The other documents that share terms with the seed, best first; ties by position."""
+            owners.append(np.full(len(own), k))
+            weights.append(idf[own] * (tf * (K1 + 1) / (tf + norm)))
+        sizes = [len(t) for t in terms]
+        terms, owners, weights = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights).astype(np.float64)
+        self.size = n = len(docs)
+        found, number, count = np.unique(terms, return_inverse=True, return_counts=True)
+        common = count * DENSE_SHARE >= n
+        row = np.cumsum(common) - 1
+        dense = common[number]
+        table = np.zeros((int(common.sum()), n))
+        table[row[number[dense]], owners[dense]] = weights[dense]
+        held = np.zeros((n, len(table)))
+        held[owners[dense], row[number[dense]]] = 1
+        self.scores = held @ table
+        rare = ~dense
+        order = np.argsort(number[rare], kind="stable")
+        self.owners, self.weights = owners[rare][order], weights[rare][order]
+        self.starts = np.searchsorted(number[rare][order], np.arange(len(found) + 1))
+        ends = np.cumsum(sizes)
+        self.queries = [q[~common[q]] for q in np.split(number, ends[:-1])]
+
+    def neighbours(self, doc: int, unused: np.ndarray):
+        """The unused documents that share terms with the seed, best first; ties by position."""
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[doc]]
-        owners = np.concatenate([self.owners[s] for s in spans])
-        scores = np.bincount(owners, np.concatenate([self.weights[s] for s in spans]), self.size)
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        scores = self.scores[doc]
+        if spans:
+            scores = scores + np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.size)
+        scores = np.where(unused, scores, 0)
+        least, first = 0.0, np.empty(0, np.int64)
+        if self.size > FIRST:
+            least = np.partition(scores, -FIRST)[-FIRST]
+            first = np.flatnonzero((scores >= least) & (scores > 0))
+            yield from first[np.argsort(-scores[first], kind="stable")].tolist()
+        # a window that these don't fill sees the rest
+        rest = np.flatnonzero((scores > 0) & (scores < least)) if len(first) or least > 0 else np.flatnonzero(scores > 0)
+        yield from rest[np.argsort(-scores[rest], kind="stable")].tolist()
 
 
 def fill_windows(lengths: list[int], index: ShardIndex, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -146,12 +181,12 @@ def fill_windows(lengths: list[int], index: ShardIndex, window: int) -> list[tup
             unused[seed] = False
             place(seed)
         opened = sequence
-        for other in index.neighbours(seed):
-            if sequence != opened or offset == 0:
-                break
-            if unused[other]:
+        if offset:
+            for other in index.neighbours(seed, unused):
                 unused[other] = False
-                place(int(other))
+                place(other)
+                if sequence != opened or offset == 0:
+                    break
         if sequence == opened and offset:  # no neighbour is left: the next document goes on
             while following < n and not unused[following]:
                 following += 1

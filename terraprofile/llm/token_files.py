@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, id
     def write(batches):
         store, root = open_store(uri)
         coder = process_wide(Encoder, tokenizer)
-        width = 2 if coder.vocabulary.library.get_vocab_size() <= 1 << 16 else 4
+        width = 2 if coder.size <= 1 << 16 else 4
         part, offsets, ids = TaskContext.get().partitionId(), [0], []
         name = f"{root}/part-{part:06d}"
         with whole_file(store, f"{name}.ids") as out:

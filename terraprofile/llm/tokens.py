@@ -13,6 +13,7 @@ import re
 import string
 import sys
 import types
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -96,24 +97,33 @@ class Vocabulary:
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers.
 
-    ``specials=False`` takes the strings of special tokens inside texts as plain text.
+    ``specials=False`` takes the strings of special tokens inside texts as plain text. The library
+    is loaded when a text needs it; a vocabulary by ranks takes a tenth of its memory.
     """
 
     def __init__(self, path: str, specials: bool = True):
-        self.vocabulary = Vocabulary(path)
-        self.library = self.vocabulary.library
-        self.library.encode_special_tokens = not specials
-        self.specials = self.vocabulary.specials if specials else []
-        self.ranked = self._ranked()
-
-    def _ranked(self):
-        """The vocabulary by ranks, or None where its merges do not follow from the ranks.
+        self.path, self.plain_specials = path, not specials
+        vocabulary = Vocabulary(path)
+        tokens = vocabulary.library.get_vocab(with_added_tokens=True)
+        self.size = max(tokens.values(), default=-1) + 1
+        self.special_bytes = {i: t.content.encode() for i, t in vocabulary.library.get_added_tokens_decoder().items()}
+        self.specials = vocabulary.specials if specials else []
+        self.ranks = self._proved(vocabulary)
+        self.ranked = tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=self.ranks, special_tokens={}) if self.ranks else None
+
+    @cached_property
+    def library(self):
+        library = Vocabulary(self.path).library
+        library.encode_special_tokens = self.plain_specials
+        return library
+
+    def _proved(self, v: Vocabulary) -> dict[bytes, int] | None:
+        """The bytes of the tokens by rank, or None where the merges do not follow from the ranks.
 
         They do if ids rise with the merges, parts come before what they make, and every token
         encodes to itself: what stands between a token's ends just before its own merge is then
         the pair that this merge joins, so joining whatever ranks lowest takes the same steps.
         """
-        v = self.vocabulary
         if not v.byte_level:
             return None
         made = [v.vocab[a + b] for a, b in v.merges]
@@ -122,8 +132,7 @@ class Encoder:
         if not rising or len(tokens) != 256 + len(made) or any([x.id for x in v.model.tokenize(t)] != [i] for t, i in tokens.items()):
             return None
         byte = {c: b for b, c in enumerate(v.letters)}
-        ranks = {bytes([byte[c] for c in t]): i for t, i in tokens.items()}
-        return tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        return {bytes([byte[c] for c in t]): i for t, i in tokens.items()}
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a text as unsigned 32-bit integers; null has none."""
@@ -138,10 +147,14 @@ class Encoder:
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id."""
-        byte = {c: b for b, c in enumerate(self.vocabulary.letters)}
-        out = [b""] * self.library.get_vocab_size()
-        for token, i in self.library.get_vocab().items():
-            out[i] = bytes([byte[c] for c in token]) if token not in self.vocabulary.specials else token.encode()
+        out = [b""] * self.size
+        if self.ranks:
+            tokens = {i: t for t, i in self.ranks.items()}
+        else:
+            byte = {c: b for b, c in enumerate(byte_letters())}
+            tokens = {i: bytes([byte[c] for c in t]) for t, i in self.library.get_vocab(with_added_tokens=False).items()}
+        for i, t in (tokens | self.special_bytes).items():
+            out[i] = t
         return out
 
 

@@ -19,7 +19,7 @@ PARTS = ["a", "th", "the", " ", "  ", "\n", "'s", "'re", "'", "!", "12", "é", "
 
 @pytest.fixture(scope="module")
 def library():
-    return Encoder(PATH).vocabulary.library
+    return Encoder(PATH).library
 
 
 def ids(library, text):
@@ -46,6 +46,14 @@ def test_encoder_and_prefixes_equal_the_library(library):
         assert counter.prefixes(text).tolist() == [len(ids(library, text[:i])) for i in range(1, len(text) + 1)]
 
 
+def test_prefixes_of_long_runs_take_no_long(library):
+    counter = token_counts.PrefixCounter(PATH)
+    for text in ("'" * 100_000, "x" + "'" * 50_000 + "s", "it's " * 20_000, "'!?" * 30_000):
+        found = counter.prefixes(text)
+        for k in (1, 2, 3, 77, len(text) // 2, len(text) - 1, len(text)):
+            assert found[k - 1] == len(ids(library, text[:k]))
+
+
 def test_counts_answer_cuts_and_budgets(spark, library):
     out = token_counts.prefix_token_counts(odd_docs(spark))
     p = F.col("prefix_tokens")
@@ -98,7 +106,54 @@ def test_packing_keeps_every_id_once_and_pads_nothing(spark, library):
 def test_neighbours_come_best_first():
     docs = [np.array(x, "<u2") for x in ([1, 2, 3], [7, 8, 9], [1, 2, 3, 4], [3, 9, 9])]
     index = packing.ShardIndex(docs, np.ones(10, np.float32), 3.0)
-    assert [d for d in index.neighbours(0).tolist() if d != 0] == [2, 3]
+    unused = np.ones(4, bool)
+    assert [d for d in index.neighbours(0, unused) if d != 0] == [2, 3]
+    unused[2] = False
+    assert [d for d in index.neighbours(0, unused) if d != 0] == [3]
+
+
+def test_neighbours_equal_a_plain_sum_of_weights(monkeypatch):
+    monkeypatch.setattr(packing, "FIRST", 5)
+    chance = np.random.default_rng(2)
+    docs = [chance.zipf(1.3, chance.integers(1, 60)) % 300 for _ in range(80)]
+    docs[7] = docs[3]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=300)
+    idf, mean = np.log1p((80 - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
+    index = packing.ShardIndex(docs, idf, mean)
+    for seed in range(80):
+        unused = chance.random(80) < 0.7
+        plain = np.zeros(80)
+        for k, d in enumerate(docs):
+            for t in set(docs[seed].tolist()) & set(d.tolist()):
+                tf = int((d == t).sum())
+                plain[k] += idf[t] * (tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)))
+        got = list(index.neighbours(seed, unused))
+        assert sorted(got) == np.flatnonzero((plain > 0) & unused).tolist()
+        assert all(plain[a] >= plain[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
+def test_rarest_shared_ids():
+    chance = np.random.default_rng(4)
+    df = chance.integers(0, 6, 400)
+    for n in (1, 3, 60, 500):
+        for ids in (chance.integers(0, 400, n), np.full(n, 7), np.repeat(chance.integers(0, 400, 3), n)):
+            own = [t for t in np.unique(ids).tolist() if df[t] > 1]
+            assert packing.rarest_shared(ids.astype("<u2"), df).tolist() == sorted(own, key=lambda t: (df[t], t))[: packing.SIGNATURE]
+
+
+def test_ranks_are_the_library_on_every_character(library):
+    # the split into pieces is the same for each code point, behind and before letters, digits and marks
+    coder = Encoder(PATH)
+    assert coder.ranked is not None
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4000):
+        text = "".join(f"a{c}1{c}!{c} {c}a" for c in points[k : k + 4000])
+        assert coder.ids(text).tolist() == ids(library, text)
+
+
+def test_long_runs_take_no_long(library):
+    for text in ("'" * 200_000, "a" * 200_000, " " * 200_000, "x" + "\n" * 200_000 + "y"):
+        assert Encoder(PATH).ids(text).tolist() == ids(library, text)
 
 
 def test_packing_finds_neighbours_of_other_partitions(spark):
