@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from terraprofile.session import materialize
 
-# The separators a file may have, by preference.
-DELIMITERS = [",", ";", "\t", "|"]
 # a line of whole cells: nothing is left open behind it
 _CELL = r'(?: *"(?:[^"]|"")*" *|[^",;\t|]*)'
 WHOLE_LINE = rf"^{_CELL}(?:[,;\t|]{_CELL})*\r?$"

@@ -31,9 +31,9 @@ def read(spark, folder):
     return found.collect()
 
 
-@pytest.mark.parametrize("block", [7, 40, 333, 1 << 20])
+@pytest.mark.parametrize("block", [29, 333, 1 << 20])
 def test_quoted_line_breaks_across_blocks(spark, tmp_path, block):
-    wanted = written(tmp_path, 60, block)
+    wanted = written(tmp_path, 40, block)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", block)
