@@ -167,7 +167,9 @@ def _across_large(posts: DataFrame, sets: DataFrame, orders: DataFrame, percent:
         sizes = np.array([len(s) for s in sets])
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
-        comps, tiles = np.array(comps), np.array(tiles)
+        # links within one local component change nothing, so a group gives fewer links than it has rows
+        _, comps = np.unique(np.array(comps), return_inverse=True)
+        tiles = np.array(tiles)
         mark, a, b = np.zeros(int(ids.max()) + 1, bool), [], []
         for x in range(len(docs)):
             able = (comps != comps[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
@@ -182,9 +184,10 @@ def _across_large(posts: DataFrame, sets: DataFrame, orders: DataFrame, percent:
             both = np.add.reduceat(mark[ids], starts)
             mark[own] = False
             for y in able:
-                if _linked(int(sizes[x]), int(sizes[y]), int(both[y]), percent):
+                if comps[x] != comps[y] and _linked(int(sizes[x]), int(sizes[y]), int(both[y]), percent):
                     a.append(docs[x])
                     b.append(docs[y])
+                    comps[comps == comps[y]] = comps[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return full.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
