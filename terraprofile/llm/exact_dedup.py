@@ -103,10 +103,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows are judged by id and text, so an id that stays with one text goes with another. Of rows
     that repeat both, one stays.
     """
-    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_copies"))
-    kept = materialize(kept, "kept-texts")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    if docs.groupBy(docs[id_col].alias("_i")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        # the id alone tells rows apart, and no text needs its digest again
+        return docs.join(kept.select("_keep"), docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
     own = docs.withColumn("_own", F.sha2(fold_case(F.col(text_col)).cast("binary"), 256))
-    left = own.join(kept, own[id_col].eqNullSafe(kept["_keep"]) & (own["_own"] == kept["_sha"]), "left_semi")
-    if not kept.where("_copies > 1").isEmpty():
-        left = left.dropDuplicates([id_col, "_own"])
-    return left.drop("_own")
+    return own.join(kept, own[id_col].eqNullSafe(kept["_keep"]) & (own["_own"] == kept["_sha"]), "left_semi").dropDuplicates([id_col, "_own"]).drop("_own")
