@@ -12,10 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraprofile.functions import geometry as G
 from terraprofile.operators.clean import col
@@ -27,6 +31,8 @@ HOT_VERTEX = 1000
 SUBSETS = 10
 PERMUTATIONS = 999
 CHUNK = 125
+BLOCK = 8192
+PART = 4096
 SEED = 12345
 SIGNIFICANT = 0.05
 CELL = ["lvl", "cx", "cy"]
@@ -361,23 +367,26 @@ NEGATIVE = "Autocorrelation negative significative (dispersion)"
 RANDOM = "Pas d autocorrelation significative (distribution aleatoire)"
 
 
-def dense_index(df: DataFrame, id: str) -> DataFrame:
-    """Number rows 0..n-1 by the digest of their id.
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Number rows 0..n-1 as ``idx`` in the order of some columns.
 
-    Rows are dealt by ranges of the digest and sorted there; the ranges' sizes (one row
-    per range) give the offsets.
+    Rows are dealt by ranges of these and sorted there; the ranges' sizes (one row per range)
+    give the offsets.
     """
-    digest = F.md5(col(id).cast("string").cast("binary"))
-    spread = materialize(
-        df.withColumn("_h", digest).repartitionByRange("_h").sortWithinPartitions("_h", col(id)).withColumn("_n", F.monotonically_increasing_id()), "numbered"
-    )
+    spread = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id()), "numbered")
     part = F.shiftrightunsigned(F.col("_n"), 33)
     sizes = spread.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("offset"))
     return spread.withColumn("part", part).join(offsets, "part").withColumn(
         "idx", F.col("offset") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
-    ).drop("_h", "_n", "part", "offset")
+    ).drop("_n", "part", "offset")
+
+
+def dense_index(df: DataFrame, id: str) -> DataFrame:
+    """Number rows 0..n-1 by the digest of their id."""
+    digest = F.md5(col(id).cast("string").cast("binary"))
+    return numbered(df.withColumns({"_h": digest, "_id": col(id)}), "_h", "_id").drop("_h", "_id")
 
 
 def affine_maps(n: int, permutations: int, seed: int) -> list[tuple[int, int, int]]:
@@ -396,22 +405,76 @@ def affine_maps(n: int, permutations: int, seed: int) -> list[tuple[int, int, in
     return maps
 
 
+def _chunk_maps(maps: list[tuple[int, int, int]], chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers a and b of a chunk's maps, as columns."""
+    part = np.array(maps[chunk * CHUNK : (chunk + 1) * CHUNK], dtype=np.int64)
+    return part[:, 1:2], part[:, 2:3]
+
+
+def _sender(n: int, maps: list[tuple[int, int, int]]) -> Callable:
+    """Deals a block's values to the blocks whose rows get them: by map, then by the place they come from."""
+    back = [(r, pow(a, -1, n), b) for r, a, b in maps]
+
+    def send(key: tuple, block: pa.Table) -> pa.Table:
+        at, z = block["idx"].to_numpy(), block["z"].to_numpy()
+        order = np.argsort(at)
+        at, z = at[order], z[order]
+        tables = []
+        for chunk in range(-(-len(maps) // CHUNK)):
+            a, b = _chunk_maps(back, chunk)
+            to = (((at - b) % n * a) % n // BLOCK).ravel()
+            dealt = np.argsort(to, kind="stable")
+            blocks, starts = np.unique(to[dealt], return_index=True)
+            ends = pa.array(np.append(starts, len(to)).astype(np.int32))
+            tables.append(pa.table({
+                "to": blocks, "chunk": np.full(len(blocks), chunk, dtype=np.int32), "origin": np.full(len(blocks), key[0].as_py(), dtype=np.int64),
+                "zs": pa.ListArray.from_arrays(ends, pa.array(z[dealt % len(at)])),
+            }))
+        return pa.concat_tables(tables)
+
+    return send
+
+
+def _receiver(n: int, maps: list[tuple[int, int, int]]) -> Callable:
+    """Puts the values sent to a block into the order of its rows, one vector a row."""
+
+    def receive(key: tuple, rows: pa.Table, sent: pa.Table) -> pa.Table:
+        first, (a, b) = key[0].as_py() * BLOCK, _chunk_maps(maps, key[1].as_py())
+        at = (np.arange(first, min(n, first + BLOCK)) * a + b) % n
+        by_place = np.argsort(at, axis=1)
+        origin = np.take_along_axis(at, by_place, 1) // BLOCK
+        place = (by_place + np.arange(len(a))[:, None] * at.shape[1]).ravel()[np.argsort(origin.ravel(), kind="stable")]
+        values = np.empty(at.size)
+        values[place] = pc.list_flatten(sent.sort_by("origin")["zs"].combine_chunks()).to_numpy()
+        vectors = values.reshape(at.shape).T[rows["idx"].to_numpy() - first]
+        ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * len(a))
+        return rows.drop_columns(["block", "idx"]).append_column("zs", pa.ListArray.from_arrays(ends, pa.array(vectors.ravel())))
+
+    return receive
+
+
 def relabelled(rows: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
-    """Per row (id, z) its values under all relabellings, as vectors: id, chunk, zs.
+    """Per row (id, z and others) its values under all relabellings, as vectors: id, others, chunk, zs.
 
-    Values come by an equi-join on the row's number, so no replicate is gathered in one task. A
-    vector holds ``CHUNK`` replicates, those of chunk c being numbered from c * CHUNK.
+    A vector holds ``CHUNK`` replicates, those of chunk c being numbered from c * CHUNK. Rows are
+    numbered and cut into blocks; a block sends each other block the values that this one's rows get
+    under all maps of a chunk, as one list in an order that both sides know from the maps. So a value
+    moves once a replicate, without a key, and a task holds one block and one chunk of it.
     """
-    nodes = materialize(dense_index(rows, "id"), "nodes")
+    nodes = materialize(dense_index(rows, "id").withColumn("block", F.floor(F.col("idx") / BLOCK)), "nodes")
     maps = affine_maps(n, permutations, seed)
-    table = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for r, a, b in maps])
-    moved = nodes.select("id", "idx", F.explode(table).alias("p")).select(
-        "id", F.col("p.r").alias("r"), F.pmod(F.col("idx") * F.col("p.a") + F.col("p.b"), F.lit(n)).alias("at")
-    )
-    chunk = F.floor(F.col("r") / CHUNK).cast("int").alias("chunk")
-    vector = F.transform(F.sort_array(F.collect_list(F.struct("r", "z"))), lambda e: e["z"])
-    found = moved.join(nodes.select(F.col("idx").alias("at"), "z"), "at")
-    return materialize(found.groupBy("id", chunk).agg(vector.alias("zs")), "relabelled")
+    chunks = F.sequence(F.lit(0), F.lit((len(maps) - 1) // CHUNK)).cast("array<int>")
+    sent = nodes.select("block", "idx", "z").groupBy("block").applyInArrow(_sender(n, maps), "to bigint, chunk int, origin bigint, zs array<double>")
+    asked = nodes.drop("z").withColumn("chunk", F.explode(chunks))
+    schema = T.StructType([*asked.drop("block", "idx").schema.fields, T.StructField("zs", T.ArrayType(T.DoubleType()))])
+    found = asked.groupBy("block", "chunk").cogroup(sent.groupBy("to", "chunk")).applyInArrow(_receiver(n, maps), schema)
+    counts = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if counts.isEmpty():
+        return found
+    # rows of one id share a vector: the first of all their values by replicate
+    pairs = F.sort_array(F.flatten(F.collect_list(F.transform("zs", lambda z, k: F.struct(k.alias("k"), z.alias("z"))))))
+    others = [F.first(c).alias(c) for c in rows.columns if c not in ("id", "z")]
+    return found.groupBy("id", "chunk").agg(*others, F.transform(F.slice(pairs, 1, F.first(F.size("zs"))), lambda e: e["z"]).alias("zs"))
 
 
 def vector_sums(df: DataFrame, keys: Sequence[str], **vectors: Column) -> DataFrame:
@@ -454,6 +517,52 @@ def _significance_row(stats: DataFrame, n: int, permutations: int) -> DataFrame:
     )
 
 
+def _curve(box: dict) -> Column:
+    """A place's number on a Z-shaped curve through the box, 31 bits each way."""
+
+    def spread(v: str) -> Column:
+        low, high = box[f"min{v}"] or 0.0, box[f"max{v}"] or 0.0
+        bits = F.floor((F.col(v) / 2 - F.lit(low / 2)) / F.lit((high / 2 - low / 2) or 1.0) * (2**31 - 1)).cast("bigint")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask))
+        return bits
+
+    return spread("x").bitwiseOR(F.shiftleft(spread("y"), 1))
+
+
+def _neighbourhoods(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges by parts of the plane (part, a, b, w), and the parts where each id is met (id, num, parts).
+
+    Ids are numbered along a curve, which keeps neighbours close, and cut into parts of ``PART``
+    ids, so a part is bounded however crowded the plane is. Edges lie in the part of their source.
+    """
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    xy = rows.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(finite & F.col("id").isNotNull())
+    box = xy.agg(*[f(v).alias(f"{n}{v}") for n, f in (("min", F.min), ("max", F.max)) for v in "xy"]).first()
+    places = xy.groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y")
+    ids = numbered(places.withColumn("z", _curve(box)), "z", "x", "y", "id").select("id", F.col("idx").alias("num"))
+    ids = materialize(ids.withColumn("part", F.floor(F.col("num") / PART)), "curve")
+    source = ids.select(F.col("id").alias("src"), F.col("num").alias("a"), "part")
+    target = ids.select(F.col("id").alias("dst"), F.col("num").alias("b"))
+    links = edges.join(source, "src").join(target, "dst").groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("w"))
+    links = materialize(links, "links")
+    met = links.select("part", F.col("a").alias("num")).unionByName(links.select("part", F.col("b").alias("num"))).groupBy("num").agg(F.collect_set("part").alias("parts"))
+    return links, ids.select("id", "num").join(met, "num").select("id", "num", "parts")
+
+
+def _products(key: tuple, vectors: pa.Table, links: pa.Table) -> pa.Table:
+    """The sums over a part's edges of the products of their ends' values, one a replicate."""
+    num = vectors["num"].to_numpy()
+    order = np.argsort(num)
+    table = pc.list_flatten(vectors["zs"].combine_chunks()).to_numpy().reshape(len(num), -1)
+    a, b = (order[np.searchsorted(num, links[c].to_numpy(), sorter=order)] for c in "ab")
+    w, total = links["w"].to_numpy().astype(float), np.zeros(table.shape[1])
+    for i in range(0, len(w), PART):
+        one = slice(i, i + PART)
+        total += np.einsum("i,ij,ij->j", w[one], table[a[one]], table[b[one]])
+    return pa.table({"chunk": pa.array([key[1].as_py()], pa.int32()), "v": [total]})
+
+
 def _totals(rows: DataFrame, value: str) -> tuple[int, float, float]:
     t = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")).first()
     return t["n"], t["mean"] or 0.0, (t["var"] or 0.0) * t["n"]
@@ -473,11 +582,14 @@ def moran_significance(
     if n < 2:
         return _significance_row(df.sparkSession.createDataFrame([], "r int, i double"), n, permutations)
     k = max(1, min(k, n - 1))
-    vectors = relabelled(rows.select("id", (F.col("v") - F.lit(mean)).alias("z")), n, permutations, seed)
     edges = knn_edges(rows, "id", "x", "y", k).select("src", "dst")
-    near = edges.join(vectors.select(F.col("id").alias("dst"), "chunk", F.col("zs").alias("zd")), "dst")
-    both = near.join(vectors.select(F.col("id").alias("src"), "chunk", F.col("zs").alias("z0")), ["src", "chunk"])
-    sums = vector_sums(both.select("chunk", _times("z0", "zd").alias("v")), ["chunk"], v=F.col("v"))
+    links, homes = _neighbourhoods(rows, edges)
+    vectors = relabelled(rows.select("id", (F.col("v") - F.lit(mean)).alias("z")).join(homes.hint("merge"), "id", "left"), n, permutations, seed)
+    dealt = vectors.select("num", "chunk", F.explode("parts").alias("part"), "zs")
+    chunks = F.sequence(F.lit(0), F.lit(permutations // CHUNK)).cast("array<int>")
+    asked = links.select("*", F.explode(chunks).alias("chunk"))
+    products = dealt.groupBy("part", "chunk").cogroup(asked.groupBy("part", "chunk")).applyInArrow(_products, "chunk int, v array<double>")
+    sums = vector_sums(products, ["chunk"], v=F.col("v"))
     i = F.try_divide(F.col("num"), F.lit(float(k)) * F.lit(den))
     return _significance_row(_by_replicate(sums, "v").select("r", i.alias("i")), n, permutations)
 
@@ -502,7 +614,7 @@ def moran_queen_significance(
     counts = groups.join(queen_sums(groups, hot), "g", "left").select("g", "m", (F.coalesce("cnt", F.lit(0)) + F.col("m") - 1).alias("around"))
     counts = materialize(counts.where("around > 0").join(sets, "g", "left"), "around")
     s0 = counts.agg(F.sum("m")).first()[0] or 0
-    vectors = relabelled(rows.select("id", z.alias("z")), n, permutations, seed)
+    vectors = materialize(relabelled(rows.select("id", z.alias("z")), n, permutations, seed), "relabelled")
     # value sums and sums of squares per shape; of few rows each, as equal shapes are one
     per_shape = vector_sums(rows.select("id", "g").join(vectors, "id").withColumn("qs", _times("zs", "zs")), ["g", "chunk"], s=F.col("zs"), q=F.col("qs"))
     shapes = materialize(per_shape.join(counts.select("g", "around", "hot"), "g"), "shape-vectors")

@@ -279,6 +279,33 @@ def test_significance_of_shapes(spark, monkeypatch, hot, subsets):
     assert neighbours.moran_queen(df, "g", "v", hot).first()["moran_i"] == pytest.approx(i, abs=1e-4)
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Fails broadcasts of more than 64 MB; a hash table of any size may take half of that."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def nearest_weights(xy, ids, k):
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    weights = np.zeros_like(d2)
+    np.put_along_axis(weights, np.lexsort((np.broadcast_to(ids, d2.shape), d2))[:, :k], 1 / k, axis=1)
+    return weights
+
+
+@pytest.mark.parametrize("block, part", [(8192, 4096), (97, 50)])
+def test_significance_of_points_sends_no_replicates_through_the_driver(spark, monkeypatch, small_broadcasts, block, part):
+    monkeypatch.setattr(neighbours, "BLOCK", block, raising=False)
+    monkeypatch.setattr(neighbours, "PART", part, raising=False)
+    rng = np.random.default_rng(5)
+    xy, ids, v = rng.integers(0, 60, (2500, 2)).astype(float), rng.permutation(2500), rng.random(2500)
+    got = neighbours.moran_significance(frame(spark, id=ids, x=xy[:, 0], y=xy[:, 1], v=v), "id", "x", "y", "v").first()
+    i, p, score = significance_directly(nearest_weights(xy, ids, 4), v - v.mean(), 999, list(ids))
+    assert (got["moran_i"], got["p_value"], got["z_score"]) == (pytest.approx(i, abs=1e-4), pytest.approx(p, abs=1e-4), pytest.approx(score, abs=1e-4))
+
+
 def test_significance_of_nothing_and_of_equal_values(spark):
     df = spark.createDataFrame([(k, float(k), 0.0, 1.0) for k in range(5)], "id long, x double, y double, v double")
     none = neighbours.moran_significance(df.where("id = 1"), "id", "x", "y", "v", permutations=9).first()
