@@ -614,10 +614,11 @@ def moran_queen_significance(
     counts = groups.join(queen_sums(groups, hot), "g", "left").select("g", "m", (F.coalesce("cnt", F.lit(0)) + F.col("m") - 1).alias("around"))
     counts = materialize(counts.where("around > 0").join(sets, "g", "left"), "around")
     s0 = counts.agg(F.sum("m")).first()[0] or 0
-    vectors = materialize(relabelled(rows.select("id", z.alias("z")), n, permutations, seed), "relabelled")
+    vectors = materialize(relabelled(rows.select("id", z.alias("z")), n, permutations, seed), "relabelled").hint("merge")
     # value sums and sums of squares per shape; of few rows each, as equal shapes are one
     per_shape = vector_sums(rows.select("id", "g").join(vectors, "id").withColumn("qs", _times("zs", "zs")), ["g", "chunk"], s=F.col("zs"), q=F.col("qs"))
-    shapes = materialize(per_shape.join(counts.select("g", "around", "hot"), "g"), "shape-vectors")
+    # written vectors are far smaller than read ones, so their size in bytes must not choose a broadcast
+    shapes = materialize(per_shape.join(counts.select("g", "around", "hot"), "g"), "shape-vectors").hint("merge")
     weighted = F.transform("s", lambda v: v / F.col("around"))
     one = shapes.select("g", "chunk", "s", weighted.alias("w"))
     other = one.select(F.col("g").alias("b"), "chunk", F.col("s").alias("t"))

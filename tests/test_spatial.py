@@ -306,6 +306,19 @@ def test_significance_of_points_sends_no_replicates_through_the_driver(spark, mo
     assert (got["moran_i"], got["p_value"], got["z_score"]) == (pytest.approx(i, abs=1e-4), pytest.approx(p, abs=1e-4), pytest.approx(score, abs=1e-4))
 
 
+def test_significance_of_parcels_sends_no_replicates_through_the_driver(spark, small_broadcasts):
+    n = 50
+    ring = F.array(*[G.xy(F.col(x), F.col(y)) for x, y in ("ab", "cb", "cd", "ad", "ab")])
+    df = parcels(spark, n).select(F.monotonically_increasing_id().alias("id"), G.polygon(ring).alias("g"), ((F.col("a") * 7 + F.col("b") * 3) % 10).alias("v"))
+    rows = df.select("id", "v", F.col("g.parts")[0][0][0].alias("p")).collect()
+    at = np.array([[r.p.x, r.p.y] for r in rows])
+    touch = (np.abs(at[:, None] - at[None]).max(axis=2) == 1).astype(float)
+    v = np.array([r.v for r in rows])
+    i, p, score = significance_directly(touch / touch.sum(axis=1, keepdims=True), v - v.mean(), 999, [r.id for r in rows])
+    got = neighbours.moran_queen_significance(df, "id", "g", "v").first()
+    assert (got["moran_i"], got["p_value"], got["z_score"]) == (pytest.approx(i, abs=1e-4), pytest.approx(p, abs=1e-4), pytest.approx(score, abs=1e-4))
+
+
 def test_significance_of_nothing_and_of_equal_values(spark):
     df = spark.createDataFrame([(k, float(k), 0.0, 1.0) for k in range(5)], "id long, x double, y double, v double")
     none = neighbours.moran_significance(df.where("id = 1"), "id", "x", "y", "v", permutations=9).first()
