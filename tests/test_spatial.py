@@ -319,6 +319,15 @@ def test_significance_of_parcels_sends_no_replicates_through_the_driver(spark, s
     assert (got["moran_i"], got["p_value"], got["z_score"]) == (pytest.approx(i, abs=1e-4), pytest.approx(p, abs=1e-4), pytest.approx(score, abs=1e-4))
 
 
+def test_all_metrics_send_no_replicates_through_the_driver(spark, small_broadcasts):
+    corners = parcels(spark, 50).withColumn("id", F.monotonically_increasing_id())
+    points = corners.select("id", (F.col("a") % 3).alias("v"), G.point(F.col("a"), F.col("b")).alias("g"))
+    ring = F.array(*[G.xy(F.col(x), F.col(y)) for x, y in ("ab", "cb", "cd", "ad", "ab")])
+    solid = corners.select("id", (F.col("a") % 3).alias("v"), G.polygon(ring).alias("g"))
+    for df in (points, solid):
+        assert compute_all_metrics(df, "id", "g", value="v", grid_size=10.0).first().moran.n == 2500
+
+
 def test_significance_of_nothing_and_of_equal_values(spark):
     df = spark.createDataFrame([(k, float(k), 0.0, 1.0) for k in range(5)], "id long, x double, y double, v double")
     none = neighbours.moran_significance(df.where("id = 1"), "id", "x", "y", "v", permutations=9).first()
