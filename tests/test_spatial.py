@@ -417,3 +417,14 @@ def test_text_geometry_is_measured_by_hulls(spark):
     assert figures(rows["points"]) == [50.0, 0.08, 50.0, 6.25]
     area, density, fill, share = figures(rows["polygons"])
     assert (area, density, share) == (350.0, 0.01, 43.75) and fill == pytest.approx(37.5, abs=0.5)
+
+
+def test_shapes_are_parsed_once_for_boxes_and_coverage(spark):
+    df = spark.createDataFrame([(box_wkt(0, 0, 2, 1),), (box_wkt(5, 5, 6, 6),), ("broken",), (None,)], "t string").withColumn("g", G.from_wkt(F.col("t")))
+    b = df.select(G.bbox(F.col("g")).alias("b")).select("b.*")
+    lines = b.select(G.line(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]).alias("g"))
+    covered = cover.coverage_envelope(df, "g", spark.range(1).select(*[F.lit(v).alias(n) for n, v in (("minx", 0.0), ("miny", 0.0), ("maxx", 1.0), ("maxy", 1.0))]), overlaps=False)
+    for found in (cover.boxes(df, "g"), cover.boxes(lines, "g"), covered):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    assert sorted(tuple(r) for r in cover.boxes(lines, "g").collect()) == [(0.0, 0.0, 2.0, 1.0), (5.0, 5.0, 6.0, 6.0)]
+    assert covered.first()[0] == pytest.approx(100 / 3, abs=1e-4)
