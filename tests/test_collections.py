@@ -75,3 +75,18 @@ def test_one_large_file_is_many_tasks_and_bad_features_are_counted(spark, tmp_pa
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_collections_are_written_from_one_look_at_the_rows(spark, tmp_path):
+    from terraprofile.plans.queries_sources import collections_of
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(12).select("id", (F.col("id") % 3).alias("zone"), F.udf(look, "string")(F.concat(F.lit("n"), "id")).alias("name"), G.point(F.col("id"), F.lit(1.0)).alias("g"))
+    collections_of(rows, "id", "zone", str(tmp_path / "c"))
+    assert seen.value == 12
+    assert files.scan_geojson(spark, str(tmp_path / "c")).count() == 12
