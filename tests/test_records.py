@@ -57,3 +57,23 @@ def test_stray_quotes_keep_their_line_and_an_open_cell_is_broken(spark, tmp_path
 
 def test_states_behind_lines():
     assert [records.after_line(t, s) for t in ("a,b", 'a,"b', 'a"b', '"a""b"', 'x",y', 'x","y') for s in (0, 1)] == [0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1]
+
+
+def test_a_batch_walks_its_text_once_for_records(spark, tmp_path, monkeypatch):
+    from terraprofile.plans.batch_report import batch_report
+
+    (tmp_path / "a.csv").write_text('longitude,latitude,note\n' + "".join(f'{k % 9}.5,{42 + k % 8}.25,"two\nlines"\n' for k in range(50)))
+    walked, pieces = spark.sparkContext.accumulator(0), records._pieces
+
+    def counted(batches):
+        def each():
+            for batch in batches:
+                walked.add(batch.num_rows)
+                yield batch
+
+        return pieces(each())
+
+    monkeypatch.setattr(records, "_pieces", counted)
+    row = batch_report(spark, str(tmp_path)).first()
+    assert (row["Nb lignes"], row["n_bad"], row["Nb colonnes"]) == (50, 0, 3)
+    assert walked.value == 101
