@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from terraprofile.functions import geometry as G
 from terraprofile.operators.clean import col
-from terraprofile.session import materialize
+from terraprofile.session import materialize, shuffled
 
 NEIGHBOURS = 4
 LEAF_CAPACITY = 32
@@ -49,7 +49,7 @@ def _places(points: DataFrame, k: int) -> DataFrame:
         .groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("id", "z"))).alias("ids"))
     )
     sums = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("m"), F.sum("z").alias("sz"))
-    return first.join(sums, ["x", "y"])
+    return first.join(shuffled(sums), ["x", "y"])
 
 
 def _frame(places: DataFrame) -> dict:
@@ -101,7 +101,7 @@ def _leaves(places: DataFrame, fr: dict, capacity: int) -> tuple[DataFrame, int]
         crowded = materialize(crowded, "crowded")
         if crowded.isEmpty():
             return placed, start
-        marked = placed.join(crowded, CELL, "left")
+        marked = placed.join(shuffled(crowded), CELL, "left")
         placed = materialize(_at_level(marked.withColumn("lvl", F.coalesce("to", "lvl")), fr, F.col("lvl")).drop("to"), "leaves")
 
 
@@ -142,7 +142,7 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     leaf = materialize(placed, "leaf")
 
     q = leaf.select(F.col("x").alias("px"), F.col("y").alias("py"), *CELL)
-    other = leaf.select("x", "y", "ids", *CELL)
+    other = shuffled(leaf.select("x", "y", "ids", *CELL))
     d2 = _square(F.col("px"), F.col("x")) + _square(F.col("py"), F.col("y"))
     entry = lambda rows: rows.select("px", "py", d2.alias("d2"), F.explode("ids").alias("e")).select("px", "py", "d2", "e.id", "e.z")
     own = materialize(_top(entry(q.join(other, CELL)), k), "own")
@@ -155,9 +155,9 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     above = _ancestors(cells, "rows")
     enough = above.groupBy(*CELL).agg(F.sum("rows").alias("rows")).where(F.col("rows") >= need).select(*CELL)
     sparse = _ancestors(cells.where(F.col("rows") < need).select(*CELL))
-    roomy = sparse.join(enough, CELL).groupBy(*[F.col(f"leaf_{c}").alias(c) for c in CELL]).agg(F.max("lvl").alias("roomy_lvl"))
+    roomy = sparse.join(shuffled(enough), CELL).groupBy(*[F.col(f"leaf_{c}").alias(c) for c in CELL]).agg(F.max("lvl").alias("roomy_lvl"))
     diagonal = F.lit(fr["side"] * math.sqrt(2)) / F.pow(F.lit(2.0), F.col("roomy_lvl"))
-    known = q.join(reach, ["px", "py"]).join(roomy, CELL, "left").select(
+    known = q.join(shuffled(reach), ["px", "py"]).join(shuffled(roomy), CELL, "left").select(
         "px", "py", *CELL,
         (F.when(F.col("have") >= need, F.sqrt("d2")).otherwise(diagonal) * (1 + 1e-9)).alias("r"),
     )
@@ -208,7 +208,7 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     tree = _ancestors(cells.select(*CELL))
     itself = tree.where(F.col("lvl") == F.col("leaf_lvl"))
     index = tree.select(F.lit(True).alias("under"), "*").unionByName(itself.select(F.lit(False).alias("under"), "*"))
-    found = keyed.join(index, ["under", *CELL]).where(
+    found = keyed.join(shuffled(index), ["under", *CELL]).where(
         ~((F.col("leaf_lvl") == F.col("own_lvl")) & (F.col("leaf_cx") == F.col("own_cx")) & (F.col("leaf_cy") == F.col("own_cy")))
     )
     size = F.pow(F.lit(2.0), fr["power"] - F.col("leaf_lvl"))
@@ -217,7 +217,7 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     visits = found.where(near <= F.col("r") * F.col("r")).select("px", "py", "r", *[F.col(f"leaf_{c}").alias(c) for c in CELL])
     far = entry(visits.join(other, CELL).where(d2 <= F.col("r") * F.col("r")))
     best = _top(own.unionByName(far), k).groupBy("px", "py").agg(F.sort_array(F.collect_list(F.struct("d2", "id", "z"))).alias("near"))
-    return places.join(best, (F.col("x") == F.col("px")) & (F.col("y") == F.col("py"))).select("x", "y", "m", "sz", "near")
+    return places.join(shuffled(best), (F.col("x") == F.col("px")) & (F.col("y") == F.col("py"))).select("x", "y", "m", "sz", "near")
 
 
 def _without(near: Column, id: Column, k: int) -> Column:
@@ -229,7 +229,7 @@ def knn_edges(df: DataFrame, id: str, x: str, y: str, k: int = NEIGHBOURS, value
     lists = nearest_lists(df, id, x, y, value, k).select("x", "y", "near")
     rows = df.select(col(id).alias("src"), col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
     near = F.posexplode(_without(F.col("near"), F.col("src"), k))
-    return rows.join(lists, ["x", "y"]).select("src", near.alias("rank", "e")).select(
+    return rows.join(shuffled(lists), ["x", "y"]).select("src", near.alias("rank", "e")).select(
         "src", F.col("e.id").alias("dst"), (F.col("rank") + 1).cast("bigint").alias("rank"), F.sqrt("e.d2").alias("distance")
     )
 
@@ -281,18 +281,18 @@ def _corners(groups: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     """Shapes by vertices that few others have, and per shape the set of its crowded ones."""
     corner = groups.select("g", F.explode("v").alias("p"))
     degree = corner.groupBy("p").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > 1)
-    shared = corner.join(degree, "p")
+    shared = corner.join(shuffled(degree), "p")
     sets = shared.where(F.col("deg") > hot).groupBy("g").agg(F.sort_array(F.collect_set("p")).alias("hot"))
     return shared.where(F.col("deg") <= hot).select("p", "g"), sets
 
 
 def queen_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
     """Directed pairs of shapes that share a vertex of few shapes and no crowded one."""
-    few = few.join(sets, "g", "left")
+    few = few.join(shuffled(sets), "g", "left")
     a = few.select("p", F.col("g").alias("a"), F.col("hot").alias("ha"))
     b = few.select("p", F.col("g").alias("b"), F.col("hot").alias("hb"))
     met = F.coalesce(F.arrays_overlap("ha", "hb"), F.lit(False))
-    return a.join(b, "p").where((F.col("a") != F.col("b")) & ~met).select("a", "b").distinct()
+    return a.join(shuffled(b), "p").where((F.col("a") != F.col("b")) & ~met).select("a", "b").distinct()
 
 
 def _subsets(hot: Column) -> Column:
@@ -316,7 +316,7 @@ def _crowded_links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = by_set.select(F.col("hot").alias("ha"), F.explode("hot").alias("p"))
     right = by_set.select(F.col("hot").alias("hb"), F.explode("hot").alias("p"))
     large = (F.size("ha") > SUBSETS) | (F.size("hb") > SUBSETS)
-    pairs = left.where(F.size("ha") > SUBSETS).join(right, "p").unionByName(left.where(F.size("ha") <= SUBSETS).join(right.where(F.size("hb") > SUBSETS), "p"))
+    pairs = left.where(F.size("ha") > SUBSETS).join(shuffled(right), "p").unionByName(left.where(F.size("ha") <= SUBSETS).join(shuffled(right.where(F.size("hb") > SUBSETS)), "p"))
     return small, pairs.where(large).select("ha", "hb").distinct()
 
 
@@ -327,20 +327,20 @@ def queen_sums(groups: DataFrame, hot: int = HOT_VERTEX) -> DataFrame:
     there through sums over sets of such vertices; pairs met there are left out of the rest.
     """
     few, sets = _corners(groups, hot)
-    own = groups.select("g", "m", "s")
+    own = shuffled(groups.select("g", "m", "s"))
     pairs = queen_pairs(few, sets).join(own.select(F.col("g").alias("b"), "m", "s"), "b")
     direct = pairs.groupBy(F.col("a").alias("g")).agg(F.sum("m").alias("cnt"), F.sum("s").alias("sum"))
     small, linked = _crowded_links(sets)
     parts = small.join(own, "g")
     of_part = parts.groupBy("part").agg(F.sum("m").alias("pm"), F.sum("s").alias("ps"))
-    through = parts.join(of_part, "part").groupBy("g").agg(
+    through = parts.join(shuffled(of_part), "part").groupBy("g").agg(
         (F.sum(F.col("sign") * F.col("pm")) - F.first("m")).alias("cnt"), (F.sum(F.col("sign") * F.col("ps")) - F.first("s")).alias("sum")
     )
     by_set = sets.join(own, "g").groupBy("hot").agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
-    far = linked.join(by_set, F.col("hb") == F.col("hot")).groupBy("ha").agg(F.sum("m").alias("lm"), F.sum("s").alias("ls"))
+    far = linked.join(shuffled(by_set), F.col("hb") == F.col("hot")).groupBy("ha").agg(F.sum("m").alias("lm"), F.sum("s").alias("ls"))
     # a large set meets itself among its pairs, so its shapes leave themselves out here
     large = F.size("hot") > SUBSETS
-    through_large = sets.join(own, "g").join(far, F.col("hot") == F.col("ha")).select(
+    through_large = sets.join(own, "g").join(shuffled(far), F.col("hot") == F.col("ha")).select(
         "g", (F.col("lm") - F.when(large, F.col("m")).otherwise(0)).alias("cnt"), (F.col("ls") - F.when(large, F.col("s")).otherwise(0.0)).alias("sum")
     )
     return direct.unionByName(through).unionByName(through_large).groupBy("g").agg(F.sum("cnt").alias("cnt"), F.sum("sum").alias("sum"))
@@ -351,7 +351,7 @@ def moran_queen(df: DataFrame, geometry: str, value: str, hot: int = HOT_VERTEX)
     rows = df.where(col(geometry).isNotNull() & col(value).isNotNull())
     mean = rows.agg(F.avg(col(value)).alias("mean")).scalar()
     groups = materialize(queen_groups(rows, geometry, col(value).cast("double") - mean), "shapes")
-    sums = groups.join(queen_sums(groups, hot), "g", "left").select(
+    sums = groups.join(shuffled(queen_sums(groups, hot)), "g", "left").select(
         "m", "s", "ss", F.coalesce("cnt", F.lit(0)).alias("cnt"), F.coalesce("sum", F.lit(0.0)).alias("sum")
     )
     around = F.col("cnt") + F.col("m") - 1
@@ -544,10 +544,10 @@ def _neighbourhoods(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     ids = materialize(ids.withColumn("part", F.floor(F.col("num") / PART)), "curve")
     source = ids.select(F.col("id").alias("src"), F.col("num").alias("a"), "part")
     target = ids.select(F.col("id").alias("dst"), F.col("num").alias("b"))
-    links = edges.join(source, "src").join(target, "dst").groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("w"))
+    links = edges.join(shuffled(source), "src").join(shuffled(target), "dst").groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("w"))
     links = materialize(links, "links")
     met = links.select("part", F.col("a").alias("num")).unionByName(links.select("part", F.col("b").alias("num"))).groupBy("num").agg(F.collect_set("part").alias("parts"))
-    return links, ids.select("id", "num").join(met, "num").select("id", "num", "parts")
+    return links, ids.select("id", "num").join(shuffled(met), "num").select("id", "num", "parts")
 
 
 def _products(key: tuple, vectors: pa.Table, links: pa.Table) -> pa.Table:
@@ -584,7 +584,7 @@ def moran_significance(
     k = max(1, min(k, n - 1))
     edges = knn_edges(rows, "id", "x", "y", k).select("src", "dst")
     links, homes = _neighbourhoods(rows, edges)
-    vectors = relabelled(rows.select("id", (F.col("v") - F.lit(mean)).alias("z")).join(homes.hint("merge"), "id", "left"), n, permutations, seed)
+    vectors = relabelled(rows.select("id", (F.col("v") - F.lit(mean)).alias("z")).join(shuffled(homes), "id", "left"), n, permutations, seed)
     dealt = vectors.select("num", "chunk", F.explode("parts").alias("part"), "zs")
     chunks = F.sequence(F.lit(0), F.lit(permutations // CHUNK)).cast("array<int>")
     asked = links.select("*", F.explode(chunks).alias("chunk"))
@@ -611,14 +611,13 @@ def moran_queen_significance(
     z = F.col("v") - F.lit(mean)
     groups = materialize(queen_groups(rows, "geometry", z), "shapes")
     few, sets = _corners(groups, hot)
-    counts = groups.join(queen_sums(groups, hot), "g", "left").select("g", "m", (F.coalesce("cnt", F.lit(0)) + F.col("m") - 1).alias("around"))
-    counts = materialize(counts.where("around > 0").join(sets, "g", "left"), "around")
+    counts = groups.join(shuffled(queen_sums(groups, hot)), "g", "left").select("g", "m", (F.coalesce("cnt", F.lit(0)) + F.col("m") - 1).alias("around"))
+    counts = materialize(counts.where("around > 0").join(shuffled(sets), "g", "left"), "around")
     s0 = counts.agg(F.sum("m")).first()[0] or 0
-    vectors = materialize(relabelled(rows.select("id", z.alias("z")), n, permutations, seed), "relabelled").hint("merge")
+    vectors = shuffled(materialize(relabelled(rows.select("id", z.alias("z")), n, permutations, seed), "relabelled"))
     # value sums and sums of squares per shape; of few rows each, as equal shapes are one
     per_shape = vector_sums(rows.select("id", "g").join(vectors, "id").withColumn("qs", _times("zs", "zs")), ["g", "chunk"], s=F.col("zs"), q=F.col("qs"))
-    # written vectors are far smaller than read ones, so their size in bytes must not choose a broadcast
-    shapes = materialize(per_shape.join(counts.select("g", "around", "hot"), "g"), "shape-vectors").hint("merge")
+    shapes = shuffled(materialize(per_shape.join(shuffled(counts.select("g", "around", "hot")), "g"), "shape-vectors"))
     weighted = F.transform("s", lambda v: v / F.col("around"))
     one = shapes.select("g", "chunk", "s", weighted.alias("w"))
     other = one.select(F.col("g").alias("b"), "chunk", F.col("s").alias("t"))
@@ -633,7 +632,7 @@ def moran_queen_significance(
     signed = by_part.select("chunk", F.transform(_times("s", "w"), lambda v: v * F.col("sign")).alias("v"))
     crowded = vector_sums(signed, ["chunk"], v=F.col("v"))
     by_set = vector_sums(sets.join(one, "g"), ["hot", "chunk"], s=F.col("s"), w=F.col("w"))
-    ends = linked.join(by_set.select(F.col("hot").alias("ha"), "chunk", "w"), "ha").join(by_set.select(F.col("hot").alias("hb"), "chunk", "s"), ["hb", "chunk"])
+    ends = linked.join(shuffled(by_set.select(F.col("hot").alias("ha"), "chunk", "w")), "ha").join(shuffled(by_set.select(F.col("hot").alias("hb"), "chunk", "s")), ["hb", "chunk"])
     large = product(ends, "w", "s")
     num = _by_replicate(across.unionByName(inside).unionByName(crowded).unionByName(large), "v")
     i = F.try_divide(F.lit(float(n)) * F.col("num"), F.lit(float(s0)) * F.lit(den))

@@ -328,6 +328,29 @@ def test_all_metrics_send_no_replicates_through_the_driver(spark, small_broadcas
         assert compute_all_metrics(df, "id", "g", value="v", grid_size=10.0).first().moran.n == 2500
 
 
+def hash_broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_neighbours_of_points_are_joined_without_broadcasts(spark):
+    rng = np.random.default_rng(3)
+    df = frame(spark, id=np.arange(300), x=rng.random(300), y=rng.random(300), v=rng.random(300))
+    edges = neighbours.knn_edges(df, "id", "x", "y")
+    links, homes = neighbours._neighbourhoods(df, edges)
+    assert [hash_broadcasts(d) for d in (edges, homes)] == [0, 0]
+    assert links.agg(F.sum("w")).first()[0] == 4 * 300
+
+
+def test_shapes_and_cells_are_joined_without_broadcasts(spark):
+    ring = F.array(*[G.xy(F.col(x), F.col(y)) for x, y in ("ab", "cb", "cd", "ad", "ab")])
+    df = parcels(spark, 9).select(G.polygon(ring).alias("g"))
+    sums = neighbours.queen_sums(neighbours.queen_groups(df, "g", F.lit(1.0)), hot=3)
+    f = cover.frame(cover.geometry_box(df, "g"))
+    share = cover.coverage_cells(df, "g", cover.polygon_cells(df, "g", f), f, overlaps=False)
+    assert [hash_broadcasts(d) for d in (sums, share)] == [0, 0]
+    assert sums.agg(F.sum("cnt")).first()[0] == 4 * 3 + 28 * 5 + 49 * 8 and share.first()[0] == pytest.approx(100, abs=0.5)
+
+
 def test_significance_of_nothing_and_of_equal_values(spark):
     df = spark.createDataFrame([(k, float(k), 0.0, 1.0) for k in range(5)], "id long, x double, y double, v double")
     none = neighbours.moran_significance(df.where("id = 1"), "id", "x", "y", "v", permutations=9).first()
