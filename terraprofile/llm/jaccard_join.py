@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from terraprofile.llm.graph import components
 from terraprofile.llm.textops import plain_words, shingle_set, slices
-from terraprofile.session import materialize
+from terraprofile.session import materialize, passing
 
 SMALL_BUCKET = 64
 TILE_BYTES = 4_000_000
@@ -203,12 +203,14 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     set, if another row has that. Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = materialize(_sets(docs, id_col, text_col, k, percent), "shingle-samples")
-    # one node per distinct set; counted in the tasks first, so copies of one text are no burden
-    nodes = rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("node"))
-    nodes = materialize(nodes.where("node is not null"), "set-nodes")
-    firsts = rows.join(nodes.select(F.col("node").alias("doc"), "digest"), ["doc", "digest"]).dropDuplicates(["doc", "digest"])
-    prefixes = materialize(_prefixes(firsts.select("doc", "n", "counted", "tokens"), percent), "prefixes")
+    # the tokens are needed for the prefixes only, and would take more disk than what comes after
+    with passing(_sets(docs, id_col, text_col, k, percent), "shingle-samples") as samples:
+        rows = materialize(samples.select("doc", "n", "digest"), "set-sizes")
+        # one node per distinct set; counted in the tasks first, so copies of one text are no burden
+        nodes = rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("node"))
+        nodes = materialize(nodes.where("node is not null"), "set-nodes")
+        firsts = samples.join(nodes.select(F.col("node").alias("doc"), "digest"), ["doc", "digest"]).dropDuplicates(["doc", "digest"])
+        prefixes = materialize(_prefixes(firsts.select("doc", "n", "counted", "tokens"), percent), "prefixes")
 
     useful = prefixes.where("o1").groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("alone", "doc", "n")).alias("typical")).where("m > 1")
     posts = prefixes.where("o1").join(useful, "token")
@@ -244,7 +246,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     if not more.isEmpty():
         groups = materialize(components(links.unionByName(more)), "components")
 
-    out = rows.select("doc", "n", "digest").join(nodes, "digest", "left").join(groups, "node", "left")
+    out = rows.join(nodes, "digest", "left").join(groups, "node", "left")
     return out.select(
         F.col("doc").alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),

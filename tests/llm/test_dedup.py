@@ -1,12 +1,14 @@
 """Exact and near copies, components and decontamination against brute force."""
 
 import hashlib
+import os
 import random
 import string
 
 import pytest
 
 from pyspark.sql import functions as F
+from terraprofile import session
 from terraprofile.llm import decontaminate, exact_dedup, graph, jaccard_join
 
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -116,3 +118,14 @@ def test_repeated_ids_bring_no_copy_back(spark):
     left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string, _keep int")).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in left) == [("1", "b"), ("2", "A"), ("5", "x"), ("None", "")]
     assert left[0].asDict().keys() == {"doc_id", "text", "_keep"}
+
+
+def test_tokens_for_prefixes_are_deleted_when_prefixes_are_written(spark, monkeypatch):
+    written = []
+    real = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda *a: written.append(real(*a)) or written[-1])
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z"), (4, None)]
+    got = jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows, 2, 80)
+    kept = {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: os.path.exists(p.removeprefix("file:")) for p in written}
+    assert not kept["shingle-samples"] and kept["prefixes"]
