@@ -9,7 +9,9 @@ lie across pieces are stitched from the ends that the pieces found closed.
 
 Links are counted over the corpus by blocks: a block of bounded size lists its distinct id
 pairs with their counts, only these lists are shuffled, summed and answered, and a document
-refers to its pairs by their place in its block's list. Nothing is broadcast or collected.
+refers to its pairs by their place in its block's list. Places and counts are as wide as they
+need to be, and the lists have columns of their own, so reading them leaves the documents'
+columns alone. Nothing is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -135,6 +137,22 @@ def stitched(a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: n
     return codes
 
 
+def _whole_type(largest: int) -> np.dtype:
+    """The narrowest type of whole numbers up to ``largest``."""
+    return np.min_scalar_type(largest).newbyteorder("<")
+
+
+def references(places: np.ndarray, counts: np.ndarray, listed: int) -> list[bytes]:
+    """Places in a list of ``listed`` pairs and their counts, each as wide as its largest needs."""
+    return [x.astype(_whole_type(largest)).tobytes() for x, largest in ((places, max(listed - 1, 0)), (counts, int(counts.max(initial=0))))]
+
+
+def referred(places: bytes, counts: bytes, listed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts as :func:`references` wrote them."""
+    places = np.frombuffer(places, _whole_type(max(listed - 1, 0)))
+    return places, np.frombuffer(counts, f"<u{len(counts) // max(len(places), 1) or 1}").astype(np.int64)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]):
     """Ids and texts (null as empty) of few rows at a time."""
     for batch in batches:
@@ -151,7 +169,7 @@ def _slices(batches: Iterator[pa.RecordBatch]):
 
 
 def aligned_blocks(docs: DataFrame, a_file: str, b_file: str, id_col: str, text_col: str, with_groups: bool, steps: int, block_links: int) -> DataFrame:
-    """Rows of two kinds: documents with their pairs' places and counts in the block, and (``head``) each block's pairs."""
+    """Rows of two kinds: documents with their pairs' places and counts in the block, and (``head``) each block's pairs and links."""
 
     def run(batches):
         pair = process_wide(Pair, a_file, b_file)
@@ -165,15 +183,15 @@ def aligned_blocks(docs: DataFrame, a_file: str, b_file: str, id_col: str, text_
             ends = np.cumsum([len(x) for x in links])
             for row, end, own in zip(rows, ends, links):
                 own, n = np.unique(places[end - len(own) : end], return_counts=True)
-                row += [own.astype("<u4").tobytes(), n.astype("<u4").tobytes()]
-            head = [None, 0, 0, 0, 0, "", None, True, keys.astype("<i8").tobytes(), counts.astype("<i8").tobytes()]
+                row += [*references(own, n, len(keys)), None, None]
+            head = [None, 0, 0, 0, 0, "", None, True, None, None, keys.astype("<i8").tobytes(), counts.astype("<i8").tobytes()]
             columns = list(zip(*rows, head))
             batch = pa.RecordBatch.from_arrays([pa.array([block] * len(columns[0]), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
             block, rows, links, held = block + 1, [], [], 0
             return batch
 
         for batch in batches:
-            kinds = [batch.schema.field(0).type, *[pa.int64()] * 4, pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary()]
+            kinds = [batch.schema.field(0).type, *[pa.int64()] * 4, pa.string(), pa.string(), pa.bool_(), *[pa.binary()] * 4]
             for keys, texts in _slices([batch]):
                 ids = pair.encode(texts)
                 a_ids, b_ids = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
@@ -199,8 +217,8 @@ def aligned_blocks(docs: DataFrame, a_file: str, b_file: str, id_col: str, text_
         if rows:
             yield flush()
 
-    names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "head", "pairs", "counts"]
-    types = [T.LongType(), docs.schema[id_col].dataType, *[T.LongType()] * 4, T.StringType(), T.StringType(), T.BooleanType(), T.BinaryType(), T.BinaryType()]
+    names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "head", "places", "counts", "pairs", "links"]
+    types = [T.LongType(), docs.schema[id_col].dataType, *[T.LongType()] * 4, T.StringType(), T.StringType(), T.BooleanType(), *[T.BinaryType()] * 4]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
@@ -210,11 +228,11 @@ def _block_pairs(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, pairs, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, pairs, links in zip(*(c.to_pylist() for c in batch.columns)):
                 pairs = np.frombuffer(pairs, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block)), pa.array(pairs), pa.array(np.frombuffer(counts, "<i8"))], names=["block", "pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block)), pa.array(pairs), pa.array(np.frombuffer(links, "<i8"))], names=["block", "pair", "n"])
 
-    return blocks.where("head").select("block", "pairs", "counts").mapInArrow(run, "block long, pair long, n long")
+    return blocks.where("head").select("block", "pairs", "links").mapInArrow(run, "block long, pair long, n long")
 
 
 def _pair_links(listed: DataFrame, n_a_ids: int) -> DataFrame:
@@ -243,14 +261,14 @@ def align(
     pairs = materialize(_pair_links(listed, n_a_ids), "pair-links")
     answers = listed.select("block", "pair").join(pairs.select("pair", "links", "best"), "pair")
     kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if with_groups else [])]
-    own = blocks.where("NOT head").select("block", *kept, "pairs", "counts")
+    own = blocks.where("NOT head").select("block", *kept, "places", "counts")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("pair")
         links, best = right.column("links").to_numpy(), right.column("best").to_numpy()
         n_best, total = [], []
-        for places, counts in zip(left.column("pairs"), left.column("counts")):
-            places, counts = np.frombuffer(places.as_buffer() or b"", "<u4"), np.frombuffer(counts.as_buffer() or b"", "<u4").astype(np.int64)
+        for places, counts in zip(left.column("places"), left.column("counts")):
+            places, counts = referred(places.as_buffer() or b"", counts.as_buffer() or b"", len(links))
             n_best.append(int(counts[best[places]].sum()))
             total.append(int((counts * links[places]).sum()))
         return pa.table([*(left.column(k) for k in kept), pa.array(n_best, pa.int64()), pa.array(total, pa.int64())], names=[*kept, "n_best", "count_sum"])

@@ -94,3 +94,33 @@ def test_a_long_text_is_many_pieces(spark, pair):
     a, b, links, groups = direct(pair, text)
     assert (row.n_a, row.n_b, row.n_links, row.n_groups) == (len(a), len(b), len(links), len(groups))
     assert row.groups_sha256 == hashlib.sha256(notation(groups).encode()).hexdigest() and row.n_a + row.n_b > 2 * alignment.PIECE_STEPS
+
+
+def test_documents_refer_to_pairs_in_few_bytes_and_lists_are_read_alone(spark, tmp_path):
+    texts = [*odd_texts(), "".join(map(chr, range(0x4E00, 0x5200)))]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    alignment.aligned_blocks(frame, A, B, "doc_id", "text", False, 1 << 16, 1 << 20).write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    listed = alignment._block_pairs(blocks)
+    assert 256 < listed.count() < 1 << 16
+    read = listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema: struct<")[1].split(">")[0]
+    assert sorted(x.split(":")[0] for x in read.split(",")) == ["block", "head", "links", "pairs"]
+    known = Counter({(r.block, r.pair): r.n for r in listed.collect()})
+    pairs = {b: sorted(p for c, p in known if c == b) for b, _ in known}
+    found, wide = Counter(), 0
+    for r in blocks.where("NOT head").collect():
+        places, counts = alignment.referred(r.places, r.counts, len(pairs[r.block]))
+        found.update({(r.block, pairs[r.block][p]): n for p, n in zip(places.tolist(), counts.tolist())})
+        assert len(r.places) == 2 * len(places) and len(r.counts) <= 2 * len(places) and counts.sum() == r.n_links
+        wide += len(r.counts) > len(places)
+    assert found == known and wide > 0
+
+
+@pytest.mark.parametrize("listed", [0, 1, 256, 257, 1 << 16, (1 << 16) + 1])
+@pytest.mark.parametrize("most", [1, 255, 256, (1 << 16) - 1, 1 << 16, (1 << 32) - 1, 1 << 32])
+def test_places_and_counts_come_back(listed, most):
+    places = np.unique(np.array([0, listed // 2, listed - 1])) if listed else np.empty(0, np.int64)
+    counts = np.full(len(places), 1, np.int64)
+    counts[-1:] = most
+    x, y = alignment.referred(*alignment.references(places, counts, listed), listed)
+    assert x.tolist() == places.tolist() and y.tolist() == counts.tolist()
