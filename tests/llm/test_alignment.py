@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from terraprofile.llm import alignment
+from terraprofile.llm import alignment, queries
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "the", "thing", " ", "  ", "\n", "é", "日本", "🙂", "<|endoftext|>", "</s>", "▁", "\x00", "42", "ing's", " ", "ﬁ"]
@@ -124,3 +124,11 @@ def test_places_and_counts_come_back(listed, most):
     counts[-1:] = most
     x, y = alignment.referred(*alignment.references(places, counts, listed), listed)
     assert x.tolist() == places.tolist() and y.tolist() == counts.tolist()
+
+
+def test_the_query_deals_its_rows_anew_before_they_are_written(spark, tmp_path):
+    rows = [(1, "the thing"), (None, "a thing"), (None, ""), (1, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op12_align_tokens"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("RebalancePartitions")
+    assert sorted((r.doc_id or 0, r.n_a > 0) for r in found.collect()) == [(0, False), (0, True), (1, False), (1, True)]
