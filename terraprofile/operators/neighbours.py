@@ -10,9 +10,10 @@ cell or place; no step meets all pairs of a group.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ PERMUTATIONS = 999
 CHUNK = 125
 BLOCK = 8192
 PART = 4096
+HELD = 1 << 24
 SEED = 12345
 SIGNIFICANT = 0.05
 CELL = ["lvl", "cx", "cy"]
@@ -119,9 +121,10 @@ def _square(a: Column, b: Column) -> Column:
 
 
 def _top(entries: DataFrame, k: int) -> DataFrame:
-    """Per place the k + 1 entries nearest to it, ties by id."""
-    w = Window.partitionBy("px", "py").orderBy("d2", "id")
-    return entries.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).drop("rn")
+    """Per place ``near``, the k + 1 entries nearest to it, ties by id."""
+    w = Window.partitionBy("place").orderBy("d2", "id")
+    first = entries.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1)
+    return first.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("d2", "id", "z"))).alias("near"))
 
 
 def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = None, k: int = NEIGHBOURS, capacity: int = LEAF_CAPACITY) -> DataFrame:
@@ -136,20 +139,21 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     # NULL, NaN and infinite coordinates are no places
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
     points = df.select(col(id).alias("id"), col(x).cast("double").alias("x"), col(y).cast("double").alias("y"), z.alias("z")).where(finite)
-    places = materialize(_places(points, k), "places")
+    # places go by number: joins and windows over pairs of doubles would deal the same rows out again each
+    places = materialize(_places(points, k).withColumn("place", F.monotonically_increasing_id()), "places")
     fr = _frame(places)
-    placed, start = _leaves(places, fr, capacity)
+    placed, start = _leaves(places.select("place", "x", "y", "m", "ids"), fr, capacity)
     leaf = materialize(placed, "leaf")
 
-    q = leaf.select(F.col("x").alias("px"), F.col("y").alias("py"), *CELL)
+    q = leaf.select("place", F.col("x").alias("px"), F.col("y").alias("py"), *CELL)
     other = shuffled(leaf.select("x", "y", "ids", *CELL))
     d2 = _square(F.col("px"), F.col("x")) + _square(F.col("py"), F.col("y"))
-    entry = lambda rows: rows.select("px", "py", d2.alias("d2"), F.explode("ids").alias("e")).select("px", "py", "d2", "e.id", "e.z")
+    entry = lambda rows: rows.select("place", d2.alias("d2"), F.explode("ids").alias("e")).select("place", "d2", "e.id", "e.z")
     own = materialize(_top(entry(q.join(other, CELL)), k), "own")
 
     # search radius: the (k+1)-th distance in the own leaf, or the diagonal of the
     # smallest enclosing cell with enough rows
-    reach = own.groupBy("px", "py").agg(F.count(F.lit(1)).alias("have"), F.max("d2").alias("d2"))
+    reach = own.select("place", F.size("near").alias("have"), F.element_at("near", -1)["d2"].alias("d2"))
     need = min(k + 1, fr["rows"])
     cells = leaf.groupBy(*CELL).agg(F.sum("m").alias("rows"))
     above = _ancestors(cells, "rows")
@@ -157,8 +161,8 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     sparse = _ancestors(cells.where(F.col("rows") < need).select(*CELL))
     roomy = sparse.join(shuffled(enough), CELL).groupBy(*[F.col(f"leaf_{c}").alias(c) for c in CELL]).agg(F.max("lvl").alias("roomy_lvl"))
     diagonal = F.lit(fr["side"] * math.sqrt(2)) / F.pow(F.lit(2.0), F.col("roomy_lvl"))
-    known = q.join(shuffled(reach), ["px", "py"]).join(shuffled(roomy), CELL, "left").select(
-        "px", "py", *CELL,
+    known = q.join(shuffled(reach), "place").join(shuffled(roomy), CELL, "left").select(
+        "place", "px", "py", *CELL,
         (F.when(F.col("have") >= need, F.sqrt("d2")).otherwise(diagonal) * (1 + 1e-9)).alias("r"),
     )
 
@@ -175,7 +179,7 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     reach_level = F.floor(fr["power"] - F.log2(F.col("r") * 2))
     deepest = _deepest(F.greatest(F.abs("px"), F.abs("py")) + F.col("r"), F.lit(0.0), fr)
     fit = F.greatest(F.lit(0), F.least(reach_level, deepest)).cast("int")
-    base = seekers.select("px", "py", "r", *[F.col(c).alias(f"own_{c}") for c in CELL], fit.alias("fit"))
+    base = seekers.select("place", "px", "py", "r", *[F.col(c).alias(f"own_{c}") for c in CELL], fit.alias("fit"))
     span = lambda v: F.sequence(_cell(F.col(v) - F.col("r"), fr, F.col("fit")), _cell(F.col(v) + F.col("r"), fr, F.col("fit")))
     # a leaf lies under a fitting cell, or is itself a coarser cell around the disc's place
     at_fit = F.flatten(
@@ -202,9 +206,9 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
         )
     )
     own_cell = [F.col(f"own_{c}") for c in CELL]
-    keyed = base.select("px", "py", "r", *own_cell, "fit", at_fit.alias("cells")).select(
-        "px", "py", "r", *own_cell, F.explode(F.concat("cells", F.array_distinct(coarser))).alias("c")
-    ).select("px", "py", "r", *own_cell, "c.*")
+    keyed = base.select("place", "px", "py", "r", *own_cell, "fit", at_fit.alias("cells")).select(
+        "place", "px", "py", "r", *own_cell, F.explode(F.concat("cells", F.array_distinct(coarser))).alias("c")
+    ).select("place", "px", "py", "r", *own_cell, "c.*")
     tree = _ancestors(cells.select(*CELL))
     itself = tree.where(F.col("lvl") == F.col("leaf_lvl"))
     index = tree.select(F.lit(True).alias("under"), "*").unionByName(itself.select(F.lit(False).alias("under"), "*"))
@@ -214,10 +218,11 @@ def nearest_lists(df: DataFrame, id: str, x: str, y: str, value: str | None = No
     size = F.pow(F.lit(2.0), fr["power"] - F.col("leaf_lvl"))
     gap = lambda v, c: F.greatest(F.lit(0.0), F.col(c) * size - F.col(v), F.col(v) - (F.col(c) + 1) * size)
     near = _square(gap("px", "leaf_cx"), F.lit(0.0)) + _square(gap("py", "leaf_cy"), F.lit(0.0))
-    visits = found.where(near <= F.col("r") * F.col("r")).select("px", "py", "r", *[F.col(f"leaf_{c}").alias(c) for c in CELL])
-    far = entry(visits.join(other, CELL).where(d2 <= F.col("r") * F.col("r")))
-    best = _top(own.unionByName(far), k).groupBy("px", "py").agg(F.sort_array(F.collect_list(F.struct("d2", "id", "z"))).alias("near"))
-    return places.join(shuffled(best), (F.col("x") == F.col("px")) & (F.col("y") == F.col("py"))).select("x", "y", "m", "sz", "near")
+    visits = found.where(near <= F.col("r") * F.col("r")).select("place", "px", "py", "r", *[F.col(f"leaf_{c}").alias(c) for c in CELL])
+    far = materialize(_top(entry(visits.join(other, CELL).where(d2 <= F.col("r") * F.col("r"))), k), "far").withColumnRenamed("near", "far")
+    best = F.slice(F.sort_array(F.concat("near", F.coalesce("far", F.array()))), 1, k + 1)
+    lists = places.drop("ids").join(shuffled(own), "place").join(shuffled(far), "place", "left")
+    return lists.select("x", "y", "m", "sz", best.alias("near"))
 
 
 def _without(near: Column, id: Column, k: int) -> Column:
@@ -367,13 +372,13 @@ NEGATIVE = "Autocorrelation negative significative (dispersion)"
 RANDOM = "Pas d autocorrelation significative (distribution aleatoire)"
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Number rows 0..n-1 as ``idx`` in the order of some columns.
+def numbered(df: DataFrame, *order: str, keep: Sequence[str]) -> DataFrame:
+    """Some columns and ``idx``, which numbers the rows 0..n-1 in the order of others.
 
     Rows are dealt by ranges of these and sorted there; the ranges' sizes (one row per range)
     give the offsets.
     """
-    spread = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    spread = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).select(*keep, F.monotonically_increasing_id().alias("_n")), "numbered")
     part = F.shiftrightunsigned(F.col("_n"), 33)
     sizes = spread.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -385,8 +390,8 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 
 def dense_index(df: DataFrame, id: str) -> DataFrame:
     """Number rows 0..n-1 by the digest of their id."""
-    digest = F.md5(col(id).cast("string").cast("binary"))
-    return numbered(df.withColumns({"_h": digest, "_id": col(id)}), "_h", "_id").drop("_h", "_id")
+    digest = F.unhex(F.md5(col(id).cast("string").cast("binary")))
+    return numbered(df.withColumns({"_h": digest, "_id": col(id)}), "_h", "_id", keep=df.columns)
 
 
 def affine_maps(n: int, permutations: int, seed: int) -> list[tuple[int, int, int]]:
@@ -411,7 +416,7 @@ def _chunk_maps(maps: list[tuple[int, int, int]], chunk: int) -> tuple[np.ndarra
     return part[:, 1:2], part[:, 2:3]
 
 
-def _sender(n: int, maps: list[tuple[int, int, int]]) -> Callable:
+def _sender(n: int, maps: list[tuple[int, int, int]], chunks: Sequence[int]) -> Callable:
     """Deals a block's values to the blocks whose rows get them: by map, then by the place they come from."""
     back = [(r, pow(a, -1, n), b) for r, a, b in maps]
 
@@ -420,7 +425,7 @@ def _sender(n: int, maps: list[tuple[int, int, int]]) -> Callable:
         order = np.argsort(at)
         at, z = at[order], z[order]
         tables = []
-        for chunk in range(-(-len(maps) // CHUNK)):
+        for chunk in chunks:
             a, b = _chunk_maps(back, chunk)
             to = (((at - b) % n * a) % n // BLOCK).ravel()
             dealt = np.argsort(to, kind="stable")
@@ -461,11 +466,16 @@ def relabelled(rows: DataFrame, n: int, permutations: int, seed: int) -> DataFra
     under all maps of a chunk, as one list in an order that both sides know from the maps. So a value
     moves once a replicate, without a key, and a task holds one block and one chunk of it.
     """
-    nodes = materialize(dense_index(rows, "id").withColumn("block", F.floor(F.col("idx") / BLOCK)), "nodes")
+    nodes = materialize(dense_index(rows, "id"), "nodes")
+    return relabelled_chunks(nodes, n, permutations, seed, range(permutations // CHUNK + 1))
+
+
+def relabelled_chunks(nodes: DataFrame, n: int, permutations: int, seed: int, chunks: Sequence[int]) -> DataFrame:
+    """:func:`relabelled` for some chunks of rows that :func:`dense_index` has numbered."""
     maps = affine_maps(n, permutations, seed)
-    chunks = F.sequence(F.lit(0), F.lit((len(maps) - 1) // CHUNK)).cast("array<int>")
-    sent = nodes.select("block", "idx", "z").groupBy("block").applyInArrow(_sender(n, maps), "to bigint, chunk int, origin bigint, zs array<double>")
-    asked = nodes.drop("z").withColumn("chunk", F.explode(chunks))
+    nodes = nodes.withColumn("block", F.floor(F.col("idx") / BLOCK))
+    sent = nodes.select("block", "idx", "z").groupBy("block").applyInArrow(_sender(n, maps, chunks), "to bigint, chunk int, origin bigint, zs array<double>")
+    asked = nodes.drop("z").withColumn("chunk", F.explode(F.array(*[F.lit(c) for c in chunks])))
     schema = T.StructType([*asked.drop("block", "idx").schema.fields, T.StructField("zs", T.ArrayType(T.DoubleType()))])
     found = asked.groupBy("block", "chunk").cogroup(sent.groupBy("to", "chunk")).applyInArrow(_receiver(n, maps), schema)
     counts = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -473,7 +483,7 @@ def relabelled(rows: DataFrame, n: int, permutations: int, seed: int) -> DataFra
         return found
     # rows of one id share a vector: the first of all their values by replicate
     pairs = F.sort_array(F.flatten(F.collect_list(F.transform("zs", lambda z, k: F.struct(k.alias("k"), z.alias("z"))))))
-    others = [F.first(c).alias(c) for c in rows.columns if c not in ("id", "z")]
+    others = [F.first(c).alias(c) for c in nodes.columns if c not in ("id", "z", "idx", "block")]
     return found.groupBy("id", "chunk").agg(*others, F.transform(F.slice(pairs, 1, F.first(F.size("zs"))), lambda e: e["z"]).alias("zs"))
 
 
@@ -540,7 +550,7 @@ def _neighbourhoods(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     xy = rows.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(finite & F.col("id").isNotNull())
     box = xy.agg(*[f(v).alias(f"{n}{v}") for n, f in (("min", F.min), ("max", F.max)) for v in "xy"]).first()
     places = xy.groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y")
-    ids = numbered(places.withColumn("z", _curve(box)), "z", "x", "y", "id").select("id", F.col("idx").alias("num"))
+    ids = numbered(places.withColumn("z", _curve(box)), "z", "x", "y", "id", keep=["id"]).withColumnRenamed("idx", "num")
     ids = materialize(ids.withColumn("part", F.floor(F.col("num") / PART)), "curve")
     source = ids.select(F.col("id").alias("src"), F.col("num").alias("a"), "part")
     target = ids.select(F.col("id").alias("dst"), F.col("num").alias("b"))
@@ -556,11 +566,101 @@ def _products(key: tuple, vectors: pa.Table, links: pa.Table) -> pa.Table:
     order = np.argsort(num)
     table = pc.list_flatten(vectors["zs"].combine_chunks()).to_numpy().reshape(len(num), -1)
     a, b = (order[np.searchsorted(num, links[c].to_numpy(), sorter=order)] for c in "ab")
-    w, total = links["w"].to_numpy().astype(float), np.zeros(table.shape[1])
+    return pa.table({"chunk": pa.array([key[1].as_py()], pa.int32()), "v": [_over_edges(table, a, b, links["w"].to_numpy())]})
+
+
+def _over_edges(table: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sums over edges of the products of two rows of a table."""
+    total = np.zeros(table.shape[1])
     for i in range(0, len(w), PART):
         one = slice(i, i + PART)
-        total += np.einsum("i,ij,ij->j", w[one], table[a[one]], table[b[one]])
-    return pa.table({"chunk": pa.array([key[1].as_py()], pa.int32()), "v": [total]})
+        total += np.einsum("i,ij,ij->j", w[one].astype(float), table[a[one]], table[b[one]])
+    return total
+
+
+def _exchanged_sums(rows: DataFrame, links: DataFrame, homes: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """Sums of products (chunk, v) for more values than a task holds: they are sent to each other a chunk at a time.
+
+    A chunk shuffles 1 KB a row twice, which is deleted before the next one begins.
+    """
+    nodes = materialize(dense_index(rows.join(shuffled(homes), "id", "left"), "id"), "nodes")
+    sums = []
+    for chunk in range(permutations // CHUNK + 1):
+        vectors = relabelled_chunks(nodes, n, permutations, seed, [chunk])
+        dealt = vectors.select("num", "chunk", F.explode("parts").alias("part"), "zs")
+        asked = links.withColumn("chunk", F.lit(chunk))
+        products = dealt.groupBy("part", "chunk").cogroup(asked.groupBy("part", "chunk")).applyInArrow(_products, "chunk int, v array<double>")
+        sums.append(materialize(vector_sums(products, ["chunk"], v=F.col("v")), "sums"))
+    return functools.reduce(DataFrame.unionByName, sums)
+
+
+def _pack(key: tuple, homes: pa.Table, links: pa.Table) -> pa.Table:
+    """A part as one row: places in the numbering by id of its ids' rows, rows an id, edges between its ids."""
+    homes = homes.sort_by([("num", "ascending"), ("idx", "ascending")])
+    num, counts = np.unique(homes["num"].to_numpy(), return_counts=True)
+    a, b = (np.searchsorted(num, links[c].to_numpy()).astype(np.int32) for c in "ab")
+    columns = {"idx": homes["idx"].to_numpy(), "counts": counts.astype(np.int32), "a": a, "b": b, "w": links["w"].to_numpy()}
+    return pa.table({"part": [key[0].as_py()]} | {name: pa.array([v.tobytes()], pa.binary()) for name, v in columns.items()})
+
+
+def _pack_values(key: tuple, block: pa.Table) -> pa.Table:
+    return pa.table({"part": pa.array([-1 - key[0].as_py()], pa.int64()), "zs": pa.array([block.sort_by("idx")["z"].to_numpy().tobytes()], pa.binary())})
+
+
+def _table(z: np.ndarray, idx: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The values of a part's ids under a chunk of maps, a row an id.
+
+    Rows of one id share a vector: the first of all their values by replicate.
+    """
+    table, starts = np.empty((len(counts), len(a))), np.cumsum(counts) - counts
+    for c in np.unique(counts):
+        ids = np.flatnonzero(counts == c)
+        maps = slice(-(-len(a) // c))
+        at = idx[starts[ids][:, None] + np.arange(c)][:, None, :] * a[maps] + b[maps]
+        # faster than the remainder
+        at -= at // len(z) * len(z)
+        table[ids] = np.sort(z[at], axis=2).reshape(len(ids), -1)[:, : len(a)]
+    return table
+
+
+def _summer(n: int, maps: list[tuple[int, int, int]]) -> Callable:
+    """Sums the products of all edges dealt to a task, whose rows begin with the blocks of all values."""
+    chunks = range(-(-len(maps) // CHUNK))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, totals = np.empty(n), [0.0] * len(chunks)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                read = lambda c, kind: np.frombuffer(batch[c][row].as_buffer(), kind)  # noqa: E731, B023
+                block = -1 - batch["part"][row].as_py()
+                if block >= 0:
+                    z[block * BLOCK : (block + 1) * BLOCK] = read("zs", np.float64)
+                    continue
+                idx, counts = read("idx", np.int64), read("counts", np.int32)
+                a, b, w = read("a", np.int32), read("b", np.int32), read("w", np.int64)
+                for chunk in chunks:
+                    totals[chunk] += _over_edges(_table(z, idx, counts, *_chunk_maps(maps, chunk)), a, b, w)
+        found = {chunk: v for chunk, v in zip(chunks, totals) if np.ndim(v)}
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(found, pa.int32()), "v": pa.array(found.values(), pa.list_(pa.float64()))})
+
+    return add
+
+
+def _held_sums(rows: DataFrame, links: DataFrame, homes: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """Sums of products (chunk, v) by tasks that hold all values, and look them up under each map.
+
+    The values are sent once a task, 8 bytes each, as many tasks as run at once; edges are sent once.
+    """
+    nodes = dense_index(rows, "id")
+    placed = homes.join(shuffled(nodes.select("id", "idx")), "id").select("num", "idx", F.explode("parts").alias("part"))
+    parts = placed.groupBy("part").cogroup(links.groupBy("part")).applyInArrow(_pack, "part bigint, idx binary, counts binary, a binary, b binary, w binary")
+    blocks = nodes.select("idx", "z").groupBy(F.floor(F.col("idx") / BLOCK).alias("block")).applyInArrow(_pack_values, "part bigint, zs binary")
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // PART)))
+    everywhere = blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    dealt = everywhere.unionByName(parts.withColumn("task", (F.col("part") % tasks).cast("int")), allowMissingColumns=True)
+    ordered = dealt.repartitionById(tasks, "task").sortWithinPartitions("part").drop("task")
+    products = ordered.mapInArrow(_summer(n, affine_maps(n, permutations, seed)), "chunk int, v array<double>")
+    return vector_sums(products, ["chunk"], v=F.col("v"))
 
 
 def _totals(rows: DataFrame, value: str) -> tuple[int, float, float]:
@@ -582,14 +682,9 @@ def moran_significance(
     if n < 2:
         return _significance_row(df.sparkSession.createDataFrame([], "r int, i double"), n, permutations)
     k = max(1, min(k, n - 1))
-    edges = knn_edges(rows, "id", "x", "y", k).select("src", "dst")
+    edges = materialize(knn_edges(rows, "id", "x", "y", k).select("src", "dst"), "edges")
     links, homes = _neighbourhoods(rows, edges)
-    vectors = relabelled(rows.select("id", (F.col("v") - F.lit(mean)).alias("z")).join(shuffled(homes), "id", "left"), n, permutations, seed)
-    dealt = vectors.select("num", "chunk", F.explode("parts").alias("part"), "zs")
-    chunks = F.sequence(F.lit(0), F.lit(permutations // CHUNK)).cast("array<int>")
-    asked = links.select("*", F.explode(chunks).alias("chunk"))
-    products = dealt.groupBy("part", "chunk").cogroup(asked.groupBy("part", "chunk")).applyInArrow(_products, "chunk int, v array<double>")
-    sums = vector_sums(products, ["chunk"], v=F.col("v"))
+    sums = (_held_sums if n <= HELD else _exchanged_sums)(rows.select("id", (F.col("v") - F.lit(mean)).alias("z")), links, homes, n, permutations, seed)
     i = F.try_divide(F.col("num"), F.lit(float(k)) * F.lit(den))
     return _significance_row(_by_replicate(sums, "v").select("r", i.alias("i")), n, permutations)
 

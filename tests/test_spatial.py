@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terraprofile.functions import geometry as G
 from terraprofile.operators import cover, hull, locate, metrics, neighbours
 from terraprofile.plans.dataset_profile import Rules, Territory, compute_all_metrics, profile_geometry, profile_points
+from terraprofile.session import CLEANUP, materialize
 
 
 def frame(spark, **columns):
@@ -306,6 +307,42 @@ def test_significance_of_points_sends_no_replicates_through_the_driver(spark, mo
     assert (got["moran_i"], got["p_value"], got["z_score"]) == (pytest.approx(i, abs=1e-4), pytest.approx(p, abs=1e-4), pytest.approx(score, abs=1e-4))
 
 
+def shuffle_bytes(spark):
+    """Of the shuffle files that are on disk now."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_bytes(spark)
+    got = materialize(spark.range(10_000).repartition(5, "id"), "kept")
+    assert got.count() == 10_000 and shuffle_bytes(spark) < before + 10_000
+    assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_significance_of_points_writes_no_replicates_to_disk(spark):
+    rng = np.random.default_rng(6)
+    df = frame(spark, id=np.arange(2500), x=rng.random(2500), y=rng.random(2500), v=rng.random(2500))
+    before = shuffle_bytes(spark)
+    assert neighbours.moran_significance(df, "id", "x", "y", "v").first()["n"] == 2500
+    # 999 replicates are 20 MB
+    assert shuffle_bytes(spark) < before + 5e6
+
+
+def test_significance_of_held_and_of_exchanged_values_with_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "PART", 50)
+    rng = np.random.default_rng(7)
+    # some ids have two, some three rows
+    ids = np.concatenate([np.arange(200), np.arange(60), np.arange(30)])
+    df = frame(spark, id=ids, x=rng.integers(0, 30, 290).astype(float), y=rng.random(290), v=(ids * 7 % 31).astype(float))
+    rows = []
+    for held in (1000, 0):
+        monkeypatch.setattr(neighbours, "HELD", held)
+        rows.append(neighbours.moran_significance(df, "id", "x", "y", "v", permutations=150).first())
+    assert rows[0] == rows[1] and rows[0]["z_score"] is not None
+
+
 def test_significance_of_parcels_sends_no_replicates_through_the_driver(spark, small_broadcasts):
     n = 50
     ring = F.array(*[G.xy(F.col(x), F.col(y)) for x, y in ("ab", "cb", "cd", "ad", "ab")])
