@@ -365,6 +365,14 @@ def test_all_metrics_send_no_replicates_through_the_driver(spark, small_broadcas
         assert compute_all_metrics(df, "id", "g", value="v", grid_size=10.0).first().moran.n == 2500
 
 
+def test_all_metrics_of_points_write_no_replicates_to_disk(spark):
+    corners = parcels(spark, 50).withColumn("id", F.monotonically_increasing_id())
+    points = corners.select("id", (F.col("a") * 7 % 3).alias("v"), G.point(F.col("a"), F.col("b")).alias("g"))
+    before = shuffle_bytes(spark)
+    assert compute_all_metrics(points, "id", "g", value="v", grid_size=10.0).first().moran.n == 2500
+    assert shuffle_bytes(spark) < before + 5e6
+
+
 def hash_broadcasts(df):
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
 
